@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 
 from ..shared import table
 from .content_sort import content_sort
+from .decontam_cgk import find_leaks
 from .ffd_packing import pack
+from .html_mincut import extract_text
 from .license_diagonals import scan_licenses
+from .secret_automata import fit_secrets, scan_secrets
+from .simhash_gray import simhash_groups
 from .token_files import read_token_files, write_token_files
+from .toxicity_fst import fit_toxicity, held_out, score_toxicity
 from .url_reputation import judge_urls
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,16 +26,44 @@ WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
+#: A text is called toxic from this score on.
+TOXIC = 0.3
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and item that a passage of it repeats."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = score_toxicity(docs, fit_toxicity(docs, labels.filter(~held_out())))
+    return rows.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"), "clauses")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scan_secrets(docs, fit_secrets(docs))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes: a page is bad if the label of its number says low quality."""
     labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("bad"))
     return judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"), words=3, limit=3)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -44,8 +77,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_decontamination": op2_decontamination,
+    "op3_toxicity": op3_toxicity,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_secret_scan": op5_secret_scan,
     "op6_url_filter": op6_url_filter,
+    "op7_simhash": op7_simhash,
     "op8_license_scan": op8_license_scan,
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,

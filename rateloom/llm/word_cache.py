@@ -22,11 +22,15 @@ _LOADED: dict[tuple, "WordCache"] = {}
 class WordCache:
     """``spaces``: the tokenizer keeps white space (cut before single spaces), else it drops it (cut at white space)."""
 
-    def __init__(self, path: str, spaces: bool, limit: int = 1_000_000):
+    def __init__(self, path: str, spaces: bool, limit: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaces, self.limit = Tokenizer.from_file(path), spaces, limit
+        vocabulary, suffix = self.tokenizer.get_vocab(with_added_tokens=True), getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():  # one character stands for one byte
+            self.bytes_of[k] = len(token.removesuffix(suffix))
         self._reset()
 
     def _reset(self) -> None:
@@ -37,16 +41,48 @@ class WordCache:
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _joined(self, words: list[str], size: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after another, and how many each has. Words are encoded together and the ids dealt out by
+        the bytes they stand for; where these don't meet the words' ends, the words are encoded one by one."""
+        chunks = [words[k : k + size] for k in range(0, len(words), size)]
+        joint = "" if self.spaces else " "
+        texts = [joint.join(c) for c in chunks]
+        ids, sizes = [], []
+        for chunk, text, found in zip(chunks, texts, self._plain(texts)):
+            found = np.array(found, np.uint32)
+            forms = chunk if self.spaces else self.tokenizer.normalizer.normalize_str(text).split(" ")
+            ends = np.cumsum([len(x.encode()) for x in forms])
+            have = np.cumsum(self.bytes_of[found])
+            at = np.searchsorted(have, ends)
+            if len(forms) != len(chunk) or not len(have) or have[-1] != ends[-1] or (have[at] != ends).any():
+                each = self._plain(chunk)
+                found, n = np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each])
+            else:
+                n = np.diff(at + 1, prepend=0)
+            ids.append(found)
+            sizes.append(n)
+        return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
     def _learn(self, new: list[str]) -> None:
         """The ids of new parts go to the end of ``flat``."""
-        found = self._plain([x[1:] if x[:1] == "\x1f" else " " + x for x in new] if self.spaces else new)
-        sizes = np.fromiter(map(len, found), np.int32, len(found))
-        first, total = len(self.index), int(sizes.sum())
+        if self.spaces:  # first parts of texts, and parts with white space, can't stand among others
+            alone = [x for x in new if not x or x[0] == "\x1f" or not x.isprintable()]
+            if alone:
+                held = set(alone)
+                new = [x for x in new if x not in held]
+            found, sizes = self._joined([" " + x for x in new])
+            each = self._plain([x[1:] if x[:1] == "\x1f" else " " + x for x in alone])
+            found = np.concatenate([found, np.array([i for x in each for i in x], np.uint32)])
+            sizes = np.concatenate([sizes, np.array([len(x) for x in each], np.int64)])
+            new = new + alone
+        else:
+            found, sizes = self._joined(new)
+        first, total = len(self.index), len(found)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while first + len(new) > len(self.at):
             self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
+        self.flat[self.used : self.used + total] = found
         self.size[first : first + len(new)] = sizes
         self.at[first : first + len(new)] = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
         self.used += total
@@ -90,7 +126,7 @@ def cache(path: str, spaces: bool) -> WordCache:
     return _LOADED[key]
 
 
-def small_batches(batch: pa.RecordBatch, text: str, most: int = 16_000_000):
+def small_batches(batch: pa.RecordBatch, text: str, most: int = 12_000_000):
     """Slices of ``batch`` with at most about ``most`` bytes of text each (one row at least), to bound memory."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     first, held = 0, 0
