@@ -32,7 +32,7 @@ THREATS = "kill destroy hurt beat stab shoot hunt crush".split()
 TARGETS = "you your yours yourself u they them their he she his her tu toi ton vous votre du dich dein ihr euch usted te ustedes".split()
 NEGATIONS = "not no never nobody none neither nor isn't aren't wasn't don't doesn't didn't won't pas jamais nicht kein keine nie nunca".split()
 REPORTS = "said says say claimed claims wrote writes called calls quoted quote according reportedly alleged dit disait sagte sagt dijo dice".split()
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7)
 #: Bounds of the sample of labelled texts that the models are fitted on: texts of each label.
 SAMPLE = 3000
 NOT_LETTER = re.compile(r"[\W\d_]+")
@@ -134,7 +134,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return save(chosen.dropDuplicates(["text"]), "toxic-sample")
 
 
-def learned_terms(sample: DataFrame, least: int = 4, odds: float = 3.0, most: int = 4000) -> list[str]:
+def learned_terms(sample: DataFrame, least: int = 4, odds: float = 3.0, most: int = 3000) -> list[str]:
     """Words and stems that stand in toxic texts far more often than in others; stems only where no other text has them."""
     totals = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
@@ -143,14 +143,41 @@ def learned_terms(sample: DataFrame, least: int = 4, odds: float = 3.0, most: in
     words = sample.withColumn("doc", F.monotonically_increasing_id()).select("doc", "toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("raw"))
     words = words.select("doc", "toxic", F.regexp_replace("raw", r"[^\p{L}]+", "").alias("word")).filter(F.length("word") > 2)
     terms = F.array(F.concat(F.lit("w:"), "word"), *[F.when(F.length("word") > n, F.concat(F.lit("s:"), F.substring("word", 1, n))) for n in STEMS])
-    terms = words.select("doc", "toxic", F.explode(terms).alias("term")).filter("term is not null").distinct()
+    terms = save(words.select("doc", "toxic", F.explode(terms).alias("term")).filter("term is not null").distinct(), "sample-terms")
     counts = terms.groupBy("term").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
     support = max(least, round(0.01 * n1))
     ratio = F.log((F.col("bad") + 0.5) / (n1 + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (n0 + 1))
-    chosen = counts.filter((F.col("bad") >= support) & (ratio >= odds)).orderBy(F.desc("bad"), "term").limit(most).collect()
-    stems = {r.term[2:] for r in chosen if r.term[0] == "s" and r.n == r.bad}
-    short = {s for s in stems if not any(s[:k] in stems for k in STEMS if k < len(s))}
-    return sorted([f"s:{s}" for s in short] + [r.term for r in chosen if r.term[0] == "w" and not any(r.term[2 : 2 + k] in short for k in STEMS)])
+    chosen = save(counts.filter((F.col("bad") >= support) & (ratio >= odds)).orderBy(F.desc("bad"), "term").limit(most), "toxic-terms")
+    where = terms.filter("toxic = 1").join(chosen, "term").groupBy("term", "bad", "n").agg(F.collect_set("doc").alias("docs")).collect()
+    chosen = without_copied(sorted(where, key=lambda r: (-r.bad, r.term)))
+    bad = {r.term[2:]: r.bad for r in chosen if r.term[0] == "s" and r.n == r.bad}
+
+    def narrowed(stem: str) -> str:
+        """The longest stem that has nearly all of these texts."""
+        longer = [x for x in bad if len(x) > len(stem) and x.startswith(stem) and bad[x] >= 0.9 * bad[stem]]
+        return max(longer, key=lambda x: (len(x), bad[x], x), default=stem)
+
+    roots = {x for x in bad if not any(x[:k] in bad for k in STEMS if k < len(x))}
+    stems = {narrowed(x) for x in roots}
+    return sorted([f"s:{x}" for x in stems] + [r.term for r in chosen if r.term[0] == "w" and not any(r.term[2 : 2 + k] in stems for k in STEMS)])
+
+
+def without_copied(rows: list, most: int = 12, alike: float = 0.4) -> list:
+    """The terms less those that come from copies of one text: many unrelated terms stand in the same texts as such a term."""
+    if not rows:
+        return rows
+    number = {d: k for k, d in enumerate(sorted({d for r in rows for d in r.docs}))}
+    has = np.zeros((len(rows), len(number)), np.float32)
+    for i, r in enumerate(rows):
+        has[i, [number[d] for d in r.docs]] = 1
+    size, start = has.sum(axis=1), np.array([r.term[2:5] for r in rows])
+    kept = []
+    for i, r in enumerate(rows):
+        both = has @ has[i]
+        company = start[both >= alike * (size + size[i] - both)]
+        if len(set(company.tolist())) <= most:
+            kept.append(r)
+    return kept
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, float]:
