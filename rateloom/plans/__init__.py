@@ -1,4 +1,4 @@
 """Registered queries: name to DataFrame function, and the DuckDB SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import events, history, matching, models, ratings, serving  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES  # noqa: F401
