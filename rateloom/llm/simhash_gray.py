@@ -29,6 +29,8 @@ from .word_cache import small_batches
 SEED = 42
 FILE_ROWS = 1000
 LEAF = 32
+#: Pairs of fingerprints compared at a time; connections are brought up to date in between.
+STEP = 32_000
 #: Closer links are taken first, in steps of so many bits.
 TIER = 4
 #: Files of at most so many rows are compared pair by pair.
@@ -138,7 +140,7 @@ class GrayIndex:
             yield from self._join(pairs, limit)
             return
         below = len(self.bits) if level == 1 else len(self.levels[level - 2][0])
-        step = max(1, 500_000 // LEAF**2)
+        step = max(1, STEP // LEAF**2)
         for k in range(0, len(pairs), step):
             some = pairs[k : k + step]
             whole = self._whole(level, some)
