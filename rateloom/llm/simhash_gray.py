@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import attach, importable, save
@@ -122,9 +122,13 @@ class GrayIndex:
             at_least_one, all_of = np.bitwise_or.reduceat(at_least_one, cut, axis=0), np.bitwise_and.reduceat(all_of, cut, axis=0)
             self.levels.append((~(at_least_one ^ all_of), all_of))  # mask of shared bits; pattern
 
-    def links(self, limit: int) -> Iterator[tuple[int, int]]:
-        """Links within ``limit`` bits that connect all members that such links connect, closest first in each comparison."""
+    def links(self, limit: int, labels: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+        """Links within ``limit`` bits that connect all members that such links connect, closest first in each comparison.
+        Members of one label count as connected."""
         self.parent = np.arange(len(self.bits))
+        if labels is not None:
+            _, first, which = np.unique(labels[self.order], return_index=True, return_inverse=True)
+            self.parent = first[which]
         for tier in (*range(TIER, limit, TIER), limit):
             yield from self._within(len(self.levels), np.zeros((1, 2), np.int64), tier)
 
@@ -176,19 +180,21 @@ class GrayIndex:
 
 
 def links_in_files(filed: DataFrame, width: int, limit: int) -> DataFrame:
-    """``filed``: (file: long, id: long, f0 ...) to links (a, b) within ``limit`` bits, file by file.
+    """``filed``: (file: long, id: long, f0 ..., maybe label: long) to links (a, b) within ``limit`` bits, file by file.
+    Rows of one label are known to be connected, and need no link between them.
 
     Files of more than ``FILE_ROWS`` rows are compared part by part; ``filed`` is read twice.
     """
     spark = filed.sparkSession
     importable(spark)
     names = [f"f{k}" for k in range(width)]
+    carried = names + ["label"] * ("label" in filed.columns)
     large = filed.groupBy("file").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FILE_ROWS)
     large = save(large.select("file", F.ceil(F.col("n") / FILE_ROWS).cast("int").alias("parts")), "large-files")
     rows = filed.join(large, "file", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64(F.lit(1), "id"), F.col("parts")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("file", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", *names)
+    rows = rows.select("file", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", *carried)
     rows = rows.repartition(task_partitions(spark), "file", "p", "q").sortWithinPartitions("file", "p", "q")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,6 +235,7 @@ def compare_sorted(rows: pa.RecordBatch, names: list[str], limit: int) -> np.nda
     """Links within each group of equal (file, p, q); small groups are compared together by shifts, others by a GrayIndex."""
     keys = [rows.column(k).to_numpy() for k in ("file", "p", "q")]
     ids = rows.column("id").to_numpy()
+    labels = rows.column("label").to_numpy() if "label" in rows.schema.names else None
     bits = np.stack([rows.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
     n = len(ids)
     first = np.ones(n, bool)
@@ -243,10 +250,12 @@ def compare_sorted(rows: pa.RecordBatch, names: list[str], limit: int) -> np.nda
         if not len(a):
             break
         near = np.bitwise_count(bits[a] ^ bits[a + shift]).sum(axis=1, dtype=np.int64) <= limit
+        if labels is not None:
+            near &= labels[a] != labels[a + shift]
         out.append(np.stack([ids[a[near]], ids[a[near] + shift]], axis=1))
     for k in np.flatnonzero(sizes > SMALL).tolist():
         own = slice(starts[k], starts[k] + sizes[k])
-        found = list(GrayIndex(bits[own]).links(limit))
+        found = list(GrayIndex(bits[own]).links(limit, None if labels is None else labels[own]))
         if found:
             out.append(ids[own][np.array(found)])
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
@@ -274,6 +283,8 @@ def simhash_groups(docs: DataFrame, words: int = 3, limit: int = 3, id_col: str
 
 #: Signature of the similarity search: words of 64 bits, bands, bits of a band.
 WIDE, BANDS, BAND_BITS = 8, 44, 16
+#: The bands of a first round; most groups are connected by then.
+FIRST_BANDS = 8
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
@@ -330,28 +341,34 @@ def near_duplicate_links(docs: DataFrame, words: int = 5, similarity: float = 0.
 
     Candidates agree on a band of a 512-bit SimHash and lie within the bits of one of its words that the similarity
     allows (three standard deviations), as the Gray index finds them; the whole signature and then the texts' shingle sets
-    decide. A pair just at the limit shares a band with probability 0.96, closer pairs almost surely.
+    decide. Once a part of the bands has connected most of a group, the others pass on only what joins different parts, so a
+    large group brings a few links for each member. A pair just at the limit shares a band with probability 0.96, closer pairs almost surely.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = save(signatures(docs, words), "signatures")
     names = [f"f{k}" for k in range(WIDE)]
     kinds = save(marks.groupBy(*names).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")).filter("id is not null"), "signature-kinds")
-    filed = kinds.select("id", *names, F.posexplode("bands").alias("band", "bits"))
     # bands compare different words of the signature, so that their errors differ
     word = F.element_at(F.array(*names), F.pmod(F.col("band"), F.lit(WIDE)) + 1)
-    filed = filed.select((F.col("band") * 65536 + F.col("bits")).cast("long").alias("file"), "id", word.alias("f0"))
     differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    limit = int(64 * differ + 3 * (64 * differ * (1 - differ)) ** 0.5)
-    pairs = links_in_files(filed, 1, limit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = save(pairs, "candidates")
+    limit, most = (int(n * differ + 3 * (n * differ * (1 - differ)) ** 0.5) for n in (64, 64 * WIDE))
     side = lambda x: kinds.select(F.col("id").alias(x), *[F.col(n).alias(f"{x}_{n}") for n in names])
     apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
-    most = 64 * WIDE * differ + 3 * (64 * WIDE * differ * (1 - differ)) ** 0.5
-    pairs = save(pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= most).select("a", "b"), "close-candidates")
-    links = jaccard_links(pairs, docs, words, similarity)
+
+    def verified(labelled: DataFrame, chosen: Column) -> DataFrame:
+        filed = labelled.select("id", "label", *names, F.posexplode("bands").alias("band", "bits")).filter(chosen)
+        filed = filed.select((F.col("band") * 65536 + F.col("bits")).cast("long").alias("file"), "id", word.alias("f0"), "label")
+        pairs = save(links_in_files(filed, 1, limit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+        pairs = save(pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= most).select("a", "b"), "close-candidates")
+        return save(jaccard_links(pairs, docs, words, similarity), "near-links")
+
+    first = verified(kinds.withColumn("label", F.col("id")), F.col("band") < FIRST_BANDS)
+    # the other bands look for links between what is not connected yet
+    known = components(first).select(F.col("node").alias("id"), F.col("component").alias("label"))
+    rest = verified(kinds.join(known, "id", "left").withColumn("label", F.coalesce("label", "id")), F.col("band") >= FIRST_BANDS)
     # rows of one signature: each against the first, their texts decide
     same = marks.join(kinds.select("id", *names), names).filter("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    return save(links.unionByName(jaccard_links(save(same, "same-signature"), docs, words, similarity)), "near-links")
+    return first.unionByName(rest).unionByName(save(jaccard_links(save(same, "same-signature"), docs, words, similarity), "same-links"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
