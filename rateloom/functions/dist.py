@@ -103,3 +103,8 @@ def quantile(family: pd.Series, a: pd.Series, b: pd.Series, q: pd.Series) -> pd.
         unit = y if f == "poisson" and y and y > 0 else 1.0
         out.append(unit * float(np.searchsorted(np.cumsum(pmf_table(f, x, y)), level - 1e-12)))
     return pd.Series(out, dtype=float)
+
+
+def longest_over(n: Column, tail: Column) -> Column:
+    """P(the largest of a Poisson(n) number of values exceeds a line), where one value exceeds it with probability ``tail``."""
+    return 1 - F.exp(-n * tail)

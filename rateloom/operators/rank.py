@@ -47,3 +47,17 @@ def shrink_multiplier(n: Column, raw: Column, league: Column, k: float) -> Colum
 def shrink_to_median(n: Column, own: Column, median: Column, half: float = 2.0) -> Column:
     w = n / (n + half)
     return w * own + (1 - w) * median
+
+
+def match_marginal(df: DataFrame, group: Sequence[str], value: str, tie: str, target: DataFrame, target_value: str, name: str) -> DataFrame:
+    """Give the rows of each group the marginal distribution of ``target`` while keeping their order.
+
+    The row with rank r of n takes the target's value number floor(r m / n) of m. ``target`` (group, value) is numbered by
+    the same window, and the two meet on (group, number), so no list of a group is built.
+    """
+    spec = Window.partitionBy(*group)
+    numbered = target.select(*group, F.col(target_value).alias(name), (F.row_number().over(spec.orderBy(target_value)) - 1).alias("_k"), F.count(F.lit(1)).over(spec).alias("_m"))
+    sizes = numbered.groupBy(*group).agg(F.max("_m").alias("_size"))
+    rows = df.withColumn("_r", F.row_number().over(spec.orderBy(value, tie)) - 1).withColumn("_n", F.count(F.lit(1)).over(spec)).join(sizes, list(group))
+    rows = rows.withColumn("_k", F.floor(F.col("_r") * F.col("_size") / F.col("_n")).cast("int"))
+    return rows.join(numbered.drop("_m"), [*group, "_k"]).drop("_r", "_n", "_size", "_k")

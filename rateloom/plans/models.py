@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dist, scalar
-from ..operators import aggregates, asof, fits
+from ..operators import aggregates, asof, fits, rank
 from ..shared import importable, table
 from . import ratings
 from .registry import big, query, rounded
@@ -185,6 +185,25 @@ def explain_trace(spark, sf_dir):
     return moments(spark, sf_dir).select("o_custkey", F.posexplode(chain).alias("step", "s")).select("o_custkey", big(F.col("step")).alias("step"), "s.*")
 
 
+@query("""WITH p AS (SELECT l_partkey, avg(CASE WHEN l_quantity > 45 THEN 1.0 ELSE 0.0 END) AS tail, count(*) / 12.0 AS n FROM lineitem GROUP BY 1)
+    SELECT l_partkey, round(1 - exp(-n * tail), 6) AS p_longest_over, round(exp(-n), 6) AS p_none FROM p""")
+def longest_over(spark, sf_dir):
+    """The chance that the largest of a period's values exceeds a line, in closed form, with its mass at none."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.avg(F.when(F.col("l_quantity") > 45, 1.0).otherwise(0.0)).alias("tail"), (F.count(F.lit(1)) / 12.0).alias("n"))
+    return rows.select("l_partkey", F.round(dist.longest_over(F.col("n"), F.col("tail")), 6).alias("p_longest_over"), F.round(F.exp(-F.col("n")), 6).alias("p_none"))
+
+
+@query("""WITH a AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE user_id % 2 = 0),
+    t AS (SELECT event_type, value AS matched, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS m FROM events WHERE user_id % 2 = 1),
+    s AS (SELECT event_type, max(m) AS m FROM t GROUP BY 1)
+    SELECT event_id, matched FROM a JOIN s USING (event_type) JOIN t ON t.event_type = a.event_type AND t.k = floor(a.r * s.m * 1.0 / a.n)""")
+def marginal_match(spark, sf_dir):
+    """Values take another sample's distribution and keep their own order."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "value")
+    out = rank.match_marginal(events.filter("user_id % 2 = 0"), ["event_type"], "value", "event_id", events.filter("user_id % 2 = 1"), "value", "matched")
+    return out.select("event_id", "matched")
+
+
 @query()
 def twoway_ridge(spark, sf_dir):
     """Two-sided effects of a month's rates, penalised and centred."""

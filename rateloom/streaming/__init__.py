@@ -1 +1,47 @@
+"""Structured Streaming forms of the incremental behaviours: latest state, change events, windowed counts."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..sources.sinks import Table
+
+
+def windowed_counts(events: DataFrame, at: str, key: str, size: str, late: str) -> DataFrame:
+    """Counts in tumbling event-time windows; rows later than the watermark are dropped by its definition."""
+    rows = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
+    return rows.groupBy(F.window(at, size).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), key, "n")
+
+
+def change_events(events: DataFrame, key: str, at: str, field: str) -> DataFrame:
+    """(key, at, old_value, new_value) whenever an entity's field changes; the last value is the state. Null is a value."""
+    schema = f"{key} long, {at} timestamp, old_value string, new_value string"
+
+    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, last = (True, state.get[0]) if state.exists else (False, None)
+        rows = pd.concat(list(batches)).sort_values([at, "_id"], kind="stable")
+        out = []
+        for t, value in zip(rows[at], rows[field].where(rows[field].notna(), None)):
+            if seen and value != last:
+                out.append((name[0], t, last, value))
+            seen, last = True, value
+        state.update((last,))
+        yield pd.DataFrame(out, columns=[key, at, "old_value", "new_value"])
+
+    rows = events.select(F.col(key).cast("long").alias(key), F.col(at).cast("timestamp").alias(at), F.col(field).cast("string").alias(field), F.xxhash64(key, at, field).alias("_id"))
+    return rows.groupBy(key).applyInPandasWithState(step, schema, "last string", "append", GroupStateTimeout.NoTimeout)
+
+
+def upsert_stream(stream: DataFrame, table: Table, key: Sequence[str], order: Sequence[str], checkpoint: str):
+    """Keep the latest row of each key in ``table``; a batch that runs again leaves the same table."""
+    from ..operators.asof import first_by
+
+    def write(batch: DataFrame, _: int) -> None:
+        table.upsert(first_by(batch, list(key), [F.desc(o) for o in order]), key)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
