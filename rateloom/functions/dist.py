@@ -70,11 +70,11 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 
 
 def pmf_table(family: str, a: float, b: float) -> np.ndarray:
-    """Probabilities of 0, 1, 2 ... until the rest is below 1e-12."""
+    """Probabilities of 0, 1, 2 ... until the rest is negligible (below 1e-9)."""
     if family == "bernoulli":
         return np.array([1 - a, a])
     mean, sd = (a, math.sqrt(a)) if family == "poisson" else (a * (1 - b) / b, math.sqrt(a * (1 - b)) / b)
-    n = int(mean + 12 * sd + 40)
+    n = int(mean + 12 * sd + 40 + (0 if family == "poisson" else 30 / -math.log1p(-b)))
     k = np.arange(n, dtype=float)
     if family == "poisson":
         logs = k * math.log(max(a, 1e-300)) - a - _log_gamma(k + 1)

@@ -25,7 +25,7 @@ class Table:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _pointer(self) -> str:
-        return f"{self.path}/_CURRENT"
+        return f"{self.path}/CURRENT"
 
     def current(self) -> str | None:
         """Folder of the published version."""

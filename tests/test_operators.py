@@ -200,7 +200,7 @@ def test_simulation_is_seeded_and_correlated(spark):
 @given(st.floats(0.1, 30), st.floats(0.05, 5))
 def test_pmf_sums_to_one(mean, alpha):
     r = 1 / alpha
-    assert dist.pmf_table("nb", r, r / (r + mean)).sum() == pytest.approx(1, abs=1e-4)
+    assert dist.pmf_table("nb", r, r / (r + mean)).sum() == pytest.approx(1, abs=1e-9)
     assert dist.pmf_table("poisson", mean, 1.0).sum() == pytest.approx(1, abs=1e-9)
 
 
