@@ -124,14 +124,18 @@ def clause_features(texts: pa.Array, lexicon: Lexicon, machine: ClauseMachine) -
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """(text, toxic) of at most about ``most`` different labelled texts of each label, chosen by a hash of the text."""
-    rows = docs.join(labels, "doc_id").filter("text is not null and toxic is not null").select("text", "toxic")
+    """(text, toxic) of at most about ``most`` different labelled texts of each label, chosen by a hash of the identifier.
+
+    ``labels`` has one row per identifier. The chosen identifiers, whose number is bounded by ``most`` and not by the
+    tables, are broadcast to the documents, so only their texts are moved.
+    """
     counts = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
     share = F.lit(0.0)
     for label, n in counts.items():
         share = F.when(F.col("toxic") == label, F.lit(min(1.0, 1.2 * most / n))).otherwise(share)
-    chosen = rows.filter(F.pmod(F.xxhash64(F.lit(11), "text"), F.lit(1_000_000)) < share * 1_000_000)
-    return save(chosen.dropDuplicates(["text"]), "toxic-sample")
+    chosen = save(labels.filter(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < share * 1_000_000), "labels-chosen")
+    rows = docs.join(F.broadcast(chosen), "doc_id").filter("text IS NOT NULL").select("text", "toxic")
+    return save(rows.dropDuplicates(["text"]), "toxic-sample")
 
 
 def learned_terms(sample: DataFrame, least: int = 4, odds: float = 3.0, most: int = 3000) -> list[str]:
