@@ -144,8 +144,6 @@ def blocks_of(page: str) -> list[tuple[str, int, int, Element]]:
         x = node
         while x is not top and x.tag in CLOSED_BY and tag in CLOSED_BY[x.tag]:
             x = node = x.parent
-        if node is not top and node.tag != "p" and tag in ("li",):
-            pass
         serial += 1
         inside, x = None, node
         while x is not top:

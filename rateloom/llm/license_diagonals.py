@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 K = 3
 #: Bits of a long mark which k-grams of a template were seen.
 MAX_WORDS = 62
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose every place is reported, with their labels (fixed values).
 PHRASES = (
@@ -62,7 +63,7 @@ def scan_licenses(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES,
     not read; an empty table gives no rows.
     """
     templates = template_grams(docs.sparkSession, phrases, passages).withColumn("h", F.xxhash64("gram"))
-    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), NOT_WORD), "")
+    words = F.array_remove(F.split(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), NOT_WORD), "")
     rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("words")).withColumn("row", F.monotonically_increasing_id()).withColumn("n_words", F.size("words"))
     grams = F.when(F.col("n_words") >= K, F.transform(F.sequence(F.lit(0), F.col("n_words") - K), lambda i: F.concat_ws(" ", *[F.get("words", i + j) for j in range(K)])))
     # the first element, null, keeps every text; the rest are its k-grams

@@ -13,12 +13,12 @@ from .content_sort import content_sort
 from .decontam_cgk import find_leaks
 from .ffd_packing import pack
 from .html_mincut import extract_text
-from .license_diagonals import scan_licenses
+from .license_diagonals import PASSAGES, PHRASES, scan_licenses
 from .secret_automata import fit_secrets, scan_secrets
 from .simhash_gray import simhash_groups
 from .token_files import read_token_files, write_token_files
 from .toxicity_fst import fit_toxicity, held_out, score_toxicity
-from .url_reputation import judge_urls
+from .url_reputation import LOWER, SECOND_LEVEL, UPPER, judge_urls
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -57,7 +57,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes: a page is bad if the label of its number says low quality."""
     labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("bad"))
-    return judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
+    rows = judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
+    return rows.withColumns({c: F.round(c, 6) for c in ("bad_rate", "bad_rate_low")})
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +66,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +90,66 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
+
+
+def _weight(groups: str) -> str:
+    """Pages that the prior over these groups counts as; ``whole`` has the mean rate."""
+    return f"""
+        (SELECT CASE WHEN k < 2 OR within <= 0 OR spare <= 0 THEN 10000.0 WHEN between_ <= 0 THEN 10000.0 ELSE least(10000.0, greatest(1.0, within / between_ - 1)) END::DOUBLE AS w FROM (
+            SELECT *, (s - (k - 1) * within) / nullif(spare, 0) AS between_ FROM (
+                SELECT count(*) AS k, coalesce(sum(n * (bad / n - mean) ** 2), 0) AS s, coalesce(sum(n) - sum(n * n) / nullif(sum(n), 0), 0) AS spare, max(mean * (1 - mean)) AS within
+                FROM {groups}, whole WHERE n > 0)))"""
+
+
+_RULE_CASES = {
+    kind: " ".join(
+        f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}') THEN '{verdict if kind == 'verdict' else rule}'"
+        for verdict, rule in sorted(URL_RULES, key=lambda r: (len(r[1]), r[1]), reverse=True) for name, _, rest in [rule.partition("/")]
+    )
+    for kind in ("rule", "verdict")
+}
+
+URL_SQL = rf"""
+    WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+    parts AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+    known AS (SELECT doc_id AS page_id, count(quality) AS n, sum(1 - quality) AS bad FROM labels GROUP BY 1),
+    counted AS (SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM parts LEFT JOIN known USING (page_id) GROUP BY 1),
+    bare AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name FROM counted),
+    split AS (SELECT *, regexp_extract(name, '(?:^|\.)([^.]+\.(?:{"|".join(SECOND_LEVEL)})\.[a-z]{{2}})$', 1) AS two_level, regexp_extract(name, '\.([^.]*\.[^.]*)$', 1) AS last_two, name AS own FROM bare),
+    hosts AS (SELECT host, n, bad, domain, regexp_replace(domain, '^[^.]*\.', '') AS suffix FROM (SELECT *, CASE WHEN two_level <> '' THEN two_level WHEN last_two <> '' THEN last_two ELSE own END AS domain FROM split)),
+    whole AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(bad) + 1) / (sum(n) + 2) ELSE 0.5 END::DOUBLE AS mean FROM hosts),
+    domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+    suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+    suffix_rates AS (SELECT suffix, (bad + w * mean) / (n + w) AS r FROM suffixes, whole, {_weight("suffixes")}),
+    domain_rates AS (SELECT domain, (bad + w * r) / (n + w) AS r FROM domains JOIN suffix_rates USING (suffix), {_weight("domains")}),
+    host_rates AS (SELECT host, (bad + w * r) / (n + w) AS bad_rate, n + w AS seen FROM hosts JOIN domain_rates USING (domain), {_weight("hosts")}),
+    bounds AS (SELECT host, bad_rate, bad_rate - 1.645 * sqrt(bad_rate * (1 - bad_rate) / (seen + 1)) AS bad_rate_low FROM host_rates)
+    SELECT page_id, host, path, CASE {_RULE_CASES["rule"]} END AS rule,
+           coalesce(CASE {_RULE_CASES["verdict"]} END, CASE WHEN bad_rate_low >= 0.25 THEN 'block' ELSE 'allow' END) AS verdict,
+           round(bad_rate, 6) AS bad_rate, round(bad_rate_low, 6) AS bad_rate_low
+    FROM parts JOIN bounds USING (host)"""
+
+_TEMPLATES = ", ".join(f"({k}, '{label}', {str(exact).lower()}, '{text}')" for k, (label, text, exact) in enumerate([(*p, True) for p in PHRASES] + [(*p, False) for p in PASSAGES]))
+
+LICENSE_SQL = rf"""
+    WITH templates AS (SELECT k AS template, label, exact, string_split(text, ' ') AS words FROM (VALUES {_TEMPLATES}) AS v(k, label, exact, text)),
+    marks AS (SELECT template, label, exact, len(words) - 2 AS n_grams, t, words[t + 1] || ' ' || words[t + 2] || ' ' || words[t + 3] AS gram FROM (SELECT *, unnest(range(len(words) - 2)) AS t FROM templates)),
+    texts AS (SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
+    grams AS (SELECT row, p, words[p + 1] || ' ' || words[p + 2] || ' ' || words[p + 3] AS gram FROM (SELECT row, words, unnest(range(len(words) - 2)) AS p FROM texts)),
+    votes AS (SELECT row, template, label, exact, n_grams, p - t AS diagonal, bit_or(1::BIGINT << t) AS seen FROM grams JOIN marks USING (gram) GROUP BY ALL),
+    gaps AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) > 3, true)::INT AS fresh FROM votes),
+    runs AS (SELECT *, sum(fresh) OVER (PARTITION BY row, template ORDER BY diagonal) AS span, exact AND bit_count(seen) = n_grams AS place FROM gaps),
+    spans AS (SELECT row, label, bit_count(bit_or(seen))::DOUBLE / n_grams AS part, count(*) FILTER (place) AS places, min(diagonal) FILTER (place) AS first, max(diagonal) FILTER (place) AS last FROM runs GROUP BY row, template, label, n_grams, span),
+    found AS (SELECT row, sum(places)::BIGINT AS n_base, min(first)::BIGINT AS first_word, max(last)::BIGINT AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (places > 0) AS base_labels,
+                     string_agg(DISTINCT label, ',' ORDER BY label) FILTER (places > 0 OR part >= 0.7) AS labels, max(part) AS score FROM spans GROUP BY 1)
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0.0), 6) AS score
+    FROM texts LEFT JOIN found USING (row)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op6_url_filter": URL_SQL,
+    "op8_license_scan": LICENSE_SQL,
 }

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
@@ -39,6 +40,19 @@ def test_exact_copies_edges(spark, odd_docs):
     assert low[5] == 1
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_equals_oracle(name, spark, sf_dir):
+    con = duckdb.connect()
+    for t in "documents pages labels".split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    ours, theirs = queries.QUERIES[name](spark, sf_dir).toPandas(), con.execute(queries.ORACLE_SQL[name]).df()
+    columns = sorted(ours.columns)
+    assert columns == sorted(theirs.columns) and len(ours) == len(theirs) > 0
+    a, b = (x[columns].sort_values(columns, ignore_index=True) for x in (ours, theirs))
+    for c in columns:
+        assert ((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all(), c
+
+
 def test_exact_copies_hot_group(spark):
     df = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'same' ELSE concat('t', id) END AS text")
     rows = content_sort.content_sort(df, keep="max")
