@@ -7,8 +7,9 @@ that agree on any key become a candidate. The number of repetitions follows from
 verified by the exact edit distance, so every reported pair is real.
 
 The benchmark is the query set: its items, below a checked size, go to every task in blocks, and each document is read
-where it lies, so nothing is exchanged. A window whose words cannot reach the similarity (too few of them occur in any item
-of its length) is passed over before it is embedded; this bound loses nothing.
+where it lies, so nothing is exchanged. A window that cannot reach the similarity is passed over before it is embedded: k edits
+leave one of any k + 1 pieces of an item whole, so its window has a short run of the item's words, and few words that occur
+in no item. These bounds lose nothing.
 """
 
 from __future__ import annotations
@@ -69,32 +70,66 @@ class CgkIndex:
         self.keys_per_walk = -(-keys // walks)
         self.walks = walks
         self.tables = {}
+        self.grams = self._pieces()
         for n in self.lengths:
             own = [k for k, r in enumerate(self.runs) if len(r) == n]
             # steps past the end of most walks say nothing: sample the first 3n/2
             steps = [[np.sort(rng.choice(max(sampled, 3 * n // 2), sampled, replace=False)) for _ in range(self.keys_per_walk)] for _ in range(walks)]
             codes = np.concatenate([self.runs[k] for k in own])
             starts = np.arange(len(own)) * n
-            known = np.zeros(len(self.codes) + 1, bool)
-            known[codes] = True
-            tables = []
+            padded, tables = np.append(codes, -1), []
             for w in range(walks):
-                for s, key in zip(steps[w], self._keys(codes, starts, starts + n, w, steps[w])):
+                for s, key in zip(steps[w], self._keys(padded, starts, starts + n, w, steps[w])):
                     order = np.argsort(key, kind="stable")
                     tables.append((key[order], np.array(own)[order]))
-            self.tables[n] = (steps, tables, known)
+            self.tables[n] = (steps, tables)
 
-    def _keys(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, walk: int, steps: list[np.ndarray]) -> list[np.ndarray]:
-        """Keys of the windows from ``starts`` to ``ends``: hashes of the words emitted at the sampled steps."""
+    def _most(self, n: int) -> int:
+        """Edits that an item of ``n`` words may have."""
+        return int((1 - self.similarity) * n + 1e-9)
+
+    def _pieces(self) -> dict[int, tuple[np.ndarray, dict[int, np.ndarray]]]:
+        """For each size of pieces: sorted hashes of the items' runs of so many words, and which of them each item length has."""
+        own: dict[int, dict[int, np.ndarray]] = {}
+        for n in self.lengths:
+            size = max(1, n // (self._most(n) + 1))
+            own.setdefault(size, {})[n] = np.unique(np.concatenate([runs_hashed(r, np.arange(n - size + 1), size) for r in self.runs if len(r) == n]))
+        out = {}
+        for size, by_length in own.items():
+            hashes = np.unique(np.concatenate(list(by_length.values())))
+            out[size] = (hashes, {n: np.isin(hashes, x) for n, x in by_length.items()})
+        return out
+
+    def _starts(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(item length, starts of the windows that have a whole piece of such an item and enough words of any item)."""
+        counts = np.concatenate([[0], np.cumsum(codes > 0, dtype=np.int32)])
+        for size, (hashes, by_length) in self.grams.items():
+            at = np.flatnonzero(counts[size:] - counts[:-size] == size)
+            found = runs_hashed(codes, at, size)
+            place = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+            hit = hashes[place] == found
+            at, place = at[hit], place[hit]
+            for n, has in by_length.items():
+                last, most = at[has[place]], self._most(n)
+                # a document that is shorter than the item by what edits allow gets one window, up to its end
+                least = math.ceil(n * self.similarity)
+                first = np.maximum(last - (n - size) - most, 0)
+                first[1:] = np.maximum(first[1:], last[:-1] + 1)
+                many = np.maximum(last - first + 1, 0)
+                starts = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                starts = starts[starts <= len(codes) - least]
+                yield n, starts[counts[np.minimum(starts + n, len(codes))] - counts[starts] >= least]
+
+    def _keys(self, padded: np.ndarray, starts: np.ndarray, ends: np.ndarray, walk: int, steps: list[np.ndarray]) -> list[np.ndarray]:
+        """Keys of the windows from ``starts`` to ``ends``: hashes of the words emitted at the sampled steps. ``padded``: one more code at the end."""
         at = starts.copy()
-        padded = np.append(codes, -1)
         emitted: dict[int, np.ndarray] = {}
         wanted = {int(s) for x in steps for s in x}
         coin = np.uint64(self.coins[walk])
         spread = (np.arange(1, max(max(x) for x in steps) + 2, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         for step in range(max(wanted) + 1):
             over = at >= ends
-            word = np.where(over, -1, padded[np.minimum(at, len(codes))]).astype(np.int64)
+            word = np.where(over, -1, padded[np.minimum(at, len(padded) - 1)]).astype(np.int64)
             if step in wanted:
                 emitted[step] = word
             x = (word.astype(np.uint64) + spread[step]) ^ coin
@@ -110,24 +145,19 @@ class CgkIndex:
 
     def candidates(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Rows (document, item, start) of windows that share a key with an item. ``bounds``: where documents start, and the end."""
-        found = []
-        for n in self.lengths:
-            steps, tables, known = self.tables[n]
-            # a document that is shorter than the item by what edits allow gets one window, up to its end
-            least = math.ceil(n * self.similarity)
-            counts = np.concatenate([[0], np.cumsum(known[codes])])
-            starts = np.arange(max(0, len(codes) - least + 1))
-            ends = np.minimum(starts + n, len(codes))
-            starts = starts[counts[ends] - counts[starts] >= least]
+        found, padded = [], np.append(codes, -1)
+        for n, starts in self._starts(codes) if len(codes) else ():
             if not len(starts):
                 continue
+            steps, tables = self.tables[n]
+            least = math.ceil(n * self.similarity)
             doc = np.searchsorted(bounds, starts, side="right") - 1
             inside = starts + least <= bounds[doc + 1]
             starts, doc = starts[inside], doc[inside]
             if not len(starts):
                 continue
             for w in range(self.walks):
-                for j, key in enumerate(self._keys(codes, starts, np.minimum(starts + n, bounds[doc + 1]), w, steps[w])):
+                for j, key in enumerate(self._keys(padded, starts, np.minimum(starts + n, bounds[doc + 1]), w, steps[w])):
                     table, own = tables[w * self.keys_per_walk + j]
                     low, high = np.searchsorted(table, key, "left"), np.searchsorted(table, key, "right")
                     hit = np.flatnonzero(high > low)
@@ -142,7 +172,7 @@ class CgkIndex:
         best: dict[tuple[int, int], tuple] = {}
         for doc, item, start in found.tolist():
             run = self.runs[item]
-            most = int((1 - self.similarity) * len(run) + 1e-9)
+            most = self._most(len(run))
             if (doc, item) in best and best[doc, item][0] == 0:
                 continue
             text = codes[start : min(start + len(run) + most, int(bounds[doc + 1]))]
@@ -155,6 +185,14 @@ class CgkIndex:
             yield doc, self.items[item][0], start, used, edits, 1 - edits / len(self.runs[item])
 
 
+def runs_hashed(codes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` codes from each place."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(size):
+        out = (out + codes[at + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return out
+
+
 def prefix_edits(run: list[int], text: list[int], most: int) -> tuple[int, int]:
     """Least edit distance of ``run`` to a prefix of ``text``, and that prefix's length; above ``most`` it may be any larger number."""
     before = list(range(len(text) + 1))
