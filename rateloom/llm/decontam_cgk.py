@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import importable
-from .word_cache import small_batches
+from .word_cache import sliced
 
 #: Trimmed from words.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~¡¿«»“”‘’„…–—"
@@ -244,7 +244,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
 
 
 def search(batches: Iterator[pa.RecordBatch], index: CgkIndex) -> Iterator[pa.RecordBatch]:
-    for batch in (small for whole in batches for small in small_batches(whole, "text", 6_000_000)):
+    for batch in sliced(batches, "text", 6_000_000):
         codes, bounds = encode_words(batch.column("text"), index.codes)
         names = batch.column("doc_id")
         found = list(index.verify(codes, bounds, index.candidates(codes, bounds)))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import importable, save
-from .word_cache import cache, small_batches
+from .word_cache import cache, sliced
 
 PIECES = "row long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -66,7 +66,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = cache(tokenizer_path, spaces), np.array([end_id], np.uint32)
         row = TaskContext.get().partitionId() << 40
-        for batch in (small for whole in batches for small in small_batches(whole, "text")):
+        for batch in sliced(batches, "text"):
             rows = []
             names = batch.column("doc_id").to_pylist()
             for name, ids in zip(names, encoder.encode(batch.column("text"))):

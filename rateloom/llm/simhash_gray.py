@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..shared import attach, importable, save
 from .components import components
-from .word_cache import small_batches
+from .word_cache import sliced
 
 SEED = 42
 FILE_ROWS = 1000
@@ -33,6 +33,8 @@ LEAF = 32
 STEP = 32_000
 #: Closer links are taken first, in steps of so many bits.
 TIER = 4
+#: Shingles that a task remembers while it compares texts.
+HELD_SHINGLES = 2_000_000
 #: Files of at most so many rows are compared pair by pair.
 SMALL = 16
 
@@ -82,7 +84,7 @@ def with_fingerprints(docs: DataFrame, words: int, wide: int = 1, id_col: str =
     names = [f"f{k}" for k in range(wide)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (small for whole in batches for small in small_batches(whole, "text")):
+        for batch in sliced(batches, "text"):
             rows = []
             for text in batch.column("text").to_pylist():
                 hashes = shingle_hashes(text or "", words)
@@ -296,7 +298,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     names = [f"f{k}" for k in range(WIDE)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (small for whole in batches for small in small_batches(whole, "text")):
+        for batch in sliced(batches, "text"):
             prints, kept = [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
                 hashes = shingle_hashes(text or "", words)
@@ -319,17 +321,19 @@ def jaccard_links(pairs: DataFrame, docs: DataFrame, words: int, similarity: flo
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held: dict[int, frozenset] = {}
-            near = []
+        for batch in sliced(batches, "text_a"):
+            held: dict[int, np.ndarray] = {}
+            near, kept = [], 0
             for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
-                if len(held) > 500:
+                if kept > HELD_SHINGLES:
                     held.clear()
+                    kept = 0
                 for name, text in ((a, x), (b, y)):
                     if name not in held:
-                        held[name] = frozenset(shingle_hashes(text or "", words).tolist())
+                        held[name] = np.unique(shingle_hashes(text or "", words))
+                        kept += len(held[name])
                 one, two = held[a], held[b]
-                shared = len(one & two)
+                shared = len(np.intersect1d(one, two, assume_unique=True))
                 near.append(shared >= similarity * (len(one) + len(two) - shared) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import importable, new_path, save
-from .word_cache import cache, small_batches
+from .word_cache import cache, sliced
 
 MANIFEST = "part long, path string, n_docs long, n_tokens long"
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -120,7 +120,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, path: s
         names = [f"{root}/tokens-{task.partitionId():06d}{x}.arrows" for x in ("", ".docs")]
         own = [f"{n}.{task.taskAttemptId()}" for n in names]
         n_docs, end = 0, np.array([end_id], np.uint32)
-        for batch in (small for whole in batches for small in small_batches(whole, "text")):
+        for batch in sliced(batches, "text"):
             if out is None:
                 sinks = [fs.open_output_stream(x) for x in own]
                 out, listing = SequenceWriter(sinks[0], seq_len, rows_per_batch, wide), pa.ipc.new_stream(sinks[1], DOCS)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import importable, save
-from .word_cache import small_batches
+from .word_cache import sliced
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 #: Seed terms (fixed values); insults and threats are widened by what labels teach.
@@ -230,7 +230,7 @@ def score_toxicity(docs: DataFrame, model: tuple[Lexicon, np.ndarray, float], id
     shared, machine = docs.sparkSession.sparkContext.broadcast(lexicon), ClauseMachine()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (small for whole in batches for small in small_batches(whole, "text")):
+        for batch in sliced(batches, "text"):
             x = clause_features(batch.column("text"), shared.value, machine)
             p = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array(np.round(np.expm1(x[:, 0])).astype(np.int64))], names=["doc_id", "score", "clauses"])

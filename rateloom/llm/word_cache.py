@@ -6,7 +6,9 @@ are those of its parts in order. ``tests/llm`` compares this with plain encoding
 
 from __future__ import annotations
 
+import ctypes
 import os
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ _LOADED: dict[tuple, "WordCache"] = {}
 class WordCache:
     """``spaces``: the tokenizer keeps white space (cut before single spaces), else it drops it (cut at white space)."""
 
-    def __init__(self, path: str, spaces: bool, limit: int = 900_000):
+    def __init__(self, path: str, spaces: bool, limit: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -126,7 +128,7 @@ def cache(path: str, spaces: bool) -> WordCache:
     return _LOADED[key]
 
 
-def small_batches(batch: pa.RecordBatch, text: str, most: int = 12_000_000):
+def small_batches(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` with at most about ``most`` bytes of text each (one row at least), to bound memory."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     first, held = 0, 0
@@ -137,3 +139,12 @@ def small_batches(batch: pa.RecordBatch, text: str, most: int = 12_000_000):
         held += n
     if batch.num_rows > first:
         yield batch.slice(first)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Small slices of all batches of a task. Workers live on between tasks, so at the end what they no longer use goes back to the system."""
+    for batch in batches:
+        yield from small_batches(batch, text, most)
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        trim(0)
