@@ -38,7 +38,7 @@ class WordCache:
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.at, self.lists = np.zeros(1 << 14, np.int32), None
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -52,8 +52,9 @@ class WordCache:
         ids, sizes = [], []
         for chunk, text, found in zip(chunks, texts, self._plain(texts)):
             found = np.array(found, np.uint32)
-            forms = chunk if self.spaces else self.tokenizer.normalizer.normalize_str(text).split(" ")
-            ends = np.cumsum([len(x.encode()) for x in forms])
+            plain = text.isascii()  # such words keep their lengths when they are normalised
+            forms = chunk if self.spaces or plain else self.tokenizer.normalizer.normalize_str(text).split(" ")
+            ends = np.cumsum(list(map(len, forms if plain else map(str.encode, forms))))
             have = np.cumsum(self.bytes_of[found])
             at = np.searchsorted(have, ends)
             if len(forms) != len(chunk) or not len(have) or have[-1] != ends[-1] or (have[at] != ends).any():
@@ -72,21 +73,23 @@ class WordCache:
             if alone:
                 held = set(alone)
                 new = [x for x in new if x not in held]
+            new = sorted(new, key=str.isascii)
             found, sizes = self._joined([" " + x for x in new])
             each = self._plain([x[1:] if x[:1] == "\x1f" else " " + x for x in alone])
             found = np.concatenate([found, np.array([i for x in each for i in x], np.uint32)])
             sizes = np.concatenate([sizes, np.array([len(x) for x in each], np.int64)])
             new = new + alone
         else:
+            new = sorted(new, key=str.isascii)
             found, sizes = self._joined(new)
         first, total = len(self.index), len(found)
+        self.lists = None
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + len(new) > len(self.at):
-            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        while first + len(new) >= len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
         self.flat[self.used : self.used + total] = found
-        self.size[first : first + len(new)] = sizes
-        self.at[first : first + len(new)] = self.used + np.cumsum(sizes, dtype=np.int64) - sizes
+        self.at[first + 1 : first + len(new) + 1] = self.used + np.cumsum(sizes, dtype=np.int32)
         self.used += total
         self.index.update(zip(new, range(first, first + len(new))))
 
@@ -107,13 +110,13 @@ class WordCache:
             self._reset()
         if new := [w for w in words if w not in self.index]:
             self._learn(new)
-        which = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))[parts.indices.to_numpy()]
-        sizes, ends_at = self.size[which], np.asarray(cut.offsets)
-        ends_at = ends_at - ends_at[0]
-        ends = np.cumsum(sizes, dtype=np.int64)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.at[which] - (ends - sizes), sizes) + np.arange(total)]
-        bound = np.concatenate([[0], ends])[ends_at]
+        if self.lists is None:  # the ids of every known part stand in order
+            self.lists = pa.ListArray.from_arrays(pa.array(self.at[: len(self.index) + 1]), pa.array(self.flat[: self.used]))
+        which = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))[parts.indices.to_numpy()]
+        ends_at = np.asarray(cut.offsets)
+        found = self.lists.take(pa.array(which))
+        ids, ends = found.values.to_numpy(), np.asarray(found.offsets)
+        bound = ends[ends_at - ends_at[0]]
         out = [ids[a:b] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist())]
         for k in np.flatnonzero(unsure).tolist():
             out[k] = np.array(self._plain([texts[k].as_py()])[0], np.uint32)
