@@ -9,8 +9,6 @@ from ..operators import aggregates, asof, rank, reshape
 from ..shared import table
 from .registry import big, query, rounded
 
-RECENT = [F.desc("o_orderdate"), F.desc("o_orderkey")]
-SEASON, WEEK = F.year("o_orderdate"), F.month("o_orderdate")
 LOG = """
     log AS (SELECT o_custkey, o_orderkey, o_totalprice AS x, year(o_orderdate) AS season, month(o_orderdate) AS week,
                    row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS ago
@@ -18,24 +16,36 @@ LOG = """
     weighted AS (SELECT *, power(0.8::DOUBLE, ago) * CASE WHEN season < 2001 THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END AS w FROM log WHERE ago < 6)"""
 
 
+def recent():
+    return [F.desc("o_orderdate"), F.desc("o_orderkey")]
+
+
+def season():
+    return F.year("o_orderdate")
+
+
+def week():
+    return F.month("o_orderdate")
+
+
 def history(spark, sf_dir):
     """A customer's last six orders before June 2001, most recent first, with recency weights."""
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("x"), "o_orderdate", SEASON.alias("season"), WEEK.alias("week"))
-    rows = asof.last_n(orders.filter(asof.before("season", "week", 2001, 6)), ["o_custkey"], RECENT, 6, "ago")
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("x"), "o_orderdate", season().alias("season"), week().alias("week"))
+    rows = asof.last_n(orders.filter(asof.before("season", "week", 2001, 6)), ["o_custkey"], recent(), 6, "ago")
     return rows.withColumn("w", aggregates.recency_weight(F.col("ago"), F.col("season") < 2001))
 
 
 @query("""SELECT o_custkey, o_orderkey, ago::BIGINT AS games_ago FROM (
     SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS ago FROM orders) WHERE ago < 8""")
 def recent_n(spark, sf_dir):
-    rows = asof.last_n(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], RECENT, 8)
+    rows = asof.last_n(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], recent(), 8)
     return rows.select("o_custkey", "o_orderkey", big(F.col("games_ago")).alias("games_ago"))
 
 
 @query("""SELECT o_custkey, count(*)::BIGINT AS n, round(sum(o_totalprice), 2) AS total FROM orders
     WHERE year(o_orderdate) < 1998 OR (year(o_orderdate) = 1998 AND month(o_orderdate) < 7) GROUP BY 1""")
 def asof_before(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", SEASON.alias("season"), WEEK.alias("week")).filter(asof.before("season", "week", 1998, 7))
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", season().alias("season"), week().alias("week")).filter(asof.before("season", "week", 1998, 7))
     return rows.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
@@ -89,7 +99,7 @@ def lag_pace_median(spark, sf_dir):
            dense_rank() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate) * 12 + month(o_orderdate) DESC) AS k FROM orders) WHERE k <= 8 GROUP BY 1, 2, 3""")
 def dense_rank_window(spark, sf_dir):
     """Totals of the last eight periods in which a customer was active."""
-    rows = table(spark, sf_dir, "orders").select("o_custkey", big(SEASON * 12 + WEEK).alias("period"), "o_totalprice").groupBy("o_custkey", "period").agg(F.sum("o_totalprice").alias("total"))
+    rows = table(spark, sf_dir, "orders").select("o_custkey", big(season() * 12 + week()).alias("period"), "o_totalprice").groupBy("o_custkey", "period").agg(F.sum("o_totalprice").alias("total"))
     rows = rows.withColumn("k", big(F.dense_rank().over(Window.partitionBy("o_custkey").orderBy(F.desc("period"))))).filter("k <= 8")
     return rounded(rows, "total", digits=2)
 
@@ -98,7 +108,7 @@ def dense_rank_window(spark, sf_dir):
     SELECT o_custkey, period, round(CASE WHEN count(total) OVER w >= 2 THEN avg(total) OVER w END, 5) AS mean6 FROM p
     WINDOW w AS (PARTITION BY o_custkey ORDER BY period ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)""")
 def trailing_mean_min(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").groupBy("o_custkey", big(SEASON * 12 + WEEK).alias("period")).agg(F.sum("o_totalprice").alias("total"))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey", big(season() * 12 + week()).alias("period")).agg(F.sum("o_totalprice").alias("total"))
     return rows.select("o_custkey", "period", F.round(asof.trailing_mean("total", asof.trailing(["o_custkey"], ["period"], 6), 2), 5).alias("mean6"))
 
 

@@ -12,12 +12,6 @@ from ..operators import aggregates, asof, rank, reshape
 from ..shared import table
 from .registry import big, query, rounded
 
-PERIOD = F.year("o_orderdate") * 12 + F.month("o_orderdate")
-METRICS = {
-    "net_price": (F.col("revenue"), F.col("quantity")),
-    "return_rate": (F.col("returned"), F.col("quantity")),
-    "lines": (F.col("lines"), F.lit(1.0)),
-}
 WINDOW, PRIOR_GAMES = 8, 12.0
 
 FACTS = """
@@ -46,6 +40,18 @@ MULTIPLIERS = FACTS + """,
         FROM totals JOIN whole USING (metric) WHERE denominator > 0)"""
 
 
+def period():
+    return F.year("o_orderdate") * 12 + F.month("o_orderdate")
+
+
+def metrics():
+    return {
+        "net_price": (F.col("revenue"), F.col("quantity")),
+        "return_rate": (F.col("returned"), F.col("quantity")),
+        "lines": (F.col("lines"), F.lit(1.0)),
+    }
+
+
 def star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with rated unit, counterparty and period. The two large tables meet on the order key; the small ones follow as
     broadcasts where the planner's size estimate allows it."""
@@ -53,7 +59,7 @@ def star(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = t("lineitem", "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
     orders = t("orders", "o_orderkey", "o_custkey", "o_orderdate").join(t("customer", F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
     rows = lines.join(t("supplier", F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
-    return rows.join(orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey").select(big(F.col("s_nationkey")).alias("team"), big(F.col("c_nationkey")).alias("opponent"), big(PERIOD).alias("period"), "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
+    return rows.join(orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey").select(big(F.col("s_nationkey")).alias("team"), big(F.col("c_nationkey")).alias("opponent"), big(period()).alias("period"), "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +68,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.sum("l_quantity").alias("quantity"),
         F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))).alias("returned"), F.count(F.lit(1)).cast("double").alias("lines"),
     )
-    return reshape.unpivot_pairs(base, ["team", "opponent", "period"], METRICS)
+    return reshape.unpivot_pairs(base, ["team", "opponent", "period"], metrics())
 
 
 def trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
