@@ -290,7 +290,7 @@ FIRST_BANDS = 8
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, f0 .. f7, bands``: a wide SimHash, and ``BANDS`` selections of its bits; rows without any word are left out."""
+    """``doc_id, f0 .. f7, bands``: a wide SimHash of the set of shingles, and ``BANDS`` selections of its bits; rows without any word are left out."""
     importable(docs.sparkSession)
     rng = np.random.default_rng(SEED)
     rounds = -(-BANDS * BAND_BITS // (64 * WIDE))
@@ -301,7 +301,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
         for batch in sliced(batches, "text"):
             prints, kept = [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
-                hashes = shingle_hashes(text or "", words)
+                hashes = np.unique(shingle_hashes(text or "", words))  # the similarity is one of sets
                 if len(hashes):
                     prints.append([fingerprint(mixed(hashes, j)) for j in range(WIDE)])
                     kept.append(k)

@@ -196,6 +196,14 @@ def test_near_duplicates(spark, odd_docs):
     assert simhash.drop_near_duplicates(odd_docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_with_repeated_lines(spark):
+    """The same shingle set, a line once or fifty times."""
+    head, line = " ".join(f"h{k}" for k in range(104)), " ".join(f"r{k}" for k in range(10))
+    rows = [(1, f"{head} {line} {line}"), (2, f"{head} {line}" + f" {line}" * 49), (3, line), (4, " ".join([line] * 30))]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {1, 3, 4}
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.sampled_from([" ", "  ", "\n", "\t", "a", "Bc", "\u00e9", "\u00df", "1", "'s", ".", ",", "\u3000", "\u00a0", "\x1c", "\x1f", "\u0301", "\u0130", "<|endoftext|>", "\u4e2d"]), max_size=25))
 def test_cached_encoding_is_plain_encoding(parts):
