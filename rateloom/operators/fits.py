@@ -6,13 +6,16 @@ metric's facts for one unit kind, whose number is bounded by teams times periods
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import save
+
 LEAST_ROWS, LEAST_TEAMS = 32, 8
 
 
@@ -130,18 +133,62 @@ def logistic(df: DataFrame, features: Sequence[str], target: str, rounds: int =
     return dict(zip(names, beta.tolist()))
 
 
+def shared_pace(seed: int, shape: float, draws: int) -> np.ndarray:
+    """The pace of each draw that all entities of a group share; its mean is 1."""
+    return np.random.default_rng(seed).gamma(shape, 1 / shape, draws)
+
+
+def counts_of(seed: int, entity: int, rate: float, pace: np.ndarray) -> np.ndarray:
+    """An entity's count in each draw. Its stream comes from the group's seed and the entity, whatever rows are beside it."""
+    return np.random.default_rng([seed, entity & (1 << 64) - 1]).poisson(pace * rate)
+
+
 def simulate(groups: DataFrame, draws: int, seed_column: str = "seed") -> DataFrame:
     """(grp, draw, entity, value): correlated Poisson counts. Entities of a group share a gamma-distributed pace, so their
     values rise and fall together. Input: (grp, entity, rate, shape, seed); the seed comes from the group's key, so any
-    task, run again, gives the same draws."""
-
-    def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("entity")
-        rng = np.random.default_rng(int(rows[seed_column].iloc[0]))
-        shape = float(rows["shape"].iloc[0])
-        pace = rng.gamma(shape, 1 / shape, draws)
-        values = rng.poisson(pace[:, None] * rows["rate"].to_numpy()[None, :])
-        n = len(rows)
-        return pd.DataFrame({"grp": rows["grp"].iloc[0], "draw": np.repeat(np.arange(draws), n), "entity": np.tile(rows["entity"].to_numpy(), draws), "value": values.reshape(-1)})
-
-    return groups.groupBy("grp").applyInPandas(draw, "grp long, draw long, entity long, value long")
+    task, run again, gives the same draws. A group's entities need not meet in one task."""
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for grp, entity, rate, shape, seed in rows.itertuples(index=False):
+                values = counts_of(int(seed), int(entity), rate, shared_pace(int(seed), shape, draws))
+                yield pd.DataFrame({"grp": grp, "draw": np.arange(draws), "entity": entity, "value": values})
+
+    return groups.select("grp", "entity", "rate", "shape", seed_column).mapInPandas(draw, "grp long, draw long, entity long, value long")
+
+
+def joint_over(groups: DataFrame, draws: int) -> DataFrame:
+    """(grp, entity, p, n, joint, independent, lift): each entity's chance to beat its rate, and its group's chance that all
+    of its n entities do, beside the product of their chances; ``lift`` is null where that product is 0.
+
+    Input and draws as of ``simulate``, for every entity. Draws do not leave the task: it counts each entity's hits and
+    keeps, for each group, the draws in which all its entities hit, as words of 64 bits that are combined afterwards.
+    """
+    words = -(-draws // 64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paces: dict[tuple, np.ndarray] = {}
+            every: dict[int | None, np.ndarray] = {}
+            out = []
+            for grp, entity, rate, shape, seed in zip(*(c.to_pylist() for c in batch.columns)):
+                if (seed, shape) not in paces:
+                    paces[seed, shape] = shared_pace(seed, shape, draws)
+                hit = counts_of(seed, entity, rate, paces[seed, shape]) > rate
+                out.append((grp, entity, int(hit.sum()), None, None))
+                every[grp] = every[grp] & hit if grp in every else hit
+            for grp, hit in every.items():
+                bits = np.packbits(np.append(hit, np.zeros(words * 64 - draws, bool))).view(np.int64)
+                out += [(grp, None, None, k, x) for k, x in enumerate(bits.tolist())]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["grp", "entity", "hits", "word", "bits"])
+
+    # few rows, much work: the planner leaves out a partitioning by the plain key, which the join has, and puts all in one task
+    rows = groups.select("grp", "entity", "rate", "shape", "seed").repartition(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("entity"))
+    found = save(rows.mapInArrow(count, "grp long, entity long, hits long, word long, bits long"), "hits")
+    each = found.filter("entity IS NOT NULL").select("grp", "entity", (F.col("hits") / draws).alias("p"))
+    alone = each.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.when(F.min("p") > 0, F.exp(F.sum(F.ln("p")))).otherwise(0.0).alias("independent"))
+    both = found.filter("word IS NOT NULL").groupBy("grp", "word").agg(F.bit_and("bits").alias("bits")).groupBy("grp").agg((F.sum(F.bit_count("bits")) / draws).alias("joint"))
+    same = lambda x, y: x["grp"].eqNullSafe(y["grp"])
+    of_group = alone.join(both, same(alone, both)).select(alone["grp"].alias("_grp"), "n", "joint", "independent", (F.col("joint") / F.nullif("independent", F.lit(0.0))).alias("lift"))
+    return each.join(of_group, each["grp"].eqNullSafe(of_group["_grp"])).drop("_grp")

@@ -237,15 +237,12 @@ def logistic_fit(spark, sf_dir):
 
 @query()
 def monte_carlo_joint(spark, sf_dir):
-    """Joint and independent probability that two entities of a group both beat their mean, from seeded shared-pace draws."""
+    """Each entity's chance to beat its mean, and its group's joint and independent chance that all its entities do, from
+    seeded shared-pace draws for every entity."""
     importable(spark)
-    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("grp"), F.col("c_custkey").alias("entity")).join(moments(spark, sf_dir).select(F.col("o_custkey").alias("entity"), "m"), "entity")
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("grp").orderBy("entity"))).filter("k <= 2")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("grp"), F.col("c_custkey").cast("long").alias("entity")).join(moments(spark, sf_dir).select(F.col("o_custkey").cast("long").alias("entity"), "m"), "entity")
     rows = rows.select("grp", "entity", F.col("m").alias("rate"), F.lit(6.0).alias("shape"), F.crc32(F.concat_ws("|", F.lit("draws"), "grp").cast("binary")).alias("seed"))
-    draws = fits.simulate(rows, 1000).join(F.broadcast(rows.select("grp", "entity", "rate")), ["grp", "entity"])  # two rows a group
-    over = draws.groupBy("grp", "draw").agg(F.min(F.col("value") > F.col("rate")).alias("both"), F.count(F.lit(1)).alias("n")).filter("n = 2").groupBy("grp").agg(F.avg(F.col("both").cast("int")).alias("joint"))
-    alone = draws.groupBy("grp", "entity").agg(F.avg((F.col("value") > F.col("rate")).cast("int")).alias("p")).groupBy("grp").agg(F.exp(F.sum(F.ln(F.greatest(F.lit(1e-9), "p")))).alias("independent"))
-    return over.join(alone, "grp").withColumn("lift", F.col("joint") / F.col("independent"))
+    return fits.joint_over(rows, 1000)
 
 
 @query()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rateloom.functions import dist, scalar
 from rateloom.operators import aggregates, asof, fits, rank, reshape
+from rateloom.plans import models
 
 
 def round_robin(teams=12, noise=0.0, seed=1):
@@ -196,6 +197,27 @@ def test_simulation_is_seeded_and_correlated(spark):
     assert wide.corr().iloc[0, 1] > 0.3 and wide.mean().between(4.5, 5.5).all()
 
 
+def test_joint_chance_of_whole_groups(spark):
+    rows = [(g, 10 * (g or 0) + k, 2.0 + k, 2.0, 7 + (g or 0)) for g, n in ((1, 4), (2, 1), (None, 2)) for k in range(n)] + [(3, 100 + k, 1.5, 6.0, 10) for k in range(300)]
+    df = spark.createDataFrame(rows, "grp long, entity long, rate double, shape double, seed long")
+    out = {(r.grp, r.entity): r for r in fits.joint_over(df, 1000).collect()}
+    assert len(out) == len(rows)
+    for g in (1, 2, None, 3):
+        own = [r for r in rows if r[0] == g]
+        over = np.stack([fits.counts_of(r[4], r[1], r[2], fits.shared_pace(r[4], r[3], 1000)) > r[2] for r in own])
+        alone, joint = over.mean(axis=1), over.all(axis=0).mean()
+        for r, p in zip(own, alone):
+            got = out[g, r[1]]
+            assert (got.n, got.joint, got.p) == (len(own), pytest.approx(joint), pytest.approx(p)) and got.independent == pytest.approx(alone.prod())
+            assert got.lift == pytest.approx(joint / alone.prod())
+    assert out[1, 10].joint > 2 * out[1, 10].independent > 0
+
+
+def test_joint_query_has_every_entity(spark, sf_dir):
+    want = {r.o_custkey for r in models.moments(spark, sf_dir).collect()}
+    assert {r.entity for r in models.monte_carlo_joint(spark, sf_dir).collect()} == want and len(want) > 50
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.floats(0.1, 30), st.floats(0.05, 5))
 def test_pmf_sums_to_one(mean, alpha):
