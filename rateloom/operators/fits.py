@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import save
@@ -59,40 +59,38 @@ def two_way_ridge(games: DataFrame, penalty: float = 25.0, half_life: float = 17
     return games.groupBy("metric").applyInPandas(fit, "metric string, team long, mean double, rated double, faced double")
 
 
-def tune_ridge(games: DataFrame, penalties: Sequence[float], half_life: float = 17.0, marks: int = 4, least_train: int = 100) -> DataFrame:
+def tune_ridge(games: DataFrame, penalties: Sequence[float], half_life: float = 17.0, least_train: int = 100) -> DataFrame:
     """(metric, penalty, mse, baseline_mse): walk-forward error over the second half of the periods, for each penalty.
 
-    Each (metric, penalty) is a task: rows are repeated for each penalty only. Predictions use the rated side alone, from
-    periods strictly before; the baseline is the mean of those periods.
+    Every period of that half is predicted by a fit of its own over all periods strictly before; each (metric, penalty,
+    period) is a group. Predictions use the rated side alone; the baseline is the mean of those periods. Rows without a
+    numerator or volume are left out.
     """
 
     def score(rows: pd.DataFrame) -> pd.DataFrame:
-        penalty, metric = float(rows["penalty"].iloc[0]), rows["metric"].iloc[0]
-        periods = np.sort(rows["period"].unique())
-        second = periods[len(periods) // 2 :]
-        cuts = np.unique(second[np.linspace(0, len(second) - 1, marks).astype(int)]) if len(second) else []
-        error = base = weight = 0.0
-        for k, cut in enumerate(cuts):
-            train = rows[rows["period"] < cut].copy()
-            last = cuts[k + 1] if k + 1 < len(cuts) else periods[-1] + 1
-            test = rows[(rows["period"] >= cut) & (rows["period"] < last) & (rows["denominator"] > 0)]
-            if len(train) < least_train or test.empty:
-                continue
-            train["games_ago"] = cut - train["period"]
-            found = ridge_effects(train, penalty, half_life)
-            if not found:
-                continue
+        metric, penalty, cut = rows["metric"].iloc[0], float(rows["penalty"].iloc[0]), rows["cut"].iloc[0]
+        rows = rows.sort_values(["period", "team", "opponent"])
+        train, test = rows[rows["period"] < cut].copy(), rows[rows["period"] == cut]
+        train["games_ago"] = cut - train["period"]
+        found = ridge_effects(train, penalty, half_life) if len(train) >= least_train else None
+        out = []
+        if found:
             mean, rated, _ = found
             y, w = test["numerator"] / test["denominator"], test["denominator"]
             flat = train["numerator"].sum() / train["denominator"].sum()
-            error += float((w * (y - mean - test["team"].map(rated).fillna(0.0)) ** 2).sum())
-            base += float((w * (y - flat) ** 2).sum())
-            weight += float(w.sum())
-        out = [(metric, penalty, error / weight, base / weight)] if weight else []
-        return pd.DataFrame(out, columns=["metric", "penalty", "mse", "baseline_mse"])
-
-    rows = games.withColumn("penalty", F.explode(F.array(*[F.lit(float(p)) for p in penalties])))
-    return rows.groupBy("metric", "penalty").applyInPandas(score, "metric string, penalty double, mse double, baseline_mse double")
+            out.append((metric, penalty, float((w * (y - mean - test["team"].map(rated).fillna(0.0)) ** 2).sum()), float((w * (y - flat) ** 2).sum()), float(w.sum())))
+        return pd.DataFrame(out, columns=["metric", "penalty", "error", "base", "weight"])
+
+    rows = games.filter("denominator > 0 AND numerator IS NOT NULL").select("metric", "team", "opponent", "period", "numerator", "denominator")
+    order = Window.partitionBy("metric").orderBy("period")
+    periods = rows.select("metric", "period").distinct().withColumns({"k": F.row_number().over(order) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("metric"))})
+    cuts = periods.filter("k >= n div 2").select("metric", F.col("period").alias("cut"), F.explode(F.array(*[F.lit(float(p)) for p in penalties])).alias("penalty"))
+    rows = rows.join(F.broadcast(cuts), "metric").filter("period <= cut")  # a row for each metric, period and penalty
+    # dealt out by number: few rows, much work
+    rows = rows.repartition(int(games.sparkSession.conf.get("spark.sql.shuffle.partitions")), "metric", "penalty", "cut")
+    errors = rows.groupBy("metric", "penalty", "cut").applyInPandas(score, "metric string, penalty double, error double, base double, weight double")
+    sums = errors.groupBy("metric", "penalty").agg(*[F.sum(c).alias(c) for c in ("error", "base", "weight")])
+    return sums.select("metric", "penalty", (F.col("error") / F.col("weight")).alias("mse"), (F.col("base") / F.col("weight")).alias("baseline_mse"))
 
 
 def least_squares(df: DataFrame, features: Sequence[str], target: str) -> tuple[dict[str, float], float, float] | None:

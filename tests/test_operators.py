@@ -43,6 +43,24 @@ def test_ridge_separates_schedule_strength():
     assert abs(rated[0]) < 1.0  # its easy schedule is not its own merit
 
 
+def test_ridge_tuning_fits_before_every_period(spark):
+    rng = np.random.default_rng(4)
+    games = pd.concat([round_robin(10, 4.0, 7 + p // 4)[0].assign(period=p, metric="m") for p in range(17)]).drop(columns="games_ago")
+    games["denominator"] = rng.integers(1, 5, len(games)).astype(float)
+    games["numerator"] *= games["denominator"]
+    got = {r.penalty: r for r in fits.tune_ridge(spark.createDataFrame(games), [1.0, 50.0]).collect()}
+    for penalty in (1.0, 50.0):
+        error = base = weight = 0.0
+        for cut in range(8, 17):
+            train, test = games[games.period < cut], games[games.period == cut]
+            mean, rated, _ = fits.ridge_effects(train.assign(games_ago=cut - train.period), penalty, 17.0)
+            y, w = test.numerator / test.denominator, test.denominator
+            error += (w * (y - mean - test.team.map(rated)) ** 2).sum()
+            base += (w * (y - train.numerator.sum() / train.denominator.sum()) ** 2).sum()
+            weight += w.sum()
+        assert got[penalty].mse == pytest.approx(error / weight) and got[penalty].baseline_mse == pytest.approx(base / weight)
+
+
 def test_ridge_needs_rows():
     games, _, _ = round_robin()
     assert fits.ridge_effects(games.head(10), 1, 17.0) is None
