@@ -14,34 +14,39 @@ from rateloom.llm.decontam_cgk import without_leaks
 from rateloom.llm.ffd_packing import pack
 from rateloom.llm.queries import TOXIC, WORD_TOKENIZER
 from rateloom.llm.simhash_gray import drop_near_duplicates
-from rateloom.llm.toxicity_fst import fit_toxicity, held_out, score_toxicity
+from rateloom.llm.toxicity_fst import fit_toxicity, held_out, without_toxic
 from rateloom.shared import save, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """A saved table of the rows with a key of their own, ``_row``: identifiers may be null or repeated, and decide for no other row."""
+    return save(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score reaches the limit go; the model is fitted on the labelled rows that are not held out."""
     labels = table(spark, sf_dir, "labels").filter(~held_out())
-    scores = score_toxicity(docs, fit_toxicity(docs, labels)).filter(F.col("score") >= TOXIC)
-    toxic = save(scores.select("doc_id"), "toxic").distinct()
-    return docs.join(toxic, docs["doc_id"].eqNullSafe(toxic["doc_id"]), "left_anti").select(*COLUMNS)
+    return without_toxic(docs.select(*COLUMNS), fit_toxicity(docs, labels), TOXIC)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest doc_id stays."""
-    kept = save(content_sort(docs, keep="min").filter("kept").select("doc_id"), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*COLUMNS)
+    """Of equal texts the row with the smallest doc_id stays, one row without doc_id only where none has any."""
+    rows = with_rows(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("place")
+    kept = save(content_sort(rows.select(place, "text"), id_col="place", keep="min").filter("kept").select("doc_id._row"), "kept")
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more over five-word shingles the smallest doc_id stays."""
-    return drop_near_duplicates(docs).select(*COLUMNS)
+    """Of rows linked by a similarity of 0.8 or more over five-word shingles the smallest doc_id stays."""
+    return drop_near_duplicates(with_rows(docs), row_col="_row").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage that repeats a benchmark item go."""
-    return without_leaks(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
+    return without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def pack_rest(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -229,18 +230,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     null identifiers stay null; other columns are not read; empty tables give no rows.
     """
     importable(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = [rows.mapInArrow(lambda batches, shared=shared: search(batches, shared.value), FOUND) for shared in indexes(benchmark, similarity, recall, item_id_col, item_text_col)]
+    return reduce(DataFrame.unionByName, out) if out else docs.sparkSession.createDataFrame([], FOUND)
+
+
+def indexes(benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, item_id_col: str = "item_id", item_text_col: str = "text") -> Iterator[Broadcast]:
+    """Indexes over all items, block by block, as broadcasts."""
     items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     count, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-count // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spark, out = docs.sparkSession, []
     for block in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect() if blocks > 1 else items.collect()
-        if not own:
-            continue
-        shared = spark.sparkContext.broadcast(CgkIndex([tuple(r) for r in own], similarity, recall))
-        out.append(rows.mapInArrow(lambda batches, shared=shared: search(batches, shared.value), FOUND))
-    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], FOUND)
+        if own:
+            yield benchmark.sparkSession.sparkContext.broadcast(CgkIndex([tuple(r) for r in own], similarity, recall))
 
 
 def search(batches: Iterator[pa.RecordBatch], index: CgkIndex) -> Iterator[pa.RecordBatch]:
@@ -253,7 +256,17 @@ def search(batches: Iterator[pa.RecordBatch], index: CgkIndex) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([names.take(pa.array(doc)), *[pa.array(x, pa.int64()) for x in (item, start, used, edits)], pa.array(similarity, pa.float64())], names=["doc_id", "item_id", "start_word", "n_words", "edits", "similarity"])
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns kept, whose text repeats no item."""
-    leaks = find_leaks(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns kept, whose text repeats no item; each row is decided where it is read, whatever its identifier."""
+    importable(docs.sparkSession)
+    for shared in indexes(benchmark, **options):
+        docs = docs.mapInArrow(lambda batches, shared=shared: clean(batches, shared.value, text_col), docs.schema)
+    return docs
+
+
+def clean(batches: Iterator[pa.RecordBatch], index: CgkIndex, text_col: str) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches, text_col, 6_000_000):
+        codes, bounds = encode_words(batch.column(text_col), index.codes)
+        kept = np.ones(batch.num_rows, bool)
+        kept[[found[0] for found in index.verify(codes, bounds, index.candidates(codes, bounds))]] = False
+        yield batch.filter(pa.array(kept))

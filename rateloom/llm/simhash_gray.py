@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import attach, importable, save
+from ..shared import attach, attach_totals, importable, save
 from .components import components
 from .word_cache import sliced
 
@@ -375,11 +375,19 @@ def near_duplicate_links(docs: DataFrame, words: int = 5, similarity: float = 0.
     return first.unionByName(rest).unionByName(save(jaccard_links(save(same, "same-signature"), docs, words, similarity), "same-links"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, row_col: str | None = None) -> DataFrame:
     """The rows of ``docs``, all columns kept, less all but the smallest doc_id of each group of linked rows.
 
     Null and wordless texts and rows without identifier link to nothing and stay; rows that repeat an identifier share its
-    fate; an empty table stays empty.
+    fate; an empty table stays empty. With ``row_col``, a column of different longs in a saved table, each row is linked and decided by itself,
+    rows without identifier too: of a group the smallest (doc_id, row) stays, a null doc_id last.
     """
+    if row_col:
+        rows = docs.select(F.col(row_col).alias("_row"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row_col).alias("row")).alias("_place"))
+        linked = components(near_duplicate_links(docs.select(F.col(row_col).alias("doc_id"), "text"), words, similarity)).withColumnRenamed("node", "_row")
+        linked = save(linked.join(rows, "_row"), "linked-rows")
+        linked = attach_totals(linked, ["component"], F.col("_row"), {"_least": F.min("_place")}, {"_first": F.min("_least")})
+        gone = linked.filter("_place != _first").select(F.col("_row").alias("_node"))
+        return docs.join(gone, docs[row_col] == gone["_node"], "left_anti")
     found = components(near_duplicate_links(docs, words, similarity)).filter("node != component").select(F.col("node").alias("_node"))
     return docs.join(found, docs["doc_id"] == found["_node"], "left_anti")

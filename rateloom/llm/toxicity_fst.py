@@ -239,6 +239,20 @@ def score_toxicity(docs: DataFrame, model: tuple[Lexicon, np.ndarray, float], id
     return rows.mapInArrow(score, "doc_id long, score double, clauses long")
 
 
+def without_toxic(docs: DataFrame, model: tuple[Lexicon, np.ndarray, float], limit: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns kept, whose score is below ``limit``; each row is decided where it is read, whatever its identifier."""
+    importable(docs.sparkSession)
+    lexicon, weights, bias = model
+    shared, machine = docs.sparkSession.sparkContext.broadcast(lexicon), ClauseMachine()
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, text_col):
+            x = clause_features(batch.column(text_col), shared.value, machine)
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ weights + bias, -40, 40))) < limit))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows whose labels are never learned from."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2

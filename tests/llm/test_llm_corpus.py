@@ -310,3 +310,23 @@ def test_pipeline_stages(spark, sf_dir):
             assert set(gone) == {r.doc_id for r in queries.find_leaks(spark.createDataFrame(list(before.items()), "doc_id long, text string"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
         before = after
     check_packing(corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect(), list(before.items()), 4096)
+
+
+def test_pipeline_decides_each_row(spark, sf_dir):
+    """Rows without identifier, and rows that repeat one, decide for no other row."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    add = lambda rows: docs.unionByName(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int").select([f.name for f in docs.schema]).to(docs.schema))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    fresh = [" ".join(f"{x}{k}" for k in range(60)) for x in "uvw"]
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_leaks):
+        gone = sorted(set(texts) - {r.doc_id for r in stage(spark, docs, sf_dir).collect()})
+        rows = [(None, texts[gone[0]]), (None, fresh[0]), (-7, texts[gone[0]]), (-7, fresh[1])]
+        after = stage(spark, add(rows), sf_dir).filter("doc_id IS NULL OR doc_id < 0").collect()
+        assert sorted((r.doc_id, r.text) for r in after if r.doc_id) == [(-7, fresh[1])] and [r.text for r in after if r.doc_id is None] == [fresh[0]]
+    rows = [(None, fresh[0]), (None, fresh[0]), (None, fresh[1]), (-7, fresh[1]), (-7, fresh[1]), (-7, fresh[2]), (None, None), (-8, "")]
+    after = corpus_pipeline.drop_copies(spark, add(rows), sf_dir).filter("doc_id IS NULL OR doc_id < 0").collect()
+    assert sorted(((r.doc_id, r.text) for r in after), key=str) == sorted([(None, fresh[0]), (-7, fresh[1]), (-7, fresh[2]), (-8, "")], key=str)
+    rows = [(None, fresh[0]), (None, fresh[0] + " z"), (None, fresh[1]), (-7, fresh[1] + " z"), (-7, fresh[2]), (-7, fresh[2] + " z"), (None, None)]
+    after = corpus_pipeline.drop_near_copies(spark, add(rows), sf_dir).filter("doc_id IS NULL OR doc_id < 0").collect()
+    assert len(after) == 4 and sum(r.doc_id is None for r in after) == 2 and (-7, fresh[1] + " z") in {(r.doc_id, r.text) for r in after}
+    assert {(r.text or "null").removesuffix(" z") for r in after} == {*fresh, "null"}
