@@ -1,9 +1,12 @@
 """Exact deduplication by content sort, in DataFrame operations only.
 
-Sampled splitters range-partition the rows by (first bytes of the text, digest, salt); each partition is sorted
-externally by the whole text and the identifier, which places equal texts side by side, and every row is compared in
-full with its neighbour. The salt, taken from the identifier, lets one text that fills a third of the table spread
-over many range partitions; the survivors of a text's salts are merged afterwards on narrow rows.
+Sampled splitters range-partition the rows by the first characters of the text; each range is sorted externally by the
+whole text and the identifier, which places equal texts side by side, and every row is compared in full with its
+neighbour: a run starts where the two differ. Runs alone make the groups; the SHA-256 is only told, never compared.
+
+First characters that many rows share (copies of one text, or a common heading) would fill one range. Such rows carry a
+salt as well, so they spread over many ranges. Their runs are closed salt by salt, and the first row of each run goes to
+a second sort by whole text, in which equal neighbours join the runs of one text.
 """
 
 from __future__ import annotations
@@ -13,33 +16,48 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import attach_totals, save
+from ..shared import save
+
+#: Characters that the splitters compare.
+HEAD = 64
+#: Rows of one range that may share a head; a head with more is salted. At most ``HOT_HEADS`` heads can have more.
+HEAD_ROWS, HOT_HEADS = 5_000, 10_000
+
 
-SALTS = 64
+def hot_heads(rows: DataFrame, most: int) -> DataFrame:
+    """``head, salts`` of the heads with more than ``most`` rows; their number is bounded by rows / most."""
+    counts = rows.groupBy("head").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+    return save(counts.select("head", F.ceil(F.col("n") / most).cast("int").alias("salts")), "hot-heads")
 
 
-def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] | None = None, keep: str = "min") -> DataFrame:
+def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] | None = None, keep: str = "min", head_rows: int = HEAD_ROWS) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
     Null texts count as empty; texts of any length are compared whole. ``keep`` is "min" or "max": which identifier of
     a group stays. Null identifiers lose to any other; of rows that repeat both text and identifier one stays. Other
-    columns of ``docs``, whatever their names, are not read. An empty table gives an empty result. Two different
-    texts with one SHA-256 would raise an error instead of being merged.
+    columns of ``docs``, whatever their names, are not read. An empty table gives an empty result.
     """
     best, order = (F.max, F.desc_nulls_last) if keep == "max" else (F.min, F.asc_nulls_last)
     body = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), (normalise(body) if normalise else body).alias("body"))
-    rows = rows.select("doc_id", "body", F.substring("body", 1, 16).alias("head"), F.sha2("body", 256).alias("text_sha256"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("part"))
-    rows = rows.repartitionByRange("head", "text_sha256", "part")
-    run = Window.partitionBy("head", "text_sha256", "part").orderBy("body", order("doc_id"))
-    same = F.coalesce(F.lag("body").over(run) == F.col("body"), F.lit(True))
-    rows = rows.select("doc_id", "text_sha256", "part", F.row_number().over(run).alias("place"), same.alias("same"))
-    clash = F.raise_error(F.lit("two texts share one SHA-256"))
-    rows = save(rows.select("doc_id", "part", "place", F.when(F.col("same"), F.col("text_sha256")).otherwise(clash.cast("string")).alias("text_sha256")), "content-sort")
-    rows = attach_totals(
-        rows, ["text_sha256"], F.col("doc_id"),
-        {"_best": best("doc_id"), "_n": F.count(F.lit(1))},
-        {"keep_id": best("_best"), "group_size": F.sum("_n")}, SALTS,
-    )
-    kept = (F.col("place") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return rows.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
+    rows = docs.select(F.col(id_col).alias("doc_id"), (normalise(body) if normalise else body).alias("body")).withColumn("head", F.substring("body", 1, HEAD))
+    hot = hot_heads(rows, max(head_rows, -(-docs.count() // HOT_HEADS)))
+    # at most HOT_HEADS rows of HEAD characters
+    rows = rows.join(F.broadcast(hot), "head", "left")
+    rows = rows.withColumn("salt", F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("salts")), F.lit(0)).cast("int"))
+    rows = rows.withColumn("text_sha256", F.sha2("body", 256)).repartitionByRange("head", "salt")
+    sorted_texts = Window.partitionBy("head", "salt").orderBy("body", order("doc_id"))
+    fresh = F.coalesce(F.col("body") != F.lag("body").over(sorted_texts), F.lit(True))
+    rows = rows.withColumn("fresh", fresh).withColumn("run", F.sum(F.col("fresh").cast("int")).over(sorted_texts))
+    first_text = F.when(F.col("fresh") & F.col("salts").isNotNull(), F.col("body"))
+    rows = rows.select("doc_id", "text_sha256", "head", "salt", "run", "fresh", F.col("salts").isNotNull().alias("salted"), first_text.alias("body"))
+    run = Window.partitionBy("head", "salt", "run")
+    rows = rows.withColumns({"keep_id": best("doc_id").over(run), "group_size": F.count(F.lit(1)).over(run)})
+    rows = save(rows, "content-sort")
+    same_text = Window.partitionBy("body")
+    place = F.row_number().over(same_text.orderBy(order("keep_id"), "salt"))
+    merged = rows.filter("salted AND fresh").select(
+        "head", "salt", "run", best("keep_id").over(same_text).alias("keep_id"), F.sum("group_size").over(same_text).alias("group_size"), (place == 1).alias("winner"))
+    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    alone = rows.filter("NOT salted").withColumn("kept", F.col("fresh")).select(*columns)
+    spread = rows.filter("salted").drop("keep_id", "group_size", "body").join(merged, ["head", "salt", "run"])
+    return alone.unionByName(spread.withColumn("kept", F.col("fresh") & F.col("winner")).select(*columns))
