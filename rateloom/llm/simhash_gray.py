@@ -1,15 +1,17 @@
 """SimHash near-duplicates over a Gray-order hierarchical index.
 
-Fingerprints that differ in at most r bits agree on one of r + 1 blocks of their bits, so each fingerprint is filed under
-every block (a wider signature, for looser similarities, is filed under many short bands). Within a file, fingerprints
-are sorted by Gray rank, in which neighbours differ in few bits. Runs of them form nodes, and runs of nodes form upper
-nodes; a node holds the mask of the bits that its members share and their pattern. Two nodes are compared by the
-differing bits of their shared patterns, accumulated from the upper nodes down, and whole groups are left out as soon as
-these exceed the limit, or once all their members are known to be connected. Only links that join two parts of a file are
-passed on, so groups of copies never become all their pairs.
-
-A file with more than ``FILE_ROWS`` fingerprints is cut into parts, and every two of its parts are compared in a task of
-their own: none is left out, and none grows with the corpus.
+Fingerprints are sorted by Gray rank, in which neighbours differ in few bits. Runs of them form nodes, and runs of nodes
+form upper nodes. The bits that all members of a node share are factored out: what a node's upper node shares is not among
+its own. The tree is compared with itself from the top: two nodes add the differences in the bits that they share, and
+their upper nodes did not, to those met above, and whole groups are left out as soon as the sum exceeds the limit, or
+once their members are all known to be connected. Only links that join two parts are passed on, so groups of copies
+never become all their pairs.
+
+The index is spread over the cluster in segments of the sorted order, whose shared bits form the uppermost nodes: a
+segment's fingerprints go only to the segments whose shared bits they may match.
+
+Exact search (``simhash_groups``) has one such index over all fingerprints. The looser search of the pipeline
+(``near_duplicate_links``) files a wide signature under short bands; the file's number is then the topmost shared pattern, and must agree.
 """
 
 from __future__ import annotations
@@ -27,16 +29,14 @@ from .components import components
 from .word_cache import sliced
 
 SEED = 42
-FILE_ROWS = 1000
-LEAF = 32
-#: Pairs of fingerprints compared at a time; connections are brought up to date in between.
-STEP = 32_000
-#: Closer links are taken first, in steps of so many bits.
-TIER = 4
-#: Shingles that a task remembers while it compares texts.
-HELD_SHINGLES = 2_000_000
-#: Files of at most so many rows are compared pair by pair.
-SMALL = 16
+#: Fingerprints of one segment, and segments at most (beyond that they grow).
+SEGMENT_ROWS, MAX_SEGMENTS = 32_768, 2048
+#: Members of a node.
+FAN = 8
+#: Pairs of nodes that are looked at together.
+STEP = 2048
+#: Pairs of fingerprints joined before connections are brought up to date.
+JOIN_STEP = 4096
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -78,22 +78,17 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def with_fingerprints(docs: DataFrame, words: int, wide: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, f0, f1, ...``: ``wide`` fingerprints of 64 bits each, as signed longs."""
+def with_fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, f0``: the fingerprint as a signed long."""
     importable(docs.sparkSession)
-    names = [f"f{k}" for k in range(wide)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            rows = []
-            for text in batch.column("text").to_pylist():
-                hashes = shingle_hashes(text or "", words)
-                rows.append([fingerprint(mixed(hashes, k)) for k in range(wide)])
-            columns = np.array(rows, np.uint64).reshape(-1, wide).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(np.ascontiguousarray(columns[:, k])) for k in range(wide)]], names=["doc_id", *names])
+            prints = [fingerprint(shingle_hashes(text or "", words)) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["doc_id", "f0"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(make, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return rows.mapInArrow(make, "doc_id long, f0 long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -103,6 +98,13 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def gray_order(x: Column) -> Column:
+    """The same of a column of longs, as a long that sorts in that order."""
+    for shift in (1, 2, 4, 8, 16, 32):
+        x = x.bitwiseXOR(F.shiftrightunsigned(x, shift))
+    return x.bitwiseXOR(F.lit(-(1 << 63)))
+
+
 def roots(parent: np.ndarray) -> np.ndarray:
     while True:
         up = parent[parent]
@@ -112,108 +114,212 @@ def roots(parent: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Nodes over fingerprints sorted by Gray rank; ``bits``: (n, w) array of 64-bit words, sorted here by the first."""
-
-    def __init__(self, bits: np.ndarray):
-        self.order = np.lexsort((*bits.T[:0:-1], gray_rank(bits[:, 0])))
-        self.bits = bits[self.order]
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        at_least_one, all_of = self.bits, self.bits
-        while len(all_of) > 1:
-            cut = np.arange(0, len(all_of), LEAF)
-            at_least_one, all_of = np.bitwise_or.reduceat(at_least_one, cut, axis=0), np.bitwise_and.reduceat(all_of, cut, axis=0)
-            self.levels.append((~(at_least_one ^ all_of), all_of))  # mask of shared bits; pattern
+    """A tree over 64-bit codes sorted by Gray rank. With ``files``, codes of different files never match: the tree is
+    sorted by file first, and the bits of the file's number are shared patterns as well."""
+
+    def __init__(self, codes: np.ndarray, files: np.ndarray | None = None, height: int = 1):
+        self.order = np.argsort(gray_rank(codes), kind="stable") if files is None else np.lexsort((gray_rank(codes), files))
+        self.size = len(codes)
+        any_of = all_of = [codes[self.order]] if files is None else [codes[self.order], files[self.order]]
+        self.shared, self.patterns = [[np.full(self.size, ~np.uint64(0)) for _ in all_of]], [all_of]
+        while len(all_of[0]) > 1 or len(self.patterns) <= height:
+            cut = np.arange(0, len(all_of[0]), FAN)
+            any_of, all_of = [np.bitwise_or.reduceat(w, cut) for w in any_of], [np.bitwise_and.reduceat(w, cut) for w in all_of]
+            self.shared.append([~(x ^ y) for x, y in zip(any_of, all_of)])
+            self.patterns.append(all_of)
+        self.height = len(self.patterns) - 1
+        # factored: what the upper node shares is not the node's own
+        self.own = [[low & ~np.repeat(high, FAN)[: len(low)] for low, high in zip(a, b)] for a, b in zip(self.shared, self.shared[1:])] + [self.shared[-1]]
+        self.leaves = [np.pad(w, (0, -self.size % FAN)).reshape(-1, FAN) for w in self.patterns[0]]
 
     def links(self, limit: int, labels: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
-        """Links within ``limit`` bits that connect all members that such links connect, closest first in each comparison.
-        Members of one label count as connected."""
-        self.parent = np.arange(len(self.bits))
+        """Links within ``limit`` bits that connect all members that such links connect. Members of one label count as connected."""
+        return self._links(self, limit, None if labels is None else labels[self.order])
+
+    def links_to(self, other: "GrayIndex", limit: int, labels: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
+        """The same between the members of two trees of one height: (place here, place there)."""
+        return self._links(other, limit, None if labels is None else np.concatenate([labels[0][self.order], labels[1][other.order]]))
+
+    def _links(self, other: "GrayIndex", limit: int, labels: np.ndarray | None) -> Iterator[tuple[int, int]]:
+        first = 0 if other is self else self.size
+        n = self.size + (0 if other is self else other.size)
+        self.parent, self.version, self.known = np.arange(n), 0, {}
         if labels is not None:
-            _, first, which = np.unique(labels[self.order], return_index=True, return_inverse=True)
-            self.parent = first[which]
-        for tier in (*range(TIER, limit, TIER), limit):
-            yield from self._within(len(self.levels), np.zeros((1, 2), np.int64), tier)
+            _, least, which = np.unique(labels, return_index=True, return_inverse=True)
+            self.parent = least[which]
+        for tier in tiers(limit) if self.size and other.size else ():
+            for a, b in self._search(other, first, tier):
+                yield int(self.order[a]), int(other.order[b])
 
-    def _whole(self, level: int, nodes: np.ndarray) -> np.ndarray:
+    def _whole(self, tree: "GrayIndex", first: int, level: int) -> np.ndarray:
         """The root of each node's members if it is one, else -1."""
-        size, n = LEAF**level, len(self.bits)
-        cut = np.arange(0, n, size)
-        low, high = np.minimum.reduceat(self.parent, cut), np.maximum.reduceat(self.parent, cut)
-        return np.where(low == high, low, -1)[nodes]
-
-    def _within(self, level: int, pairs: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-        if level == 0:
-            yield from self._join(pairs, limit)
-            return
-        below = len(self.bits) if level == 1 else len(self.levels[level - 2][0])
-        step = max(1, STEP // LEAF**2)
-        for k in range(0, len(pairs), step):
-            some = pairs[k : k + step]
-            whole = self._whole(level, some)
-            some = some[(whole[:, 0] != whole[:, 1]) | (whole[:, 0] < 0)]
-            if not len(some):
+        version, whole = self.known.get((first, level), (-1, None))
+        if version != self.version:
+            cut, mine = np.arange(0, tree.size, FAN**level), self.parent[first : first + tree.size]
+            low, high = np.minimum.reduceat(mine, cut), np.maximum.reduceat(mine, cut)
+            whole = np.where(low == high, low, -1)
+            self.known[first, level] = (self.version, whole)
+        return whole
+
+    def _apart(self, other: "GrayIndex", level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Differences in the bits that both nodes share, and that not both of their upper nodes do."""
+        out = np.zeros(len(a), np.int16)
+        for k, (x, y) in enumerate(zip(self.patterns[level], other.patterns[level])):
+            bits = self.shared[level][k][a] & other.shared[level][k][b] & (self.own[level][k][a] | other.own[level][k][b])
+            differ = (x[a] ^ y[b]) & bits
+            out += np.bitwise_count(differ).astype(np.int16) if k == 0 else np.int16(128) * (differ != 0)
+        return out
+
+    def _search(self, other: "GrayIndex", first: int, limit: int) -> Iterator[tuple[int, int]]:
+        """Pairs of nodes from the top down, with the differences met so far."""
+        a = b = np.zeros(1, np.int64)
+        stack = [(self.height, a, b, self._apart(other, self.height, a, b))]
+        one, two = np.divmod(np.arange(FAN * FAN), FAN)
+        while stack:
+            level, a, b, apart = stack.pop()
+            if len(a) > STEP:
+                stack += [(level, a[k : k + STEP], b[k : k + STEP], apart[k : k + STEP]) for k in reversed(range(0, len(a), STEP))]
                 continue
-            a = (some[:, :1] * LEAF + np.arange(LEAF)).repeat(LEAF, axis=1).reshape(-1)
-            b = np.tile(some[:, 1:] * LEAF + np.arange(LEAF), (1, LEAF)).reshape(-1)
-            keep = (a < below) & (b < below) & ((a < b) if level == 1 else (a <= b))
-            a, b = a[keep], b[keep]
+            x, y = self._whole(self, 0, level)[a], self._whole(other, first, level)[b]
+            near = (apart <= limit) & ((x != y) | (x < 0))
+            a, b, apart = a[near], b[near], apart[near]
             if level == 1:
-                apart = np.bitwise_count(self.bits[a] ^ self.bits[b]).sum(axis=1, dtype=np.int64)
-            else:
-                mask, pattern = self.levels[level - 2]
-                apart = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]).sum(axis=1, dtype=np.int64)
+                yield from self._join(other, first, a, b, limit)
+                continue
+            a, b, apart = (a[:, None] * FAN + one).reshape(-1), (b[:, None] * FAN + two).reshape(-1), np.repeat(apart, FAN * FAN)
+            real = (a < len(self.own[level - 1][0])) & (b < len(other.own[level - 1][0]))
+            if other is self:
+                real &= a <= b
+            a, b = a[real], b[real]
+            apart = apart[real] + self._apart(other, level - 1, a, b)
             near = apart <= limit
-            if near.any():
-                sort = np.argsort(apart[near], kind="stable")
-                yield from self._within(level - 1, np.stack([a[near][sort], b[near][sort]], axis=1), limit)
-
-    def _join(self, pairs: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-        parent = self.parent
-        for a, b in pairs[parent[pairs[:, 0]] != parent[pairs[:, 1]]].tolist():
-            x, y = a, b
-            while parent[x] != x:
-                x = parent[x]
-            while parent[y] != y:
-                y = parent[y]
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-                yield int(self.order[a]), int(self.order[b])
-        self.parent = roots(parent)
-
-
-def links_in_files(filed: DataFrame, width: int, limit: int) -> DataFrame:
-    """``filed``: (file: long, id: long, f0 ..., maybe label: long) to links (a, b) within ``limit`` bits, file by file.
+            a, b, apart = a[near], b[near], apart[near]
+            if len(a):
+                stack.append((level - 1, a, b, apart))
+
+    def _join(self, other: "GrayIndex", first: int, a: np.ndarray, b: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+        """The members of these lowest nodes that connect two parts, closest first."""
+        differ = self.leaves[0][a][:, :, None] ^ other.leaves[0][b][:, None, :]
+        apart = np.bitwise_count(differ)
+        near = apart <= limit
+        if len(self.leaves) > 1:
+            near &= self.leaves[1][a][:, :, None] == other.leaves[1][b][:, None, :]
+        pair, i, j = np.nonzero(near)
+        apart = apart[pair, i, j]
+        i, j = a[pair] * FAN + i, b[pair] * FAN + j
+        real = (i < self.size) & (j < other.size)
+        if other is self:
+            real &= i < j
+        sort = np.flatnonzero(real)[np.argsort(apart[real], kind="stable")]
+        i, j = i[sort], j[sort]
+        for k in range(0, len(i), JOIN_STEP):
+            p, q = i[k : k + JOIN_STEP], j[k : k + JOIN_STEP]
+            x, y = self.parent[p], self.parent[first + q]
+            new = np.flatnonzero(x != y)
+            if not len(new):
+                continue
+            parent = self.parent
+            for n in new.tolist():
+                u, v = int(x[n]), int(y[n])
+                while parent[u] != u:
+                    u = int(parent[u])
+                while parent[v] != v:
+                    v = int(parent[v])
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+                    yield int(p[n]), int(q[n])
+            self.parent, self.version = roots(parent), self.version + 1
+
+
+def tiers(limit: int) -> tuple[int, ...]:
+    """A wide search takes close links first: they connect most of a group."""
+    return (limit // 3, limit) if limit > 6 else (limit,)
+
+
+def links_in_files(filed: DataFrame, limit: int, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """``filed``: (file: long, id: long, f0: long, maybe label: long) to links (a, b) within ``limit`` bits, file by file.
     Rows of one label are known to be connected, and need no link between them.
 
-    Files of more than ``FILE_ROWS`` rows are compared part by part; ``filed`` is read twice.
+    Small files lie whole in a task, many under one index. A file of more than ``segment_rows`` rows is cut into segments of
+    its Gray order; each segment is an index of its own, and gets the rows of those other segments whose shared bits allow a
+    match. Only the shared bits of at most ``MAX_SEGMENTS`` segments, and of each file's own, come to the driver.
     """
     spark = filed.sparkSession
     importable(spark)
-    names = [f"f{k}" for k in range(width)]
-    carried = names + ["label"] * ("label" in filed.columns)
-    large = filed.groupBy("file").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FILE_ROWS)
-    large = save(large.select("file", F.ceil(F.col("n") / FILE_ROWS).cast("int").alias("parts")), "large-files")
-    rows = filed.join(large, "file", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64(F.lit(1), "id"), F.col("parts")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("file", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id", *carried)
-    rows = rows.repartition(task_partitions(spark), "file", "p", "q").sortWithinPartitions("file", "p", "q")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups_of(batches, ["file", "p", "q"]):
-            out = compare_sorted(group, names, limit)
-            if len(out):
-                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["a", "b"])
-
-    return rows.mapInArrow(compare, "a long, b long")
-
-
-def task_partitions(spark) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by ``keys``, in runs of whole groups with ``least`` rows or more (but for the last)."""
+    carried = ["id", "f0"] + ["label"] * ("label" in filed.columns)
+    large = filed.groupBy("file").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > segment_rows)
+    large = save(large, "large-files")
+    total = large.agg(F.sum("n")).first()[0]
+    few = filed.join(large, "file", "left_anti") if total else filed
+    found = few.select("file", *carried).repartition("file").sortWithinPartitions("file").mapInArrow(lambda batches: within_files(batches, limit), "a long, b long")
+    if not total:
+        return found
+    count = min(MAX_SEGMENTS, -(-total // segment_rows))
+    rows = filed.join(large, "file", "left_semi").withColumn("rank", gray_order(F.col("f0"))).repartitionByRange(count, "file", "rank")
+    rows = save(rows.select("file", F.spark_partition_id().alias("part"), *carried), "segments")
+    shared = rows.groupBy("file", "part").agg(F.bit_and("f0").alias("all_of"), F.bit_or("f0").alias("any_of")).toPandas().sort_values(["file", "part"])
+    pairs = segment_pairs(*(shared[c].to_numpy() for c in ("file", "part", "all_of", "any_of")), limit)
+    pairs_of = F.broadcast(spark.createDataFrame(pairs))  # at most as many rows as there are pairs of segments in a file
+    met = rows.join(pairs_of, ["file", "part"]).filter(F.bit_count((F.col("f0").bitwiseXOR(F.col("all_of"))).bitwiseAND(F.col("mask"))) <= limit)
+    parts = max(1, min(pairs.num_rows, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    met = met.select("pair", "side", *carried).repartitionById(parts, F.pmod(F.col("pair"), F.lit(parts)).cast("int")).sortWithinPartitions("pair", "side")
+    return found.unionByName(met.mapInArrow(lambda batches: between_segments(batches, limit), "a long, b long"))
+
+
+def segment_pairs(files: np.ndarray, parts: np.ndarray, all_of: np.ndarray, any_of: np.ndarray, limit: int) -> pa.Table:
+    """Segments of one file that may hold links: ``file, part, pair, side`` (-1: with itself, 0, 1), and the other side's ``mask`` and ``all_of``."""
+    mask, out, number = ~(all_of ^ any_of), [], 0
+    for file in np.unique(files):
+        own = np.flatnonzero(files == file)
+        for i in own.tolist():
+            near = own[own >= i]
+            near = near[np.bitwise_count(((all_of[i] ^ all_of[near]) & mask[i] & mask[near]).view(np.uint64)) <= limit]
+            ids = number + np.arange(len(near))
+            number += len(near)
+            other = near != i
+            out.append((np.full(len(near), parts[i]), ids, np.where(near == i, -1, 0), mask[near], all_of[near], np.full(len(near), file)))
+            out.append((parts[near][other], ids[other], np.ones(other.sum(), int), np.full(other.sum(), mask[i]), np.full(other.sum(), all_of[i]), np.full(other.sum(), file)))
+    part, pair, side, mask, all_of, file = (np.concatenate(x) for x in zip(*out))
+    return pa.table({"file": pa.array(file, pa.int64()), "part": pa.array(part, pa.int32()), "pair": pa.array(pair, pa.int64()), "side": pa.array(side, pa.int32()), "mask": pa.array(mask, pa.int64()), "all_of": pa.array(all_of, pa.int64())})
+
+
+def numbers(rows: pa.RecordBatch, *names: str) -> list[np.ndarray | None]:
+    return [rows.column(n).to_numpy() if n in rows.schema.names else None for n in names]
+
+
+def links_out(ids: np.ndarray, others: np.ndarray, found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    if found:
+        a, b = np.array(found).T
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(others[b])], names=["a", "b"])
+
+
+def within_files(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by file: one index over many whole files at a time."""
+    for rows in groups_of(batches, "file"):
+        files, ids, codes, labels = numbers(rows, "file", "id", "f0", "label")
+        several = None if files[0] == files[-1] else files.view(np.uint64)
+        yield from links_out(ids, ids, list(GrayIndex(codes.view(np.uint64), several).links(limit, labels)))
+
+
+def between_segments(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by pair and side: an index over each side."""
+    for rows in groups_of(batches, "pair"):
+        pair, side, ids, codes, labels = numbers(rows, "pair", "side", "id", "f0", "label")
+        codes, starts = codes.view(np.uint64), np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(pair)]):
+            cut = a + int(np.searchsorted(side[a:b], 1))
+            if side[a] < 0:
+                yield from links_out(ids[a:b], ids[a:b], list(GrayIndex(codes[a:b]).links(limit, None if labels is None else labels[a:b])))
+            elif a < cut < b:
+                one = GrayIndex(codes[a:cut])
+                two = GrayIndex(codes[cut:b], height=one.height)
+                one = one if one.height == two.height else GrayIndex(codes[a:cut], height=two.height)
+                found = one.links_to(two, limit, None if labels is None else (labels[a:cut], labels[cut:b]))
+                yield from links_out(ids[a:cut], ids[cut:b], list(found))
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], key: str, least: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by ``key``, in runs of whole groups with ``least`` rows or more (but for the last)."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if batch.num_rows:
@@ -221,11 +327,8 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 5
         if sum(b.num_rows for b in held) < least:
             continue
         whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        same = np.ones(whole.num_rows, bool)
-        for k in keys:
-            x = whole.column(k).to_numpy(zero_copy_only=False)
-            same &= x == x[-1]
-        cut = whole.num_rows - int(same[::-1].argmin() if not same.all() else len(same))
+        x = whole.column(key).to_numpy()
+        cut = int(np.searchsorted(x, x[-1]))
         if cut:
             yield whole.slice(0, cut)
         held = [whole.slice(cut)]
@@ -233,53 +336,20 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 5
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def compare_sorted(rows: pa.RecordBatch, names: list[str], limit: int) -> np.ndarray:
-    """Links within each group of equal (file, p, q); small groups are compared together by shifts, others by a GrayIndex."""
-    keys = [rows.column(k).to_numpy() for k in ("file", "p", "q")]
-    ids = rows.column("id").to_numpy()
-    labels = rows.column("label").to_numpy() if "label" in rows.schema.names else None
-    bits = np.stack([rows.column(n).to_numpy() for n in names], axis=1).view(np.uint64)
-    n = len(ids)
-    first = np.ones(n, bool)
-    first[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    starts = np.flatnonzero(first)
-    sizes = np.diff(np.append(starts, n))
-    out = []
-    small = np.repeat(sizes <= SMALL, sizes)
-    group = np.repeat(np.arange(len(starts)), sizes)
-    for shift in range(1, SMALL):
-        a = np.flatnonzero(small[shift:] & (group[shift:] == group[:-shift]))
-        if not len(a):
-            break
-        near = np.bitwise_count(bits[a] ^ bits[a + shift]).sum(axis=1, dtype=np.int64) <= limit
-        if labels is not None:
-            near &= labels[a] != labels[a + shift]
-        out.append(np.stack([ids[a[near]], ids[a[near] + shift]], axis=1))
-    for k in np.flatnonzero(sizes > SMALL).tolist():
-        own = slice(starts[k], starts[k] + sizes[k])
-        found = list(GrayIndex(bits[own]).links(limit, None if labels is None else labels[own]))
-        if found:
-            out.append(ids[own][np.array(found)])
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-
-
 def simhash_groups(docs: DataFrame, words: int = 3, limit: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, fingerprint, component_id``; fingerprints link at ``limit`` or fewer differing bits.
 
-    ``component_id`` is the smallest identifier reachable over links, the row's own included. Every link counts: a pair
-    within ``limit`` bits agrees on one of ``limit + 1`` blocks. Null and wordless texts have fingerprint zero and link
-    like others. Rows without identifier keep a null component unless their fingerprint links to one that has an
-    identifier; repeated rows are all returned. Other columns are not read; an empty table gives no rows.
+    ``component_id`` is the smallest identifier reachable over links, the row's own included. All fingerprints link, those of
+    rows without identifier too; only a component without any identifier has a null one. Null and wordless texts have
+    fingerprint zero and link like others; repeated rows are all returned. Other columns are not read; an empty table gives no rows.
     """
-    prints = save(with_fingerprints(docs, words, 1, id_col, text_col), "fingerprints")
-    kinds = save(prints.groupBy("f0").agg(F.min("doc_id").alias("id")).filter("id is not null"), "kinds")
-    blocks = limit + 1
-    edges = [k * 64 // blocks for k in range(blocks + 1)]
-    files = [F.struct(F.xxhash64(F.lit(k), F.shiftrightunsigned("f0", 64 - b).bitwiseAND((1 << (b - a)) - 1)).alias("file")) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
-    filed = kinds.select("id", "f0", F.explode(F.array(*files)).alias("x")).select("x.file", "id", "f0")
-    found = components(links_in_files(filed, 1, limit)).withColumnRenamed("node", "id")
-    named = kinds.join(found, "id", "left").select("f0", F.coalesce("component", "id").alias("component_id"))
-    rows = attach(prints, named, "f0", F.col("doc_id"))
+    prints = with_fingerprints(docs, words, id_col, text_col).withColumn("salt", F.monotonically_increasing_id())
+    prints = save(prints, "fingerprints")
+    kinds = save(prints.groupBy("f0").agg(F.min("doc_id").alias("least")), "kinds")
+    found = components(links_in_files(kinds.select(F.lit(0).cast("long").alias("file"), F.col("f0").alias("id"), "f0"), limit))
+    named = save(kinds.join(found.withColumnRenamed("node", "f0"), "f0", "left").withColumn("component", F.coalesce("component", "f0")), "named-kinds")
+    named = attach_totals(named, ["component"], F.col("f0"), {"_least": F.min("least")}, {"component_id": F.min("_least")})
+    rows = attach(prints, named.select("f0", "component_id"), "f0", F.col("salt"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -289,69 +359,71 @@ WIDE, BANDS, BAND_BITS = 8, 44, 16
 FIRST_BANDS = 8
 
 
+def set_of(text: str | None, words: int) -> np.ndarray:
+    """The different shingles of a text, sorted."""
+    return np.unique(shingle_hashes(text or "", words))
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, f0 .. f7, bands``: a wide SimHash of the set of shingles, and ``BANDS`` selections of its bits; rows without any word are left out."""
+    """``doc_id, d0, d1, f0 .. f7, bands``: a digest of the set of shingles, its wide SimHash, and ``BANDS`` selections of its bits; rows without any word are left out."""
     importable(docs.sparkSession)
     rng = np.random.default_rng(SEED)
     rounds = -(-BANDS * BAND_BITS // (64 * WIDE))
     bits = np.concatenate([rng.permutation(64 * WIDE) for _ in range(rounds)])[: BANDS * BAND_BITS]
-    names = [f"f{k}" for k in range(WIDE)]
+    names = ["d0", "d1", *[f"f{k}" for k in range(WIDE)]]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             prints, kept = [], []
             for k, text in enumerate(batch.column("text").to_pylist()):
-                hashes = np.unique(shingle_hashes(text or "", words))  # the similarity is one of sets
+                hashes = set_of(text, words)  # the similarity is one of sets
                 if len(hashes):
-                    prints.append([fingerprint(mixed(hashes, j)) for j in range(WIDE)])
+                    digest = xxhash.xxh3_128_intdigest(hashes.tobytes(), SEED)
+                    prints.append([digest >> 64, digest & ((1 << 64) - 1), *[fingerprint(mixed(hashes, j)) for j in range(WIDE)]])
                     kept.append(k)
-            columns = np.array(prints, np.uint64).reshape(-1, WIDE)
-            each = np.unpackbits(columns.astype(">u8").view(np.uint8).reshape(-1, 8 * WIDE), axis=1)[:, bits]
+            columns = np.array(prints, np.uint64).reshape(-1, WIDE + 2)
+            each = np.unpackbits(np.ascontiguousarray(columns[:, 2:]).astype(">u8").view(np.uint8).reshape(-1, 8 * WIDE), axis=1)[:, bits]
             bands = np.packbits(each, axis=1).reshape(-1, 2).astype(np.int32) @ np.array([256, 1], np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1)))
             signed = columns.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(kept, pa.int64())), *[pa.array(np.ascontiguousarray(signed[:, j])) for j in range(WIDE)], lists], names=["doc_id", *names, "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(kept, pa.int64())), *[pa.array(np.ascontiguousarray(signed[:, j])) for j in range(WIDE + 2)], lists], names=["doc_id", *names, "bands"])
 
     return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", bands array<int>")
 
 
 def jaccard_links(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts' sets of ``words``-word shingles have the Jaccard similarity or more."""
-    texts = docs.select("doc_id", "text")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text_a"):
-            held: dict[int, np.ndarray] = {}
-            near, kept = [], 0
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b"))):
-                if kept > HELD_SHINGLES:
-                    held.clear()
-                    kept = 0
-                for name, text in ((a, x), (b, y)):
-                    if name not in held:
-                        held[name] = np.unique(shingle_hashes(text or "", words))
-                        kept += len(held[name])
-                one, two = held[a], held[b]
-                shared = len(np.intersect1d(one, two, assume_unique=True))
-                near.append(shared >= similarity * (len(one) + len(two) - shared) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
-
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    """The pairs (a, b) whose texts' sets of ``words``-word shingles have the Jaccard similarity or more.
+
+    Only texts in a pair are read; their shingles travel as sorted hashes, and Spark's array functions count the shared ones.
+    """
+    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text", 2_000_000):
+            sets = [set_of(text, words).view(np.int64) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    sets = save(docs.select("doc_id", "text").join(named, "doc_id", "left_semi").mapInArrow(make, "doc_id long, shingles array<long>"), "candidate-sets")
+    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"{x}_set"))
+    shared = F.size(F.array_intersect("a_set", "b_set"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.filter(shared >= similarity * (F.size("a_set") + F.size("b_set") - shared) - 1e-9).select("a", "b")
 
 
 def near_duplicate_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Links (a, b) between rows of ``docs`` (doc_id, text) of at least that Jaccard similarity over word shingles.
 
-    Candidates agree on a band of a 512-bit SimHash and lie within the bits of one of its words that the similarity
-    allows (three standard deviations), as the Gray index finds them; the whole signature and then the texts' shingle sets
-    decide. Once a part of the bands has connected most of a group, the others pass on only what joins different parts, so a
-    large group brings a few links for each member. A pair just at the limit shares a band with probability 0.96, closer pairs almost surely.
+    Rows with equal sets of shingles are linked at once, and one of them stands for all. Candidates agree on a band of a
+    512-bit SimHash and lie within the bits of one of its words that the similarity allows (three standard deviations), as
+    the Gray index finds them; the whole signature and then the sets decide. Once a part of the bands has connected
+    most of a group, the others pass on only what joins different parts, so a large group brings a few links for each
+    member. A pair just at the limit shares a band with probability 0.96, closer pairs almost surely.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = save(signatures(docs, words), "signatures")
     names = [f"f{k}" for k in range(WIDE)]
-    kinds = save(marks.groupBy(*names).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")).filter("id is not null"), "signature-kinds")
+    kinds = marks.groupBy("d0", "d1").agg(F.min("doc_id").alias("id"), *[F.first(n).alias(n) for n in (*names, "bands")])
+    kinds = save(kinds.filter("id is not null"), "signature-kinds")
     # bands compare different words of the signature, so that their errors differ
     word = F.element_at(F.array(*names), F.pmod(F.col("band"), F.lit(WIDE)) + 1)
     differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -362,17 +434,16 @@ def near_duplicate_links(docs: DataFrame, words: int = 5, similarity: float = 0.
     def verified(labelled: DataFrame, chosen: Column) -> DataFrame:
         filed = labelled.select("id", "label", *names, F.posexplode("bands").alias("band", "bits")).filter(chosen)
         filed = filed.select((F.col("band") * 65536 + F.col("bits")).cast("long").alias("file"), "id", word.alias("f0"), "label")
-        pairs = save(links_in_files(filed, 1, limit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+        pairs = save(links_in_files(filed, limit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
         pairs = save(pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= most).select("a", "b"), "close-candidates")
         return save(jaccard_links(pairs, docs, words, similarity), "near-links")
 
     first = verified(kinds.withColumn("label", F.col("id")), F.col("band") < FIRST_BANDS)
     # the other bands look for links between what is not connected yet
     known = components(first).select(F.col("node").alias("id"), F.col("component").alias("label"))
-    rest = verified(kinds.join(known, "id", "left").withColumn("label", F.coalesce("label", "id")), F.col("band") >= FIRST_BANDS)
-    # rows of one signature: each against the first, their texts decide
-    same = marks.join(kinds.select("id", *names), names).filter("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    return first.unionByName(rest).unionByName(save(jaccard_links(save(same, "same-signature"), docs, words, similarity), "same-links"))
+    rest = verified(save(kinds.join(known, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled-kinds"), F.col("band") >= FIRST_BANDS)
+    same = attach_totals(marks.select("doc_id", "d0", "d1"), ["d0", "d1"], F.col("doc_id"), {"_id": F.min("doc_id")}, {"id": F.min("_id")})
+    return first.unionByName(rest).unionByName(same.filter("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, row_col: str | None = None) -> DataFrame:

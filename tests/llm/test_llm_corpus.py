@@ -1,5 +1,6 @@
 """Operators that compare or arrange the whole corpus: copies, hosts, fingerprints, token files, packing, pipeline."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -53,6 +55,21 @@ def test_equals_oracle(name, spark, sf_dir):
         assert ((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all(), c
 
 
+def test_exact_copies_under_hot_heads(spark):
+    """Copies of one text, many texts under one long heading, null and repeated identifiers: salted or not, the rows are the same."""
+    df = spark.range(1200).selectExpr("CASE WHEN id % 11 = 0 THEN NULL WHEN id % 5 = 0 THEN 5 ELSE id END AS doc_id", "CASE WHEN id % 3 = 0 THEN 'same' WHEN id % 3 = 1 THEN concat(repeat('heading ', 12), id % 7) WHEN id % 2 = 0 THEN NULL ELSE concat('t', id) END AS text")
+    texts = [(r.doc_id, r.text or "") for r in df.collect()]
+    for keep in (min, max):
+        salted, plain = (sorted(map(tuple, content_sort.content_sort(df, keep=keep.__name__, head_rows=n).collect()), key=str) for n in (40, 5000))
+        assert [r[:3] + r[4:] for r in salted] == [r[:3] + r[4:] for r in plain] and sum(r[3] for r in salted) == sum(r[3] for r in plain) == len({t for _, t in texts})
+        groups = {}
+        for d, t in texts:
+            groups.setdefault(hashlib.sha256(t.encode()).hexdigest(), []).append(d)
+        for d, keep_id, size, kept, digest in salted:
+            ids = [x for x in groups[digest] if x is not None]
+            assert size == len(groups[digest]) and keep_id == (keep(ids) if ids else None) and (not kept or d == keep_id)
+
+
 def test_exact_copies_hot_group(spark):
     df = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'same' ELSE concat('t', id) END AS text")
     rows = content_sort.content_sort(df, keep="max")
@@ -124,14 +141,7 @@ def test_shingle_hashes_are_xxh64(spark):
     assert simhash.fingerprint(hashes) == 0b0011 and simhash.fingerprint(hashes[:2]) == 0b0011
 
 
-@pytest.mark.parametrize("size", [40, 700])
-def test_gray_index_links_everything(size):
-    rng = np.random.default_rng(size)
-    centres = rng.integers(0, 1 << 63, max(2, size // 20)).astype(np.uint64)
-    flips = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 4), replace=False)) for _ in range(size)], np.uint64)
-    bits = (centres[rng.integers(0, len(centres), size)] ^ flips).reshape(-1, 1)
-    links = list(simhash.GrayIndex(bits).links(3))
-    assert all(np.bitwise_count(bits[a] ^ bits[b]).sum() <= 3 for a, b in links)
+def linked(size, links):
     parent = list(range(size))
 
     def find(x):
@@ -142,19 +152,69 @@ def test_gray_index_links_everything(size):
     for a, b in links:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    want = brute_groups({i: int(x) for i, x in enumerate(bits[:, 0])}, 3)
-    assert {i: find(i) for i in range(size)} == want
+    return {i: find(i) for i in range(size)}
+
+
+def families(rng, size, flips=4):
+    centres = rng.integers(0, 1 << 63, max(2, size // 20)).astype(np.uint64)
+    changes = np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, flips), replace=False)) for _ in range(size)], np.uint64)
+    return centres[rng.integers(0, len(centres), size)] ^ changes
 
 
-def test_large_files_are_compared_whole(spark, monkeypatch):
-    """A hot block: far more fingerprints than a task takes, which agree on 16 bits."""
+@pytest.mark.parametrize("size", [1, 9, 40, 700])
+def test_gray_index_links_everything(size):
+    bits = families(np.random.default_rng(size), size)
+    links = list(simhash.GrayIndex(bits).links(3))
+    assert all(np.bitwise_count(bits[a] ^ bits[b]) <= 3 for a, b in links)
+    assert linked(size, links) == brute_groups({i: int(x) for i, x in enumerate(bits)}, 3)
+
+
+def test_gray_index_between_segments_and_files():
+    rng = np.random.default_rng(3)
+    bits = families(rng, 300)
+    half = {i: int(x) for i, x in enumerate(bits)}
+    across = [(a, b + 150) for a, b in simhash.GrayIndex(bits[:150]).links_to(simhash.GrayIndex(bits[150:]), 3)]
+    inside = list(simhash.GrayIndex(bits[:150]).links(3)) + [(a + 150, b + 150) for a, b in simhash.GrayIndex(bits[150:]).links(3)]
+    assert linked(300, across + inside) == brute_groups(half, 3)
+    files = rng.integers(0, 5, 300).astype(np.uint64)
+    got = linked(300, simhash.GrayIndex(bits, files).links(3))
+    for f in range(5):
+        own = np.flatnonzero(files == f).tolist()
+        want = brute_groups({i: half[i] for i in own}, 3)
+        assert {i: got[i] for i in own} == want
+
+
+def test_gray_index_leaves_groups_out():
+    """Few pairs are looked at: with the sums switched off every fingerprint meets every other."""
+    bits = np.unique(np.random.default_rng(9).integers(0, 1 << 63, 16_000).astype(np.uint64))
+    met = 0
+
+    class Counted(simhash.GrayIndex):
+        def _join(self, other, first, a, b, limit):
+            nonlocal met
+            met += len(a) * simhash.FAN**2
+            return super()._join(other, first, a, b, limit)
+
+    list(Counted(bits).links(3))
+    assert met < 0.25 * len(bits) ** 2 / 2
+    index = simhash.GrayIndex(bits)
+    for level in range(len(index.own) - 1):  # factored: no bit stands in a node and in one above it
+        assert not (index.own[level][0] & np.repeat(index.own[level + 1][0], simhash.FAN)[: len(index.own[level][0])]).any()
+
+
+def test_large_files_are_cut_in_segments(spark):
+    """A hot file: far more fingerprints than a segment takes, beside small files."""
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 1 << 40, 300)
     bits = {i: int(centres[i % 300]) ^ (1 << int(rng.integers(0, 40))) ^ (1 << int(rng.integers(0, 40))) for i in range(2600)}
-    df = spark.createDataFrame([(7, i, b) for i, b in bits.items()], "file long, id long, f0 long")
-    links = graph.components(simhash.links_in_files(df, 1, 3)).collect()
-    got = {i: i for i in bits} | {r.node: r.component for r in links}
-    assert got == brute_groups(bits, 3)
+    small = {10_000 + i: int(x) >> 1 for i, x in enumerate(families(rng, 60))}
+    df = spark.createDataFrame([(7, i, b) for i, b in bits.items()] + [(i % 3, i, b) for i, b in small.items()], "file long, id long, f0 long")
+    links = graph.components(simhash.links_in_files(df, 3, segment_rows=200)).collect()
+    got = {i: i for i in (*bits, *small)} | {r.node: r.component for r in links}
+    want = brute_groups(bits, 3)
+    for f in range(3):
+        want |= brute_groups({i: b for i, b in small.items() if i % 3 == f}, 3)
+    assert got == want
 
 
 def test_simhash_edges(spark, odd_docs):
@@ -166,6 +226,22 @@ def test_simhash_edges(spark, odd_docs):
     assert simhash.simhash_groups(odd_docs.limit(0)).count() == 0
 
 
+def test_rows_without_identifier_link_others(spark, monkeypatch):
+    prints = {1: 0, None: 0b111, 3: 0b111111, 9: 0xFFFFFF << 30}
+    monkeypatch.setattr(simhash, "with_fingerprints", lambda docs, *_: docs.select("doc_id", F.col("text").cast("long").alias("f0")))
+    docs = spark.createDataFrame([(i, str(x)) for i, x in prints.items()], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.simhash_groups(docs).collect()} == {1: 1, None: 1, 3: 1, 9: 9}
+
+
+def test_equal_signatures_are_compared_by_their_sets(spark, monkeypatch):
+    """Signatures say nothing here: each row shares enough with the next alone, not with the first."""
+    monkeypatch.setattr(simhash, "fingerprint", lambda hashes: 5)
+    words = [f"w{k}" for k in range(140)]
+    rows = [(k, " ".join(words[8 * k : 8 * k + 100])) for k in range(4)]
+    kept = [r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert kept == [0]
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(k, k + 1) for k in range(100, 160)] + [(500, k) for k in range(501, 700)] + [(900, 900), (3, 2), (2, 3), (None, 4)]
     rng = random.Random(2)
