@@ -1,21 +1,25 @@
 """License scan by diagonal voting, in DataFrame operations only.
 
-Every text's rolling word k-grams are joined by hash (and then by their words) to the k-grams of the templates. A hit at
-text word ``p`` and template word ``t`` votes for diagonal ``p - t``. Votes are summed per text, template and diagonal;
-diagonals of a template that lie within a few words of each other (a word added or left out) are merged, and a span is
-accepted if it covers enough of the template's k-grams. A phrase stands at a place exactly when its diagonal has all votes.
+Each word is hashed once; the hash of a k-gram is a cyclic polynomial of its words' hashes, the same for texts and
+templates. Grams that no template has are dropped inside the array; the others are joined by hash to the templates, and a
+hit at text word ``p`` and template word ``t`` votes for diagonal ``p - t``. Votes are summed per text, template and
+diagonal; diagonals of a template that lie within a few words of each other (a word added or left out) are merged to
+spans. A span is then verified: the template's words are compared with the text's words on the span's diagonals, and it is
+accepted if enough of them stand there. A phrase stands at a place exactly when all its words stand on one diagonal.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import save
+
 K = 3
-#: Bits of a long mark which k-grams of a template were seen.
-MAX_WORDS = 62
+#: Up to so many different grams of templates are looked up inside the arrays and broadcast; more are joined by a shuffle.
+LISTED_GRAMS = 5000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose every place is reported, with their labels (fixed values).
@@ -42,50 +46,76 @@ PASSAGES = (
 )
 
 
-def template_grams(spark, phrases: Sequence[tuple[str, str]], passages: Sequence[tuple[str, str]]) -> DataFrame:
-    """Rows ``template, label, exact, n_grams, t, gram``: as many as the fixed lists have words, which bounds their broadcast."""
-    rows = []
-    for k, (label, text, exact) in enumerate([(*p, True) for p in phrases] + [(*p, False) for p in passages]):
-        words = text.split()
-        if not K <= len(words) <= MAX_WORDS:
-            raise ValueError(f"a template has {K} to {MAX_WORDS} words: {text}")
-        n = len(words) - K + 1
-        rows += [(k, label, exact, n, t, " ".join(words[t : t + K])) for t in range(n)]
-    return spark.createDataFrame(rows, "template int, label string, exact boolean, n_grams int, t int, gram string")
+def gram_hash(hashes: Column, at: Column) -> Column:
+    """Cyclic polynomial (a rolling hash) of the ``K`` word hashes from a place."""
+    out = F.lit(0).cast("long")
+    for j in range(K):
+        x, turn = F.get(hashes, at + j), 7 * (K - 1 - j)
+        out = out.bitwiseXOR(F.shiftleft(x, turn).bitwiseOR(F.shiftrightunsigned(x, 64 - turn)) if turn else x)
+    return out
+
+
+def word_hashes(words: str) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def grams_of(words: str, hashes: str) -> Column:
+    """All grams of an array of words, as structs (p, h)."""
+    last = F.size(words) - K
+    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(i.alias("p"), gram_hash(F.col(hashes), i).alias("h")))
+
+
+def template_table(spark, phrases: Sequence[tuple[str, str]], passages: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rows ``template, label, exact, words`` of the lists, which the caller holds as Python values."""
+    rows = [(k, label, exact, text.split()) for k, (label, text, exact) in enumerate([(*p, True) for p in phrases] + [(*p, False) for p in passages])]
+    short = [" ".join(r[3]) for r in rows if len(r[3]) < K]
+    if short:
+        raise ValueError(f"a template has {K} words or more: {short}")
+    return spark.createDataFrame(rows, "template int, label string, exact boolean, template_words array<string>")
 
 
-def scan_licenses(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, passages: Sequence[tuple[str, str]] = PASSAGES, cover: float = 0.7, gap: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES, passages: Sequence[tuple[str, str]] = PASSAGES, cover: float = 0.7, gap: int = 3, id_col: str = "doc_id", text_col: str = "text", listed: int = LISTED_GRAMS) -> DataFrame:
     """One row per input row: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
     ``n_base`` counts all places of all phrases, ``first_word`` and ``last_word`` are their smallest and largest start (null
-    if there are none); ``score`` is the largest part of a template that a span covers. Null texts count as empty: no words,
-    empty labels, score 0. Rows that repeat an identifier (or have none) are scanned each for itself; other columns are
-    not read; an empty table gives no rows.
+    if there are none); ``score`` is the largest part of a template's words that stand in a span. Templates have any length
+    from ``K`` words. Null texts count as empty: no words, empty labels, score 0. Rows that repeat an identifier (or have
+    none) are scanned each for itself; other columns are not read; an empty table gives no rows.
     """
-    templates = template_grams(docs.sparkSession, phrases, passages).withColumn("h", F.xxhash64("gram"))
+    spark = docs.sparkSession
+    templates = template_table(spark, phrases, passages)
+    marks = templates.withColumn("hashes", word_hashes("template_words")).select("template", F.explode(grams_of("template_words", "hashes")).alias("mark"))
+    marks = save(marks.select("template", F.col("mark.p").alias("t"), "mark.h"), "license-grams")
+    known = [r.h for r in marks.select("h").distinct().limit(listed + 1).collect()]
+    few = len(known) <= listed
     words = F.array_remove(F.split(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), NOT_WORD), "")
-    rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("words")).withColumn("row", F.monotonically_increasing_id()).withColumn("n_words", F.size("words"))
-    grams = F.when(F.col("n_words") >= K, F.transform(F.sequence(F.lit(0), F.col("n_words") - K), lambda i: F.concat_ws(" ", *[F.get("words", i + j) for j in range(K)])))
-    # the first element, null, keeps every text; the rest are its k-grams
-    none = F.array(F.lit(None).cast("string"))
-    rows = rows.select("row", "doc_id", "n_words", F.posexplode(F.concat(none, F.coalesce(grams, F.array().cast("array<string>")))).alias("p", "gram"))
-    hits = rows.withColumn("h", F.xxhash64("gram")).join(F.broadcast(templates.withColumnRenamed("gram", "t_gram")), "h", "left")
-    hits = hits.filter((F.col("p") == 0) | (F.col("gram") == F.col("t_gram")))
-    hits = hits.select("row", "doc_id", "n_words", "template", "label", "exact", "n_grams", (F.col("p") - 1 - F.col("t")).alias("diagonal"), F.col("t"))
-    hits = hits.withColumns({c: F.when(F.col("diagonal") >= -MAX_WORDS, F.col(c)) for c in ("template",)})
-    keys = ["row", "doc_id", "n_words", "template", "label", "exact", "n_grams", "diagonal"]
-    votes = hits.groupBy(*keys).agg(F.bit_or(F.expr("shiftleft(1L, t)")).alias("seen"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("words")).withColumn("hashes", word_hashes("words"))
+    grams = grams_of("words", "hashes")
+    if few:
+        grams = F.filter(grams, lambda g: g["h"].isin(known))
+    rows = rows.withColumn("grams", grams).drop("hashes").withColumn("row", F.monotonically_increasing_id())
+    # words of texts without any hit are not needed again
+    rows = save(rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.size("grams") > 0, F.col("words")).alias("words"), "grams"), "license-rows")
+    marked = rows.filter("words IS NOT NULL")
+    hits = marked.select("row", F.explode("grams").alias("gram")).select("row", "gram.p", "gram.h").join(F.broadcast(marks) if few else marks, "h")
+    votes = hits.groupBy("row", "template", (F.col("p") - F.col("t")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"))
     near = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(near) > gap, F.lit(True))
     votes = votes.withColumn("apart", apart.cast("int")).withColumn("span", F.sum("apart").over(near))
-    place = F.col("exact") & (F.bit_count("seen") == F.col("n_grams"))
-    spans = votes.groupBy("row", "doc_id", "n_words", "template", "label", "n_grams", "span").agg(
-        F.bit_or("seen").alias("seen"), F.sum(place.cast("long")).alias("places"),
-        F.min(F.when(place, F.col("diagonal"))).alias("first"), F.max(F.when(place, F.col("diagonal"))).alias("last"),
-    )
-    part = F.bit_count("seen") / F.col("n_grams")
-    listed = lambda keep: F.array_join(F.array_sort(F.collect_set(F.when(keep, F.col("label")))), ",")
-    return spans.groupBy("row", "doc_id", "n_words").agg(
-        F.coalesce(F.sum("places"), F.lit(0)).cast("long").alias("n_base"), F.min("first").cast("long").alias("first_word"), F.max("last").cast("long").alias("last_word"),
-        listed(F.col("places") > 0).alias("base_labels"), listed((F.col("places") > 0) | (part >= cover)).alias("labels"), F.coalesce(F.max(part), F.lit(0.0)).alias("score"),
-    ).withColumn("n_words", F.col("n_words").cast("long")).drop("row")
+    spans = votes.groupBy("row", "template", "span").agg(F.array_sort(F.collect_list("diagonal")).alias("diagonals"))
+    spans = spans.join(F.broadcast(templates) if few else templates, "template").join(marked.select("row", "words"), "row")
+    here = lambda t, d: F.get("words", t + d) == F.get("template_words", t)
+    seen = F.filter(F.sequence(F.lit(0), F.size("template_words") - 1), lambda t: F.exists("diagonals", lambda d: (t + d >= 0) & F.coalesce(here(t, d), F.lit(False))))
+    whole = lambda d: (d >= 0) & F.forall(F.sequence(F.lit(0), F.size("template_words") - 1), lambda t: F.coalesce(here(t, d), F.lit(False)))
+    at = F.when(F.col("exact"), F.filter("diagonals", whole)).otherwise(F.array().cast("array<int>"))
+    spans = spans.select("row", "label", at.alias("at"), (F.size(seen) / F.size("template_words")).alias("part"))
+    listed_labels = lambda keep: F.array_join(F.array_sort(F.collect_set(F.when(keep, F.col("label")))), ",")
+    base = F.size("at") > 0
+    found = spans.groupBy("row").agg(
+        F.sum(F.size("at")).cast("long").alias("n_base"), F.min(F.array_min("at")).cast("long").alias("first_word"), F.max(F.array_max("at")).cast("long").alias("last_word"),
+        listed_labels(base).alias("base_labels"), listed_labels(base | (F.col("part") >= cover)).alias("labels"), F.max("part").alias("score"))
+    out = rows.select("row", "doc_id", "n_words").join(found, "row", "left")
+    return out.select(
+        "doc_id", "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",
+        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -132,14 +132,18 @@ URL_SQL = rf"""
 _TEMPLATES = ", ".join(f"({k}, '{label}', {str(exact).lower()}, '{text}')" for k, (label, text, exact) in enumerate([(*p, True) for p in PHRASES] + [(*p, False) for p in PASSAGES]))
 
 LICENSE_SQL = rf"""
-    WITH templates AS (SELECT k AS template, label, exact, string_split(text, ' ') AS words FROM (VALUES {_TEMPLATES}) AS v(k, label, exact, text)),
-    marks AS (SELECT template, label, exact, len(words) - 2 AS n_grams, t, words[t + 1] || ' ' || words[t + 2] || ' ' || words[t + 3] AS gram FROM (SELECT *, unnest(range(len(words) - 2)) AS t FROM templates)),
+    WITH templates AS (SELECT k AS template, label, exact, string_split(text, ' ') AS tw FROM (VALUES {_TEMPLATES}) AS v(k, label, exact, text)),
+    marks AS (SELECT template, t, tw[t + 1] || ' ' || tw[t + 2] || ' ' || tw[t + 3] AS gram FROM (SELECT *, unnest(range(len(tw) - 2)) AS t FROM templates)),
     texts AS (SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
     grams AS (SELECT row, p, words[p + 1] || ' ' || words[p + 2] || ' ' || words[p + 3] AS gram FROM (SELECT row, words, unnest(range(len(words) - 2)) AS p FROM texts)),
-    votes AS (SELECT row, template, label, exact, n_grams, p - t AS diagonal, bit_or(1::BIGINT << t) AS seen FROM grams JOIN marks USING (gram) GROUP BY ALL),
+    votes AS (SELECT DISTINCT row, template, p - t AS diagonal FROM grams JOIN marks USING (gram)),
     gaps AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) > 3, true)::INT AS fresh FROM votes),
-    runs AS (SELECT *, sum(fresh) OVER (PARTITION BY row, template ORDER BY diagonal) AS span, exact AND bit_count(seen) = n_grams AS place FROM gaps),
-    spans AS (SELECT row, label, bit_count(bit_or(seen))::DOUBLE / n_grams AS part, count(*) FILTER (place) AS places, min(diagonal) FILTER (place) AS first, max(diagonal) FILTER (place) AS last FROM runs GROUP BY row, template, label, n_grams, span),
+    runs AS (SELECT *, sum(fresh) OVER (PARTITION BY row, template ORDER BY diagonal) AS span FROM gaps),
+    compared AS (SELECT row, template, span, label, exact, diagonal, t, len(tw) AS n, t + diagonal >= 0 AND coalesce(words[t + diagonal + 1] = tw[t + 1], false) AS same
+                 FROM (SELECT *, unnest(range(len(tw))) AS t FROM runs JOIN templates USING (template) JOIN texts USING (row))),
+    places AS (SELECT row, template, span, label, diagonal, bool_and(exact AND same) AS place FROM compared GROUP BY ALL),
+    parts AS (SELECT row, template, span, label, count(DISTINCT t) FILTER (same)::DOUBLE / max(n) AS part FROM compared GROUP BY row, template, span, label),
+    spans AS (SELECT row, label, max(part) AS part, count(*) FILTER (place) AS places, min(diagonal) FILTER (place) AS first, max(diagonal) FILTER (place) AS last FROM places JOIN parts USING (row, template, span, label) GROUP BY row, template, span, label),
     found AS (SELECT row, sum(places)::BIGINT AS n_base, min(first)::BIGINT AS first_word, max(last)::BIGINT AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (places > 0) AS base_labels,
                      string_agg(DISTINCT label, ',' ORDER BY label) FILTER (places > 0 OR part >= 0.7) AS labels, max(part) AS score FROM spans GROUP BY 1)
     SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0.0), 6) AS score

@@ -248,12 +248,27 @@ def test_licenses_match_brute_force(spark, sf_dir):
 
 
 def test_license_passage_with_changes(spark, odd_docs):
-    text = licenses.PASSAGES[0][1].replace(" of charge", " of any charge").replace(" software", " Software,")
+    text = licenses.PASSAGES[0][1].replace(" of charge", " of any charge").replace(" software", " Software,").replace("granted", "given")
     (r,) = licenses.scan_licenses(spark.createDataFrame([(1, "x y " + text)], "doc_id long, text string")).collect()
     assert r.labels == "mit" and r.base_labels == "" and r.n_base == 0 and 0.7 <= r.score < 1
+    many = licenses.scan_licenses(spark.createDataFrame([(1, "x y " + text)], "doc_id long, text string"), listed=3).collect()
+    assert many == [r]  # more grams than are listed: joined by a shuffle
     assert licenses.scan_licenses(odd_docs).count() == len(DOCS) and licenses.scan_licenses(odd_docs.limit(0)).count() == 0
 
 
+def test_license_spans_are_verified_by_their_words(spark):
+    """A template of many words, a place that starts before the text, and grams in the wrong places."""
+    long = " ".join(f"w{k}" for k in range(300))
+    words = long.split()
+    texts = {1: "x " + long, 2: " ".join(words[100:]), 3: " ".join(words[:150] + ["y"] + words[150:]), 4: " ".join(w for k in range(0, 300, 3) for w in (*words[k : k + 3], "z", "z", "z", "z", "z")), 5: " ".join(words[:100])}
+    out = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), [("long", long)], [("part", long)]).collect()}
+    assert (out[1].n_base, out[1].first_word, out[1].base_labels, out[1].score) == (1, 1, "long", 1.0)
+    assert out[2].score == pytest.approx(2 / 3) and out[2].labels == "" and out[3].n_base == 0 and out[3].labels == "part" and out[3].score == 1.0
+    assert out[4].score < 0.05 and out[5].score == pytest.approx(1 / 3)
+    with pytest.raises(ValueError):
+        licenses.scan_licenses(spark.createDataFrame([(1, "x")], "doc_id long, text string"), [("short", "one two")])
+
+
 def test_word_features_by_row(spark):
     x = toxicity.clause_features(pa.array(["You idiot. Not an idiot, he said", None, ""]), toxicity.Lexicon(), toxicity.ClauseMachine())
     assert x[0, 0] == pytest.approx(np.log1p(2)) and not x[1:].any()
