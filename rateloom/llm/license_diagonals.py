@@ -46,24 +46,24 @@ PASSAGES = (
 )
 
 
-def gram_hash(hashes: Column, at: Column) -> Column:
-    """Cyclic polynomial (a rolling hash) of the ``K`` word hashes from a place."""
+def gram_hash(words: str, at: Column) -> Column:
+    """Cyclic polynomial (a rolling hash) of the hashes of the ``K`` words from a place."""
     out = F.lit(0).cast("long")
     for j in range(K):
-        x, turn = F.get(hashes, at + j), 7 * (K - 1 - j)
+        x, turn = F.xxhash64(F.get(words, at + j)), 7 * (K - 1 - j)
         out = out.bitwiseXOR(F.shiftleft(x, turn).bitwiseOR(F.shiftrightunsigned(x, 64 - turn)) if turn else x)
     return out
 
 
-def word_hashes(words: str) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(w))
-
-
-def grams_of(words: str, hashes: str) -> Column:
-    """All grams of an array of words, as structs (p, h)."""
-    last = F.size(words) - K
-    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(i.alias("p"), gram_hash(F.col(hashes), i).alias("h")))
+def grams_of(words: str, firsts: list[int] | None = None) -> Column:
+    """The grams of an array of words as structs (p, h), or only those whose first word has one of the hashes."""
+    if firsts is None:
+        last = F.size(words) - K
+        places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    else:
+        places = F.array_remove(F.transform(words, lambda w, i: F.when(F.xxhash64(w).isin(firsts), i).otherwise(-1)), -1)
+        places = F.filter(places, lambda i: i <= F.size(words) - K)
+    return F.transform(places, lambda i: F.struct(i.alias("p"), gram_hash(words, i).alias("h")))
 
 
 def template_table(spark, phrases: Sequence[tuple[str, str]], passages: Sequence[tuple[str, str]]) -> DataFrame:
@@ -85,16 +85,16 @@ def scan_licenses(docs: DataFrame, phrases: Sequence[tuple[str, str]] = PHRASES,
     """
     spark = docs.sparkSession
     templates = template_table(spark, phrases, passages)
-    marks = templates.withColumn("hashes", word_hashes("template_words")).select("template", F.explode(grams_of("template_words", "hashes")).alias("mark"))
-    marks = save(marks.select("template", F.col("mark.p").alias("t"), "mark.h"), "license-grams")
-    known = [r.h for r in marks.select("h").distinct().limit(listed + 1).collect()]
+    marks = templates.select("template", "template_words", F.explode(grams_of("template_words")).alias("mark"))
+    marks = save(marks.select("template", F.col("mark.p").alias("t"), "mark.h", F.xxhash64(F.get("template_words", F.col("mark.p"))).alias("first")), "license-grams")
+    known = marks.select("h", "first").distinct().limit(listed + 1).collect()
     few = len(known) <= listed
     words = F.array_remove(F.split(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), NOT_WORD), "")
-    rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("words")).withColumn("hashes", word_hashes("words"))
-    grams = grams_of("words", "hashes")
+    rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("words")).withColumn("row", F.monotonically_increasing_id())
     if few:
-        grams = F.filter(grams, lambda g: g["h"].isin(known))
-    rows = rows.withColumn("grams", grams).drop("hashes").withColumn("row", F.monotonically_increasing_id())
+        rows = rows.withColumn("grams", F.filter(grams_of("words", sorted({r.first for r in known})), lambda g: g["h"].isin([r.h for r in known])))
+    else:
+        rows = rows.withColumn("grams", grams_of("words"))
     # words of texts without any hit are not needed again
     rows = save(rows.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.size("grams") > 0, F.col("words")).alias("words"), "grams"), "license-rows")
     marked = rows.filter("words IS NOT NULL")
