@@ -21,7 +21,7 @@ from ..shared import save
 #: Characters that the splitters compare.
 HEAD = 64
 #: Rows of one range that may share a head; a head with more is salted. At most ``HOT_HEADS`` heads can have more.
-HEAD_ROWS, HOT_HEADS = 5_000, 10_000
+HEAD_ROWS, HOT_HEADS = 500, 10_000
 
 
 def hot_heads(rows: DataFrame, most: int) -> DataFrame:

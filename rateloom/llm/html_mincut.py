@@ -1,51 +1,73 @@
 """Main text of HTML pages by minimum-cut labelling.
 
-A page becomes a run of text blocks. A hand-set linear classifier over a block's tags, class names, length and links
-gives its cost of being content or boilerplate; these costs are the capacities to the two terminals. Blocks that follow
-each other, and blocks that are near in the document tree, are joined by smoothness edges. The minimum cut separates
-content from boilerplate; the content blocks are returned in page order.
+A page becomes a graph of its text blocks and of those elements around them that tell something (``nav``, ``article``, a
+class named ``sidebar``). A linear classifier over a block's own length, links and punctuation gives its cost of being
+content or boilerplate; it is fitted, around a prior, on blocks of a bounded sample of pages that such elements label. The
+costs, and the elements' evidence for each block below them, are the capacities to the two terminals. Smoothness edges
+join a block to the nearest telling element, such an element to the next one above it, and blocks that follow each other
+or are siblings, the weaker the farther apart they are in the document tree. What stands in boilerplate can hardly be content, while content may hold
+boilerplate, so edges up the tree weigh more one way. The minimum cut separates content from boilerplate; the content
+blocks are returned in page order.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import importable
+from ..shared import importable, save
 from .word_cache import sliced
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)(?:>|(?=<)|\Z)""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]*"|'[^']*')*+(?:["'][^<>]*+)?)(?:>|(?=<)|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is never text of the page.
-RAW = frozenset("script style noscript template svg math iframe object canvas textarea select title head".split())
 RAW_TEXT = frozenset("script style textarea title iframe noscript template svg math object canvas select".split())
+#: The end of each, in any case; a longer name does not end it.
+RAW_END = {tag: re.compile(rf"</{tag}(?![a-zA-Z0-9:-])[^>]*(?:>|\Z)", re.I | re.A) for tag in RAW_TEXT}
 #: An open element of the first kind ends where one of the second kind begins.
 CLOSED_BY = {"p": frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
-#: Evidence of an element for content (+) or boilerplate (-), in hundredths of a log odds.
-TAG_COST = {"article": 500, "main": 400, "nav": -900, "footer": -900, "aside": -900, "header": -700, "form": -900, "menu": -900, "button": -900, "dialog": -900, "label": -400, "address": -300, "h1": 80, "p": 120, "blockquote": 80, "pre": 80, "li": -40, "figcaption": 60}
+#: Evidence of an element for content (+) or boilerplate (-), in hundredths of a log odds for each block in it.
+TAG_COST = {"article": 500, "main": 400, "nav": -900, "footer": -900, "aside": -900, "header": -700, "form": -900, "menu": -900, "button": -900, "dialog": -900, "label": -400, "address": -300}
 BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promos promotion recommended related replies respond rail search share sharing sidebar sidebars signup skip skyscraper social sponsor sponsored subscribe subscription tags teaser toolbar tracking warning widget".split())
 GOOD_WORDS = frozenset("article body content entry main post story text".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 WORD = re.compile(r"[a-z]+")
-ADJACENT, SIBLING = 60, 40
+#: Features of a block, and the classifier's weights before it is fitted (log odds).
+FEATURES = ("one", "links", "length", "stop")
+PRIOR = np.array([0.2, -3.5, 0.4, 0.6])
+#: Bounds of the sample that the weights are fitted on, and the blocks that it counts as beside the prior.
+SAMPLE_PAGES, SAMPLE_BLOCKS, SAMPLE_WEIGHT = 2000, 20_000, 200.0
+#: Largest cost of a block, in hundredths of a log odds.
+MOST = 300
+#: Capacities: a content block in a boilerplate element, the reverse; an element (for each block in it) likewise, and the reverse; neighbours.
+INTO_BAD, OUT_OF_GOOD, ELEMENT_INTO_BAD, ELEMENT_OUT_OF_GOOD, NEAR = 800, 400, 1000, 300, 120
+#: Steps up the tree in which a common element of neighbours is looked for.
+NEAR_STEPS = 4
 
 
 class Element:
-    __slots__ = ("cost", "links", "parent", "serial", "tag")
+    """``teller``: the nearest element, itself included, whose tag or attributes tell something."""
 
-    def __init__(self, tag: str, parent: "Element | None", cost: int, links: bool, serial: int):
-        self.tag, self.parent, self.cost, self.links, self.serial = tag, parent, cost, links, serial
+    __slots__ = ("blocks", "cost", "depth", "inside", "number", "parent", "tag", "teller")
 
+    def __init__(self, tag: str, parent: "Element | None", attributes: str):
+        self.tag, self.parent, self.blocks, self.number = tag, parent, 0, -1
+        self.depth = parent.depth + 1 if parent else 0
+        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
+        self.cost = element_cost(tag, attributes, self.inside)
+        self.teller = self if self.cost else parent.teller if parent else None
 
-def element_cost(tag: str, attributes: str, inside: str | None) -> int:
+
+def element_cost(tag: str, attributes: str, inside: bool) -> int:
     cost = TAG_COST.get(tag, 0)
     if tag == "header" and inside:
         cost = -300
@@ -68,11 +90,10 @@ def element_cost(tag: str, attributes: str, inside: str | None) -> int:
 def blocks_of(page: str) -> list[tuple[str, int, int, Element]]:
     """(text, its characters, those of them in links, innermost block element) of each block with text, in page order."""
     out: list[tuple[str, int, int, Element]] = []
-    top = node = Element("", None, 0, False, 0)
-    inline_links = serial = 0
+    top = node = Element("", None, "")
+    inline_links, opened = 0, Counter()
     held: list[str] = []
     linked: list[str] = []
-    lower = ""
 
     def flush() -> None:
         if held:
@@ -109,13 +130,14 @@ def blocks_of(page: str) -> list[tuple[str, int, int, Element]]:
             if tag == "br":
                 held.append(" ")
                 continue
-            x = node
-            while x is not top and x.tag != tag:
-                x = x.parent
-            if x is not top:
+            if opened[tag]:
                 flush()
-                node = x.parent
                 inline_links = 0
+                while True:
+                    x, node = node, node.parent
+                    opened[x.tag] -= 1
+                    if x.tag == tag:
+                        break
             continue
         if tag == "br":
             held.append(" ")
@@ -129,55 +151,48 @@ def blocks_of(page: str) -> list[tuple[str, int, int, Element]]:
                 flush()
             continue
         if tag in RAW_TEXT:
-            lower = lower or page.lower()
-            end = lower.find(f"</{tag}", at)
-            if end < 0:
-                at = len(page) if tag in ("script", "style") else at
-            else:
-                close = page.find(">", end)
-                at = len(page) if close < 0 else close + 1
+            close = RAW_END[tag].search(page, at)
+            if close:
+                at = close.end()
+            elif tag in ("script", "style"):
+                at = len(page)
             continue
         flush()
         inline_links = 0
         if tag in ("html", "head", "body"):
             continue
-        x = node
-        while x is not top and x.tag in CLOSED_BY and tag in CLOSED_BY[x.tag]:
-            x = node = x.parent
-        serial += 1
-        inside, x = None, node
-        while x is not top:
-            if x.tag in ("article", "main"):
-                inside = x.tag
-                break
-            x = x.parent
-        node = Element(tag, node, element_cost(tag, m[3], inside), False, serial)
+        while node is not top and node.tag in CLOSED_BY and tag in CLOSED_BY[node.tag]:
+            opened[node.tag] -= 1
+            node = node.parent
+        node = Element(tag, node, m[3])
+        opened[tag] += 1
     flush()
     return out
 
 
-def block_cost(text: str, size: int, links: int, element: Element) -> int:
-    """Evidence for content, in hundredths of a log odds; nearer ancestors count more."""
-    cost, part, x = 0.0, 1.0, element
-    while x is not None:
+def block_features(text: str, size: int, links: int, _: Element) -> list[float]:
+    """What the block's own text tells; elements speak by their evidence and the edges."""
+    return [1.0, links / size, min(size, 400) / 100, text[-1] in ".!?:;\"'»”…"]
+
+
+def seed(element: Element) -> int | None:
+    """What the elements around a block say it is: 0 inside any boilerplate, 1 inside content alone."""
+    x, label = element.teller, None
+    for _ in range(64):
+        if x is None:
+            break
         if x.cost < 0:
-            cost += x.cost if x.cost <= -700 else x.cost * part
-        elif x.cost:
-            cost += x.cost * max(part, 0.8 if x.tag in ("article", "main") else part)
-        part *= 0.9
-        x = x.parent
-    share = links / size
-    cost += -350 * share + min(size, 400) * 0.4 - 60
-    if text[-1] in ".!?:;\"'»”…":
-        cost += 60
-    return int(max(-2000, min(2000, cost)))
+            return 0
+        label = 1
+        x = x.parent.teller if x.parent else None
+    return label
 
 
-def minimum_cut(costs: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
-    """Which nodes stay with the source (content). ``edges``: (i, j, capacity both ways). Dinic's algorithm."""
+def minimum_cut(costs: list[int], edges: list[tuple[int, int, int, int]]) -> list[bool]:
+    """Which nodes stay with the source (content). ``edges``: (i, j, price of i alone with the source, of j alone). Dinic's algorithm."""
     n = len(costs)
     if all(c >= 0 for c in costs) or all(c <= 0 for c in costs):
-        return [c >= 0 for c in costs]
+        return [all(c >= 0 for c in costs)] * n
     source, sink = n, n + 1
     to: list[int] = []
     left: list[int] = []
@@ -196,8 +211,8 @@ def minimum_cut(costs: list[int], edges: list[tuple[int, int, int]]) -> list[boo
             join(source, i, c, 0)
         elif c < 0:
             join(i, sink, -c, 0)
-    for i, j, c in edges:
-        join(i, j, c, c)
+    for i, j, there, back in edges:
+        join(i, j, there, back)
     while True:
         level = [-1] * (n + 2)
         level[source] = 0
@@ -239,35 +254,109 @@ def minimum_cut(costs: list[int], edges: list[tuple[int, int, int]]) -> list[boo
             a = to[e]
 
 
-def main_text(page: str | None) -> str:
+def steps_apart(a: Element, b: Element) -> int:
+    """Steps between two elements over their common one; more than ``2 * NEAR_STEPS`` if it is not near."""
+    above, x = {}, a
+    for k in range(NEAR_STEPS + 1):
+        above[id(x)] = k
+        x = x.parent
+        if x is None:
+            break
+    x = b
+    for k in range(NEAR_STEPS + 1):
+        if id(x) in above:
+            return k + above[id(x)]
+        x = x.parent
+        if x is None:
+            break
+    return 2 * NEAR_STEPS + 1
+
+
+def graph_of(blocks: list[tuple[str, int, int, Element]], weights: np.ndarray) -> tuple[list[int], list[tuple[int, int, int, int]]]:
+    """Costs of the blocks and then of the telling elements around them, and the edges."""
+    logit = np.array([block_features(*b) for b in blocks], float) @ weights
+    costs = np.clip(np.round(100 * logit), -MOST, MOST).astype(int).tolist()
+    edges, tellers, last = [], [], {}
+    for i, (_, _, _, element) in enumerate(blocks):
+        x = element.teller
+        if x:
+            if x.number < 0:
+                x.number = len(blocks) + len(tellers)
+                tellers.append(x)
+            x.blocks += 1
+            edges.append((i, x.number, INTO_BAD, OUT_OF_GOOD))
+        if i and blocks[i - 1][3].teller is x:
+            near = NEAR // (1 + steps_apart(blocks[i - 1][3], element))
+            edges.append((i - 1, i, near, near))
+        family = id(element.parent or element), id(x)
+        if last.get(family, i - 1) != i - 1:
+            edges.append((last[family], i, NEAR // 3, NEAR // 3))
+        last[family] = i
+    for x in tellers:  # grows by the elements above
+        up = x.parent.teller if x.parent else None
+        if up and up.number < 0:
+            up.number = len(blocks) + len(tellers)
+            tellers.append(up)
+    for x in sorted(tellers, key=lambda x: x.depth, reverse=True):
+        up = x.parent.teller if x.parent else None
+        if up:
+            up.blocks += x.blocks
+            edges.append((x.number, up.number, ELEMENT_INTO_BAD * x.blocks, ELEMENT_OUT_OF_GOOD))
+    return costs + [x.cost * x.blocks for x in tellers], edges
+
+
+def main_text(page: str | None, weights: np.ndarray = PRIOR) -> str:
     """The content blocks of a page, joined by one space; empty if there are none."""
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    costs = [block_cost(*b) for b in blocks]
-    edges, last = [], {}
-    for i, (_, _, _, element) in enumerate(blocks):
-        near = element.parent or element
-        if i:
-            other = blocks[i - 1][3]
-            if other.parent is element.parent or other is element:
-                edges.append((i - 1, i, ADJACENT))
-            elif min(costs[i], costs[i - 1]) > -700:
-                edges.append((i - 1, i, ADJACENT // 3))
-        if near.serial in last and last[near.serial] != i - 1:
-            edges.append((last[near.serial], i, SIBLING))
-        last[near.serial] = i
-    return " ".join(b[0] for b, content in zip(blocks, minimum_cut(costs, edges)) if content)
-
-
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    return " ".join(b[0] for b, content in zip(blocks, minimum_cut(*graph_of(blocks, weights))) if content)
+
+
+def fit_weights(x: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Logistic weights around the prior (unit variance); both labels weigh alike, all blocks together ``SAMPLE_WEIGHT``."""
+    if len(np.unique(y)) < 2:
+        return PRIOR
+    each = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum()) * SAMPLE_WEIGHT
+    w = PRIOR.copy()
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (each * (y - p)) - (w - PRIOR))
+        w = w + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
+
+
+def fit_classifier(pages: DataFrame, html_col: str = "html", most: int = SAMPLE_PAGES, blocks: int = SAMPLE_BLOCKS) -> np.ndarray:
+    """Weights of ``FEATURES`` from blocks of about ``most`` pages, chosen by a hash, that the elements around them label; at
+    most ``blocks`` rows of numbers come to the driver. Without both labels the prior stays."""
+    importable(pages.sparkSession)
+    share = max(1, pages.count() // most)
+    rows = pages.select(F.col(html_col).cast("string").alias("html")).filter(F.pmod(F.xxhash64(F.lit(5), "html"), F.lit(share)) == 0)
+    names = ["label", *FEATURES]
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "html"):
+            found = [(s, *block_features(*b)) for page in batch.column("html").to_pylist() for b in blocks_of(page or "") if (s := seed(b[3])) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in (zip(*found) if found else [[]] * len(names))], names=names)
+
+    found = save(rows.mapInArrow(learn, ", ".join(f"{n} double" for n in names)), "labelled-blocks")
+    some = found.orderBy(F.xxhash64(*names), *names).limit(blocks).toPandas().to_numpy()
+    some = some[np.lexsort(some.T)]
+    return fit_weights(some[:, 1:], some[:, 0])
+
+
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: np.ndarray | None = None) -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars``. Null and empty html give an empty text; broken markup is read on
-    to its end; repeated rows are all returned; other columns are not read; an empty table gives no rows."""
+    to its end; repeated rows are all returned; other columns are not read; an empty table gives no rows. The classifier is
+    fitted on these pages unless its ``weights`` are given."""
     importable(pages.sparkSession)
+    weights = fit_classifier(pages, html_col) if weights is None else weights
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "html"):
-            texts = [main_text(x) for x in batch.column("html").to_pylist()]
+            texts = [main_text(x, weights) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
