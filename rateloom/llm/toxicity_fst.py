@@ -1,13 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words fall into classes: insult, threat, target, negation, reported speech, end of clause, other. Small transducers over
-these classes (insult, threat, target, negation, report) are composed into one deterministic machine, whose state says
-what stands before in the clause; each transition has a weight, and a clause's score is the weight of its path. Negated
-and reported insults weigh less, insults and threats at a target more. A logistic model turns the clause scores of a
-whole text into the score of the text.
-
-Insult and threat terms are a small seed list and the terms (words, and stems of words) that a bounded sample of labelled
-texts shows to stand in toxic texts only. Both models are fitted on labelled rows alone; nothing but the text is scored.
+Words fall into classes: insult, threat, target, negation, reported speech, other. Small transducers read and write these
+classes: one marks insults and threats in the reach of a negation, one those behind a word of reported speech, one those
+that stand with a target, and one weighs what comes out. ``compose`` joins them into one machine over the reachable
+tuples of their states. A clause's weight is the weight of its path; a text is scored by the clauses that match, not by
+isolated words.
+
+Insult terms are a small seed list and the terms (words, and stems of words) that a bounded sample of labelled texts shows to
+stand in toxic texts only. Those that mostly follow a word of intent are threats. Words that stand before such terms in
+texts labelled harmless, and hardly in toxic ones, are learned as reported speech. The weights of the outputs, and a logistic model
+that turns the clauses of a whole text into its score, are fitted on labelled rows alone; nothing but the text is scored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from ..shared import importable, save
 from .word_cache import sliced
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)  # in the order of SYMBOLS
 #: Seed terms (fixed values); insults and threats are widened by what labels teach.
 INSULTS = "idiot moron loser scum trash stupid pathetic worthless disgusting clown fool jerk imbecile coward liar vermin".split()
 THREATS = "kill destroy hurt beat stab shoot hunt crush".split()
@@ -43,49 +45,106 @@ def term_of(word: str) -> str:
     return NOT_LETTER.sub("", word).lower()
 
 
+class Transducer:
+    """Deterministic: ``arcs[state][symbol]`` is (next state, symbol written, weight). State 0 starts a clause."""
+
+    def __init__(self, arcs: list[dict[str, tuple[int, str, float]]]):
+        self.arcs = arcs
+
+    def run(self, symbols: list[str]) -> tuple[list[str], float]:
+        state, out, total = 0, [], 0.0
+        for x in symbols:
+            state, y, weight = self.arcs[state][x]
+            out.append(y)
+            total += weight
+        return out, total
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """What ``second`` makes of the output of ``first``, over the pairs of states that can be reached."""
+    number, queue, arcs = {(0, 0): 0}, [(0, 0)], []
+    for a, b in queue:
+        row = {}
+        for x, (a2, y, w) in first.arcs[a].items():
+            b2, z, v = second.arcs[b][y]
+            if (a2, b2) not in number:
+                number[a2, b2] = len(queue)
+                queue.append((a2, b2))
+            row[x] = number[a2, b2], z, w + v
+        arcs.append(row)
+    return Transducer(arcs)
+
+
+#: Words after a negation that it reaches, and words between a target and a term that belong together.
+NEAR, REACH = 3, 6
+#: Symbols: o other, i insult, t threat, g target, n negation, r report; a term that is marked gets its marks behind it.
+SYMBOLS = "oitgnr"
+MARKS = ("", "n", "r", "g")
+#: What the weighing transducer reads, as (kind, mark). A mark hides those after it: negated before reported before aimed.
+OUTPUTS = tuple(k + m for k in "it" for m in MARKS)
+#: Weights before they are fitted: plain, negated, reported and aimed, of insults and of threats.
+PRIOR = np.array([1.0, 0.3, 0.5, 1.3, 1.2, 0.35, 0.6, 1.6])
+
+
+def negation() -> Transducer:
+    """State: how many words the last negation still reaches."""
+    rows = []
+    for left in range(NEAR + 1):
+        step = max(0, left - 1)
+        rows.append({x: (NEAR if x == "n" else step, x + "n" if left and x in "it" else x, 0.0) for x in SYMBOLS})
+    return Transducer(rows)
+
+
+def report() -> Transducer:
+    """State: whether a word of reported speech came before."""
+    reads = [*SYMBOLS, "in", "tn"]
+    return Transducer([{x: (int(told or x == "r"), x + "r" if told and x in ("i", "t") else x, 0.0) for x in reads} for told in (0, 1)])
+
+
+def target() -> Transducer:
+    """State: words for which a target before still counts."""
+    reads = [*SYMBOLS, "in", "tn", "ir", "tr"]
+    return Transducer([{x: (REACH if x == "g" else max(0, left - 1), x + "g" if left and x in ("i", "t") else x, 0.0) for x in reads} for left in range(REACH + 1)])
+
+
+def weigher(weights: np.ndarray) -> Transducer:
+    """One state; other symbols weigh nothing."""
+    own = dict(zip(OUTPUTS, weights.tolist()))
+    return Transducer([{x: (0, x, own.get(x, 0.0)) for x in [*SYMBOLS, *OUTPUTS]}])
+
+
 class ClauseMachine:
-    """The composed machine. A state is (negation near, report open, target seen, insult seen); steps are looked up."""
-
-    NEAR = 3
-
-    def __init__(self, insult: float = 1.0, threat: float = 1.2, target: float = 0.3, negated: float = 0.3, reported: float = 0.5):
-        states = [(n, r, t, i) for n in range(self.NEAR + 1) for r in (0, 1) for t in (0, 1) for i in (0, 1)]
-        self.number = {s: k for k, s in enumerate(states)}
-        self.step: list[list[tuple[int, float]]] = []
-        for near, report, at_target, hit in states:
-            row = []
-            for kind in range(6):
-                n, r, t, i, weight = max(0, near - 1), report, at_target, hit, 0.0
-                if kind in (INSULT, THREAT):
-                    weight = (insult if kind == INSULT else threat) * (negated if near else 1.0) * (reported if report else 1.0)
-                    weight += target * at_target * (not near)
-                    i = 1
-                elif kind == TARGET:
-                    weight = target * (hit and not at_target) * (not near)
-                    t = 1
-                elif kind == NEGATION:
-                    n = self.NEAR
-                elif kind == REPORT:
-                    r = 1
-                row.append((self.number[n, r, t, i], weight))
-            self.step.append(row)
+    """The composition negation, report, target, weights. ``step[state][class]``: (next state, weight, number of the output or -1)."""
+
+    def __init__(self, weights: np.ndarray = PRIOR):
+        self.grammar = compose(compose(compose(negation(), report()), target()), weigher(weights))
+        place = {x: k for k, x in enumerate(OUTPUTS)}
+        self.step = [[(row[x][0], row[x][2], place.get(row[x][1], -1)) for x in SYMBOLS] for row in self.grammar.arcs]
 
     def score(self, kinds: list[int]) -> float:
         """Weight of one clause."""
+        return self.read(kinds, [0] * len(OUTPUTS))
+
+    def read(self, kinds: list[int], seen: list[int]) -> float:
+        """The same; what the clause's terms come out as is counted in ``seen``."""
         state, total = 0, 0.0
         for k in kinds:
-            state, weight = self.step[state][k]
+            state, weight, output = self.step[state][k]
             total += weight
+            if output >= 0:
+                seen[output] += 1
         return total
 
 
 class Lexicon:
-    """Classes of words; learned terms are words ("w:idiot") and stems ("s:lowei")."""
+    """Classes of words; learned terms are words ("w:idiot") and stems ("s:lowei"), of which some are threats."""
 
-    def __init__(self, terms: list[str] = ()):
+    def __init__(self, terms: list[str] = (), threats: list[str] = (), reports: list[str] = ()):
         self.words = dict.fromkeys(INSULTS, INSULT) | dict.fromkeys(THREATS, THREAT) | dict.fromkeys(TARGETS, TARGET) | dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(REPORTS, REPORT)
         self.words |= {t[2:]: INSULT for t in terms if t[:2] == "w:" and t[2:] not in self.words}
-        self.stems = {t[2:] for t in terms if t[:2] == "s:"}
+        self.words |= {t[2:]: THREAT for t in threats if t[:2] == "w:"}
+        self.words |= {w: REPORT for w in reports if w not in self.words}
+        self.stems = {t[2:]: THREAT if t in set(threats) else INSULT for t in terms if t[:2] == "s:"}
         self.known: dict[str, int] = {}
 
     def kind(self, raw: str) -> int:
@@ -93,13 +152,14 @@ class Lexicon:
         if word in self.words:
             return self.words[word]
         for n in STEMS:
-            if word[:n] in self.stems and len(word) >= n:
-                return INSULT
+            if len(word) >= n and word[:n] in self.stems:
+                return self.stems[word[:n]]
         return self.words.get(raw.lower().strip(".,;:!?\"'"), OTHER)
 
 
-def clause_features(texts: pa.Array, lexicon: Lexicon, machine: ClauseMachine) -> np.ndarray:
-    """A row of ``FEATURES`` for each text: matched clauses, highest, sum (both of clauses), sum over the root of the length."""
+def clause_features(texts: pa.Array, lexicon: Lexicon, machine: ClauseMachine, seen: np.ndarray | None = None) -> np.ndarray:
+    """A row of ``FEATURES`` for each text: matched clauses, highest, sum (both of clauses), sum over the root of the length.
+    ``seen``: a row for each text, to count what its terms come out as."""
     cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     parts = cut.flatten().dictionary_encode()
     words = parts.dictionary.to_pylist()
@@ -114,11 +174,13 @@ def clause_features(texts: pa.Array, lexicon: Lexicon, machine: ClauseMachine) -
         first, last = int(bounds[doc]), int(bounds[doc + 1])
         own = hits[(hits >= first) & (hits < last)] - first
         stops = np.append(np.flatnonzero(stop[first:last]), last - first)
-        totals = []
+        totals, count = [], [0] * len(OUTPUTS)
         for k in np.unique(np.searchsorted(stops, own)).tolist():
             a, b = (0 if k == 0 else int(stops[k - 1]) + 1), int(stops[k]) + 1
-            totals.append(machine.score(run[first + a : first + b].tolist()))
-        total = sum(totals)
+            totals.append(machine.read(run[first + a : first + b].tolist(), count))
+        total = max(0.0, sum(totals))
+        if seen is not None:
+            seen[doc] = count
         out[doc] = (math.log1p(len(totals)), max(totals), math.log1p(total), total / math.sqrt(last - first))
     return out
 
@@ -135,7 +197,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
         share = F.when(F.col("toxic") == label, F.lit(min(1.0, 1.2 * most / n))).otherwise(share)
     chosen = save(labels.filter(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) < share * 1_000_000), "labels-chosen")
     rows = docs.join(F.broadcast(chosen), "doc_id").filter("text IS NOT NULL").select("text", "toxic")
-    return save(rows.dropDuplicates(["text"]), "toxic-sample")
+    # labels of equal texts that disagree: toxic
+    return save(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "toxic-sample")
 
 
 def learned_terms(sample: DataFrame, least: int = 4, odds: float = 3.0, most: int = 3000) -> list[str]:
@@ -198,36 +261,99 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return w[:-1], float(w[-1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Lexicon, np.ndarray, float]:
-    """Terms and logistic weights from labelled rows (doc_id, toxic 0/1); the fitted sample, which comes to the driver as numbers only, is bounded by ``sample`` texts of each label."""
+#: Words of intent (fixed values); what toxic texts put behind them is a threat.
+INTENT = "will i'll we'll gonna going shall should must werde werden vais voy vamos".split()
+
+
+def learned_context(sample: DataFrame, terms: list[str], least: int = 5, odds: float = 2.0, most: int = 200) -> tuple[list[str], list[str]]:
+    """(threats among ``terms``, words of reported speech), from the words up to three places before each term in the sample.
+
+    A term is a threat if a word of intent stands there in half of its places in toxic texts or more; a word is one of reported
+    speech if it stands there in ``least`` harmless texts or more, and far more often than in toxic ones. At most ``most`` of either.
+    """
+    lexicon = Lexicon(terms)
+
+    def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            found = set()
+            for doc, (text, toxic) in enumerate(zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist())):
+                words = text.lower().split()
+                for k, raw in enumerate(words):
+                    if lexicon.kind(raw) in (INSULT, THREAT):
+                        near = [w for w in words[max(0, k - 3) : k] if lexicon.kind(w) == OTHER]
+                        found.add((doc, toxic, NOT_LETTER.sub("", raw), "", int(any(w in INTENT for w in words[max(0, k - 3) : k]))))
+                        found.update((doc, toxic, "", w, 0) for w in near if len(term_of(w)) > 2)
+            yield pa.RecordBatch.from_pylist([dict(zip(("doc", "toxic", "term", "word", "intent"), x)) for x in sorted(found)], schema=CONTEXT)
+
+    rows = save(sample.mapInArrow(before, "doc long, toxic int, term string, word string, intent int"), "term-context")
+    counts = rows.filter("term != '' AND toxic = 1").groupBy("term").agg(F.avg("intent").alias("part"), F.count(F.lit(1)).alias("n"))
+    intended = [r.term for r in counts.filter((F.col("part") >= 0.5) & (F.col("n") >= least)).orderBy(F.desc("n"), "term").limit(most).collect()]
+    threats = [t for t in terms if any(w == t[2:] if t[0] == "w" else w.startswith(t[2:]) for w in intended)]
+    totals = {r.toxic: r.n for r in rows.filter("term != ''").groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    told = rows.filter("word != ''").groupBy("word").agg(F.sum(1 - F.col("toxic")).alias("good"), F.sum("toxic").alias("bad"))
+    ratio = F.log((F.col("good") + 0.5) / (totals.get(0, 0) + 1)) - F.log((F.col("bad") + 0.5) / (totals.get(1, 0) + 1))
+    reports = told.filter((F.col("good") >= least) & (ratio >= odds)).orderBy(F.desc("good"), "word").limit(most).collect()
+    return threats, [r.word for r in reports]
+
+
+CONTEXT = pa.schema([("doc", pa.int64()), ("toxic", pa.int32()), ("term", pa.string()), ("word", pa.string()), ("intent", pa.int32())])
+
+
+def fit_weights(seen: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Weights of the outputs: a logistic model of the texts' counts around the prior, scaled so that a plain insult weighs 1; none is negative."""
+    x = np.column_stack([np.log1p(seen), np.ones(len(seen))])
+    prior = np.append(PRIOR, -2.0)
+    w = prior.copy()
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (y - p) - (w - prior))
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return np.maximum(w[:-1], 0) / max(w[0], 0.5)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Lexicon, ClauseMachine, np.ndarray, float]:
+    """Terms, machine and logistic weights from labelled rows (doc_id, toxic 0/1); the fitted sample, which comes to the driver
+    as numbers only, is bounded by ``sample`` texts of each label. Rows of ``labels`` that disagree count as toxic, and so do
+    equal texts whose labels disagree; without both labels a prior is returned."""
     importable(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     labels = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     texts = labelled_sample(docs, labels, sample)
-    lexicon, machine = Lexicon(learned_terms(texts)), ClauseMachine()
+    terms = learned_terms(texts)
+    lexicon, machine = Lexicon(terms, *learned_context(texts, terms)), ClauseMachine()
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def outputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = clause_features(batch.column("text"), lexicon, machine)
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(x[:, k]) for k in range(len(FEATURES))]], names=["toxic", *FEATURES])
+            seen = np.zeros((batch.num_rows, len(OUTPUTS)))
+            clause_features(batch.column("text"), lexicon, machine, seen)
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(c) for c in seen.T]], names=["toxic", *OUTPUTS])
 
-    rows = texts.mapInArrow(features, "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
-    share = labels.agg(F.avg("toxic")).first()[0]
+    rows = texts.mapInArrow(outputs, "toxic int, " + ", ".join(f"{f} double" for f in OUTPUTS)).toPandas()
     if not len(rows) or rows["toxic"].nunique() < 2:
-        return lexicon, np.array([0.5, 1.0, 1.0, 0.5]), -3.0
-    y = rows["toxic"].to_numpy(float)
-    w, b = fit_logistic(rows[list(FEATURES)].to_numpy(), y)
-    part = y.mean()
+        return lexicon, machine, np.array([0.5, 1.0, 1.0, 0.5]), -3.0
+    machine = ClauseMachine(fit_weights(rows[list(OUTPUTS)].to_numpy(), rows["toxic"].to_numpy(float)))
+    x = texts.mapInArrow(lambda batches: features_of(batches, lexicon, machine), "toxic int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
+    y = x["toxic"].to_numpy(float)
+    w, b = fit_logistic(x[list(FEATURES)].to_numpy(), y)
+    part, share = y.mean(), labels.agg(F.avg("toxic")).first()[0]
     # the sample has its own share of toxic texts
-    return lexicon, w, b + math.log(share / (1 - share)) - math.log(part / (1 - part))
+    return lexicon, machine, w, b + math.log(share / (1 - share)) - math.log(part / (1 - part))
+
+
+def features_of(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, machine: ClauseMachine) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = clause_features(batch.column("text"), lexicon, machine)
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), *[pa.array(x[:, k]) for k in range(len(FEATURES))]], names=["toxic", *FEATURES])
 
 
-def score_toxicity(docs: DataFrame, model: tuple[Lexicon, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, model: tuple[Lexicon, ClauseMachine, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, score, clauses``. Null and empty texts have no matched clause; long texts are
     scored whole; repeated rows are all scored; other columns are not read; an empty table gives no rows."""
     importable(docs.sparkSession)
-    lexicon, weights, bias = model
-    shared, machine = docs.sparkSession.sparkContext.broadcast(lexicon), ClauseMachine()
+    lexicon, machine, weights, bias = model
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -239,11 +365,11 @@ def score_toxicity(docs: DataFrame, model: tuple[Lexicon, np.ndarray, float], id
     return rows.mapInArrow(score, "doc_id long, score double, clauses long")
 
 
-def without_toxic(docs: DataFrame, model: tuple[Lexicon, np.ndarray, float], limit: float, text_col: str = "text") -> DataFrame:
+def without_toxic(docs: DataFrame, model: tuple[Lexicon, ClauseMachine, np.ndarray, float], limit: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns kept, whose score is below ``limit``; each row is decided where it is read, whatever its identifier."""
     importable(docs.sparkSession)
-    lexicon, weights, bias = model
-    shared, machine = docs.sparkSession.sparkContext.broadcast(lexicon), ClauseMachine()
+    lexicon, machine, weights, bias = model
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text_col):

@@ -174,6 +174,14 @@ def test_clause_machine():
     plain, aimed = m.score([toxicity.INSULT]), m.score([toxicity.TARGET, toxicity.OTHER, toxicity.INSULT])
     negated, told = m.score([toxicity.NEGATION, toxicity.OTHER, toxicity.INSULT]), m.score([toxicity.REPORT, toxicity.OTHER, toxicity.INSULT])
     assert negated < told < plain < aimed and m.score([toxicity.OTHER, toxicity.TARGET]) == 0
+    rng = random.Random(1)
+    parts = [toxicity.negation(), toxicity.report(), toxicity.target(), toxicity.weigher(toxicity.PRIOR)]
+    for _ in range(300):  # the composed machine does what its parts do one after another
+        kinds = rng.choices(range(6), k=rng.randint(0, 12))
+        symbols = [toxicity.SYMBOLS[k] for k in kinds]
+        for part in parts:
+            symbols, weight = part.run(symbols)
+        assert m.grammar.run([toxicity.SYMBOLS[k] for k in kinds])[0] == symbols and m.score(kinds) == pytest.approx(weight)
     assert m.score([toxicity.NEGATION] + [toxicity.OTHER] * 5 + [toxicity.INSULT]) == plain
 
 
@@ -193,9 +201,10 @@ def test_toxicity_learns_families_not_copies(spark):
         rows.append((d, " ".join(w for w in base if rng.random() < 0.9)))
         labels.append((d, 1))
     docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
-    lexicon, w, b = toxicity.fit_toxicity(docs, lab)
+    model = toxicity.fit_toxicity(docs, lab)
+    lexicon = model[0]
     assert any(s.startswith("grum") for s in lexicon.stems) and not any(s.startswith("z") for s in lexicon.stems) and not any(x.startswith("z") for x in lexicon.words)
-    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, (lexicon, w, b)).collect()}
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
     assert all((scores[d] >= 0.3) == (t == 1) for d, t in labels if d < 600)
 
 
@@ -208,12 +217,48 @@ def test_toxicity_held_out(spark, sf_dir):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows.collect())
 
 
+def test_toxicity_of_held_out_rows(spark):
+    """Labels that were never learned from: nearly all toxic texts are caught, hardly any other."""
+    rows = queries.op3_toxicity(spark, "/root/testdata/sf0.1").filter("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").select("predicted", "toxic").collect()
+    caught, toxic, wrong = sum(r.predicted and r.toxic for r in rows), sum(r.toxic for r in rows), sum(r.predicted > r.toxic for r in rows)
+    assert toxic > 100 and caught >= 0.92 * toxic and wrong <= 0.01 * (len(rows) - toxic)
+
+
+def test_the_grammar_decides(spark):
+    """Texts whose words alone are alike: reported and negated insults are harmless, threats are learned behind words of intent."""
+    rng = random.Random(12)
+    plain = [f"p{a}{b}" for a in "bcdfgh" for b in "klmnop"]
+    shapes = [("{} is a grumf", 1), ("you are a grumf {}", 1), ("i will vorpal you {}", 1), ("{} not a grumf", 0), ("{} quoth grumf", 0), ("{} quoth he grumf", 0)]
+    rows = []
+    for d in range(900):
+        shape, toxic = shapes[d % 6]
+        rows.append((d, " ".join(rng.choices(plain, k=12)) + ". " + shape.format(rng.choice(plain)) + ". " + " ".join(rng.choices(plain, k=12)), toxic))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    known = toxicity.Lexicon(["w:grumf", "w:vorpal"])
+    assert known.kind("Grumf!") == toxicity.INSULT
+    texts = df.select("text", "toxic")
+    threats, reports = toxicity.learned_context(texts, ["w:grumf", "w:vorpal"])
+    assert threats == ["w:vorpal"] and "quoth" in reports
+    lexicon = toxicity.Lexicon(["w:grumf", "w:vorpal"], threats, reports)
+    assert lexicon.kind("vorpal") == toxicity.THREAT and lexicon.kind("quoth") == toxicity.REPORT
+    seen, prior = np.zeros((len(rows), len(toxicity.OUTPUTS))), toxicity.ClauseMachine()
+    toxicity.clause_features(pa.array([r[1] for r in rows]), lexicon, prior, seen)
+    y = np.array([r[2] for r in rows], float)
+    machine = toxicity.ClauseMachine(toxicity.fit_weights(seen, y))
+    right = {}
+    for name, grammar in (("grammar", machine), ("words", toxicity.ClauseMachine(np.ones(len(toxicity.OUTPUTS))))):
+        x = toxicity.clause_features(pa.array([r[1] for r in rows]), lexicon, grammar)
+        w, b = toxicity.fit_logistic(x[::2], y[::2])
+        right[name] = ((x[1::2] @ w + b > 0) == (y[1::2] > 0)).mean()
+    assert right["grammar"] > 0.97 and right["words"] < 0.7
+
+
 def test_toxicity_edges(spark, odd_docs):
-    model = (toxicity.Lexicon(), np.array([1.0, 1.0, 1.0, 1.0]), -3.0)
+    model = (toxicity.Lexicon(), toxicity.ClauseMachine(), np.array([1.0, 1.0, 1.0, 1.0]), -3.0)
     rows = toxicity.score_toxicity(odd_docs, model).collect()
     assert len(rows) == len(DOCS) and all(0 <= r.score <= 1 and r.clauses == 0 for r in rows)
     empty = spark.createDataFrame([], "doc_id long, toxic int")
-    assert toxicity.fit_toxicity(odd_docs, empty)[2] < 0
+    assert toxicity.fit_toxicity(odd_docs, empty)[3] < 0
     assert toxicity.score_toxicity(odd_docs.limit(0), model).count() == 0
 
 
@@ -265,10 +310,10 @@ def test_formats_decide_in_the_tables(spark):
     """Without the automata, bare hexadecimal runs are all alike; with them, keys of the labelled format are told from card numbers."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
-    key = re.compile(r"(?<![A-Za-z0-9+/_.=-])[0-9a-f]{40}(?![A-Za-z0-9+/_=-])")
+    key = re.compile(r"(?<![A-Za-z0-9+/_.-])[0-9a-fA-F]{40}(?![A-Za-z0-9+/_=-])")
     truth = {(d, m.start(), m.end()) for d, t in texts.items() for m in key.finditer(t)}
     base = {(d, a, b) for d, t in texts.items() for k, a, b in plain_spans(t) if k == "hex"}
-    assert len(truth) > 100 and len(base & truth) < 0.6 * len(base)
+    assert len(truth) > 100 and truth - base and len(base & truth) < 0.6 * len(base)  # shouted keys are not lower-case
     model = secrets.fit_secrets(docs)
     assert model.automata["assign"].states >= 41
     found = {(r.doc_id, int(a), int(b)) for r in secrets.scan_secrets(docs, model).collect() for k, a, b in (x.split(":") for x in r.spans.split(",") if x) if k == "format"}
