@@ -18,7 +18,7 @@ from .secret_automata import fit_secrets, scan_secrets
 from .simhash_gray import simhash_groups
 from .token_files import read_token_files, write_token_files
 from .toxicity_fst import fit_toxicity, held_out, score_toxicity
-from .url_reputation import LOWER, SECOND_LEVEL, UPPER, judge_urls
+from .url_reputation import ARTICLE, LOWER, MARKUP, REFERENCES, SECOND_LEVEL, SPACES, UPPER, judge_urls, page_outcomes
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -55,9 +55,9 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outcomes: a page is bad if the label of its number says low quality."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("bad"))
-    rows = judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
+    """Outcomes: a page is bad if the text that it carries is labelled as of low quality."""
+    pages = table(spark, sf_dir, "pages")
+    rows = judge_urls(pages, page_outcomes(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")), URL_RULES)
     return rows.withColumns({c: F.round(c, 6) for c in ("bad_rate", "bad_rate_low")})
 
 
@@ -101,6 +101,19 @@ def _weight(groups: str) -> str:
                 FROM {groups}, whole WHERE n > 0)))"""
 
 
+def _folded(text: str) -> str:
+    return f"trim(regexp_replace(coalesce({text}, ''), '{SPACES}', ' ', 'g'))"
+
+
+def _carried() -> str:
+    text = f"CASE WHEN regexp_extract(html, '{ARTICLE}', 1) <> '' THEN regexp_extract(html, '{ARTICLE}', 1) ELSE html END"
+    for pattern, other in MARKUP:
+        text = f"regexp_replace({text}, '{pattern}', '{other}', 'g')"
+    for name, other in REFERENCES:
+        text = "replace({}, '{}', '{}')".format(text, name, other.replace("'", "''"))
+    return _folded(text)
+
+
 _RULE_CASES = {
     kind: " ".join(
         f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}') THEN '{verdict if kind == 'verdict' else rule}'"
@@ -112,7 +125,9 @@ _RULE_CASES = {
 URL_SQL = rf"""
     WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
     parts AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
-    known AS (SELECT doc_id AS page_id, count(quality) AS n, sum(1 - quality) AS bad FROM labels GROUP BY 1),
+    good AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+    texts AS (SELECT {_folded("text")} AS body, min(1 - quality) AS bad FROM documents JOIN good USING (doc_id) GROUP BY 1),
+    known AS (SELECT page_id, 1 AS n, avg(bad) AS bad FROM (SELECT page_id, {_carried()} AS body FROM pages) JOIN texts USING (body) WHERE body <> '' GROUP BY 1),
     counted AS (SELECT host, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad FROM parts LEFT JOIN known USING (page_id) GROUP BY 1),
     bare AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name FROM counted),
     split AS (SELECT *, regexp_extract(name, '(?:^|\.)([^.]+\.(?:{"|".join(SECOND_LEVEL)})\.[a-z]{{2}})$', 1) AS two_level, regexp_extract(name, '\.([^.]*\.[^.]*)$', 1) AS last_two, name AS own FROM bare),

@@ -104,6 +104,45 @@ def test_reputation_shrinks(spark):
     assert out[10_000].verdict == out[10_001].verdict == "allow" and 0.02 < out[10_000].bad_rate < 0.5
 
 
+def test_many_rules_are_joined(spark):
+    """The same verdicts whether rules are listed or joined."""
+    rng = random.Random(4)
+    names = [".".join(rng.choices(["a", "b", "example", "org"], k=k)) for k in (1, 2, 2, 3, 3)]
+    rules = sorted({(rng.choice(["block", "allow"]), f"{n}/{''.join(rng.choices(['x/', 'y', 'z/'], k=rng.randint(0, 3)))}") for n in names for _ in range(12)}, key=lambda r: (r[1], r[0]))
+    rules = list({r[1]: r for r in rules}.values())
+    rows = [(i, ".".join(rng.choices(["a", "b", "example", "org"], k=rng.randint(1, 4))), "/" + "".join(rng.choices(["x/", "y", "z/"], k=rng.randint(0, 4)))) for i in range(400)] + [(400, "", "")]
+    df = spark.createDataFrame(rows, "page_id long, host string, path string")
+    listed, joined = ({r.page_id: (r.rule, r.rule_verdict) for r in url_reputation.with_rules(df, rules, n).collect()} for n in (500, 1))
+    assert listed == joined and sum(v[0] is not None for v in listed.values()) > 50
+
+
+def test_bad_hosts_are_blocked_in_the_tables(spark):
+    """The tables' hosts are alike (their texts are dealt at random), so none is blocked; hosts that get low-quality pages are,
+    and a host with one bad page is not, as it would be without the prior."""
+    pages, docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("pages", "documents", "labels"))
+    outcomes = {r.page_id: r.bad for r in url_reputation.page_outcomes(pages, docs, labels).collect()}
+    assert len(outcomes) > 900 and 0.05 < sum(outcomes.values()) / len(outcomes) < 0.3
+    bad = sorted(i for i, b in outcomes.items() if b)
+    moved = {i: "https://spam.example.com/x" for i in bad[:60]} | {bad[61]: "https://once.example.com/x"}
+    url = F.create_map(*[F.lit(x) for kv in moved.items() for x in kv])[F.col("page_id")]
+    judged = url_reputation.judge_urls(pages.withColumn("url", F.coalesce(url, "url")), url_reputation.page_outcomes(pages, docs, labels), [])
+    blocked = {r.host: r.n for r in judged.groupBy("host").agg(F.count("page_id").alias("n"), F.max("verdict").alias("v")).filter("v = 'block'").collect()}
+    assert blocked == {"spam.example.com": 60}
+    assert url_reputation.judge_urls(pages, url_reputation.page_outcomes(pages, docs, labels), []).filter("verdict = 'block'").count() == 0
+
+
+def test_page_outcomes_edges(spark):
+    schema = "page_id long, url string, html string, text string"
+    rows = [(1, "h://a/" + "x" * 100_000, "<article><h1>T</h1><p>One &amp; <b>t</b>wo</p></article>", "q"), (1, "h://a/", "<article><p>One &amp; two</p></article>", "q"), (2, None, None, None), (3, "h://b/", "", ""), (None, "h://c/", "<p>bad  one</p>", "")]
+    pages = spark.createDataFrame(rows, schema)
+    docs = spark.createDataFrame([(1, "One & two"), (2, "bad\none"), (3, None), (4, ""), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (3, 0), (4, 0), (None, 0)], "doc_id long, quality int")
+    assert sorted((r.page_id, r.bad) for r in url_reputation.page_outcomes(pages, docs, labels).collect() if r.page_id) == [(1, 0), (1, 0)]
+    assert [(r.page_id, r.bad) for r in url_reputation.page_outcomes(pages, docs, labels).collect() if r.page_id is None] == [(None, 1)]
+    assert url_reputation.judge_urls(pages, url_reputation.page_outcomes(pages, docs, labels), queries.URL_RULES).count() == 5
+    assert url_reputation.page_outcomes(pages.limit(0), docs, labels).count() == 0
+
+
 def brute_groups(prints, limit):
     ids, bits = np.array(list(prints)), np.array(list(prints.values()), np.uint64)
     parent = list(range(len(ids)))
