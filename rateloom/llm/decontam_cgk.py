@@ -3,11 +3,13 @@
 Texts and items are runs of words. A CGK walk reads a run with a random step table: at each step it emits the word under
 the pointer and, by a coin that depends on the step and the word, moves on or stays. Runs at a small edit distance come
 out at a small Hamming distance with good probability. Each repetition samples a few steps as a key; a window and an item
-that agree on any key become a candidate. The number of repetitions follows from the target recall. Candidates are
-verified by the exact edit distance, so every reported pair is real.
+that agree on any key become a candidate. The number of repetitions follows from the target recall and, for each length of
+items, from how well runs with just the most edits agree, measured when the index is built. Candidates are verified by the
+exact edit distance, so every reported pair is real.
 
-The benchmark is the query set: its items, below a checked size, go to every task in blocks, and each document is read
-where it lies, so nothing is exchanged. A window that cannot reach the similarity is passed over before it is embedded: k edits
+The benchmark is the query set: its items go to every task in blocks of a checked size, and each document is read where it
+lies, so nothing is exchanged. A benchmark of several blocks is searched block by block: each block's result is saved, and its
+index taken back, before the next is built, so no more than one block is held anywhere; the documents are read once for each. A window that cannot reach the similarity is passed over before it is embedded: k edits
 leave one of any k + 1 pieces of an item whole, so its window has a short run of the item's words, and few words that occur
 in no item. These bounds lose nothing.
 """
@@ -25,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import importable
+from ..shared import importable, save
 from .word_cache import sliced
 
 #: Trimmed from words.
@@ -47,15 +49,10 @@ def words_in(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     return pa.DictionaryArray.from_arrays(parts.indices, words), np.asarray(cut.offsets) - cut.offsets[0].as_py()
 
 
-def repetitions(recall: float, sampled: int, agree: float) -> int:
-    """Keys of ``sampled`` steps, each equal with probability ``agree``, that give the target recall."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree**sampled)))
-
-
 class CgkIndex:
-    """Keys of all items. ``agree``: the part of steps at which runs of just the least similarity agree (measured in tests)."""
+    """Keys of all items: ``walks`` walks, and as many keys of ``sampled`` steps in each as an item's length needs."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float, recall: float = 0.95, sampled: int = 3, walks: int = 6, agree: float = 0.45, seed: int = 5):
+    def __init__(self, items: list[tuple[int, str]], similarity: float, recall: float = 0.95, sampled: int = 3, walks: int = 6, seed: int = 5):
         self.similarity, self.sampled = similarity, sampled
         self.items = [(i, words_of(t or "")) for i, t in items]
         self.items = [(i, w) for i, w in self.items if w]
@@ -67,15 +64,15 @@ class CgkIndex:
         self.lengths = sorted({len(r) for r in self.runs})
         rng = np.random.default_rng(seed)
         self.coins = rng.integers(0, 1 << 62, walks)
-        keys = repetitions(recall, sampled, agree)
-        self.keys_per_walk = -(-keys // walks)
         self.walks = walks
         self.tables = {}
         self.grams = self._pieces()
         for n in self.lengths:
             own = [k for k, r in enumerate(self.runs) if len(r) == n]
             # steps past the end of most walks say nothing: sample the first 3n/2
-            steps = [[np.sort(rng.choice(max(sampled, 3 * n // 2), sampled, replace=False)) for _ in range(self.keys_per_walk)] for _ in range(walks)]
+            reach = max(sampled, 3 * n // 2)
+            keys = self.keys_needed(n, reach, recall, np.random.default_rng([seed, n]))
+            steps = [[np.sort(rng.choice(reach, sampled, replace=False)) for _ in range(keys)] for _ in range(walks)]
             codes = np.concatenate([self.runs[k] for k in own])
             starts = np.arange(len(own)) * n
             padded, tables = np.append(codes, -1), []
@@ -85,6 +82,26 @@ class CgkIndex:
                     tables.append((key[order], np.array(own)[order]))
             self.tables[n] = (steps, tables)
 
+    def keys_needed(self, n: int, reach: int, recall: float, rng: np.random.Generator, pairs: int = 200) -> int:
+        """Keys for each walk with which runs of ``n`` words and windows with the most edits, made up at random, meet at the target recall."""
+        width, most = 2 * n + 2, self._most(n)
+        runs = rng.integers(1, 1 << 30, (pairs, width)).astype(np.int32)
+        edited = np.zeros((pairs, width), np.int32)
+        for k in range(pairs):
+            run = runs[k].tolist()
+            for place in sorted(rng.choice(n, min(most, n), replace=False).tolist(), reverse=True):
+                run[place : place + 1] = ([-2 - place], [], [run[place], -2 - place])[rng.integers(3)]
+            edited[k] = (run + [0] * width)[:width]
+        agree = np.zeros((self.walks, pairs))
+        for w in range(self.walks):
+            sides = []
+            for x in (runs, edited):
+                starts = np.arange(pairs) * width
+                sides.append(self._emitted(np.append(x.reshape(-1), -1), starts, starts + n, w, reach))
+            agree[w] = (sides[0] == sides[1]).mean(axis=0)
+        miss = np.prod(1 - agree**self.sampled, axis=0)
+        return next((m for m in range(1, 64) if 1 - (miss**m).mean() >= recall), 64)
+
     def _most(self, n: int) -> int:
         """Edits that an item of ``n`` words may have."""
         return int((1 - self.similarity) * n + 1e-9)
@@ -121,28 +138,27 @@ class CgkIndex:
                 starts = starts[starts <= len(codes) - least]
                 yield n, starts[counts[np.minimum(starts + n, len(codes))] - counts[starts] >= least]
 
-    def _keys(self, padded: np.ndarray, starts: np.ndarray, ends: np.ndarray, walk: int, steps: list[np.ndarray]) -> list[np.ndarray]:
-        """Keys of the windows from ``starts`` to ``ends``: hashes of the words emitted at the sampled steps. ``padded``: one more code at the end."""
-        at = starts.copy()
-        emitted: dict[int, np.ndarray] = {}
-        wanted = {int(s) for x in steps for s in x}
+    def _emitted(self, padded: np.ndarray, starts: np.ndarray, ends: np.ndarray, walk: int, steps: int) -> np.ndarray:
+        """Words that the walk emits at each of the first ``steps`` steps (rows) of the windows from ``starts`` to ``ends``. ``padded``: one more code at the end."""
+        at, out = starts.copy(), np.empty((steps, len(starts)), np.int64)
         coin = np.uint64(self.coins[walk])
-        spread = (np.arange(1, max(max(x) for x in steps) + 2, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        for step in range(max(wanted) + 1):
-            over = at >= ends
-            word = np.where(over, -1, padded[np.minimum(at, len(padded) - 1)]).astype(np.int64)
-            if step in wanted:
-                emitted[step] = word
+        spread = np.arange(1, steps + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for step in range(steps):
+            word = np.where(at >= ends, -1, padded[np.minimum(at, len(padded) - 1)]).astype(np.int64)
+            out[step] = word
             x = (word.astype(np.uint64) + spread[step]) ^ coin
             x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
             at = at + ((x >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
-        out = []
+        return out
+
+    def _keys(self, padded: np.ndarray, starts: np.ndarray, ends: np.ndarray, walk: int, steps: list[np.ndarray]) -> Iterator[np.ndarray]:
+        """Keys of the windows: hashes of the words emitted at the sampled steps."""
+        emitted = self._emitted(padded, starts, ends, walk, int(max(x[-1] for x in steps)) + 1)
         for own in steps:
             key = np.zeros(len(starts), np.uint64)
-            for s in own:
-                key = (key ^ emitted[int(s)].astype(np.uint64)) * np.uint64(0x100000001B3) + np.uint64(int(s))
-            out.append(key)
-        return out
+            for s in own.tolist():
+                key = (key ^ emitted[s].astype(np.uint64)) * np.uint64(0x100000001B3) + np.uint64(s)
+            yield key
 
     def candidates(self, codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Rows (document, item, start) of windows that share a key with an item. ``bounds``: where documents start, and the end."""
@@ -159,7 +175,7 @@ class CgkIndex:
                 continue
             for w in range(self.walks):
                 for j, key in enumerate(self._keys(padded, starts, np.minimum(starts + n, bounds[doc + 1]), w, steps[w])):
-                    table, own = tables[w * self.keys_per_walk + j]
+                    table, own = tables[w * len(steps[w]) + j]
                     low, high = np.searchsorted(table, key, "left"), np.searchsorted(table, key, "right")
                     hit = np.flatnonzero(high > low)
                     if len(hit):
@@ -231,15 +247,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, r
     """
     importable(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = [rows.mapInArrow(lambda batches, shared=shared: search(batches, shared.value), FOUND) for shared in indexes(benchmark, similarity, recall, item_id_col, item_text_col)]
+    search_with = lambda shared: rows.mapInArrow(lambda batches: search(batches, shared.value), FOUND)
+    out, blocks = [], block_count(benchmark, item_text_col)
+    for shared in indexes(benchmark, blocks, similarity, recall, item_id_col, item_text_col):
+        out.append(search_with(shared) if blocks == 1 else save(search_with(shared), "leaks"))
+        if blocks > 1:
+            shared.unpersist()
     return reduce(DataFrame.unionByName, out) if out else docs.sparkSession.createDataFrame([], FOUND)
 
 
-def indexes(benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, item_id_col: str = "item_id", item_text_col: str = "text") -> Iterator[Broadcast]:
-    """Indexes over all items, block by block, as broadcasts."""
+def block_count(benchmark: DataFrame, item_text_col: str = "text") -> int:
+    count, size = benchmark.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(item_text_col).cast("string"))), F.lit(0))).first()
+    return max(1, -(-count // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
+
+
+def indexes(benchmark: DataFrame, blocks: int, similarity: float = 0.8, recall: float = 0.95, item_id_col: str = "item_id", item_text_col: str = "text") -> Iterator[Broadcast]:
+    """Indexes over all items, block by block, as broadcasts; a block is collected when it is asked for."""
     items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-    count, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(1, -(-count // BLOCK_ITEMS), -(-size // BLOCK_BYTES))
     for block in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect() if blocks > 1 else items.collect()
         if own:
@@ -259,8 +283,12 @@ def search(batches: Iterator[pa.RecordBatch], index: CgkIndex) -> Iterator[pa.Re
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns kept, whose text repeats no item; each row is decided where it is read, whatever its identifier."""
     importable(docs.sparkSession)
-    for shared in indexes(benchmark, **options):
+    blocks = block_count(benchmark, options.get("item_text_col", "text"))
+    for shared in indexes(benchmark, blocks, **options):
         docs = docs.mapInArrow(lambda batches, shared=shared: clean(batches, shared.value, text_col), docs.schema)
+        if blocks > 1:
+            docs = save(docs, "clean-rows")
+            shared.unpersist()
     return docs
 
 

@@ -135,6 +135,30 @@ def test_leaks_match_brute_force(spark):
     assert got <= truth and len(got & truth) >= 0.95 * len(truth) and len(truth) >= 55
 
 
+@pytest.mark.parametrize("words", [15, 40, 120])
+def test_recall_at_the_limit_of_edits(words):
+    """Items of one length, each repeated once with just the most edits that the similarity allows."""
+    rng = random.Random(words)
+    items = [(i, " ".join(f"v{i}x{rng.randrange(10**6)}" for _ in range(words))) for i in range(150)]
+    index = leaks.CgkIndex(items, 0.8)
+    most, found = index._most(words), 0
+    for i, item in items:
+        run = item.split()
+        for place in sorted(rng.sample(range(words), most), reverse=True):
+            run[place : place + 1] = rng.choice([[], ["zz"], [run[place], "yy"]])
+        codes, bounds = leaks.encode_words(pa.array([" ".join(["a"] * 20 + run + ["b"] * 20)]), index.codes)
+        found += any(f[1] == i for f in index.verify(codes, bounds, index.candidates(codes, bounds)))
+    assert found >= 0.92 * len(items)
+
+
+def test_benchmark_of_several_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(20))) for i in range(9)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "a b " + " ".join(f"w{i}x{k}" for k in range(20)) if i < 9 else "c d") for i in range(12)], "doc_id long, text string")
+    monkeypatch.setattr(leaks, "BLOCK_ITEMS", 4)
+    assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(docs, items).collect()} == {(i, i) for i in range(9)}
+    assert {r.doc_id for r in leaks.without_leaks(docs, items).collect()} == {9, 10, 11}
+
+
 def test_prefix_edits_is_exact():
     def full(a, b):
         d = list(range(len(b) + 1))
