@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -15,12 +17,25 @@ _LOCAL: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir``, or a temporary one where that is unset."""
+    """The folder for intermediate tables: ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary
+    one, removed when the process ends; on a cluster executors would not share it, which is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
-        base = _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="rateloom-"))
-    return base.rstrip("/")
+        if app not in _LOCAL:
+            folder = tempfile.mkdtemp(prefix="rateloom-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _LOCAL[app] = "file://" + folder
+        base = _LOCAL[app]
+    return f"{base.rstrip('/')}/rateloom-{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove the session's intermediate tables, once no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_path(spark: SparkSession, label: str) -> str:
