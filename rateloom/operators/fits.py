@@ -19,78 +19,90 @@ from ..shared import save
 LEAST_ROWS, LEAST_TEAMS = 32, 8
 
 
-def ridge_effects(games: pd.DataFrame, penalty: float, half_life: float) -> tuple[float, dict, dict] | None:
+def ridge_effects(cells: pd.DataFrame, penalties: Sequence[float]) -> list[tuple[float, dict, dict]] | None:
     """rate = mean + rated effect + faced effect, weighted by volume and recency; only effects are penalised, and both sets
-    are centred. None where there are too few rows or teams."""
-    games = games[(games["denominator"] > 0) & games["numerator"].notna()]
-    teams = sorted(set(games["team"]) | set(games["opponent"]))
-    if len(games) < LEAST_ROWS or games["team"].nunique() < LEAST_TEAMS:
+    are centred. ``cells``: (team, opponent, w, wy, n), the sums of weights, weighted rates and rows. One fit for each penalty; None
+    where there are too few rows or teams."""
+    if cells["n"].sum() < LEAST_ROWS or cells["team"].nunique() < LEAST_TEAMS:
         return None
+    cells = cells.sort_values(["team", "opponent"])
+    teams = sorted(set(cells["team"]) | set(cells["opponent"]))
     number = {t: k for k, t in enumerate(teams)}
-    n = len(teams)
-    i, j = games["team"].map(number).to_numpy(), games["opponent"].map(number).to_numpy()
-    y = (games["numerator"] / games["denominator"]).to_numpy()
-    w = games["denominator"].to_numpy() * 0.5 ** (games["games_ago"].to_numpy() / half_life)
-    w = w / w.mean()
-    gram, right = np.zeros((2 * n + 1, 2 * n + 1)), np.zeros(2 * n + 1)
-    index = np.stack([np.zeros(len(y), int), 1 + i, 1 + n + j])
+    n, scale = len(teams), cells["n"].sum() / cells["w"].sum()
+    index = np.stack([np.zeros(len(cells), int), 1 + cells["team"].map(number).to_numpy(), 1 + n + cells["opponent"].map(number).to_numpy()])
+    w, wy = cells["w"].to_numpy() * scale, cells["wy"].to_numpy() * scale
+    gram, right, out = np.zeros((2 * n + 1, 2 * n + 1)), np.zeros(2 * n + 1), []
     for a in range(3):
-        np.add.at(right, index[a], w * y)
+        np.add.at(right, index[a], wy)
         for b in range(3):
             np.add.at(gram, (index[a], index[b]), w)
-    gram[np.arange(1, 2 * n + 1), np.arange(1, 2 * n + 1)] += penalty
-    mean, effects = (s := np.linalg.solve(gram, right))[0], s[1:]
-    rated, faced = effects[:n], effects[n:]
-    mean, rated, faced = mean + rated.mean() + faced.mean(), rated - rated.mean(), faced - faced.mean()
-    return float(mean), dict(zip(teams, rated.tolist())), dict(zip(teams, faced.tolist()))
+    for penalty in penalties:
+        mean, effects = (s := np.linalg.solve(gram + np.diag([0.0] + [penalty] * (2 * n)), right))[0], s[1:]
+        rated, faced = effects[:n], effects[n:]
+        mean, rated, faced = mean + rated.mean() + faced.mean(), rated - rated.mean(), faced - faced.mean()
+        out.append((float(mean), dict(zip(teams, rated.tolist())), dict(zip(teams, faced.tolist()))))
+    return out
+
+
+def weighted_cells(games: DataFrame, keys: Sequence[str], half_life: float) -> DataFrame:
+    """(keys, team, opponent, w, wy, n, numerator, denominator): what a fit needs of rows (numerator, denominator, games_ago); the volume
+    cancels in the weighted rate. Rows without volume or numerator are left out."""
+    w = F.pow(F.lit(0.5), F.col("games_ago") / half_life)
+    rows = games.filter("denominator > 0 AND numerator IS NOT NULL")
+    return rows.groupBy(*keys, "team", "opponent").agg(
+        F.sum(F.col("denominator") * w).alias("w"), F.sum(F.col("numerator") * w).alias("wy"), F.count(F.lit(1)).alias("n"), F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator"))
 
 
 def two_way_ridge(games: DataFrame, penalty: float = 25.0, half_life: float = 17.0) -> DataFrame:
-    """(metric, team, mean, rated, faced) from (metric, team, opponent, numerator, denominator, games_ago), one fit a metric."""
+    """(metric, team, mean, rated, faced) from (metric, team, opponent, numerator, denominator, games_ago), one fit a metric.
+    Spark sums the rows; a fit reads a row for each pair of teams."""
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        found = ridge_effects(rows, penalty, half_life)
+    def fit(cells: pd.DataFrame) -> pd.DataFrame:
+        found = ridge_effects(cells, [penalty])
         columns = ["metric", "team", "mean", "rated", "faced"]
         if not found:
             return pd.DataFrame({c: [] for c in columns})
-        mean, rated, faced = found
-        return pd.DataFrame([(rows["metric"].iloc[0], t, mean, rated[t], faced[t]) for t in rated], columns=columns)
+        mean, rated, faced = found[0]
+        return pd.DataFrame([(cells["metric"].iloc[0], t, mean, rated[t], faced[t]) for t in rated], columns=columns)
 
-    return games.groupBy("metric").applyInPandas(fit, "metric string, team long, mean double, rated double, faced double")
+    return weighted_cells(games, ["metric"], half_life).groupBy("metric").applyInPandas(fit, "metric string, team long, mean double, rated double, faced double")
 
 
 def tune_ridge(games: DataFrame, penalties: Sequence[float], half_life: float = 17.0, least_train: int = 100) -> DataFrame:
     """(metric, penalty, mse, baseline_mse): walk-forward error over the second half of the periods, for each penalty.
 
-    Every period of that half is predicted by a fit of its own over all periods strictly before; each (metric, penalty,
-    period) is a group. Predictions use the rated side alone; the baseline is the mean of those periods. Rows without a
+    Every period of that half is predicted by a fit of its own over all periods strictly before. Spark sums the rows before each
+    such period, and the squares of its own rows, by teams; each (metric, period) is a group of those sums, in which all
+    penalties are tried. Predictions use the rated side alone; the baseline is the mean of those periods. Rows without a
     numerator or volume are left out.
     """
 
     def score(rows: pd.DataFrame) -> pd.DataFrame:
-        metric, penalty, cut = rows["metric"].iloc[0], float(rows["penalty"].iloc[0]), rows["cut"].iloc[0]
-        rows = rows.sort_values(["period", "team", "opponent"])
-        train, test = rows[rows["period"] < cut].copy(), rows[rows["period"] == cut]
-        train["games_ago"] = cut - train["period"]
-        found = ridge_effects(train, penalty, half_life) if len(train) >= least_train else None
+        metric, train, test = rows["metric"].iloc[0], rows[rows["opponent"].notna()], rows[rows["opponent"].isna()]
+        found = ridge_effects(train, penalties) if train["n"].sum() >= least_train else None
         out = []
-        if found:
-            mean, rated, _ = found
-            y, w = test["numerator"] / test["denominator"], test["denominator"]
-            flat = train["numerator"].sum() / train["denominator"].sum()
-            out.append((metric, penalty, float((w * (y - mean - test["team"].map(rated).fillna(0.0)) ** 2).sum()), float((w * (y - flat) ** 2).sum()), float(w.sum())))
+        for penalty, (mean, rated, _) in zip(penalties, found or ()):
+            # sums of w, w y and w y y of the period's rows: w, numerator and wy
+            flat, own = train["numerator"].sum() / train["denominator"].sum(), mean + test["team"].map(rated).fillna(0.0)
+            error = (test["wy"] - 2 * own * test["numerator"] + own**2 * test["w"]).sum()
+            base = (test["wy"] - 2 * flat * test["numerator"] + flat**2 * test["w"]).sum()
+            out.append((metric, penalty, float(error), float(base), float(test["w"].sum())))
         return pd.DataFrame(out, columns=["metric", "penalty", "error", "base", "weight"])
 
-    rows = games.filter("denominator > 0 AND numerator IS NOT NULL").select("metric", "team", "opponent", "period", "numerator", "denominator")
+    rows = save(games.filter("denominator > 0 AND numerator IS NOT NULL").select("metric", "team", "opponent", "period", "numerator", "denominator"), "tuned-facts")
     order = Window.partitionBy("metric").orderBy("period")
     periods = rows.select("metric", "period").distinct().withColumns({"k": F.row_number().over(order) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("metric"))})
-    cuts = periods.filter("k >= n div 2").select("metric", F.col("period").alias("cut"), F.explode(F.array(*[F.lit(float(p)) for p in penalties])).alias("penalty"))
-    rows = rows.join(F.broadcast(cuts), "metric").filter("period <= cut")  # a row for each metric, period and penalty
+    cuts = periods.filter("k >= n div 2").select("metric", F.col("period").alias("cut"))
+    met = rows.join(F.broadcast(cuts), "metric").withColumn("games_ago", (F.col("cut") - F.col("period")).cast("double"))  # a row for each metric and period
+    train = weighted_cells(met.filter("period < cut"), ["metric", "cut"], half_life)
+    y = F.col("numerator")
+    test = met.filter("period = cut").groupBy("metric", "cut", "team").agg(F.sum("denominator").alias("w"), F.sum(y * y / F.col("denominator")).alias("wy"), F.count(F.lit(1)).alias("n"), F.sum(y).alias("numerator"), F.sum("denominator").alias("denominator"))
+    sums = train.unionByName(test.withColumn("opponent", F.lit(None).cast("long")))
     # dealt out by number: few rows, much work
-    rows = rows.repartition(int(games.sparkSession.conf.get("spark.sql.shuffle.partitions")), "metric", "penalty", "cut")
-    errors = rows.groupBy("metric", "penalty", "cut").applyInPandas(score, "metric string, penalty double, error double, base double, weight double")
-    sums = errors.groupBy("metric", "penalty").agg(*[F.sum(c).alias(c) for c in ("error", "base", "weight")])
-    return sums.select("metric", "penalty", (F.col("error") / F.col("weight")).alias("mse"), (F.col("base") / F.col("weight")).alias("baseline_mse"))
+    sums = sums.repartition(int(games.sparkSession.conf.get("spark.sql.shuffle.partitions")), "metric", "cut")
+    errors = sums.groupBy("metric", "cut").applyInPandas(score, "metric string, penalty double, error double, base double, weight double")
+    totals = errors.groupBy("metric", "penalty").agg(*[F.sum(c).alias(c) for c in ("error", "base", "weight")])
+    return totals.select("metric", "penalty", (F.col("error") / F.col("weight")).alias("mse"), (F.col("base") / F.col("weight")).alias("baseline_mse"))
 
 
 def least_squares(df: DataFrame, features: Sequence[str], target: str) -> tuple[dict[str, float], float, float] | None:

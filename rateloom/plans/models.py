@@ -221,12 +221,27 @@ def ridge_tuning(spark, sf_dir):
     return errors.groupBy("metric").agg(F.min_by(F.struct("penalty", "mse", "baseline_mse"), F.struct("mse", "penalty")).alias("best")).select("metric", "best.*")
 
 
-@query()
+_LINES = "x AS (SELECT l_extendedprice / 1000 AS y, l_quantity AS q, l_discount AS d, l_tax AS t FROM lineitem)"
+#: Normal equations on covariances, solved by determinants.
+LEAST_SQUARES_SQL = f"""WITH {_LINES},
+    s AS (SELECT avg(y) AS my, avg(q) AS mq, avg(d) AS md, avg(t) AS mt, var_pop(y) AS yy, var_pop(q) AS qq, var_pop(d) AS dd, var_pop(t) AS tt, covar_pop(q, d) AS qd, covar_pop(q, t) AS qt, covar_pop(d, t) AS dt,
+                 covar_pop(q, y) AS qy, covar_pop(d, y) AS dy, covar_pop(t, y) AS ty FROM x),
+    det AS (SELECT *, qq * (dd * tt - dt * dt) - qd * (qd * tt - dt * qt) + qt * (qd * dt - dd * qt) AS det FROM s),
+    b AS (SELECT *, (qy * (dd * tt - dt * dt) - qd * (dy * tt - dt * ty) + qt * (dy * dt - dd * ty)) / det AS bq,
+                 (qq * (dy * tt - dt * ty) - qy * (qd * tt - dt * qt) + qt * (qd * ty - dy * qt)) / det AS bd,
+                 (qq * (dd * ty - dy * dt) - qd * (qd * ty - dy * qt) + qy * (qd * dt - dd * qt)) / det AS bt FROM det),
+    f AS (SELECT *, bq * qy + bd * dy + bt * ty AS explained FROM b)
+    SELECT term, round(value, 4) AS value FROM (
+        SELECT 'intercept' AS term, my - bq * mq - bd * md - bt * mt AS value FROM f UNION ALL SELECT 'quantity', bq FROM f UNION ALL SELECT 'discount', bd FROM f UNION ALL SELECT 'tax', bt FROM f
+        UNION ALL SELECT 'r2', explained / yy FROM f UNION ALL SELECT 'rmse', sqrt(yy - explained) FROM f)"""
+
+
+@query(LEAST_SQUARES_SQL)
 def least_squares_fit(spark, sf_dir):
     """Price on quantity, discount and tax; coefficients as rows."""
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / 1000).alias("y"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
     beta, r2, rmse = fits.least_squares(rows, ["quantity", "discount", "tax"], "y")
-    return spark.createDataFrame([*beta.items(), ("r2", r2), ("rmse", rmse)], "term string, value double")
+    return rounded(spark.createDataFrame([*beta.items(), ("r2", r2), ("rmse", rmse)], "term string, value double"), "value", digits=4)
 
 
 @query()

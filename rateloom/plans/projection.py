@@ -152,7 +152,7 @@ _PART = "CASE segment " + " ".join(f"WHEN '{s}' THEN {p}" for s, p in SPLIT) + "
     SELECT entity, team, segment, round(share, 6) AS share,
            round(share + lost * (part * CASE WHEN slice > 0 THEN share / slice ELSE 1.0 / peers END + (1 - dealt) * CASE WHEN whole > 0 THEN share / whole ELSE 0 END), 6) AS new_share
     FROM healthy JOIN lost USING (team) JOIN slices USING (team, segment) JOIN whole USING (team)""")
-def share_redistribution(spark, sf_dir):
+def absent_share_dealt(spark, sf_dir):
     """A team's absent share goes to three segments by a fixed split, inside each by the healthy peers' shares; parts of segments
     that the team has not are dealt over all its healthy entities."""
     absent, healthy = absences(spark, sf_dir)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, asof, rank, reshape
-from ..shared import table
+from ..shared import save, table
 from .registry import big, query, rounded
 
 WINDOW, PRIOR_GAMES = 8, 12.0
@@ -62,13 +62,13 @@ def star(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey").select(big(F.col("s_nationkey")).alias("team"), big(F.col("c_nationkey")).alias("opponent"), big(period()).alias("period"), "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(team, opponent, period, metric, numerator, denominator): one aggregate over the lines, then unpivoted."""
+def facts(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
+    """(team, opponent, period, metric, numerator, denominator): one aggregate over the lines, then unpivoted; of ``only`` these metrics, if any are named."""
     base = star(spark, sf_dir).groupBy("team", "opponent", "period").agg(
         F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"), F.sum("l_quantity").alias("quantity"),
         F.sum(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))).alias("returned"), F.count(F.lit(1)).cast("double").alias("lines"),
     )
-    return reshape.unpivot_pairs(base, ["team", "opponent", "period"], metrics())
+    return reshape.unpivot_pairs(base, ["team", "opponent", "period"], {k: v for k, v in metrics().items() if not only or k in only})
 
 
 def trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,16 +79,16 @@ def trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_league(rows: DataFrame) -> DataFrame:
-    """The league's rate is a small aggregate of the same rows, joined back by metric."""
-    league = rows.groupBy("metric").agg((F.sum("num8") / F.sum("den8")).alias("league_rate"))
-    return rows.join(F.broadcast(league), "metric")  # a row for each metric
+    """The league's rate: sums over a metric's rows, of which there are teams times periods however many lines there are."""
+    league = Window.partitionBy("metric")
+    return rows.withColumn("league_rate", F.sum("num8").over(league) / F.sum("den8").over(league))
 
 
-def multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def multipliers(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
     """(team, metric, n, multiplier): the raw rate shrunk to the league's by ``PRIOR_GAMES`` periods."""
-    totals = facts(spark, sf_dir).groupBy("team", "metric").agg(F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator"), F.countDistinct("period").alias("n"))
-    whole = totals.groupBy("metric").agg((F.sum("numerator") / F.sum("denominator")).alias("league_rate"))
-    rows = totals.filter("denominator > 0").join(F.broadcast(whole), "metric")  # a row for each metric
+    league = Window.partitionBy("metric")  # a row for each team
+    totals = facts(spark, sf_dir, *only).groupBy("team", "metric").agg(F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator"), F.countDistinct("period").alias("n"))
+    rows = totals.withColumn("league_rate", F.sum("numerator").over(league) / F.sum("denominator").over(league)).filter("denominator > 0")
     return rows.select("team", "metric", "n", rank.shrink_multiplier(F.col("n"), F.col("numerator") / F.col("denominator"), F.col("league_rate"), PRIOR_GAMES).alias("multiplier"))
 
 
@@ -157,7 +157,7 @@ def adjusted_log(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
     orders = asof.last_n(orders, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")], 10)
     teams = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), big(F.col("c_nationkey")).alias("team"))
-    own = multipliers(spark, sf_dir).filter("metric = 'net_price'").select("team", "multiplier")
+    own = multipliers(spark, sf_dir, "net_price").select("team", "multiplier")
     rows = orders.join(teams, "o_custkey").join(F.broadcast(own), "team", "left")  # a row for each nation
     return rows.select("o_custkey", "o_orderkey", big(F.col("games_ago")).alias("games_ago"), F.round(F.col("o_totalprice") / F.coalesce("multiplier", F.lit(1.0)), 3).alias("adjusted"))
 
@@ -168,7 +168,8 @@ def adjusted_log(spark, sf_dir):
     SELECT a, b, round(net, 5) AS net, round(-net, 5) AS net_back FROM edges""")
 def orientation_pair(spark, sf_dir):
     """The balance of a pair whichever way it is written, and from the other side with its sign turned."""
-    pairs = facts(spark, sf_dir).filter("metric = 'net_price' AND team != opponent").groupBy(F.col("team").alias("a"), F.col("opponent").alias("b")).agg(F.sum("numerator").alias("net"))
+    pairs = facts(spark, sf_dir, "net_price").filter("team != opponent").groupBy(F.col("team").alias("a"), F.col("opponent").alias("b")).agg(F.sum("numerator").alias("net"))
+    pairs = save(pairs, "pairs")  # read four times
     keys = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     there = reshape.oriented(keys, pairs, "a", "b", "net")
     back = reshape.oriented(keys.select(F.col("b").alias("a"), F.col("a").alias("b")), pairs, "a", "b", "net").select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("net").alias("net_back"))
@@ -188,7 +189,7 @@ def head_tail(spark, sf_dir):
     shares AS (SELECT team, opponent, sum(numerator) AS total FROM facts WHERE metric = 'net_price' GROUP BY 1, 2)
     SELECT team, opponent, round(total, 5) AS total, round(total / sum(total) OVER (PARTITION BY opponent), 6) AS share FROM shares""")
 def share_of_total(spark, sf_dir):
-    rows = aggregates.share_of_total(facts(spark, sf_dir).filter("metric = 'net_price'"), ["team"], ["opponent"], "numerator")
+    rows = aggregates.share_of_total(facts(spark, sf_dir, "net_price"), ["team"], ["opponent"], "numerator")
     return rounded(rounded(rows.select("team", "opponent", "total", "share"), "share"), "total", digits=5)
 
 
@@ -199,7 +200,7 @@ def share_of_total(spark, sf_dir):
     SELECT team, opponent, round(share, 6) AS share, round(share + freed * share / nullif(present, 0), 6) AS new_share FROM parts JOIN freed USING (opponent) WHERE NOT absent""")
 def share_redistribution(spark, sf_dir):
     """Shares of absent members go to the present ones in proportion; each group's total is conserved."""
-    rows = aggregates.share_of_total(facts(spark, sf_dir).filter("metric = 'net_price'"), ["team"], ["opponent"], "numerator").withColumn("absent", F.col("team") % 5 == 0)
+    rows = aggregates.share_of_total(facts(spark, sf_dir, "net_price"), ["team"], ["opponent"], "numerator").withColumn("absent", F.col("team") % 5 == 0)
     group = Window.partitionBy("opponent")
     freed, present = F.sum(F.when(F.col("absent"), F.col("share")).otherwise(0.0)).over(group), F.sum(F.when(F.col("absent"), 0.0).otherwise(F.col("share"))).over(group)
     rows = rows.withColumn("new_share", F.col("share") + freed * F.col("share") / F.nullif(present, F.lit(0.0))).filter("NOT absent")

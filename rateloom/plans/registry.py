@@ -15,6 +15,8 @@ def query(sql: str | None = None) -> Callable:
     """Register a function of (spark, sf_dir) under its name; ``sql`` gives the same rows in DuckDB."""
 
     def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries named {f.__name__}")
         QUERIES[f.__name__] = f
         if sql:
             ORACLE_SQL[f.__name__] = sql

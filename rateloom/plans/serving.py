@@ -11,7 +11,7 @@ from ..operators import asof, rank
 from ..shared import table
 from .registry import query
 
-RELATIONS = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+RELATIONS = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 @query(" UNION ALL ".join(f"SELECT '{t}' AS relation, count(*)::BIGINT AS n FROM {t}" for t in RELATIONS))
