@@ -39,6 +39,8 @@ STEMS = (4, 5, 6, 7)
 SAMPLE = 3000
 NOT_LETTER = re.compile(r"[\W\d_]+")
 FEATURES = ("clauses", "most", "sum", "density")
+#: Words at either end of a text by which its copies are known, and the part of a term's texts that must differ there.
+ENDS, VARIED = 8, 0.5
 
 
 def term_of(word: str) -> str:
@@ -207,7 +209,11 @@ def learned_terms(sample: DataFrame, least: int = 4, odds: float = 3.0, most: in
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return []
-    words = sample.withColumn("doc", F.monotonically_increasing_id()).select("doc", "toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("raw"))
+    sample = save(sample.withColumn("doc", F.monotonically_increasing_id()), "toxic-texts")
+    parts = F.split("text", r"\s+")
+    ends = [F.xxhash64(F.array_join(F.slice(x, 1, ENDS), " ")) for x in (parts, F.reverse(parts))]
+    edges = sample.filter("toxic = 1").select("doc", ends[0].alias("head"), ends[1].alias("tail"))
+    words = sample.select("doc", "toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("raw"))
     words = words.select("doc", "toxic", F.regexp_replace("raw", r"[^\p{L}]+", "").alias("word")).filter(F.length("word") > 2)
     terms = F.array(F.concat(F.lit("w:"), "word"), *[F.when(F.length("word") > n, F.concat(F.lit("s:"), F.substring("word", 1, n))) for n in STEMS])
     terms = save(words.select("doc", "toxic", F.explode(terms).alias("term")).filter("term is not null").distinct(), "sample-terms")
@@ -215,7 +221,9 @@ def learned_terms(sample: DataFrame, least: int = 4, odds: float = 3.0, most: in
     support = max(least, round(0.01 * n1))
     ratio = F.log((F.col("bad") + 0.5) / (n1 + 1)) - F.log((F.col("n") - F.col("bad") + 0.5) / (n0 + 1))
     chosen = save(counts.filter((F.col("bad") >= support) & (ratio >= odds)).orderBy(F.desc("bad"), "term").limit(most), "toxic-terms")
-    where = terms.filter("toxic = 1").join(chosen, "term").groupBy("term", "bad", "n").agg(F.collect_set("doc").alias("docs")).collect()
+    where = terms.filter("toxic = 1").join(chosen, "term").join(edges, "doc").groupBy("term", "bad", "n").agg(F.collect_set("doc").alias("docs"), F.count_distinct("head").alias("heads"), F.count_distinct("tail").alias("tails")).collect()
+    # copies of a text share its first or last words
+    where = [r for r in where if min(r.heads, r.tails) >= VARIED * r.bad]
     chosen = without_copied(sorted(where, key=lambda r: (-r.bad, r.term)))
     bad = {r.term[2:]: r.bad for r in chosen if r.term[0] == "s" and r.n == r.bad}
 
@@ -300,17 +308,21 @@ CONTEXT = pa.schema([("doc", pa.int64()), ("toxic", pa.int32()), ("term", pa.str
 
 
 def fit_weights(seen: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Weights of the outputs: a logistic model of the texts' counts around the prior, scaled so that a plain insult weighs 1; none is negative."""
+    """Weights of the outputs, none negative: a logistic model of the texts' counts. The prior's weights are first brought to the
+    scale of the labels together, then each may leave it as far as its own occurrences tell; unseen outputs keep the prior's."""
     x = np.column_stack([np.log1p(seen), np.ones(len(seen))])
-    prior = np.append(PRIOR, -2.0)
+    scale, bias = fit_logistic(x[:, :-1] @ PRIOR[:, None], y, 1e-2)
+    scale = max(float(scale[0]), 0.5)
+    prior = np.append(scale * PRIOR, bias)
+    precision = np.append(np.full(len(PRIOR), 4 / scale**2), 1e-3)
     w = prior.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)), x.T @ (y - p) - (w - prior))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(precision), x.T @ (y - p) - precision * (w - prior))
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
-    return np.maximum(w[:-1], 0) / max(w[0], 0.5)
+    return np.maximum(w[:-1], 0) / scale
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Lexicon, ClauseMachine, np.ndarray, float]:
