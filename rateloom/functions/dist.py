@@ -57,7 +57,7 @@ def mixture_variance(p: Column, s: Column, mean: Column, variance: Column) -> Co
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """Lanczos approximation for positive x."""
+    """Lanczos approximation for positive x; its published coefficients (fixed values)."""
     c = (676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
     small = x < 0.5
     z = np.where(small, 1 - x, x) - 1

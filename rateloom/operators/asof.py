@@ -29,9 +29,9 @@ def first_by(df: DataFrame, entity: Sequence[str], order: Sequence[Column]) -> D
 
 
 def only_unique(df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Keep-none deduplication: rows whose key no other row has."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*key))
-    return df.withColumn("_n", n).filter("_n = 1").drop("_n")
+    """Keep-none deduplication: rows whose key no other row has. Counts and rows are combined before the exchange."""
+    rows = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*df.columns)).alias("_row"))
+    return rows.filter("_n = 1").select("_row.*")
 
 
 def trailing(entity: Sequence[str], order: Sequence[str | Column], rows: int):

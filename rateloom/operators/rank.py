@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import save
+
 
 def z_score(value: str, group: Sequence[str]) -> Column:
     """(x - mean) / sample deviation; 0 where that is undefined."""
@@ -49,15 +51,39 @@ def shrink_to_median(n: Column, own: Column, median: Column, half: float = 2.0)
     return w * own + (1 - w) * median
 
 
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "_k", size: str = "_n") -> DataFrame:
+    """Row number from 0 of each group under ascending ``order``, and the group's size, with no group in one task.
+
+    Rows are range-partitioned by (group, order) and counted by range; inside a range they are numbered by a sort, and the
+    counts of the ranges before, a row for each range and group, are added.
+    """
+    rows = save(df.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = rows.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_rows"))
+    own = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("_rows").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_part").alias("_p"), before.alias("_before"), F.sum("_rows").over(own).alias(size))
+    inside = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order)) - 1
+    same = F.col("_part") == F.col("_p")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    rows = rows.withColumn("_inside", inside).join(counts, same)
+    return rows.withColumn(name, F.col("_inside") + F.col("_before")).drop("_inside", "_before", "_part", "_p", *[f"_g_{g}" for g in group])
+
+
+def upper_median(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """(group, value): element n // 2 of each group's sorted values, no interpolation; null values are left out."""
+    rows = numbered(df.filter(F.col(value).isNotNull()).select(*group, value), group, [value])
+    return rows.filter("_k = _n div 2").select(*group, value)
+
+
 def match_marginal(df: DataFrame, group: Sequence[str], value: str, tie: str, target: DataFrame, target_value: str, name: str) -> DataFrame:
     """Give the rows of each group the marginal distribution of ``target`` while keeping their order.
 
-    The row with rank r of n takes the target's value number floor(r m / n) of m. ``target`` (group, value) is numbered by
-    the same window, and the two meet on (group, number), so no list of a group is built.
+    The row with rank r of n takes the target's value number floor(r m / n) of m. Both sides are numbered over ranges, and
+    meet on (group, number), so no group is sorted in one task and no list of it is built.
     """
-    spec = Window.partitionBy(*group)
-    numbered = target.select(*group, F.col(target_value).alias(name), (F.row_number().over(spec.orderBy(target_value)) - 1).alias("_k"), F.count(F.lit(1)).over(spec).alias("_m"))
-    sizes = numbered.groupBy(*group).agg(F.max("_m").alias("_size"))
-    rows = df.withColumn("_r", F.row_number().over(spec.orderBy(value, tie)) - 1).withColumn("_n", F.count(F.lit(1)).over(spec)).join(sizes, list(group))
-    rows = rows.withColumn("_k", F.floor(F.col("_r") * F.col("_size") / F.col("_n")).cast("int"))
-    return rows.join(numbered.drop("_m"), [*group, "_k"]).drop("_r", "_n", "_size", "_k")
+    there = numbered(target.select(*group, F.col(target_value).alias(name)), group, [name], "_k", "_m")
+    sizes = there.groupBy(*group).agg(F.max("_m").alias("_size"))
+    rows = numbered(df, group, [value, tie], "_r", "_n").join(sizes, list(group))
+    rows = rows.withColumn("_k", F.floor(F.col("_r") * F.col("_size") / F.col("_n")).cast("long"))
+    return rows.join(there.drop("_m"), [*group, "_k"]).drop("_r", "_n", "_size", "_k")

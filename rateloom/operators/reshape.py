@@ -31,7 +31,7 @@ def match_cascade(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     matched, and leave before the next key is tried. Null keys match nothing."""
     rest_l, rest_r, found = left, right, []
     for name, lk, rk in keys:
-        alone = lambda df, i, k: df.select(F.col(i).alias(i), k.alias("_k")).filter("_k IS NOT NULL").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("_k"))).filter("_n = 1").drop("_n")
+        alone = lambda df, i, k: df.select(F.col(i).alias(i), k.alias("_k")).filter("_k IS NOT NULL").groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.first(i).alias(i)).filter("_n = 1").drop("_n")
         hits = alone(rest_l, left_id, lk).join(alone(rest_r, right_id, rk), "_k").select(left_id, right_id, F.lit(name).alias("matched_by"))
         found.append(hits)
         rest_l, rest_r = rest_l.join(hits.select(left_id), left_id, "left_anti"), rest_r.join(hits.select(right_id), right_id, "left_anti")
@@ -39,10 +39,10 @@ def match_cascade(left: DataFrame, right: DataFrame, left_id: str, right_id: str
 
 
 def blank_shared_ids(df: DataFrame, id_columns: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """An id that several rows claim stays with the first by ``order``; the others get null."""
+    """An id that several rows claim stays with the first by ``order``; the others get null. Rows without the id are not sorted."""
     for c in id_columns:
         place = F.row_number().over(Window.partitionBy(c).orderBy(*order))
-        df = df.withColumn(c, F.when(place == 1, F.col(c)))
+        df = df.filter(F.col(c).isNotNull()).withColumn(c, F.when(place == 1, F.col(c))).unionByName(df.filter(F.col(c).isNull()))
     return df
 
 

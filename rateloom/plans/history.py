@@ -146,7 +146,7 @@ def topk_board(spark, sf_dir):
 def upper_median(spark, sf_dir):
     own = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
     rows = own.join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
-    return rows.select("c_mktsegment", aggregates.upper_median("total", ["c_mktsegment"]).alias("upper_median")).filter("upper_median IS NOT NULL")
+    return rank.upper_median(rows, ["c_mktsegment"], "total").withColumnRenamed("total", "upper_median")
 
 
 @query("""SELECT user_id, max(CASE WHEN event_type = 'click' THEN total END) AS click, max(CASE WHEN event_type = 'purchase' THEN total END) AS purchase, max(CASE WHEN event_type = 'view' THEN total END) AS view

@@ -182,7 +182,7 @@ def ranking_score(spark, sf_dir):
     league = teams.agg(F.avg("team_value").alias("league"))
     factors = teams.groupBy("team").agg(F.avg("team_value").alias("own")).crossJoin(F.broadcast(league)).select("team", (F.col("own") / F.col("league")).alias("factor"))  # a single row
     scored = save(usage(spark, sf_dir).join(F.broadcast(factors), "team").select("entity", "segment", "n_games", (F.col("mean") * F.col("factor")).alias("score")), "scored")  # a row for each team
-    middles = scored.groupBy("segment").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY score DESC)").alias("middle"))
+    middles = rank.upper_median(scored, ["segment"], "score").withColumnRenamed("score", "middle")
     score = rank.shrink_to_median(F.col("n_games"), F.col("score"), F.col("middle"))
     rows = scored.join(F.broadcast(middles), "segment").select("entity", "segment", "n_games", F.round(score, 6).alias("score"))  # a row for each segment
     place = F.rank().over(Window.partitionBy("segment").orderBy(F.desc("score")))
