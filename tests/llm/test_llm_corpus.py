@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from rateloom.llm import components as graph
-from rateloom.llm import content_sort, ffd_packing, queries, token_files, url_reputation
+from rateloom.llm import content_sort, decontam_cgk, ffd_packing, queries, token_files, url_reputation
 from rateloom.llm import simhash_gray as simhash
 from rateloom.llm.word_cache import WordCache
 
@@ -401,6 +401,40 @@ def test_first_fit_matches_plain_scan():
             free[k] -= sizes[i]
 
 
+def brute_leaking(texts, items, similarity=0.8):
+    """Documents with a window that repeats an item, by the plain edit distance at every word; windows with too few of an item's words are passed over."""
+    out = set()
+    for d, text in texts.items():
+        words = decontam_cgk.words_of(text or "")
+        for item in items:
+            run = decontam_cgk.words_of(item)
+            most = int((1 - similarity) * len(run) + 1e-9)
+            known = np.concatenate([[0], np.cumsum([w in set(run) for w in words], dtype=int)])
+            for s in range(len(words)):
+                e = min(len(words), s + len(run) + most)
+                if run and known[e] - known[s] >= len(run) - most and decontam_cgk.prefix_edits(run, words[s:e], most)[0] <= most:
+                    out.add(d)
+                    break
+    return out
+
+
+def test_pipeline_stages_of_odd_rows(spark, sf_dir):
+    """Nulls in every column, empty texts, repeated rows, extra columns with clashing names, and no rows at all."""
+    rows = [(None, None, None, None, None), (None, "", None, "s", 0), (1, "plain words", "en", None, 2), (1, "plain words", "en", None, 2), (2, "w " * 30_000, "en", "s", 9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    docs = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], schema + ", _row int, body int, toxic string")
+    kept = {"toxicity": 5, "exact_dedup": 3, "near_dedup": 5, "decontamination": 5}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == list(corpus_pipeline.COLUMNS)
+        if name == "near_dedup":  # rows with equal sets of shingles are near copies; empty ones link to nothing
+            kept[name] = 4
+        assert out.count() == kept[name], name
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    assert sum(r.length for r in packed if r.start == 0 and r.doc_id is None) == 2 and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf_dir).count() == 0
+
+
 def test_pipeline_stages(spark, sf_dir):
     """Each stage against brute force on its own input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -412,7 +446,8 @@ def test_pipeline_stages(spark, sf_dir):
         gone = {d: t for d, t in before.items() if d not in after}
         assert docs.columns == columns and set(after) <= set(before) and all(after[d] == before[d] for d in after)
         if name == "toxicity":
-            assert sum(labels.get(d) == 0 for d in gone) <= 0.05 * len(gone) + 1
+            toxic = {d for d in before if labels.get(d) == 1}
+            assert sum(labels.get(d) == 0 for d in gone) <= 0.05 * len(gone) + 1 and len(toxic & set(gone)) >= 0.6 * len(toxic)  # learned from eight toxic texts
         if name == "exact_dedup":
             assert len(set(after.values())) == len(after) and all(min(d for d, x in before.items() if x == t) != g and t in after.values() for g, t in gone.items())
         if name == "near_dedup":
@@ -422,7 +457,8 @@ def test_pipeline_stages(spark, sf_dir):
             linked = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if near(sets[a], sets[b])}
             assert {b for _, b in linked} == set(gone)
         if name == "decontamination":
-            assert set(gone) == {r.doc_id for r in queries.find_leaks(spark.createDataFrame(list(before.items()), "doc_id long, text string"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
+            truth = brute_leaking(before, [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()])
+            assert set(gone) <= truth and len(gone) >= 0.95 * len(truth) and truth
         before = after
     check_packing(corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect(), list(before.items()), 4096)
 
