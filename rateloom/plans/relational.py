@@ -197,3 +197,40 @@ def change_since_last(spark, sf_dir):
     """Difference to the entity's row before."""
     before = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice") - F.lag("o_totalprice").over(before), 2).alias("change"))
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, epoch(try_strptime(strftime(o_orderdate, '%Y-%m-%d') || ' ' || clock, '%Y-%m-%d %H:%M'))::BIGINT AS kickoff,
+        round((epoch(TIMESTAMP '2002-01-01') - epoch(o_orderdate)) / 3600.0, 3) AS age_hours, (year(o_orderdate) - (month(o_orderdate) < 3)::INT)::BIGINT AS season
+    FROM (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 'late' ELSE lpad((o_orderkey % 24)::VARCHAR, 2, '0') || ':30' END AS clock FROM orders)""")
+def clock_and_season(spark, sf_dir):
+    """A date and a clock text to a time (null where the clock cannot be read), the age in hours, and the season, which starts in March."""
+    clock = F.when(F.col("o_orderkey") % 5 == 0, "late").otherwise(F.concat(F.lpad((F.col("o_orderkey") % 24).cast("string"), 2, "0"), F.lit(":30")))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    at = F.try_to_timestamp(F.concat_ws(" ", day, clock), F.lit("yyyy-MM-dd HH:mm"))
+    age = (F.unix_timestamp(F.lit("2002-01-01 00:00:00").cast("timestamp")) - F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))) / 3600
+    season = F.year("o_orderdate") - (F.month("o_orderdate") < 3).cast("int")
+    return table(spark, sf_dir, "orders").select("o_orderkey", day.alias("day"), F.unix_seconds(at).alias("kickoff"), F.round(age, 3).alias("age_hours"), big(season).alias("season"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN '+' ELSE '-' END || abs(round(c_acctbal))::BIGINT AS signed, round(100 * p)::BIGINT || '%' AS percent,
+        CASE WHEN p >= 0.5 THEN -round(100 * p / (1 - p)) ELSE round(100 * (1 - p) / p) END::BIGINT AS odds,
+        CASE WHEN h < 1 THEN 'now' WHEN h < 24 THEN h || 'h ago' ELSE h // 24 || 'd ago' END AS seen
+    FROM (SELECT *, 0.05 + 0.9 * ((c_custkey * 37) % 101) / 101.0 AS p, (c_custkey % 72)::BIGINT AS h FROM customer)""")
+def display_formats(spark, sf_dir):
+    """Signed numbers, percents, odds as their American figures, and times as ages."""
+    p, h = 0.05 + 0.9 * ((F.col("c_custkey") * 37) % 101) / 101.0, F.col("c_custkey") % 72
+    odds = F.when(p >= 0.5, -F.round(100 * p / (1 - p))).otherwise(F.round(100 * (1 - p) / p))
+    seen = F.when(h < 1, "now").when(h < 24, F.concat(h.cast("string"), F.lit("h ago"))).otherwise(F.concat(F.floor(h / 24).cast("string"), F.lit("d ago")))
+    signed = F.concat(F.when(F.col("c_acctbal") >= 0, "+").otherwise("-"), F.abs(F.round("c_acctbal")).cast("long").cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", signed.alias("signed"), F.concat(F.round(100 * p).cast("long").cast("string"), F.lit("%")).alias("percent"), odds.cast("long").alias("odds"), seen.alias("seen"))
+
+
+@query("""WITH bounds AS (SELECT event_type, min(value) AS low, max(value) AS high FROM events GROUP BY 1)
+    SELECT event_type, least(19, floor((value - low) / nullif(high - low, 0) * 20))::BIGINT AS bin, count(*)::BIGINT AS n, round(min(value), 6) AS least, round(max(value), 6) AS largest FROM events JOIN bounds USING (event_type) GROUP BY 1, 2""")
+def value_histogram(spark, sf_dir):
+    """Twenty equal bins between each group's extremes."""
+    rows = table(spark, sf_dir, "events").select("event_type", "value")
+    bounds = rows.groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    place = F.floor((F.col("value") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)) * 20)
+    rows = rows.join(bounds, "event_type").groupBy("event_type", F.least(F.lit(19).cast("long"), place).alias("bin"))
+    return rounded(rows.agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("largest")), "least", "largest")

@@ -14,13 +14,16 @@ from ..operators.reshape import rename_guarded
 
 @dataclass(frozen=True)
 class Source:
-    """``pattern`` is a path or glob below the root; ``required`` columns must be there after renaming."""
+    """``pattern`` is a path or glob below the root; ``required`` columns must be there after renaming; rows of the column
+    ``season`` before ``min_season`` are left out."""
 
     view: str
     pattern: str
     required: tuple[str, ...] = ()
     rename: dict[str, str] = field(default_factory=dict)
     description: str = ""
+    min_season: int | None = None
+    season: str = "season"
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -30,6 +33,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(found)
 
 
+def footer_count(spark: SparkSession, path: str) -> int:
+    """Rows of Parquet files; no column is read, so the footers answer."""
+    return spark.read.parquet(path).select().count()
+
+
 def read_aligned(spark: SparkSession, path: str) -> DataFrame:
     """All files of a glob, united by column name; a column that is missing from a file is null there. Where files disagree
     on a column's type, they are read one by one and the column becomes text."""
@@ -74,7 +82,7 @@ class Catalogue:
         df = rename_guarded(read_aligned(self.spark, f"{self.root}/{source.pattern}"), source.rename)
         if missing := [c for c in source.required if c not in df.columns]:
             raise ValueError(f"{name}: required columns are missing: {', '.join(missing)}")
-        return df
+        return df if source.min_season is None else df.filter(F.col(source.season) >= source.min_season)
 
     def counts(self) -> dict[str, int]:
         """Rows of each view, -1 where there are no files."""
@@ -98,3 +106,19 @@ def current_period(schedule: DataFrame, season: str = "season", week: str = "wee
     """The earliest (season, week) with an open score; where none is open, the last one played."""
     opened = F.min(F.when(F.col(score).isNull(), F.struct(season, week)))
     return schedule.agg(F.coalesce(opened, F.max(F.struct(season, week))).alias("p")).select(F.col(f"p.{season}"), F.col(f"p.{week}"))
+
+
+def resolve_period(spark: SparkSession, schedule: DataFrame | None, persisted: DataFrame | None, today: str | None = None) -> DataFrame:
+    """One row (season, week, origin): from the schedule, else from what was persisted last (season, week, at), else from the calendar,
+    in which a season starts in March and its weeks in September. Empty and absent sources are passed over."""
+    day = F.to_date(F.lit(today)) if today else F.current_date()
+    season = F.year(day) - (F.month(day) < 3).cast("int")
+    week = F.greatest(F.lit(1), F.least(F.lit(18), F.floor(F.datediff(day, F.make_date(season, F.lit(9), F.lit(1))) / 7) + 1))
+    rows = spark.range(1).select(season.cast("long").alias("season"), week.cast("long").alias("week"), F.lit("calendar").alias("origin"), F.lit(3).alias("place"))
+    if persisted is not None:
+        last = persisted.agg(F.max_by(F.struct("season", "week"), "at").alias("p")).filter("p IS NOT NULL")
+        rows = rows.unionByName(last.select("p.season", "p.week", F.lit("persisted").alias("origin"), F.lit(2).alias("place")))
+    if schedule is not None:
+        found = current_period(schedule).filter("season IS NOT NULL")
+        rows = rows.unionByName(found.select("season", "week", F.lit("schedule").alias("origin"), F.lit(1).alias("place")))
+    return rows.orderBy("place").limit(1).select("season", "week", "origin")

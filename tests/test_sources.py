@@ -88,3 +88,18 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(120)
     time.sleep(0.1)
     assert [(k, f) for k, _, f in rows(t.read().select("k", "at", "f"))] == [(1, "b"), (2, "a")]
+
+
+def test_period_resolver_falls_back(spark):
+    schedule = spark.createDataFrame([(2024, 1, 3.0), (2024, 2, None)], "season long, week long, score double")
+    persisted = spark.createDataFrame([(2023, 5, 1), (2023, 6, 2)], "season long, week long, at long")
+    got = lambda *sources: tuple(registry.resolve_period(spark, *sources, today="2025-01-15").first())
+    assert got(schedule, persisted) == (2024, 2, "schedule") and got(schedule.limit(0), persisted) == (2023, 6, "persisted")
+    assert got(None, persisted.limit(0)) == (2024, 18, "calendar") and got(None, None)[2] == "calendar"
+
+
+def test_footer_counts_and_first_season(spark, tmp_path):
+    spark.createDataFrame([(2020, 1), (2021, 2), (2022, 3)], "season long, x long").write.parquet(f"file://{tmp_path}/a")
+    assert registry.footer_count(spark, f"file://{tmp_path}/a") == 3
+    catalogue = registry.Catalogue(spark, f"file://{tmp_path}", [registry.Source("seasons", "a", min_season=2021)])
+    assert catalogue.refresh() == {"seasons": True} and catalogue.counts() == {"seasons": 2}
