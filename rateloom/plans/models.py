@@ -204,13 +204,31 @@ def marginal_match(spark, sf_dir):
     return out.select("event_id", "matched")
 
 
-@query()
+#: The penalised normal equations by block Gauss-Seidel, sixty times: faced effects, rated effects (the solution's are centred), the mean.
+TWOWAY_SQL = f"""WITH RECURSIVE {ratings.FACTS},
+    aged AS (SELECT *, denominator * 0.5 ** ((max(period) OVER (PARTITION BY metric) - period) / 17.0) AS w FROM facts WHERE denominator > 0),
+    cells AS (SELECT metric, team, opponent, sum(w) * any_value(scale) AS w, sum(w * numerator / denominator) * any_value(scale) AS wy
+              FROM (SELECT *, count(*) OVER (PARTITION BY metric) / sum(w) OVER (PARTITION BY metric) AS scale FROM aged) GROUP BY 1, 2, 3),
+    it AS (SELECT DISTINCT 0 AS k, metric, team, 0.0::DOUBLE AS r, 0.0::DOUBLE AS f, 0.0::DOUBLE AS mu FROM cells
+        UNION ALL
+        (WITH now AS (SELECT * FROM it),
+         f1 AS (SELECT cells.metric, opponent AS team, sum(wy - w * (mu + r)) / (sum(w) + 25) AS f FROM cells JOIN now ON now.metric = cells.metric AND now.team = cells.team GROUP BY 1, 2),
+         f2 AS (SELECT metric, team, f - avg(f) OVER (PARTITION BY metric) AS f FROM f1),
+         r1 AS (SELECT cells.metric, cells.team, any_value(k) AS k, sum(wy - w * (mu + f2.f)) / (sum(w) + 25) AS r FROM cells JOIN f2 ON f2.metric = cells.metric AND f2.team = opponent
+                JOIN now ON now.metric = cells.metric AND now.team = cells.team GROUP BY 1, 2),
+         r2 AS (SELECT metric, team, k, r - avg(r) OVER (PARTITION BY metric) AS r FROM r1),
+         m2 AS (SELECT cells.metric, sum(wy - w * (r2.r + f2.f)) / sum(w) AS mu FROM cells JOIN f2 ON f2.metric = cells.metric AND f2.team = opponent JOIN r2 ON r2.metric = cells.metric AND r2.team = cells.team GROUP BY 1)
+         SELECT k + 1, r2.metric, r2.team, r2.r, f2.f, m2.mu FROM r2 JOIN f2 USING (metric, team) JOIN m2 USING (metric) WHERE k < 60))
+    SELECT metric, team, round(mu + avg(r) OVER g + avg(f) OVER g, 3) AS mean, round(r - avg(r) OVER g, 3) AS rated, round(f - avg(f) OVER g, 3) AS faced FROM it WHERE k = 60 WINDOW g AS (PARTITION BY metric)"""
+
+
+@query(TWOWAY_SQL)
 def twoway_ridge(spark, sf_dir):
     """Two-sided effects of a month's rates, penalised and centred."""
     importable(spark)
     games = ratings.facts(spark, sf_dir)
     last = Window.partitionBy("metric")
-    return fits.two_way_ridge(games.withColumn("games_ago", (F.max("period").over(last) - F.col("period")).cast("double")))
+    return rounded(fits.two_way_ridge(games.withColumn("games_ago", (F.max("period").over(last) - F.col("period")).cast("double"))), "mean", "rated", "faced", digits=3)
 
 
 @query()
@@ -244,10 +262,23 @@ def least_squares_fit(spark, sf_dir):
     return rounded(spark.createDataFrame([*beta.items(), ("r2", r2), ("rmse", rmse)], "term string, value double"), "value", digits=4)
 
 
-@query()
+#: Newton's method on three coefficients, each step solved by determinants.
+LOGISTIC_SQL = """WITH RECURSIVE x AS (SELECT (l_returnflag = 'R')::INT AS y, l_quantity / 50 AS q, l_discount AS d FROM lineitem),
+    steps AS (SELECT 0 AS k, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2
+        UNION ALL
+        SELECT k + 1, b0 + (s0 * (c * f - e * e) - b * (s1 * f - e * s2) + g * (s1 * e - c * s2)) / det, b1 + (a * (s1 * f - e * s2) - s0 * (b * f - e * g) + g * (b * s2 - s1 * g)) / det,
+               b2 + (a * (c * s2 - s1 * e) - b * (b * s2 - s1 * g) + s0 * (b * e - c * g)) / det
+        FROM (SELECT *, a * (c * f - e * e) - b * (b * f - e * g) + g * (b * e - c * g) AS det FROM (
+            SELECT k, b0, b1, b2, sum(y - p) AS s0, sum(q * (y - p)) AS s1, sum(d * (y - p)) AS s2, sum(p * (1 - p)) AS a, sum(q * p * (1 - p)) AS b, sum(d * p * (1 - p)) AS g,
+                   sum(q * q * p * (1 - p)) AS c, sum(q * d * p * (1 - p)) AS e, sum(d * d * p * (1 - p)) AS f
+            FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * q + b2 * d))) AS p FROM steps, x) GROUP BY k, b0, b1, b2)) WHERE k < 12)
+    SELECT term, round(value, 4) AS value FROM (SELECT unnest(['intercept', 'quantity', 'discount']) AS term, unnest([b0, b1, b2]) AS value FROM steps WHERE k = 12)"""
+
+
+@query(LOGISTIC_SQL)
 def logistic_fit(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select((F.col("l_returnflag") == "R").cast("double").alias("y"), (F.col("l_quantity") / 50).alias("quantity"), F.col("l_discount").alias("discount"))
-    return spark.createDataFrame(list(fits.logistic(rows, ["quantity", "discount"], "y").items()), "term string, value double")
+    return rounded(spark.createDataFrame(list(fits.logistic(rows, ["quantity", "discount"], "y").items()), "term string, value double"), "value", digits=4)
 
 
 @query()
@@ -260,7 +291,13 @@ def monte_carlo_joint(spark, sf_dir):
     return fits.joint_over(rows, 1000)
 
 
-@query()
+@query(f"""WITH {COUNTS},
+    families AS (SELECT o_custkey, m, CASE WHEN v / m > 1.3 THEN 'nb' ELSE 'poisson' END AS family, 1 / least(1e4, greatest(1e-3, (greatest(v, 1.05 * m) - m) / (m * m))) AS r FROM moments),
+    terms AS (SELECT *, CASE family WHEN 'nb' THEN exp(lgamma(k + r) - lgamma(r) - lgamma(k + 1) + r * ln(r / (r + m)) + k * ln(m / (r + m))) ELSE exp(k * ln(m) - m - lgamma(k + 1)) END AS here
+              FROM (SELECT *, unnest(range(0, 200)) AS k FROM families)),
+    sums AS (SELECT *, sum(here) OVER (PARTITION BY o_custkey ORDER BY k) AS below FROM terms)
+    SELECT o_custkey, family, min(k) FILTER (below >= 0.25 - 1e-12)::DOUBLE AS p25, min(k) FILTER (below >= 0.5 - 1e-12)::DOUBLE AS median, min(k) FILTER (below >= 0.75 - 1e-12)::DOUBLE AS p75,
+           round(1 - sum(here) FILTER (k <= floor(m + 0.5 + 1e-9)), 6) AS p_over FROM sums GROUP BY 1, 2""")
 def distribution_table(spark, sf_dir):
     """Median, quartiles and the chance to beat the line mean + 0.5 under each entity's fitted family."""
     importable(spark)
@@ -268,4 +305,4 @@ def distribution_table(spark, sf_dir):
     rows = moments(spark, sf_dir).withColumn("family", dist.count_family(m, v))
     rows = rows.withColumn("a", F.when(F.col("family") == "nb", dist.nb_r(m, v)).otherwise(m)).withColumn("b", F.when(F.col("family") == "nb", dist.nb_p(m, v)).otherwise(F.lit(1.0)))
     at = lambda q: dist.quantile("family", "a", "b", F.lit(q))
-    return rows.select("o_custkey", "family", at(0.25).alias("p25"), at(0.5).alias("median"), at(0.75).alias("p75"), dist.p_over("family", "a", "b", m + 0.5).alias("p_over"))
+    return rows.select("o_custkey", "family", at(0.25).alias("p25"), at(0.5).alias("median"), at(0.75).alias("p75"), F.round(dist.p_over("family", "a", "b", m + 0.5), 6).alias("p_over"))
