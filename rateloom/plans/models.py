@@ -209,14 +209,14 @@ TWOWAY_SQL = f"""WITH RECURSIVE {ratings.FACTS},
     aged AS (SELECT *, denominator * 0.5 ** ((max(period) OVER (PARTITION BY metric) - period) / 17.0) AS w FROM facts WHERE denominator > 0),
     cells AS (SELECT metric, team, opponent, sum(w) * any_value(scale) AS w, sum(w * numerator / denominator) * any_value(scale) AS wy
               FROM (SELECT *, count(*) OVER (PARTITION BY metric) / sum(w) OVER (PARTITION BY metric) AS scale FROM aged) GROUP BY 1, 2, 3),
-    it AS (SELECT DISTINCT 0 AS k, metric, team, 0.0::DOUBLE AS r, 0.0::DOUBLE AS f, 0.0::DOUBLE AS mu FROM cells
+    it AS (SELECT 0 AS k, metric, team, 0.0::DOUBLE AS r, 0.0::DOUBLE AS f, 0.0::DOUBLE AS mu FROM (SELECT metric, team FROM cells UNION SELECT metric, opponent FROM cells)
         UNION ALL
         (WITH now AS (SELECT * FROM it),
          f1 AS (SELECT cells.metric, opponent AS team, sum(wy - w * (mu + r)) / (sum(w) + 25) AS f FROM cells JOIN now ON now.metric = cells.metric AND now.team = cells.team GROUP BY 1, 2),
-         f2 AS (SELECT metric, team, f - avg(f) OVER (PARTITION BY metric) AS f FROM f1),
-         r1 AS (SELECT cells.metric, cells.team, any_value(k) AS k, sum(wy - w * (mu + f2.f)) / (sum(w) + 25) AS r FROM cells JOIN f2 ON f2.metric = cells.metric AND f2.team = opponent
+         f2 AS (SELECT now.metric, now.team, coalesce(f1.f, 0) - avg(coalesce(f1.f, 0)) OVER (PARTITION BY now.metric) AS f FROM now LEFT JOIN f1 ON f1.metric = now.metric AND f1.team = now.team),
+         r1 AS (SELECT cells.metric, cells.team, sum(wy - w * (mu + f2.f)) / (sum(w) + 25) AS r FROM cells JOIN f2 ON f2.metric = cells.metric AND f2.team = opponent
                 JOIN now ON now.metric = cells.metric AND now.team = cells.team GROUP BY 1, 2),
-         r2 AS (SELECT metric, team, k, r - avg(r) OVER (PARTITION BY metric) AS r FROM r1),
+         r2 AS (SELECT now.metric, now.team, k, coalesce(r1.r, 0) - avg(coalesce(r1.r, 0)) OVER (PARTITION BY now.metric) AS r FROM now LEFT JOIN r1 ON r1.metric = now.metric AND r1.team = now.team),
          m2 AS (SELECT cells.metric, sum(wy - w * (r2.r + f2.f)) / sum(w) AS mu FROM cells JOIN f2 ON f2.metric = cells.metric AND f2.team = opponent JOIN r2 ON r2.metric = cells.metric AND r2.team = cells.team GROUP BY 1)
          SELECT k + 1, r2.metric, r2.team, r2.r, f2.f, m2.mu FROM r2 JOIN f2 USING (metric, team) JOIN m2 USING (metric) WHERE k < 60))
     SELECT metric, team, round(mu + avg(r) OVER g + avg(f) OVER g, 3) AS mean, round(r - avg(r) OVER g, 3) AS rated, round(f - avg(f) OVER g, 3) AS faced FROM it WHERE k = 60 WINDOW g AS (PARTITION BY metric)"""
