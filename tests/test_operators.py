@@ -257,3 +257,23 @@ def test_marginal_keeps_null_cells_apart(spark):
     df = spark.createDataFrame([("a", "x", 1.0), ("a", None, 3.0), ("b", "x", 5.0)], "c string, s string, v double")
     out = {(r.c, r.s): r.n for r in aggregates.with_marginal(df, ["c", "s"], "s", {"n": F.count(F.lit(1))}).collect()}
     assert out == {("a", "x"): 1, ("a", None): 1, ("b", "x"): 1, ("a", "ALL"): 2, ("b", "ALL"): 1}
+
+
+def test_bounded_event_fit_is_a_minimum():
+    from rateloom.plans.projection import bounded_share_fit
+
+    rng = np.random.default_rng(3)
+    cells = pd.DataFrame({"n": rng.integers(1, 4, 60).astype(float), "ratio": rng.random(60).round(2), "usage": rng.random(60).round(2), "rows": rng.integers(5, 40, 60)})
+    rate = cells["n"] * (0.1 + 0.6 * cells["ratio"])
+    cells["hit"] = rng.binomial(cells["rows"], -np.expm1(-rate))
+    x = np.column_stack([np.ones(60), cells["ratio"], cells["usage"]]) * cells["n"].to_numpy()[:, None]
+
+    def loss(w):
+        p = np.clip(-np.expm1(-np.maximum(x @ w, 1e-6)), 1e-9, 1 - 1e-9)
+        return -(cells["hit"] * np.log(p) + (cells["rows"] - cells["hit"]) * np.log1p(-p)).sum() / cells["rows"].sum()
+
+    w = bounded_share_fit(cells)
+    assert (w >= 0).all() and abs(w[1] - 0.6) < 0.2 and w[2] < 0.15
+    for step in (1e-3, 1e-2, 0.1):
+        for d in np.vstack([np.eye(3), -np.eye(3), rng.normal(size=(20, 3))]):
+            assert loss(w) <= loss(np.clip(w + step * d, 0, 5)) + 1e-7
