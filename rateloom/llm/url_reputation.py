@@ -90,8 +90,9 @@ def page_outcomes(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataF
     carries; bad is the smallest of their labels' (1 - quality), so a text that any label calls good is good. Pages whose text
     has no label, and empty texts, give no row; repeated pages give one each."""
     known = labels.filter("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    texts = docs.join(known, "doc_id").select(F.sha2(folded(F.col("text")), 256).alias("key"), (1 - F.col("quality")).alias("bad"), (folded(F.col("text")) != "").alias("any"))
-    texts = texts.filter("any").groupBy("key").agg(F.min("bad").cast("int").alias("bad"))
+    # digests are made where the texts are read, so that no text is exchanged
+    keys = docs.select("doc_id", folded(F.col("text")).alias("body")).filter("body != ''").select("doc_id", F.sha2("body", 256).alias("key"))
+    texts = keys.join(known, "doc_id").groupBy("key").agg(F.min(1 - F.col("quality")).cast("int").alias("bad"))
     rows = save(pages.select("page_id", F.sha2(carried_text(F.col("html")), 256).alias("key")), "page-keys")
     return attach(rows, texts, "key", F.col("page_id")).filter("bad IS NOT NULL").select("page_id", "bad")
 
