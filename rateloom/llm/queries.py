@@ -14,11 +14,14 @@ from .decontam_cgk import find_leaks
 from .ffd_packing import pack
 from .html_mincut import extract_text
 from .license_diagonals import PASSAGES, PHRASES, scan_licenses
+from .maxscore_search import rank_documents
 from .secret_automata import fit_secrets, scan_secrets
 from .simhash_gray import simhash_groups
 from .token_files import read_token_files, write_token_files
 from .toxicity_fst import fit_toxicity, held_out, score_toxicity
+from .trie_variants import spelling_groups
 from .url_reputation import ARTICLE, LOWER, MARKUP, REFERENCES, SECOND_LEVEL, SPACES, UPPER, judge_urls, page_outcomes
+from .va_file import nearest_rows
 
 BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -77,6 +80,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER, end_id=2, capacity=4096)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_rows(table(spark, sf_dir, "embeddings"), k=5, every=50, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_decontamination": op2_decontamination,
@@ -88,10 +103,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_token_files": op9_token_files,
     "op10_packing": op10_packing,
+    "op11_spelling": op11_spelling,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_nearest": op13_nearest,
 }
 
 
-
 def _weight(groups: str) -> str:
     """Pages that the prior over these groups counts as; ``whole`` has the mean rate."""
     return f"""
@@ -164,6 +181,53 @@ LICENSE_SQL = rf"""
     SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, round(coalesce(score, 0.0), 6) AS score
     FROM texts LEFT JOIN found USING (row)"""
 
+#: The CRC-32 of a text's UTF-8 bytes, with a table made from its polynomial (fixed value).
+_CRC = """
+    crc_table AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b)) AS crc),"""
+
+
+def _crc(text: str) -> str:
+    digit = lambda at: f"(strpos('0123456789ABCDEF', substr(hex({text}), {at}, 1)) - 1)"
+    step = f"xor(c // 256, crc[xor(c % 256, 16 * {digit('2 * i + 1')} + {digit('2 * i + 2')}) + 1])"
+    return f"xor(list_reduce(range(strlen({text})), lambda c, i: {step}, 4294967295), 4294967295)"
+
+
+SPELLING_SQL = rf"""
+    WITH RECURSIVE {_CRC}
+    runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+    hashed AS (SELECT run, n, coalesce({_crc("(doc_id || ':' || run)")}, 1) AS h FROM runs, crc_table WHERE length(run) >= 5),
+    words AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n FROM hashed GROUP BY 1 HAVING sum(n) >= 3 AND length(word) >= 5),
+    less AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+    near AS (SELECT a.word, b.word AS other, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+             UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word),
+    best AS (SELECT word, count(*) AS n_near, max(n) AS near_n, arg_min(other, (-n, other)) AS other FROM near GROUP BY 1),
+    forms AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN near_n >= 2 * w.n THEN other END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n FROM words w LEFT JOIN best USING (word)),
+    chain AS (SELECT word, word AS root FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c USING (word) WHERE c.root IN (SELECT word FROM forms WHERE form IS NULL)"""
+
+
+def _terms(name: str, key: str) -> str:
+    found = rf"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return f"SELECT {key}, unnest({found}) AS term FROM {name}"
+
+
+SEARCH_SQL = rf"""
+    WITH asked AS (SELECT item, item_id, term, count(*) AS times FROM ({_terms("(SELECT *, row_number() OVER () AS item FROM benchmark)", "item, item_id")}) GROUP BY ALL),
+    terms AS ({_terms("(SELECT *, row_number() OVER () AS row FROM documents)", "row, doc_id")}),
+    sizes AS (SELECT row, doc_id, count(*) AS n FROM terms GROUP BY ALL),
+    whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS run FROM sizes),
+    postings AS (SELECT row, term, count(*) AS tf FROM terms SEMI JOIN asked USING (term) GROUP BY ALL),
+    weight AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM postings, whole GROUP BY term, docs),
+    adds AS (SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // run))) AS points FROM postings JOIN sizes USING (row) JOIN weight USING (term), whole),
+    scores AS (SELECT item, item_id, row, doc_id, sum(times * points)::BIGINT AS score FROM asked JOIN adds USING (term) GROUP BY ALL HAVING sum(times * points) > 0)
+    SELECT item_id, rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INT AS rank FROM scores) WHERE rank <= 10"""
+
+NEAREST_SQL = """
+    WITH whole AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)),
+    scores AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM whole q JOIN whole c ON q.row <> c.row AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+    SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INT AS rank FROM scores) WHERE rank <= 5"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -171,4 +235,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
     "op6_url_filter": URL_SQL,
     "op8_license_scan": LICENSE_SQL,
+    "op11_spelling": SPELLING_SQL,
+    "op12_ranked_search": SEARCH_SQL,
+    "op13_nearest": NEAREST_SQL,
 }

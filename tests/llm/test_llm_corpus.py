@@ -45,7 +45,7 @@ def test_exact_copies_edges(spark, odd_docs):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_equals_oracle(name, spark, sf_dir):
     con = duckdb.connect()
-    for t in "documents pages labels".split():
+    for t in "documents pages labels benchmark embeddings".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     ours, theirs = queries.QUERIES[name](spark, sf_dir).toPandas(), con.execute(queries.ORACLE_SQL[name]).df()
     columns = sorted(ours.columns)
