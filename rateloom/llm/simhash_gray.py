@@ -16,10 +16,12 @@ Exact search (``simhash_groups``) has one such index over all fingerprints. The
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,7 @@ FAN = 8
 STEP = 2048
 #: Pairs of fingerprints joined before connections are brought up to date.
 JOIN_STEP = 4096
+LINKS = "file long, a long, b long"
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -132,16 +135,24 @@ class GrayIndex:
         self.own = [[low & ~np.repeat(high, FAN)[: len(low)] for low, high in zip(a, b)] for a, b in zip(self.shared, self.shared[1:])] + [self.shared[-1]]
         self.leaves = [np.pad(w, (0, -self.size % FAN)).reshape(-1, FAN) for w in self.patterns[0]]
 
-    def links(self, limit: int, labels: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
-        """Links within ``limit`` bits that connect all members that such links connect. Members of one label count as connected."""
-        return self._links(self, limit, None if labels is None else labels[self.order])
+    def links(self, limit: int, labels: np.ndarray | None = None, apart: Sequence[tuple[int, int]] = ()) -> Iterator[tuple[int, int]]:
+        """Links within ``limit`` bits that connect all members that such links connect. Members of one label count as
+        connected; the pairs ``apart`` are no links."""
+        return self._links(self, limit, None if labels is None else labels[self.order], apart)
 
-    def links_to(self, other: "GrayIndex", limit: int, labels: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
+    def links_to(self, other: "GrayIndex", limit: int, labels: tuple[np.ndarray, np.ndarray] | None = None, apart: Sequence[tuple[int, int]] = ()) -> Iterator[tuple[int, int]]:
         """The same between the members of two trees of one height: (place here, place there)."""
-        return self._links(other, limit, None if labels is None else np.concatenate([labels[0][self.order], labels[1][other.order]]))
+        return self._links(other, limit, None if labels is None else np.concatenate([labels[0][self.order], labels[1][other.order]]), apart)
 
-    def _links(self, other: "GrayIndex", limit: int, labels: np.ndarray | None) -> Iterator[tuple[int, int]]:
+    def _numbers(self, other: "GrayIndex", a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A number for each pair of a place here and one in ``other``, in either order where both are one tree."""
+        if other is self:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        return a * other.size + b
+
+    def _links(self, other: "GrayIndex", limit: int, labels: np.ndarray | None, apart: Sequence[tuple[int, int]]) -> Iterator[tuple[int, int]]:
         first = 0 if other is self else self.size
+        self.apart = self._numbers(other, *np.array(apart, np.int64).T) if len(apart) else np.zeros(0, np.int64)
         n = self.size + (0 if other is self else other.size)
         self.parent, self.version, self.known = np.arange(n), 0, {}
         if labels is not None:
@@ -210,6 +221,9 @@ class GrayIndex:
         real = (i < self.size) & (j < other.size)
         if other is self:
             real &= i < j
+        if len(self.apart):
+            at = np.flatnonzero(real)
+            real[at] = ~np.isin(self._numbers(other, self.order[i[at]], other.order[j[at]]), self.apart)
         sort = np.flatnonzero(real)[np.argsort(apart[real], kind="stable")]
         i, j = i[sort], j[sort]
         for k in range(0, len(i), JOIN_STEP):
@@ -236,9 +250,11 @@ def tiers(limit: int) -> tuple[int, ...]:
     return (limit // 3, limit) if limit > 6 else (limit,)
 
 
-def links_in_files(filed: DataFrame, limit: int, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """``filed``: (file: long, id: long, f0: long, maybe label: long) to links (a, b) within ``limit`` bits, file by file.
-    Rows of one label are known to be connected, and need no link between them.
+def links_in_files(filed: DataFrame, limit: int, segment_rows: int = SEGMENT_ROWS, apart: DataFrame | None = None, forests: int = 1) -> DataFrame:
+    """``filed``: (file: long, id: long, f0: long, maybe label: long) to links (file, a, b) within ``limit`` bits, file by file.
+    Rows of one label are known to be connected, and need no link between them. Pairs in ``apart`` (file, a, b) are no links.
+    With more than one of ``forests`` that many sets of links are passed on, none of which has a link of another, as long
+    as there are any: each connects what links that are in no set before connect.
 
     Small files lie whole in a task, many under one index. A file of more than ``segment_rows`` rows is cut into segments of
     its Gray order; each segment is an index of its own, and gets the rows of those other segments whose shared bits allow a
@@ -251,19 +267,35 @@ def links_in_files(filed: DataFrame, limit: int, segment_rows: int = SEGMENT_ROW
     large = save(large, "large-files")
     total = large.agg(F.sum("n")).first()[0]
     few = filed.join(large, "file", "left_anti") if total else filed
-    found = few.select("file", *carried).repartition("file").sortWithinPartitions("file").mapInArrow(lambda batches: within_files(batches, limit), "a long, b long")
+    # a pair that is no link travels as a row with both identifiers
+    blank = [F.lit(0).cast("long").alias(c) for c in carried[1:]]
+    few = few.select("file", *carried, F.lit(None).cast("long").alias("other"))
+    if apart is not None:
+        few = few.unionByName((apart.join(large, "file", "left_anti") if total else apart).select("file", F.col("a").alias("id"), *blank, F.col("b").alias("other")))
+    found = few.repartition("file").sortWithinPartitions("file").mapInArrow(lambda batches: within_files(batches, limit, forests), LINKS)
     if not total:
         return found
-    count = min(MAX_SEGMENTS, -(-total // segment_rows))
-    rows = filed.join(large, "file", "left_semi").withColumn("rank", gray_order(F.col("f0"))).repartitionByRange(count, "file", "rank")
+    parts = min(MAX_SEGMENTS, -(-total // segment_rows))
+    rows = filed.join(large, "file", "left_semi").withColumn("rank", gray_order(F.col("f0"))).repartitionByRange(parts, "file", "rank")
     rows = save(rows.select("file", F.spark_partition_id().alias("part"), *carried), "segments")
     shared = rows.groupBy("file", "part").agg(F.bit_and("f0").alias("all_of"), F.bit_or("f0").alias("any_of")).toPandas().sort_values(["file", "part"])
     pairs = segment_pairs(*(shared[c].to_numpy() for c in ("file", "part", "all_of", "any_of")), limit)
     pairs_of = F.broadcast(spark.createDataFrame(pairs))  # at most as many rows as there are pairs of segments in a file
     met = rows.join(pairs_of, ["file", "part"]).filter(F.bit_count((F.col("f0").bitwiseXOR(F.col("all_of"))).bitwiseAND(F.col("mask"))) <= limit)
+    met = met.select("pair", "side", "file", *carried, F.lit(None).cast("long").alias("other"))
+    if apart is not None:
+        part_of = lambda x: rows.select("file", F.col("id").alias(x), F.col("part").alias(f"{x}_part"))
+        placed = apart.join(large, "file", "left_semi").join(part_of("a"), ["file", "a"]).join(part_of("b"), ["file", "b"])
+        placed = placed.select("file", F.col("a").alias("id"), F.col("b").alias("other"), F.least("a_part", "b_part").alias("part"), F.greatest("a_part", "b_part").alias("last"))
+        lower = pairs_of.filter("side <= 0").select("file", "part", "pair", "side")
+        upper = pairs_of.filter("side = 1").select("file", F.col("part").alias("last"), "pair")
+        inside = placed.filter("part = last").join(lower.filter("side < 0"), ["file", "part"])
+        across = placed.filter("part < last").join(lower.filter("side = 0"), ["file", "part"]).join(upper, ["file", "last", "pair"])
+        chosen = ["pair", F.lit(2).alias("side"), "file", "id", *blank, "other"]
+        met = met.unionByName(inside.select(*chosen)).unionByName(across.select(*chosen))
     parts = max(1, min(pairs.num_rows, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    met = met.select("pair", "side", *carried).repartitionById(parts, F.pmod(F.col("pair"), F.lit(parts)).cast("int")).sortWithinPartitions("pair", "side")
-    return found.unionByName(met.mapInArrow(lambda batches: between_segments(batches, limit), "a long, b long"))
+    met = met.repartitionById(parts, F.pmod(F.col("pair"), F.lit(parts)).cast("int")).sortWithinPartitions("pair", "side")
+    return found.unionByName(met.mapInArrow(lambda batches: between_segments(batches, limit, forests), LINKS))
 
 
 def segment_pairs(files: np.ndarray, parts: np.ndarray, all_of: np.ndarray, any_of: np.ndarray, limit: int) -> pa.Table:
@@ -287,35 +319,66 @@ def numbers(rows: pa.RecordBatch, *names: str) -> list[np.ndarray | None]:
     return [rows.column(n).to_numpy() if n in rows.schema.names else None for n in names]
 
 
-def links_out(ids: np.ndarray, others: np.ndarray, found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+def links_out(files: np.ndarray, ids: np.ndarray, others: np.ndarray, found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
     if found:
         a, b = np.array(found).T
-        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(others[b])], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(files[a]), pa.array(ids[a]), pa.array(others[b])], names=["file", "a", "b"])
+
 
+def disjoint(links: Callable[[list], Iterator[tuple[int, int]]], apart: list[tuple[int, int]], forests: int) -> list[tuple[int, int]]:
+    """The links of so many forests, none of which has a link of another."""
+    out: list[tuple[int, int]] = []
+    for _ in range(forests):
+        more = list(links(apart + out))
+        if not more:
+            break
+        out += more
+    return out
 
-def within_files(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+
+def within_files(batches: Iterator[pa.RecordBatch], limit: int, forests: int = 1) -> Iterator[pa.RecordBatch]:
     """Rows sorted by file: one index over many whole files at a time."""
     for rows in groups_of(batches, "file"):
+        told = rows.filter(pc.is_valid(rows.column("other")))
+        rows = rows.filter(pc.is_null(rows.column("other")))
         files, ids, codes, labels = numbers(rows, "file", "id", "f0", "label")
+        if not len(files):
+            continue
         several = None if files[0] == files[-1] else files.view(np.uint64)
-        yield from links_out(ids, ids, list(GrayIndex(codes.view(np.uint64), several).links(limit, labels)))
-
-
-def between_segments(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by pair and side: an index over each side."""
+        if several is not None and labels is not None:  # connected in one file, two rows may still need a link in another
+            labels = np.unique(labels, return_inverse=True)[1] + len(labels) * np.unique(files, return_inverse=True)[1]
+        apart = []
+        if told.num_rows:
+            own = set(told.column("file").to_pylist())
+            place = {(f, i): p for p, (f, i) in enumerate(zip(files.tolist(), ids.tolist())) if f in own}
+            apart = [(place[f, a], place[f, b]) for f, a, b in zip(*(told.column(c).to_pylist() for c in ("file", "id", "other"))) if (f, a) in place and (f, b) in place]
+        index = GrayIndex(codes.view(np.uint64), several)
+        yield from links_out(files, ids, ids, disjoint(lambda known: index.links(limit, labels, known), apart, forests))
+
+
+def between_segments(batches: Iterator[pa.RecordBatch], limit: int, forests: int = 1) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by pair and side: an index over each side. Side 2: pairs that are no links."""
     for rows in groups_of(batches, "pair"):
-        pair, side, ids, codes, labels = numbers(rows, "pair", "side", "id", "f0", "label")
+        pair, side, files, ids, codes, labels = numbers(rows, "pair", "side", "file", "id", "f0", "label")
+        other = pc.fill_null(rows.column("other"), 0).to_numpy()
         codes, starts = codes.view(np.uint64), np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(pair)]):
-            cut = a + int(np.searchsorted(side[a:b], 1))
+            cut, end = a + int(np.searchsorted(side[a:b], 1)), a + int(np.searchsorted(side[a:b], 2))
             if side[a] < 0:
-                yield from links_out(ids[a:b], ids[a:b], list(GrayIndex(codes[a:b]).links(limit, None if labels is None else labels[a:b])))
-            elif a < cut < b:
-                one = GrayIndex(codes[a:cut])
-                two = GrayIndex(codes[cut:b], height=one.height)
-                one = one if one.height == two.height else GrayIndex(codes[a:cut], height=two.height)
-                found = one.links_to(two, limit, None if labels is None else (labels[a:cut], labels[cut:b]))
-                yield from links_out(ids[a:cut], ids[cut:b], list(found))
+                place = {i: p for p, i in enumerate(ids[a:end].tolist())} if end < b else {}
+                apart = [(place[x], place[y]) for x, y in zip(ids[end:b].tolist(), other[end:b].tolist()) if x in place and y in place]
+                one = GrayIndex(codes[a:end])
+                own = None if labels is None else labels[a:end]
+                yield from links_out(files[a:end], ids[a:end], ids[a:end], disjoint(lambda known: one.links(limit, own, known), apart, forests))
+            elif a < cut < end:
+                one, two = GrayIndex(codes[a:cut]), GrayIndex(codes[cut:end])
+                height = max(one.height, two.height)
+                one, two = (x if x.height == height else GrayIndex(c, height=height) for x, c in ((one, codes[a:cut]), (two, codes[cut:end])))
+                here, there = ({i: p for p, i in enumerate(x.tolist())} if end < b else {} for x in (ids[a:cut], ids[cut:end]))
+                told = [(x, y) if x in here else (y, x) for x, y in zip(ids[end:b].tolist(), other[end:b].tolist())]
+                apart = [(here[x], there[y]) for x, y in told if x in here and y in there]
+                both = None if labels is None else (labels[a:cut], labels[cut:end])
+                yield from links_out(files[a:cut], ids[a:cut], ids[cut:end], disjoint(lambda known: one.links_to(two, limit, both, known), apart, forests))
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], key: str, least: int = 50_000) -> Iterator[pa.RecordBatch]:
@@ -391,19 +454,19 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", bands array<int>")
 
 
-def jaccard_links(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts' sets of ``words``-word shingles have the Jaccard similarity or more.
-
-    Only texts in a pair are read; their shingles travel as sorted hashes, and Spark's array functions count the shared ones.
-    """
-    named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def shingle_sets(named: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id, shingles`` of the texts that ``named`` (doc_id) names: sorted hashes of their different shingles, saved."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 2_000_000):
             sets = [set_of(text, words).view(np.int64) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
-    sets = save(docs.select("doc_id", "text").join(named, "doc_id", "left_semi").mapInArrow(make, "doc_id long, shingles array<long>"), "candidate-sets")
+    return save(docs.select("doc_id", "text").join(named, "doc_id", "left_semi").mapInArrow(make, "doc_id long, shingles array<long>"), "candidate-sets")
+
+
+def jaccard_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose ``sets`` (doc_id, shingles) have the Jaccard similarity or more; Spark's array functions count the shared ones."""
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"{x}_set"))
     shared = F.size(F.array_intersect("a_set", "b_set"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
@@ -415,9 +478,13 @@ def near_duplicate_links(docs: DataFrame, words: int = 5, similarity: float = 0.
 
     Rows with equal sets of shingles are linked at once, and one of them stands for all. Candidates agree on a band of a
     512-bit SimHash and lie within the bits of one of its words that the similarity allows (three standard deviations), as
-    the Gray index finds them; the whole signature and then the sets decide. Once a part of the bands has connected
-    most of a group, the others pass on only what joins different parts, so a large group brings a few links for each
-    member. A pair just at the limit shares a band with probability 0.96, closer pairs almost surely.
+    the Gray index finds them; the whole signature and then the sets decide.
+
+    An index passes on candidates that would connect what is not connected yet, so a large group brings a few for each
+    member. A candidate that fails connects nothing: files with such candidates are searched again, with these left out and
+    only verified links counted as connections, and each time twice as many candidates are passed on, until no file has a
+    candidate between rows that verified links do not connect. A pair just at the limit shares a band with probability
+    0.96, closer pairs almost surely.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = save(signatures(docs, words), "signatures")
@@ -429,21 +496,37 @@ def near_duplicate_links(docs: DataFrame, words: int = 5, similarity: float = 0.
     differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     limit, most = (int(n * differ + 3 * (n * differ * (1 - differ)) ** 0.5) for n in (64, 64 * WIDE))
     side = lambda x: kinds.select(F.col("id").alias(x), *[F.col(n).alias(f"{x}_{n}") for n in names])
-    apart = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
-
-    def verified(labelled: DataFrame, chosen: Column) -> DataFrame:
-        filed = labelled.select("id", "label", *names, F.posexplode("bands").alias("band", "bits")).filter(chosen)
-        filed = filed.select((F.col("band") * 65536 + F.col("bits")).cast("long").alias("file"), "id", word.alias("f0"), "label")
-        pairs = save(links_in_files(filed, limit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-        pairs = save(pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= most).select("a", "b"), "close-candidates")
-        return save(jaccard_links(pairs, docs, words, similarity), "near-links")
-
-    first = verified(kinds.withColumn("label", F.col("id")), F.col("band") < FIRST_BANDS)
-    # the other bands look for links between what is not connected yet
-    known = components(first).select(F.col("node").alias("id"), F.col("component").alias("label"))
-    rest = verified(save(kinds.join(known, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled-kinds"), F.col("band") >= FIRST_BANDS)
+    apart_bits = sum((F.bit_count(F.col(f"a_{n}").bitwiseXOR(F.col(f"b_{n}"))) for n in names), F.lit(0))
+    links, sets, failed, again = None, None, None, None
+    labelled = kinds.withColumn("label", F.col("id"))
+    for number in count():
+        filed = labelled.select("id", "label", *names, F.posexplode("bands").alias("band", "bits"))
+        filed = filed.select("band", (F.col("band") * 65536 + F.col("bits")).cast("long").alias("file"), "id", word.alias("f0"), "label")
+        fresh = filed.filter(F.col("band") < FIRST_BANDS if number == 0 else F.col("band") >= FIRST_BANDS)
+        if number:
+            old = filed.filter(F.col("band") < FIRST_BANDS) if number == 1 else filed
+            fresh = fresh.unionByName(old.join(again, "file", "left_semi")) if number == 1 else old.join(again, "file", "left_semi")
+        found = links_in_files(fresh.drop("band"), limit, apart=failed, forests=1 << max(0, number - 1))
+        found = save(found.select("file", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "candidates")
+        close = save(found.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter(apart_bits <= most).select("a", "b"), "close-candidates")
+        named = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        if sets is not None:
+            named = save(named.join(sets, "doc_id", "left_anti"), "named")
+        if sets is None or not named.isEmpty():
+            more = shingle_sets(named, docs, words)
+            sets = more if sets is None else sets.unionByName(more)
+        good = save(jaccard_links(close, sets, similarity), "near-links")
+        links = good if links is None else links.unionByName(good)
+        bad = save(found.join(good, ["a", "b"], "left_anti").select("file", "a", "b"), "failed-candidates")
+        again = save(bad.select("file").distinct(), "files-again")
+        if number and again.isEmpty():
+            break
+        failed = bad if failed is None else failed.unionByName(bad)
+        # from now on links are looked for between what is not connected yet
+        known = components(links).select(F.col("node").alias("id"), F.col("component").alias("label"))
+        labelled = save(kinds.join(known, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled-kinds")
     same = attach_totals(marks.select("doc_id", "d0", "d1"), ["d0", "d1"], F.col("doc_id"), {"_id": F.min("doc_id")}, {"id": F.min("_id")})
-    return first.unionByName(rest).unionByName(same.filter("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")))
+    return links.unionByName(same.filter("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, row_col: str | None = None) -> DataFrame:

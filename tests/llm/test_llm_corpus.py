@@ -311,6 +311,45 @@ def test_near_duplicates(spark, odd_docs):
     assert simhash.drop_near_duplicates(odd_docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_families(spark):
+    """Families of 200 texts whose pairs are 0.7 to 0.9 alike: hardly a link is lost, and no row is dropped without one."""
+    rng = random.Random(21)
+    rows = []
+    for family in range(3):
+        words = [f"f{family}w{rng.randrange(9000)}" for _ in range(300)]
+        for _ in range(200):
+            copy = list(words)
+            for _ in range(rng.randint(2, 7)):
+                copy[rng.randrange(300)] = f"c{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = [set(simhash.set_of(t, 5).tolist()) for _, t in rows]
+    edges = [(a, b) for f in range(3) for a in range(200 * f, 200 * f + 200) for b in range(a + 1, 200 * f + 200) if (n := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    want, members = linked(len(rows), edges), {}
+    assert 0.1 * 3 * 19_900 < len(edges) < 0.9 * 3 * 19_900
+    links = [tuple(r) for r in simhash.near_duplicate_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    got = linked(len(rows), links)
+    assert set(links) <= {*edges}
+    for k in range(len(rows)):
+        members.setdefault(want[k], []).append(k)
+    held = sum(max(sum(got[i] == got[k] for i in group) for k in group) - 1 for group in members.values())
+    assert held >= 0.98 * sum(len(group) - 1 for group in members.values())
+
+
+@pytest.mark.parametrize("segment_rows", [60, 100_000])
+def test_links_that_failed_are_replaced(spark, segment_rows):
+    """Fingerprints that are all alike: with the pairs told apart left out, further forests bring every other pair in the end."""
+    filed = spark.createDataFrame([(f, 100 * f + i, (i % 3) << 5, 100 * f + i) for f in range(2) for i in range(90)], "file long, id long, f0 long, label long")
+    apart, seen = None, set()
+    for forests in (1, 2, 64):
+        found = [tuple(r) for r in simhash.links_in_files(filed, 3, segment_rows, apart, forests).collect()]
+        pairs = {(f, min(a, b), max(a, b)) for f, a, b in found}
+        assert len(pairs) == len(found) and not pairs & seen and all(a // 100 == b // 100 == f for f, a, b in pairs)
+        assert len(pairs) >= 2 * 89 * min(forests, 30)
+        seen |= pairs
+        apart = spark.createDataFrame(sorted(seen), "file long, a long, b long")
+    assert len(seen) == 2 * 90 * 89 // 2
+
+
 def test_near_duplicates_with_repeated_lines(spark):
     """The same shingle set, a line once or fifty times."""
     head, line = " ".join(f"h{k}" for k in range(104)), " ".join(f"r{k}" for k in range(10))
