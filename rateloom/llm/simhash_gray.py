@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..shared import attach, attach_totals, importable, save
 from .components import components
-from .word_cache import sliced
+from .word_cache import give_back, sliced
 
 SEED = 42
 #: Fingerprints of one segment, and segments at most (beyond that they grow).
@@ -354,6 +354,7 @@ def within_files(batches: Iterator[pa.RecordBatch], limit: int, forests: int = 1
             apart = [(place[f, a], place[f, b]) for f, a, b in zip(*(told.column(c).to_pylist() for c in ("file", "id", "other"))) if (f, a) in place and (f, b) in place]
         index = GrayIndex(codes.view(np.uint64), several)
         yield from links_out(files, ids, ids, disjoint(lambda known: index.links(limit, labels, known), apart, forests))
+    give_back()
 
 
 def between_segments(batches: Iterator[pa.RecordBatch], limit: int, forests: int = 1) -> Iterator[pa.RecordBatch]:
@@ -379,6 +380,7 @@ def between_segments(batches: Iterator[pa.RecordBatch], limit: int, forests: int
                 apart = [(here[x], there[y]) for x, y in told if x in here and y in there]
                 both = None if labels is None else (labels[a:cut], labels[cut:end])
                 yield from links_out(files[a:cut], ids[a:cut], ids[cut:end], disjoint(lambda known: one.links_to(two, limit, both, known), apart, forests))
+    give_back()
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], key: str, least: int = 50_000) -> Iterator[pa.RecordBatch]:
@@ -418,8 +420,8 @@ def simhash_groups(docs: DataFrame, words: int = 3, limit: int = 3, id_col: str
 
 #: Signature of the similarity search: words of 64 bits, bands, bits of a band.
 WIDE, BANDS, BAND_BITS = 8, 44, 16
-#: The bands of a first round; most groups are connected by then.
-FIRST_BANDS = 8
+#: The bands of a first round; most groups are connected by then. How much the links passed on grow with each further round.
+FIRST_BANDS, FORESTS = 8, 8
 
 
 def set_of(text: str | None, words: int) -> np.ndarray:
@@ -482,7 +484,7 @@ def near_duplicate_links(docs: DataFrame, words: int = 5, similarity: float = 0.
 
     An index passes on candidates that would connect what is not connected yet, so a large group brings a few for each
     member. A candidate that fails connects nothing: files with such candidates are searched again, with these left out and
-    only verified links counted as connections, and each time twice as many candidates are passed on, until no file has a
+    only verified links counted as connections, and each time ``FORESTS`` times as many candidates are passed on, until no file has a
     candidate between rows that verified links do not connect. A pair just at the limit shares a band with probability
     0.96, closer pairs almost surely.
     """
@@ -506,7 +508,7 @@ def near_duplicate_links(docs: DataFrame, words: int = 5, similarity: float = 0.
         if number:
             old = filed.filter(F.col("band") < FIRST_BANDS) if number == 1 else filed
             fresh = fresh.unionByName(old.join(again, "file", "left_semi")) if number == 1 else old.join(again, "file", "left_semi")
-        found = links_in_files(fresh.drop("band"), limit, apart=failed, forests=1 << max(0, number - 1))
+        found = links_in_files(fresh.drop("band"), limit, apart=failed, forests=FORESTS ** max(0, number - 1))
         found = save(found.select("file", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "candidates")
         close = save(found.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter(apart_bits <= most).select("a", "b"), "close-candidates")
         named = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -516,12 +518,12 @@ def near_duplicate_links(docs: DataFrame, words: int = 5, similarity: float = 0.
             more = shingle_sets(named, docs, words)
             sets = more if sets is None else sets.unionByName(more)
         good = save(jaccard_links(close, sets, similarity), "near-links")
-        links = good if links is None else links.unionByName(good)
+        links = good if links is None else save(links.unionByName(good), "near-links")
         bad = save(found.join(good, ["a", "b"], "left_anti").select("file", "a", "b"), "failed-candidates")
         again = save(bad.select("file").distinct(), "files-again")
         if number and again.isEmpty():
             break
-        failed = bad if failed is None else failed.unionByName(bad)
+        failed = bad if failed is None else save(failed.unionByName(bad), "failed-candidates")
         # from now on links are looked for between what is not connected yet
         known = components(links).select(F.col("node").alias("id"), F.col("component").alias("label"))
         labelled = save(kinds.join(known, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled-kinds")

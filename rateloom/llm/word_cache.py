@@ -148,6 +148,11 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = 8_000_000)
     """Small slices of all batches of a task. Workers live on between tasks, so at the end what they no longer use goes back to the system."""
     for batch in batches:
         yield from small_batches(batch, text, most)
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that is no longer used to the system."""
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
         trim(0)
