@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import save
@@ -68,39 +68,89 @@ def two_way_ridge(games: DataFrame, penalty: float = 25.0, half_life: float = 17
     return weighted_cells(games, ["metric"], half_life).groupBy("metric").applyInPandas(fit, "metric string, team long, mean double, rated double, faced double")
 
 
-def tune_ridge(games: DataFrame, penalties: Sequence[float], half_life: float = 17.0, least_train: int = 100) -> DataFrame:
-    """(metric, penalty, mse, baseline_mse): walk-forward error over the second half of the periods, for each penalty.
+def usable(games: DataFrame) -> DataFrame:
+    """(metric, team, opponent, period, numerator, denominator, n): sums of the rows that a fit may read."""
+    rows = games.filter("denominator > 0 AND numerator IS NOT NULL AND team IS NOT NULL AND opponent IS NOT NULL AND period IS NOT NULL")
+    return rows.groupBy("metric", "team", "opponent", "period").agg(F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator"), F.count(F.lit(1)).alias("n"))
+
+
+def period_places(cells: DataFrame) -> DataFrame:
+    """(metric, cut, k, periods): the periods of each metric with their place from 0."""
+    own = Window.partitionBy("metric")
+    rows = cells.select("metric", F.col("period").alias("cut")).distinct()
+    return rows.withColumns({"k": F.row_number().over(own.orderBy("cut")) - 1, "periods": F.count(F.lit(1)).over(own)})
+
+
+def aged_sums(cells: DataFrame, cuts: DataFrame, half_life: float = 17.0) -> DataFrame:
+    """(metric, cut, team, opponent, w, wy, n, numerator, denominator): what a fit before each cut needs of all ``cells``
+    (see ``usable``) strictly before it, weighted by volume and age.
 
-    Every period of that half is predicted by a fit of its own over all periods strictly before. Spark sums the rows before each
-    such period, and the squares of its own rows, by teams; each (metric, period) is a group of those sums, in which all
-    penalties are tried. Predictions use the rated side alone; the baseline is the mean of those periods. Rows without a
-    numerator or volume are left out.
+    Sums age: from one cut to the next a pair's sums shrink by the age between them, and what was played since is added. Rows
+    are never met with later cuts: each pair's history and the cuts after its first row are sorted once, and running sums,
+    scaled by the age up to the last cut, are read at the cuts. (Ages of over 1,000 half-lives lose all weight.)
     """
+    pair = ["metric", "team", "opponent"]
+    newest = cuts.agg(F.max("cut")).first()[0]
+    if newest is None:
+        return cells.sparkSession.createDataFrame([], "metric string, cut long, team long, opponent long, w double, wy double, n long, numerator double, denominator double")
+    fresh = lambda at: F.pow(F.lit(0.5), (F.lit(newest) - at) / F.lit(half_life))
+    sums = ["w", "wy", "n", "numerator", "denominator"]
+    facts = cells.select(*pair, "period", F.lit(1).alias("fact"), (F.col("denominator") * fresh(F.col("period"))).alias("w"), (F.col("numerator") * fresh(F.col("period"))).alias("wy"), "n", "numerator", "denominator")
+    first = cells.groupBy(*pair).agg(F.min("period").alias("first"))
+    marks = first.join(cuts.select("metric", F.col("cut").alias("period")), "metric").filter("first < period")
+    zero = [F.lit(0.0).alias("w"), F.lit(0.0).alias("wy"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("numerator"), F.lit(0.0).alias("denominator")]
+    history = Window.partitionBy(*pair).orderBy("period", "fact").rowsBetween(Window.unboundedPreceding, 0)  # a cut stands before the facts of its period
+    both = facts.unionByName(marks.select(*pair, "period", F.lit(0).alias("fact"), *zero)).withColumns({c: F.sum(c).over(history) for c in sums})
+    age = fresh(F.col("period"))
+    return both.filter("fact = 0").select("metric", F.col("period").alias("cut"), "team", "opponent", (F.col("w") / age).alias("w"), (F.col("wy") / age).alias("wy"), "n", "numerator", "denominator")
+
+
+def ridge_fits(sums: DataFrame, penalties: Sequence[float]) -> DataFrame:
+    """(metric, cut, penalty, mean, rated): a fit for each cut and penalty that has rows and teams enough; ``rated`` maps teams
+    to their effects. A task reads a row for each pair of teams of a cut."""
+
+    def fit(cells: pd.DataFrame) -> pd.DataFrame:
+        found = ridge_effects(cells, penalties) or []
+        return pd.DataFrame([(cells["metric"].iloc[0], int(cells["cut"].iloc[0]), p, mean, rated) for p, (mean, rated, _) in zip(penalties, found)], columns=["metric", "cut", "penalty", "mean", "rated"])
 
-    def score(rows: pd.DataFrame) -> pd.DataFrame:
-        metric, train, test = rows["metric"].iloc[0], rows[rows["opponent"].notna()], rows[rows["opponent"].isna()]
-        found = ridge_effects(train, penalties) if train["n"].sum() >= least_train else None
-        out = []
-        for penalty, (mean, rated, _) in zip(penalties, found or ()):
-            # sums of w, w y and w y y of the period's rows: w, numerator and wy
-            flat, own = train["numerator"].sum() / train["denominator"].sum(), mean + test["team"].map(rated).fillna(0.0)
-            error = (test["wy"] - 2 * own * test["numerator"] + own**2 * test["w"]).sum()
-            base = (test["wy"] - 2 * flat * test["numerator"] + flat**2 * test["w"]).sum()
-            out.append((metric, penalty, float(error), float(base), float(test["w"].sum())))
-        return pd.DataFrame(out, columns=["metric", "penalty", "error", "base", "weight"])
-
-    rows = save(games.filter("denominator > 0 AND numerator IS NOT NULL").select("metric", "team", "opponent", "period", "numerator", "denominator"), "tuned-facts")
-    order = Window.partitionBy("metric").orderBy("period")
-    periods = rows.select("metric", "period").distinct().withColumns({"k": F.row_number().over(order) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("metric"))})
-    cuts = periods.filter("k >= n div 2").select("metric", F.col("period").alias("cut"))
-    met = rows.join(F.broadcast(cuts), "metric").withColumn("games_ago", (F.col("cut") - F.col("period")).cast("double"))  # a row for each metric and period
-    train = weighted_cells(met.filter("period < cut"), ["metric", "cut"], half_life)
-    y = F.col("numerator")
-    test = met.filter("period = cut").groupBy("metric", "cut", "team").agg(F.sum("denominator").alias("w"), F.sum(y * y / F.col("denominator")).alias("wy"), F.count(F.lit(1)).alias("n"), F.sum(y).alias("numerator"), F.sum("denominator").alias("denominator"))
-    sums = train.unionByName(test.withColumn("opponent", F.lit(None).cast("long")))
     # dealt out by number: few rows, much work
-    sums = sums.repartition(int(games.sparkSession.conf.get("spark.sql.shuffle.partitions")), "metric", "cut")
-    errors = sums.groupBy("metric", "cut").applyInPandas(score, "metric string, penalty double, error double, base double, weight double")
+    dealt = sums.repartition(int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions")), "metric", "cut")
+    return dealt.groupBy("metric", "cut").applyInPandas(fit, "metric string, cut long, penalty double, mean double, rated map<long,double>")
+
+
+def played(cells: DataFrame) -> DataFrame:
+    """(metric, cut, team, w, y, yy): what errors need of the rows of each period, by team."""
+    y = F.col("numerator")
+    return cells.groupBy("metric", F.col("period").alias("cut"), "team").agg(F.sum("denominator").alias("w"), F.sum(y).alias("y"), F.sum(y * y / F.col("denominator")).alias("yy"))
+
+
+def squared_error(predicted: Column) -> Column:
+    return F.col("yy") - 2 * predicted * F.col("y") + predicted * predicted * F.col("w")
+
+
+def leagues(sums: DataFrame) -> DataFrame:
+    """(metric, cut, seen, league): rows before each cut, and the rate over all of them."""
+    return sums.groupBy("metric", "cut").agg(F.sum("n").alias("seen"), (F.sum("numerator") / F.sum("denominator")).alias("league"))
+
+
+def ridge_errors(cells: DataFrame, sums: DataFrame, fits: DataFrame, least_train: int) -> DataFrame:
+    """(metric, cut, penalty, error, base, weight): squared errors of each fit over its cut's own period, and of the league's rate."""
+    rows = played(cells).join(leagues(sums).filter(F.col("seen") >= least_train), ["metric", "cut"]).join(fits, ["metric", "cut"])
+    predicted = F.col("mean") + F.coalesce(F.try_element_at("rated", F.col("team")), F.lit(0.0))
+    return rows.groupBy("metric", "cut", "penalty").agg(F.sum(squared_error(predicted)).alias("error"), F.sum(squared_error(F.col("league"))).alias("base"), F.sum("w").alias("weight"))
+
+
+def tune_ridge(games: DataFrame, penalties: Sequence[float], half_life: float = 17.0, least_train: int = 100) -> DataFrame:
+    """(metric, penalty, mse, baseline_mse): walk-forward error over the second half of the periods, for each penalty.
+
+    Every period of that half is predicted by a fit of its own over all periods strictly before; fits read sums that age from
+    cut to cut. Predictions use the rated side alone; the baseline is the rate over those periods. Periods with fewer than
+    ``least_train`` rows before them, and rows without a numerator or volume, are left out.
+    """
+    cells = save(usable(games), "tuned-facts")
+    cuts = save(period_places(cells).filter("k >= periods div 2").select("metric", "cut"), "cuts")
+    sums = save(aged_sums(cells, cuts, half_life), "aged-sums")
+    errors = ridge_errors(cells, sums, ridge_fits(sums, penalties), least_train)
     totals = errors.groupBy("metric", "penalty").agg(*[F.sum(c).alias(c) for c in ("error", "base", "weight")])
     return totals.select("metric", "penalty", (F.col("error") / F.col("weight")).alias("mse"), (F.col("base") / F.col("weight")).alias("baseline_mse"))
 

@@ -231,14 +231,6 @@ def twoway_ridge(spark, sf_dir):
     return rounded(fits.two_way_ridge(games.withColumn("games_ago", (F.max("period").over(last) - F.col("period")).cast("double"))), "mean", "rated", "faced", digits=3)
 
 
-@query()
-def ridge_tuning(spark, sf_dir):
-    """Walk-forward error of each penalty, and the best (the first of equals) of each metric."""
-    importable(spark)
-    errors = fits.tune_ridge(ratings.facts(spark, sf_dir), [1.0, 5.0, 25.0, 100.0])
-    return errors.groupBy("metric").agg(F.min_by(F.struct("penalty", "mse", "baseline_mse"), F.struct("mse", "penalty")).alias("best")).select("metric", "best.*")
-
-
 _LINES = "x AS (SELECT l_extendedprice / 1000 AS y, l_quantity AS q, l_discount AS d, l_tax AS t FROM lineitem)"
 #: Normal equations on covariances, solved by determinants.
 LEAST_SQUARES_SQL = f"""WITH {_LINES},

@@ -56,10 +56,10 @@ def star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with rated unit, counterparty and period. The two large tables meet on the order key; the small ones follow as
     broadcasts where the planner's size estimate allows it."""
     t = lambda n, *c: table(spark, sf_dir, n).select(*c)
-    lines = t("lineitem", "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
+    lines = t("lineitem", "l_orderkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
     orders = t("orders", "o_orderkey", "o_custkey", "o_orderdate").join(t("customer", F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
     rows = lines.join(t("supplier", F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
-    return rows.join(orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey").select(big(F.col("s_nationkey")).alias("team"), big(F.col("c_nationkey")).alias("opponent"), big(period()).alias("period"), "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
+    return rows.join(orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey").select(big(F.col("s_nationkey")).alias("team"), big(F.col("c_nationkey")).alias("opponent"), big(period()).alias("period"), "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
 
 
 def facts(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
