@@ -1,4 +1,4 @@
-"""Distributions of counts and amounts: fits as column expressions, probabilities as Arrow functions.
+"""Distributions of counts and amounts: fits and probabilities as column expressions.
 
 A fitted distribution is (family, a, b): ``nb`` (r, p), ``poisson`` (rate, unit), ``bernoulli`` (p, -). Lines are beaten
 strictly: P(over line) = P(X > line).
@@ -7,13 +7,13 @@ strictly: P(over line) = P(X > line).
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+
+from . import laws
 
 FLOOR, LEAST_ALPHA, MOST_ALPHA, OVERDISPERSED = 1.05, 1e-3, 1e4, 1.3
 
@@ -56,53 +56,42 @@ def mixture_variance(p: Column, s: Column, mean: Column, variance: Column) -> Co
     return p * (s * s * variance + s * s * mean * mean) - F.pow(p * s * mean, F.lit(2))
 
 
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """Lanczos approximation for positive x; its published coefficients (fixed values)."""
-    c = (676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
-    small = x < 0.5
-    z = np.where(small, 1 - x, x) - 1
-    a = np.full_like(z, 0.99999999999980993)
-    for k, ck in enumerate(c):
-        a = a + ck / (z + k + 1)
-    t = z + 7.5
-    value = 0.5 * math.log(2 * math.pi) + (z + 0.5) * np.log(t) - t + np.log(a)
-    return np.where(small, math.log(math.pi) - np.log(np.abs(np.sin(math.pi * x))) - value, value)
-
-
 def pmf_table(family: str, a: float, b: float) -> np.ndarray:
-    """Probabilities of 0, 1, 2 ... until the rest is negligible (below 1e-9)."""
+    """Probabilities of 0, 1, 2 ... until the rest is negligible (below 1e-9), in plain Python: what the expressions are tested against."""
     if family == "bernoulli":
         return np.array([1 - a, a])
     mean, sd = (a, math.sqrt(a)) if family == "poisson" else (a * (1 - b) / b, math.sqrt(a * (1 - b)) / b)
     n = int(mean + 12 * sd + 40 + (0 if family == "poisson" else 30 / -math.log1p(-b)))
-    k = np.arange(n, dtype=float)
     if family == "poisson":
-        logs = k * math.log(max(a, 1e-300)) - a - _log_gamma(k + 1)
-    else:
-        logs = _log_gamma(k + a) - _log_gamma(np.array([a]))[0] - _log_gamma(k + 1) + a * math.log(b) + k * math.log1p(-b)
-    return np.exp(logs)
+        return np.array([math.exp(k * math.log(max(a, 1e-300)) - a - math.lgamma(k + 1)) for k in range(n)])
+    return np.array([math.exp(math.lgamma(k + a) - math.lgamma(a) - math.lgamma(k + 1) + a * math.log(b) + k * math.log1p(-b)) for k in range(n)])
+
+
+def law(family: str, a: str, b: str) -> tuple[Column, laws.Ratio]:
+    """The law of a row: ``nb`` (r, p), ``poisson`` (rate, unit) or ``bernoulli`` (p, -)."""
+    f, x, y = F.col(family), F.col(a), F.col(b)
+    nb, poisson = laws.negative_binomial(x, y), laws.poisson(x)
+    one = F.ln(F.greatest(1 - x, F.lit(laws.TINY)))
+    ratio = lambda k: F.when(f == "nb", nb[1](k)).when(f == "poisson", poisson[1](k)).when(k == 1, F.ln(F.greatest(x, F.lit(laws.TINY))) - one).otherwise(F.lit(-1e9))
+    return F.when(f == "nb", nb[0]).when(f == "poisson", poisson[0]).otherwise(one), ratio
 
 
-@pandas_udf(DoubleType())
-def p_over(family: pd.Series, a: pd.Series, b: pd.Series, line: pd.Series) -> pd.Series:
+def unit_of(family: str, b: str) -> Column:
+    return F.when((F.col(family) == "poisson") & (F.col(b) > 0), F.col(b)).otherwise(F.lit(1.0))
+
+
+def p_over(family: str, a: str, b: str, line: Column | str) -> Column:
     """P(X > line). A Poisson with a unit counts units: the line is turned into whole units."""
-    out = []
-    for f, x, y, at in zip(family, a, b, line):
-        unit = y if f == "poisson" and y and y > 0 else 1.0
-        table = pmf_table(f, x, y)
-        k = math.floor(at / unit + 1e-9)
-        out.append(1.0 if k < 0 else max(0.0, 1.0 - float(table[: k + 1].sum())))
-    return pd.Series(out, dtype=float)
-
-
-@pandas_udf(DoubleType())
-def quantile(family: pd.Series, a: pd.Series, b: pd.Series, q: pd.Series) -> pd.Series:
-    """The smallest value whose cumulative probability reaches q."""
-    out = []
-    for f, x, y, level in zip(family, a, b, q):
-        unit = y if f == "poisson" and y and y > 0 else 1.0
-        out.append(unit * float(np.searchsorted(np.cumsum(pmf_table(f, x, y)), level - 1e-12)))
-    return pd.Series(out, dtype=float)
+    line = F.col(line) if isinstance(line, str) else line
+    return laws.over(line / unit_of(family, b), law(family, a, b))
+
+
+def quantiles(family: str, a: str, b: str, levels: Sequence[float]) -> Column:
+    """The smallest values whose cumulative probabilities reach the levels, as an array."""
+    f, x, y = F.col(family), F.col(a), F.col(b)
+    mean = F.when(f == "nb", x * (1 - y) / y).otherwise(x)
+    variance = F.when(f == "nb", x * (1 - y) / (y * y)).otherwise(x)
+    return F.transform(laws.quantiles(levels, law(family, a, b), mean, variance), lambda q: q * unit_of(family, b))
 
 
 def longest_over(n: Column, tail: Column) -> Column:

@@ -115,18 +115,19 @@ def measured_constants(spark, sf_dir):
 
 
 SCORED = """
-    h AS (SELECT o_custkey, o_orderkey, year(o_orderdate) AS season, o_totalprice / 1000 AS actual, avg(o_totalprice / 1000) OVER w AS m, stddev_samp(o_totalprice / 1000) OVER w AS sd, count(*) OVER w AS k
+    h AS (SELECT o_custkey, o_orderkey, year(o_orderdate) AS season, o_totalprice / 1000 AS actual, avg(o_totalprice / 1000) OVER w AS m, stddev_samp(o_totalprice / 1000) OVER w AS sd, count(*) OVER w AS k, list(o_totalprice / 1000) OVER w AS eight
           FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING)),
-    scored AS (SELECT season, actual, m AS projected_median, m - 0.6745 * sd AS projected_p25, m + 0.6745 * sd AS projected_p75, 0.5::DOUBLE AS p_over_median, 1 / (1 + exp(-1.702 * (actual - m) / nullif(sd, 0))) AS pit FROM h WHERE k = 8)"""
+    scored AS (SELECT season, actual, m AS projected_median, m - 0.6745 * sd AS projected_p25, m + 0.6745 * sd AS projected_p75, len(list_filter(eight, lambda x: x > m)) / 8.0 AS p_over_median, 1 / (1 + exp(-1.702 * (actual - m) / nullif(sd, 0))) AS pit FROM h WHERE k = 8)"""
 
 
 def scored(spark, sf_dir):
     """Each order projected from the eight strictly before it."""
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", F.year("o_orderdate").alias("season"), (F.col("o_totalprice") / 1000).alias("actual"))
     w = asof.trailing(["o_custkey"], ["o_orderdate", "o_orderkey"], 8)
-    rows = rows.withColumns({"m": F.avg("actual").over(w), "sd": F.stddev_samp("actual").over(w), "k": F.count("actual").over(w)}).filter("k = 8")
+    rows = rows.withColumns({"m": F.avg("actual").over(w), "sd": F.stddev_samp("actual").over(w), "k": F.count("actual").over(w), "eight": F.collect_list("actual").over(w)}).filter("k = 8")
     m, sd = F.col("m"), F.col("sd")
-    return rows.select("season", "actual", m.alias("projected_median"), (m - 0.6745 * sd).alias("projected_p25"), (m + 0.6745 * sd).alias("projected_p75"), F.lit(0.5).alias("p_over_median"), (1 / (1 + F.exp(-1.702 * (F.col("actual") - m) / F.nullif(sd, F.lit(0.0))))).alias("pit"), m.alias("m"), sd.alias("sd"))
+    above = F.size(F.filter("eight", lambda x: x > F.col("m"))) / 8.0  # the law of the eight values themselves
+    return rows.select("season", "actual", m.alias("projected_median"), (m - 0.6745 * sd).alias("projected_p25"), (m + 0.6745 * sd).alias("projected_p75"), above.alias("p_over_median"), (1 / (1 + F.exp(-1.702 * (F.col("actual") - m) / F.nullif(sd, F.lit(0.0))))).alias("pit"), m.alias("m"), sd.alias("sd"))
 
 
 @query(f"""WITH {SCORED} SELECT count(*)::BIGINT AS n, round(avg(abs(projected_median - actual)), 5) AS mae, round(avg(projected_median - actual), 5) AS bias,
@@ -292,9 +293,8 @@ def monte_carlo_joint(spark, sf_dir):
            round(1 - sum(here) FILTER (k <= floor(m + 0.5 + 1e-9)), 6) AS p_over FROM sums GROUP BY 1, 2""")
 def distribution_table(spark, sf_dir):
     """Median, quartiles and the chance to beat the line mean + 0.5 under each entity's fitted family."""
-    importable(spark)
     m, v = F.col("m"), F.col("v")
     rows = moments(spark, sf_dir).withColumn("family", dist.count_family(m, v))
     rows = rows.withColumn("a", F.when(F.col("family") == "nb", dist.nb_r(m, v)).otherwise(m)).withColumn("b", F.when(F.col("family") == "nb", dist.nb_p(m, v)).otherwise(F.lit(1.0)))
-    at = lambda q: dist.quantile("family", "a", "b", F.lit(q))
-    return rows.select("o_custkey", "family", at(0.25).alias("p25"), at(0.5).alias("median"), at(0.75).alias("p75"), F.round(dist.p_over("family", "a", "b", m + 0.5), 6).alias("p_over"))
+    rows = rows.withColumn("q", dist.quantiles("family", "a", "b", [0.25, 0.5, 0.75]))
+    return rows.select("o_custkey", "family", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), F.round(dist.p_over("family", "a", "b", m + 0.5), 6).alias("p_over"))

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import laws
 from ..operators import aggregates, rank
 from ..shared import importable, save, table
 from .registry import big, query, rounded
@@ -416,24 +417,27 @@ def replay_scorecard(spark, sf_dir):
 
 PIT = GAMES + """,
     years AS (SELECT entity, segment, season, count(*)::BIGINT AS x FROM games GROUP BY 1, 2, 3),
-    prior_years AS (SELECT *, avg(x) OVER (PARTITION BY entity ORDER BY season ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM years),
+    spine AS (SELECT entity, any_value(segment) AS segment, unnest(range(min(season), (SELECT max(season) FROM years) + 1)) AS season FROM years GROUP BY 1),
+    filled AS (SELECT entity, spine.segment, season, coalesce(x, 0) AS x FROM spine LEFT JOIN years USING (entity, season)),
+    prior_years AS (SELECT *, avg(x) OVER (PARTITION BY entity ORDER BY season ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM filled),
     probabilities AS (SELECT entity, segment, season, x, m, list_sum(list_transform(range(0, x), lambda k: exp(-m + k * ln(m) - lgamma(k + 1)))) AS below, exp(-m + x * ln(m) - lgamma(x + 1)) AS here FROM prior_years WHERE m > 0),
     pits AS (SELECT *, coalesce(below, 0) + here / 2 AS pit, 1 - exp(-m) AS p_any FROM probabilities)"""
 
 
-@query(f"""WITH {PIT} SELECT segment, count(*)::BIGINT AS n, round(avg(pit), 5) AS mean_pit, round(avg((pit BETWEEN 0.25 AND 0.75)::INT), 6) AS middle, round(avg((p_any - (x >= 2)::INT) ** 2), 5) AS brier,
+@query(f"""WITH {PIT} SELECT segment, count(*)::BIGINT AS n, round(avg(pit), 5) AS mean_pit, round(avg((pit BETWEEN 0.25 AND 0.75)::INT), 6) AS middle, round(avg((p_any - (x > 0)::INT) ** 2), 5) AS brier,
     round(sum(m * abs(x - m)) / sum(m), 5) AS weighted_error FROM pits WHERE m <> x GROUP BY 1""")
 def poisson_pit_scorecard(spark, sf_dir):
-    """Yearly counts against a Poisson law with the mean of the years before: middle of the jump at the actual count, event score, and an
-    error weighted by the mean over cells that do not hit it exactly."""
-    years = games(spark, sf_dir).groupBy("entity", "segment", "season").agg(F.count(F.lit(1)).alias("x"))
+    """Yearly counts, zero in the years from the first on that have none, against a Poisson law with the mean of the years before:
+    middle of the jump at the actual count, score of "any event", and an error weighted by the mean over cells that do not hit it exactly."""
+    years = save(games(spark, sf_dir).groupBy("entity", "segment", "season").agg(F.count(F.lit(1)).alias("x")), "years")
+    last = years.agg(F.max("season").alias("last"))
+    spine = years.groupBy("entity").agg(F.min("segment").alias("segment"), F.min("season").alias("first")).crossJoin(F.broadcast(last))  # a single row
+    spine = spine.select("entity", "segment", F.explode(F.sequence("first", "last")).alias("season"))
+    filled = spine.join(years.select("entity", "season", "x"), ["entity", "season"], "left").withColumn("x", F.coalesce("x", F.lit(0)))
     before = Window.partitionBy("entity").orderBy("season").rowsBetween(Window.unboundedPreceding, -1)
-    rows = years.withColumn("m", F.avg("x").over(before)).filter("m > 0")
-    # (term, sum of terms below the count), by the recurrence of the law
-    start = F.struct(F.exp(-F.col("m")).alias("term"), F.lit(0.0).alias("below"))
-    steps = F.aggregate(F.sequence(F.lit(1), F.col("x").cast("int")), start, lambda a, k: F.struct((a["term"] * F.col("m") / k).alias("term"), (a["below"] + a["term"]).alias("below")))
-    rows = rows.withColumn("at", steps).withColumn("pit", F.col("at.below") + F.col("at.term") / 2).filter("m != x")
+    rows = filled.withColumn("m", F.avg("x").over(before)).filter("m > 0")
+    rows = rows.withColumn("pit", laws.mid_pit(F.col("x"), laws.poisson(F.col("m")))).filter("m != x")
     out = rows.groupBy("segment").agg(
         F.count(F.lit(1)).alias("n"), F.avg("pit").alias("mean_pit"), F.avg(F.col("pit").between(0.25, 0.75).cast("int")).alias("middle"),
-        F.avg(F.pow(1 - F.exp(-F.col("m")) - (F.col("x") >= 2).cast("int"), 2)).alias("brier"), (F.sum(F.col("m") * F.abs(F.col("x") - F.col("m"))) / F.sum("m")).alias("weighted_error"))
+        F.avg(F.pow(1 - F.exp(-F.col("m")) - (F.col("x") > 0).cast("int"), 2)).alias("brier"), (F.sum(F.col("m") * F.abs(F.col("x") - F.col("m"))) / F.sum("m")).alias("weighted_error"))
     return rounded(rounded(out, "mean_pit", "brier", "weighted_error", digits=5), "middle")

@@ -24,7 +24,10 @@ def test_equals_oracle(name, spark, sf_dir, duck):
     a, b = (x[columns].sort_values(columns, ignore_index=True) for x in (ours, theirs))
     assert len(a) == len(b)
     for c in columns:
-        assert ((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all(), c
+        same = (a[c] == b[c]) | (a[c].isna() & b[c].isna())
+        if not same.all() and a[c].dtype.kind == "f":  # sums in another order may round a tie the other way: a unit of the sixth digit
+            same |= (a[c] - b[c]).abs() <= 1.01e-6 * a[c].abs().clip(lower=1)
+        assert same.all(), c
 
 
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL)))
