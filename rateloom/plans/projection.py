@@ -7,14 +7,12 @@ periods with periods.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import laws
-from ..operators import aggregates, rank
-from ..shared import importable, save, table
+from ..operators import aggregates, events_fit, rank
+from ..shared import save, table
 from .registry import big, query, rounded
 
 DECAY, DISCOUNT, RECENT = 0.8, 0.85, 6
@@ -221,44 +219,65 @@ def trailing_event_features(spark, sf_dir):
     return rounded(event_features(spark, sf_dir).select("entity", "period", "ratio", "usage"), "ratio", "usage")
 
 
-def bounded_share_fit(cells: pd.DataFrame, rounds: int = 400) -> np.ndarray:
-    """(a, b, c), none negative, of rate = n (a + b ratio + c usage), by weighted log loss of "any event"; projected gradient with Armijo steps."""
-    x = np.column_stack([np.ones(len(cells)), cells["ratio"], cells["usage"]]) * cells["n"].to_numpy()[:, None]
-    hit, all_ = cells["hit"].to_numpy(float), cells["rows"].to_numpy(float)
-
-    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        rate = np.maximum(x @ w, 1e-6)
-        p = np.clip(-np.expm1(-rate), 1e-9, 1 - 1e-9)
-        return -float((hit * np.log(p) + (all_ - hit) * np.log1p(-p)).sum() / all_.sum()), -x.T @ (hit * (1 - p) / p - (all_ - hit)) / all_.sum()
-
-    w, step = np.array([0.1, 0.1, 0.1]), 1.0
-    now, slope = loss(w)
-    for _ in range(rounds):
-        while True:
-            new = np.clip(w - step * slope, 0.0, 5.0)
-            value, next_slope = loss(new)
-            if value <= now - 1e-4 * float(slope @ (w - new)) or step < 1e-9:
-                break
-            step /= 2
-        if np.abs(new - w).max() < 1e-9:
-            break
-        w, now, slope, step = new, value, next_slope, step * 2
-    return w
-
-
-@query()
+TWO_PART = GAMES + """,
+    two AS (SELECT entity, team, segment, period, count(*)::DOUBLE AS n, sum(value) AS value, sum(urgent)::DOUBLE AS urgent, sum((o_orderpriority = '2-HIGH')::INT)::DOUBLE AS high FROM games JOIN orders USING (o_orderkey) GROUP BY ALL),
+    sides AS (SELECT team, period, sum(n) AS team_n, sum(value) AS team_value, sum(urgent) AS team_urgent, sum(high) AS team_high FROM two GROUP BY 1, 2),
+    league AS (SELECT avg(team_urgent) AS a, avg(team_high) AS b FROM sides),
+    history AS (SELECT segment, (urgent + high > 0)::INT AS y, count(*) OVER w AS seen, avg(n / team_n) OVER w AS x1, sum(urgent) OVER w / greatest(sum(team_urgent) OVER w, 1e-9) AS x2, avg(value / team_value) OVER w AS x3, sum(high) OVER w / greatest(sum(team_high) OVER w, 1e-9) AS x4
+                FROM two JOIN sides USING (team, period) WINDOW w AS (PARTITION BY entity ORDER BY period ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
+    training AS (SELECT segment, y, a, b, x1, x2, x3, x4, greatest(x3, 0.02) AS w FROM history, league WHERE seen >= 3)"""
+
+
+def two_part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every month of an entity with three or more of its last ten months: two kinds of events, the shares and the ratios before, weighted by usage."""
+    rows = games(spark, sf_dir).join(table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderpriority") == "2-HIGH").cast("int").alias("high")), "o_orderkey")
+    two = save(rows.groupBy("entity", "team", "segment", "period").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("value").alias("value"), F.sum("urgent").cast("double").alias("urgent"), F.sum("high").cast("double").alias("high")), "two-kinds")
+    sides = save(two.groupBy("team", "period").agg(*[F.sum(c).alias(f"team_{c}") for c in ("n", "value", "urgent", "high")]), "team-kinds")
+    league = sides.agg(F.avg("team_urgent").alias("a"), F.avg("team_high").alias("b"))
+    w = Window.partitionBy("entity").orderBy("period").rowsBetween(-10, -1)
+    ratio = lambda x: F.sum(x).over(w) / F.greatest(F.sum(f"team_{x}").over(w), F.lit(1e-9))
+    met = two.join(sides, ["team", "period"]).select(
+        "segment", (F.col("urgent") + F.col("high") > 0).cast("int").alias("y"), F.count(F.lit(1)).over(w).alias("seen"), F.avg(F.col("n") / F.col("team_n")).over(w).alias("x1"), ratio("urgent").alias("x2"), F.avg(F.col("value") / F.col("team_value")).over(w).alias("x3"), ratio("high").alias("x4"))
+    return met.filter("seen >= 3").withColumn("w", F.greatest("x3", F.lit(0.02))).crossJoin(F.broadcast(league)).drop("seen")  # a single row
+
+
+_CHANCE = "least(1 - 1e-4, greatest(1e-4, 1 - exp(-(a * greatest(0, {0}0 + {0}1 * x1 + {0}2 * x2) + b * greatest(0, {0}3 + {0}4 * x3 + {0}5 * x4)))))"
+_DIRECTIONS = ("1", "x1", "x2", "1", "x3", "x4")
+#: Accelerated projected gradient with a step of its own for each coefficient, 600 times.
+EVENT_FIT_SQL = f"""WITH RECURSIVE {TWO_PART},
+    scales AS (SELECT segment, count(*)::BIGINT AS n, sum(w * y) / sum(w) AS rate, {", ".join(f"0.2 / (sum(w * power({'a' if i < 3 else 'b'} * {x}, 2) * (1 - p) / p) / sum(w)) AS s{i}" for i, x in enumerate(_DIRECTIONS))}
+               FROM (SELECT *, {_CHANCE.replace("{0}0", "0.0").replace("{0}1", "0.4").replace("{0}2", "0.4").replace("{0}3", "0.0").replace("{0}4", "0.4").replace("{0}5", "0.4")} AS p FROM training) GROUP BY 1),
+    it AS (SELECT 0 AS k, segment, {", ".join(f"{v}::DOUBLE AS t{i}, {v}::DOUBLE AS z{i}" for i, v in enumerate((0.0, 0.4, 0.4) * 2))} FROM scales
+        UNION ALL
+        SELECT k + 1, segment, {", ".join(f"n{i}, n{i} + k / (k + 3.0) * (n{i} - t{i})" for i in range(6))} FROM (
+            SELECT k, segment, {", ".join(f"t{i}" for i in range(6))}, {", ".join(f"least({'0.5' if i % 3 == 0 else '3.0'}, greatest({'-0.5' if i % 3 == 0 else '0.0'}, z{i} - any_value(s{i}) * sum(w * slope * {'one' if i < 3 else 'two'} * {x}) / sum(w))) AS n{i}" for i, x in enumerate(_DIRECTIONS))}
+            FROM (SELECT *, CASE WHEN p > 1e-4 AND p < 1 - 1e-4 THEN (1 - y) - y * (1 - p) / p ELSE 0 END AS slope, CASE WHEN z0 + z1 * x1 + z2 * x2 > 0 THEN a ELSE 0 END AS one, CASE WHEN z3 + z4 * x3 + z5 * x4 > 0 THEN b ELSE 0 END AS two
+                  FROM (SELECT it.*, training.* EXCLUDE segment, scales.* EXCLUDE segment, {_CHANCE.format("z")} AS p FROM it JOIN training USING (segment) JOIN scales USING (segment)))
+            GROUP BY k, segment, {", ".join(f"t{i}, z{i}" for i in range(6))}) WHERE k < 600)
+    SELECT segment, any_value(n) AS n, round(sum(w * loss) / sum(w), 5) AS loss, round(any_value(-(rate * ln(rate) + (1 - rate) * ln(1 - rate))), 5) AS base_loss, round(sum(w * p) / sum(w), 3) AS mean_chance
+    FROM (SELECT *, -(y * ln(p) + (1 - y) * ln(1 - p)) AS loss FROM (SELECT training.*, n, rate, {_CHANCE.format("t")} AS p FROM it JOIN training USING (segment) JOIN scales USING (segment) WHERE k = 600)) GROUP BY 1"""
+
+
+@query(EVENT_FIT_SQL)
 def bounded_event_fit(spark, sf_dir):
-    """Coefficients for each segment. Months are first counted in cells of rounded features, at most some 10,000 for each
-    segment and number of games, so what a fit reads does not grow with the rows."""
-    importable(spark)
-    rows = event_features(spark, sf_dir).select("segment", F.least("n", F.lit(10)).cast("double").alias("n"), F.round("ratio", 2).alias("ratio"), F.round("usage", 2).alias("usage"), (F.col("urgent") > 0).cast("int").alias("hit"))
-    cells = rows.groupBy("segment", "n", "ratio", "usage").agg(F.sum("hit").alias("hit"), F.count(F.lit(1)).alias("rows"))
+    """Weighted log loss of each segment's fitted chance of an event of either kind, beside that of its mean rate, over unrounded rows."""
+    rows = save(two_part_rows(spark, sf_dir), "two-part-rows")
+    found = events_fit.fit_events(rows, "segment")
+    schema = "segment string, loss double, " + ", ".join(f"t{i} double" for i in range(6))
+    theta = spark.createDataFrame([(g, float(loss), *map(float, t)) for g, (t, loss) in found.items()], schema)
+    met = rows.join(F.broadcast(theta), "segment")  # a row for each segment
+    w, rate = F.col("w"), F.sum(F.col("w") * F.col("y")) / F.sum("w")
+    out = met.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), F.max("loss").alias("loss"), (-(rate * F.ln(rate) + (1 - rate) * F.ln(1 - rate))).alias("base_loss"), (F.sum(w * events_fit.chance([F.col(f"t{i}") for i in range(6)])) / F.sum(w)).alias("mean_chance"))
+    return rounded(rounded(out, "loss", "base_loss", digits=5), "mean_chance", digits=3)
 
-    def fit(own: pd.DataFrame) -> pd.DataFrame:
-        a, b, c = bounded_share_fit(own.sort_values(["n", "ratio", "usage"]))
-        return pd.DataFrame({"segment": [own["segment"].iloc[0]], "base": [a], "by_ratio": [b], "by_usage": [c], "rows": [int(own["rows"].sum())]})
 
-    return rounded(cells.groupBy("segment").applyInPandas(fit, "segment string, base double, by_ratio double, by_usage double, rows long"), "base", "by_ratio", "by_usage", digits=4)
+@query()
+def bounded_event_coefficients(spark, sf_dir):
+    """The coefficients themselves: two intercepts, which may be negative, and the weights of usage and history, which may not."""
+    found = events_fit.fit_events(save(two_part_rows(spark, sf_dir), "two-part-rows"), "segment")
+    terms = [f"{side}_{term}" for side in ("urgent", "high") for term in ("intercept", "usage", "history")]
+    rows = [(g, term, round(float(v), 6)) for g, (theta, _) in sorted(found.items()) for term, v in zip(terms, theta)]
+    return spark.createDataFrame(rows, "segment string, term string, value double")
 
 
 @query(f"""WITH {GAMES}, periods AS (SELECT team, period, sum(urgent) AS urgent, count(*) AS n, row_number() OVER (PARTITION BY team ORDER BY period DESC) AS ago FROM games GROUP BY 1, 2),

@@ -259,21 +259,30 @@ def test_marginal_keeps_null_cells_apart(spark):
     assert out == {("a", "x"): 1, ("a", None): 1, ("b", "x"): 1, ("a", "ALL"): 2, ("b", "ALL"): 1}
 
 
-def test_bounded_event_fit_is_a_minimum():
-    from rateloom.plans.projection import bounded_share_fit
+def test_bounded_event_fit_is_a_minimum(spark):
+    """Two kinds of events; one slope is truly zero, one intercept negative. No step within the bounds lowers the loss."""
+    from rateloom.operators import events_fit
 
     rng = np.random.default_rng(3)
-    cells = pd.DataFrame({"n": rng.integers(1, 4, 60).astype(float), "ratio": rng.random(60).round(2), "usage": rng.random(60).round(2), "rows": rng.integers(5, 40, 60)})
-    rate = cells["n"] * (0.1 + 0.6 * cells["ratio"])
-    cells["hit"] = rng.binomial(cells["rows"], -np.expm1(-rate))
-    x = np.column_stack([np.ones(60), cells["ratio"], cells["usage"]]) * cells["n"].to_numpy()[:, None]
-
-    def loss(w):
-        p = np.clip(-np.expm1(-np.maximum(x @ w, 1e-6)), 1e-9, 1 - 1e-9)
-        return -(cells["hit"] * np.log(p) + (cells["rows"] - cells["hit"]) * np.log1p(-p)).sum() / cells["rows"].sum()
-
-    w = bounded_share_fit(cells)
-    assert (w >= 0).all() and abs(w[1] - 0.6) < 0.2 and w[2] < 0.15
-    for step in (1e-3, 1e-2, 0.1):
-        for d in np.vstack([np.eye(3), -np.eye(3), rng.normal(size=(20, 3))]):
-            assert loss(w) <= loss(np.clip(w + step * d, 0, 5)) + 1e-7
+    x = rng.random((6000, 4))
+    group, w = rng.integers(0, 2, 6000), rng.uniform(0.02, 1, 6000)
+    true = np.array([[-0.2, 0.9, 0.0, 0.05, 0.3, 0.5], [0.1, 0.0, 0.4, -0.3, 0.0, 1.2]])[group]
+    rate = 1.5 * np.maximum(0, true[:, 0] + (true[:, 1:3] * x[:, :2]).sum(1)) + 0.8 * np.maximum(0, true[:, 3] + (true[:, 4:] * x[:, 2:]).sum(1))
+    y = (rng.random(6000) < -np.expm1(-rate)).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"g": group.astype(str), "y": y, "w": w, "a": 1.5, "b": 0.8, **{f"x{i + 1}": x[:, i] for i in range(4)}})).persist()
+    found = events_fit.fit_events(df, "g")
+    low, high = events_fit.BOUNDS.T
+    for g in (0, 1):
+        own = group == g
+
+        def loss(t):
+            r = 1.5 * np.maximum(0, t[0] + x[own, :2] @ t[1:3]) + 0.8 * np.maximum(0, t[3] + x[own, 2:] @ t[4:])
+            p = np.clip(-np.expm1(-r), 1e-4, 1 - 1e-4)
+            return -(w[own] * (y[own] * np.log(p) + (1 - y[own]) * np.log1p(-p))).sum() / w[own].sum()
+
+        theta, told = found[str(g)]
+        assert told == pytest.approx(loss(theta)) and (theta >= low).all() and (theta <= high).all() and told < loss(events_fit.BEGIN)
+        for step in (1e-3, 1e-2, 0.1):
+            for d in np.vstack([np.eye(6), -np.eye(6), rng.normal(size=(40, 6))]):
+                assert told <= loss(np.clip(theta + step * d, low, high)) + 1e-7
+    assert found["0"][0][1] > 0.5 and found["1"][0][5] > 0.7 and min(found["1"][0][1], found["0"][0][2]) < 0.25
