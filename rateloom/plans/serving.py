@@ -41,10 +41,14 @@ def segment_board(spark, sf_dir):
     return rows.groupBy("c_mktsegment").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.t), ";").alias("board"))
 
 
-@query("""SELECT leg::BIGINT AS leg, split_part(t, ':', 1) AS name, split_part(t, ':', 2) AS stat, split_part(t, ':', 3)::DOUBLE AS line, split_part(t, ':', 4) AS side FROM (
-    SELECT unnest(string_split('a:click:3.5:over;b:view:2.5:under;c:error:1:over', ';')) AS t, generate_subscripts(string_split('a:click:3.5:over;b:view:2.5:under;c:error:1:over', ';'), 1) - 1 AS leg)""")
+TICKETS = "concat_ws(';', concat_ws(':', user_id, event_type, floor(value) + 0.5, 'over'), concat_ws(':', user_id, 'any', floor(value / 2), 'under'), concat_ws(':', event_id % 7, event_type, 1, 'over'))"
+
+
+@query(f"""SELECT event_id, leg::BIGINT AS leg, split_part(t, ':', 1) AS name, split_part(t, ':', 2) AS stat, split_part(t, ':', 3)::DOUBLE AS line, split_part(t, ':', 4) AS side FROM (
+    SELECT event_id, unnest(string_split(ticket, ';')) AS t, generate_subscripts(string_split(ticket, ';'), 1) - 1 AS leg FROM (SELECT event_id, {TICKETS} AS ticket FROM events))""")
 def parlay_legs(spark, sf_dir):
-    """``name:stat:line:side`` legs of a joint bet as rows."""
-    text = spark.range(1).select(F.posexplode(F.split(F.lit("a:click:3.5:over;b:view:2.5:under;c:error:1:over"), ";")).alias("leg", "t"))
+    """``name:stat:line:side`` legs of joint bets as rows; each event is written as such a ticket first."""
+    tickets = table(spark, sf_dir, "events").select("event_id", F.expr(TICKETS).alias("ticket"))
+    rows = tickets.select("event_id", F.posexplode(F.split("ticket", ";")).alias("leg", "t"))
     p = F.split("t", ":")
-    return text.select(F.col("leg").cast("long").alias("leg"), p[0].alias("name"), p[1].alias("stat"), p[2].cast("double").alias("line"), p[3].alias("side"))
+    return rows.select("event_id", F.col("leg").cast("long").alias("leg"), p[0].alias("name"), p[1].alias("stat"), p[2].cast("double").alias("line"), p[3].alias("side"))
