@@ -7,11 +7,11 @@ their upper nodes did not, to those met above, and whole groups are left out as
 once their members are all known to be connected. Only links that join two parts are passed on, so groups of copies
 never become all their pairs.
 
-The index is spread over the cluster in segments of the sorted order, whose shared bits form the uppermost nodes: a
-segment's fingerprints go only to the segments whose shared bits they may match.
-
-Exact search (``simhash_groups``) has one such index over all fingerprints. The looser search of the pipeline
-(``near_duplicate_links``) files a wide signature under short bands; the file's number is then the topmost shared pattern, and must agree.
+The uppermost nodes are files, whose members share all bits of one mask; they spread the index over the cluster. Exact search
+(``simhash_groups``) has a mask for each of ``limit + 1`` blocks of the bits, one of which every link leaves unchanged, so each
+fingerprint stands in as many files and links never cross files. The looser search of the pipeline (``near_duplicate_links``)
+files a wide signature under short bands. A file that is still large is cut into segments of the Gray order: a segment's
+fingerprints go only to the segments whose shared bits they may match.
 """
 
 from __future__ import annotations
@@ -401,6 +401,45 @@ def groups_of(batches: Iterator[pa.RecordBatch], key: str, least: int = 50_000)
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def block_files(kinds: DataFrame, limit: int, file_rows: int = SEGMENT_ROWS) -> DataFrame:
+    """(file, id, f0) of ``kinds`` (f0): rows within ``limit`` bits meet in a file.
+
+    The bits are cut into ``limit + 1`` blocks. Two codes that differ in at most ``limit`` bits agree on a block, so each code is
+    filed under every block with its bits there. Files of more than ``file_rows`` rows are filed again in the same way by the
+    bits that their members need not share, as long as there are bits enough; so a file shares more bits the more rows there are.
+    """
+    width, blocks = 64, limit + 1
+    rows = kinds.select(F.lit(0).cast("long").alias("file"), F.col("f0").alias("id"), "f0", F.col("f0").alias("rest"))
+    done = None
+    used = 0
+    while True:
+        size = width // blocks
+        used += size + blocks.bit_length()
+        if size < 4 or used > 62:  # too few bits are left to tell rows apart
+            break
+        options = []
+        for k in range(blocks):
+            low, high = k * size, (k + 1) * size
+            bits = F.shiftrightunsigned("rest", low).bitwiseAND(F.lit((1 << size) - 1))
+            above = F.shiftleft(F.shiftrightunsigned("rest", high), low) if high < 64 else F.lit(0).cast("long")
+            rest = above.bitwiseOR(F.col("rest").bitwiseAND(F.lit((1 << low) - 1)))
+            file = F.shiftleft(F.shiftleft(F.col("file"), blocks.bit_length()).bitwiseOR(F.lit(k)), size).bitwiseOR(bits)
+            options.append(F.struct(file.cast("long").alias("file"), rest.cast("long").alias("rest")))
+        rows = rows.select("id", "f0", F.explode(F.array(*options)).alias("o")).select("o.file", "id", "f0", "o.rest")
+        width -= size
+        large = save(rows.groupBy("file").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > file_rows).select("file"), "large-blocks")
+        if large.isEmpty():
+            break
+        rows = save(rows, "blocks")
+        small = rows.join(large, "file", "left_anti")
+        # files of different rounds have numbers of different lengths: a leading bit tells them apart
+        done = small if done is None else done.unionByName(small)
+        rows = rows.join(large, "file", "left_semi").withColumn("file", F.col("file").bitwiseOR(F.lit(1 << used)))
+        used += 1
+    out = rows if done is None else done.unionByName(rows)
+    return out.select("file", "id", "f0")
+
+
 def simhash_groups(docs: DataFrame, words: int = 3, limit: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, fingerprint, component_id``; fingerprints link at ``limit`` or fewer differing bits.
 
@@ -411,7 +450,7 @@ def simhash_groups(docs: DataFrame, words: int = 3, limit: int = 3, id_col: str
     prints = with_fingerprints(docs, words, id_col, text_col).withColumn("salt", F.monotonically_increasing_id())
     prints = save(prints, "fingerprints")
     kinds = save(prints.groupBy("f0").agg(F.min("doc_id").alias("least")), "kinds")
-    found = components(links_in_files(kinds.select(F.lit(0).cast("long").alias("file"), F.col("f0").alias("id"), "f0"), limit))
+    found = components(links_in_files(block_files(kinds, limit), limit))
     named = save(kinds.join(found.withColumnRenamed("node", "f0"), "f0", "left").withColumn("component", F.coalesce("component", "f0")), "named-kinds")
     named = attach_totals(named, ["component"], F.col("f0"), {"_least": F.min("least")}, {"component_id": F.min("_least")})
     rows = attach(prints, named.select("f0", "component_id"), "f0", F.col("salt"))

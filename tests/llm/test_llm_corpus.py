@@ -256,6 +256,33 @@ def test_large_files_are_cut_in_segments(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("file_rows", [4, 30, 100_000])
+def test_blocks_bring_every_link_together(spark, file_rows):
+    """Families around few centres, with negative codes; files cut again and again by what their members need not share."""
+    bits = np.unique(families(np.random.default_rng(11), 600))
+    bits = np.unique(np.concatenate([bits, np.array([0, 7, (1 << 64) - 1, (1 << 64) - 8], np.uint64)]))
+    df = spark.createDataFrame([(int(x),) for x in bits.view(np.int64)], "f0 long")
+    filed = simhash.block_files(df, 3, file_rows)
+    assert filed.count() <= len(bits) * 4 ** (1 if file_rows > 1000 else 4)
+    place = {int(x): i for i, x in enumerate(bits.view(np.int64))}
+    links = [(place[r.a], place[r.b]) for r in simhash.links_in_files(filed, 3).collect()]
+    assert all(np.bitwise_count(bits[a] ^ bits[b]) <= 3 for a, b in links)
+    assert linked(len(bits), links) == brute_groups({i: int(x) for i, x in enumerate(bits)}, 3)
+    files = {}
+    for r in filed.collect():
+        files.setdefault(r.file, set()).add(r.f0 & (1 << 64) - 1)
+    for members in files.values():  # a file's members share a block at least
+        same = ~(int(np.bitwise_or.reduce(np.array(list(members), np.uint64))) ^ int(np.bitwise_and.reduce(np.array(list(members), np.uint64)))) & (1 << 64) - 1
+        assert any((same >> k) & 0xFFFF == 0xFFFF for k in (0, 16, 32, 48))
+
+
+def test_index_grows_with_its_input(spark):
+    """Random fingerprints in many small files: no file grows beyond what one more cut leaves, and a row is copied 16 times at most."""
+    df = spark.range(120_000).select(F.xxhash64("id").alias("f0"))
+    filed = simhash.block_files(df, 3, file_rows=8)
+    assert filed.count() <= 4 * 4 * 120_000 and filed.groupBy("file").count().agg(F.max("count")).first()[0] <= 64
+
+
 def test_simhash_edges(spark, odd_docs):
     rows = {}
     for r in simhash.simhash_groups(odd_docs).collect():
