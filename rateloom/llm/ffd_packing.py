@@ -66,7 +66,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = cache(tokenizer_path, spaces), np.array([end_id], np.uint32)
         row = TaskContext.get().partitionId() << 40
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 3_000_000):
             rows = []
             names = batch.column("doc_id").to_pylist()
             for name, ids in zip(names, encoder.encode(batch.column("text"))):

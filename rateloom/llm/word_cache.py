@@ -7,6 +7,7 @@ are those of its parts in order. ``tests/llm`` compares this with plain encoding
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 from collections.abc import Iterator
 
@@ -153,6 +154,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = 8_000_000)
 
 def give_back() -> None:
     """Return memory that is no longer used to the system."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
         trim(0)
