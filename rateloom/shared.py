@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -50,7 +51,10 @@ def save(df: DataFrame, label: str) -> DataFrame:
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package, whatever folder the driver was started in."""
+    """Let Python workers of a local session import this package, whatever folder the driver was started in. Batches that go
+    to workers are held to 16 MB, unless the session sets a size of its own: texts differ much in length."""
+    if spark.conf.get(BATCH_BYTES, None) == "67108864b":  # Spark's own setting
+        spark.conf.set(BATCH_BYTES, str(16 << 20))
     root = str(Path(__file__).resolve().parents[1])
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
