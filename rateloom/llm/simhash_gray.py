@@ -40,6 +40,8 @@ STEP = 2048
 #: Pairs of fingerprints joined before connections are brought up to date.
 JOIN_STEP = 4096
 LINKS = "file long, a long, b long"
+#: Whether pairs of places may be links.
+May = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -135,14 +137,14 @@ class GrayIndex:
         self.own = [[low & ~np.repeat(high, FAN)[: len(low)] for low, high in zip(a, b)] for a, b in zip(self.shared, self.shared[1:])] + [self.shared[-1]]
         self.leaves = [np.pad(w, (0, -self.size % FAN)).reshape(-1, FAN) for w in self.patterns[0]]
 
-    def links(self, limit: int, labels: np.ndarray | None = None, apart: Sequence[tuple[int, int]] = ()) -> Iterator[tuple[int, int]]:
+    def links(self, limit: int, labels: np.ndarray | None = None, apart: Sequence[tuple[int, int]] = (), may: May | None = None) -> Iterator[tuple[int, int]]:
         """Links within ``limit`` bits that connect all members that such links connect. Members of one label count as
-        connected; the pairs ``apart`` are no links."""
-        return self._links(self, limit, None if labels is None else labels[self.order], apart)
+        connected; the pairs ``apart`` are no links, nor are those that ``may`` (places, places) denies."""
+        return self._links(self, limit, None if labels is None else labels[self.order], apart, may)
 
-    def links_to(self, other: "GrayIndex", limit: int, labels: tuple[np.ndarray, np.ndarray] | None = None, apart: Sequence[tuple[int, int]] = ()) -> Iterator[tuple[int, int]]:
+    def links_to(self, other: "GrayIndex", limit: int, labels: tuple[np.ndarray, np.ndarray] | None = None, apart: Sequence[tuple[int, int]] = (), may: May | None = None) -> Iterator[tuple[int, int]]:
         """The same between the members of two trees of one height: (place here, place there)."""
-        return self._links(other, limit, None if labels is None else np.concatenate([labels[0][self.order], labels[1][other.order]]), apart)
+        return self._links(other, limit, None if labels is None else np.concatenate([labels[0][self.order], labels[1][other.order]]), apart, may)
 
     def _numbers(self, other: "GrayIndex", a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """A number for each pair of a place here and one in ``other``, in either order where both are one tree."""
@@ -150,7 +152,8 @@ class GrayIndex:
             a, b = np.minimum(a, b), np.maximum(a, b)
         return a * other.size + b
 
-    def _links(self, other: "GrayIndex", limit: int, labels: np.ndarray | None, apart: Sequence[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    def _links(self, other: "GrayIndex", limit: int, labels: np.ndarray | None, apart: Sequence[tuple[int, int]], may: May | None) -> Iterator[tuple[int, int]]:
+        self.may = may
         first = 0 if other is self else self.size
         self.apart = self._numbers(other, *np.array(apart, np.int64).T) if len(apart) else np.zeros(0, np.int64)
         n = self.size + (0 if other is self else other.size)
@@ -230,6 +233,8 @@ class GrayIndex:
             p, q = i[k : k + JOIN_STEP], j[k : k + JOIN_STEP]
             x, y = self.parent[p], self.parent[first + q]
             new = np.flatnonzero(x != y)
+            if self.may and len(new):
+                new = new[self.may(self.order[p[new]], other.order[q[new]])]
             if not len(new):
                 continue
             parent = self.parent
@@ -250,11 +255,13 @@ def tiers(limit: int) -> tuple[int, ...]:
     return (limit // 3, limit) if limit > 6 else (limit,)
 
 
-def links_in_files(filed: DataFrame, limit: int, segment_rows: int = SEGMENT_ROWS, apart: DataFrame | None = None, forests: int = 1) -> DataFrame:
+def links_in_files(filed: DataFrame, limit: int, segment_rows: int = SEGMENT_ROWS, apart: DataFrame | None = None, forests: int = 1, most: int = 0) -> DataFrame:
     """``filed``: (file: long, id: long, f0: long, maybe label: long) to links (file, a, b) within ``limit`` bits, file by file.
     Rows of one label are known to be connected, and need no link between them. Pairs in ``apart`` (file, a, b) are no links.
     With more than one of ``forests`` that many sets of links are passed on, none of which has a link of another, as long
     as there are any: each connects what links that are in no set before connect.
+    A column ``words: array<long>`` holds wide signatures, filed by band: links then also lie within ``most`` bits of these, and
+    are told in the first file alone that both rows have.
 
     Small files lie whole in a task, many under one index. A file of more than ``segment_rows`` rows is cut into segments of
     its Gray order; each segment is an index of its own, and gets the rows of those other segments whose shared bits allow a
@@ -262,17 +269,17 @@ def links_in_files(filed: DataFrame, limit: int, segment_rows: int = SEGMENT_ROW
     """
     spark = filed.sparkSession
     importable(spark)
-    carried = ["id", "f0"] + ["label"] * ("label" in filed.columns)
+    carried = ["id", "f0"] + [c for c in ("label", "words") if c in filed.columns]
     large = filed.groupBy("file").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > segment_rows)
     large = save(large, "large-files")
     total = large.agg(F.sum("n")).first()[0]
     few = filed.join(large, "file", "left_anti") if total else filed
     # a pair that is no link travels as a row with both identifiers
-    blank = [F.lit(0).cast("long").alias(c) for c in carried[1:]]
+    blank = [F.lit(None).cast("array<long>").alias(c) if c == "words" else F.lit(0).cast("long").alias(c) for c in carried[1:]]
     few = few.select("file", *carried, F.lit(None).cast("long").alias("other"))
     if apart is not None:
         few = few.unionByName((apart.join(large, "file", "left_anti") if total else apart).select("file", F.col("a").alias("id"), *blank, F.col("b").alias("other")))
-    found = few.repartition("file").sortWithinPartitions("file").mapInArrow(lambda batches: within_files(batches, limit, forests), LINKS)
+    found = few.repartition("file").sortWithinPartitions("file").mapInArrow(lambda batches: within_files(batches, limit, forests, most), LINKS)
     if not total:
         return found
     parts = min(MAX_SEGMENTS, -(-total // segment_rows))
@@ -295,7 +302,7 @@ def links_in_files(filed: DataFrame, limit: int, segment_rows: int = SEGMENT_ROW
         met = met.unionByName(inside.select(*chosen)).unionByName(across.select(*chosen))
     parts = max(1, min(pairs.num_rows, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     met = met.repartitionById(parts, F.pmod(F.col("pair"), F.lit(parts)).cast("int")).sortWithinPartitions("pair", "side")
-    return found.unionByName(met.mapInArrow(lambda batches: between_segments(batches, limit, forests), LINKS))
+    return found.unionByName(met.mapInArrow(lambda batches: between_segments(batches, limit, forests, most), LINKS))
 
 
 def segment_pairs(files: np.ndarray, parts: np.ndarray, all_of: np.ndarray, any_of: np.ndarray, limit: int) -> pa.Table:
@@ -325,6 +332,35 @@ def links_out(files: np.ndarray, ids: np.ndarray, others: np.ndarray, found: lis
         yield pa.RecordBatch.from_arrays([pa.array(files[a]), pa.array(ids[a]), pa.array(others[b])], names=["file", "a", "b"])
 
 
+def wide_words(rows: pa.RecordBatch) -> np.ndarray | None:
+    """Signatures as a row of words each; rows without one are zero."""
+    if "words" not in rows.schema.names:
+        return None
+    lists = rows.column("words")
+    out = np.zeros((len(lists), WIDE), np.uint64)
+    known = lists.is_valid().to_numpy(zero_copy_only=False).astype(bool)
+    out[known] = pc.list_flatten(lists).to_numpy().view(np.uint64).reshape(-1, WIDE)
+    return out
+
+
+def told_here(here: np.ndarray, there: np.ndarray, files: np.ndarray, most: int) -> May:
+    """Pairs within ``most`` bits that agree on no band before that of their file."""
+    masks = band_masks()
+
+    def may(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), bool)
+        for k in range(0, len(a), JOIN_STEP):
+            differ = here[a[k : k + JOIN_STEP]] ^ there[b[k : k + JOIN_STEP]]
+            near, band = np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= most, files[a[k : k + JOIN_STEP]] // (1 << BAND_BITS)
+            for before in range(int(band.max(initial=0))):
+                at = np.flatnonzero(near & (band > before))
+                near[at] = (differ[at] & masks[before]).any(axis=1)
+            out[k : k + JOIN_STEP] = near
+        return out
+
+    return may
+
+
 def disjoint(links: Callable[[list], Iterator[tuple[int, int]]], apart: list[tuple[int, int]], forests: int) -> list[tuple[int, int]]:
     """The links of so many forests, none of which has a link of another."""
     out: list[tuple[int, int]] = []
@@ -336,7 +372,7 @@ def disjoint(links: Callable[[list], Iterator[tuple[int, int]]], apart: list[tup
     return out
 
 
-def within_files(batches: Iterator[pa.RecordBatch], limit: int, forests: int = 1) -> Iterator[pa.RecordBatch]:
+def within_files(batches: Iterator[pa.RecordBatch], limit: int, forests: int = 1, most: int = 0) -> Iterator[pa.RecordBatch]:
     """Rows sorted by file: one index over many whole files at a time."""
     for rows in groups_of(batches, "file"):
         told = rows.filter(pc.is_valid(rows.column("other")))
@@ -352,16 +388,17 @@ def within_files(batches: Iterator[pa.RecordBatch], limit: int, forests: int = 1
             own = set(told.column("file").to_pylist())
             place = {(f, i): p for p, (f, i) in enumerate(zip(files.tolist(), ids.tolist())) if f in own}
             apart = [(place[f, a], place[f, b]) for f, a, b in zip(*(told.column(c).to_pylist() for c in ("file", "id", "other"))) if (f, a) in place and (f, b) in place]
-        index = GrayIndex(codes.view(np.uint64), several)
-        yield from links_out(files, ids, ids, disjoint(lambda known: index.links(limit, labels, known), apart, forests))
+        index, words = GrayIndex(codes.view(np.uint64), several), wide_words(rows)
+        may = None if words is None else told_here(words, words, files, most)
+        yield from links_out(files, ids, ids, disjoint(lambda known: index.links(limit, labels, known, may), apart, forests))
     give_back()
 
 
-def between_segments(batches: Iterator[pa.RecordBatch], limit: int, forests: int = 1) -> Iterator[pa.RecordBatch]:
+def between_segments(batches: Iterator[pa.RecordBatch], limit: int, forests: int = 1, most: int = 0) -> Iterator[pa.RecordBatch]:
     """Rows sorted by pair and side: an index over each side. Side 2: pairs that are no links."""
     for rows in groups_of(batches, "pair"):
         pair, side, files, ids, codes, labels = numbers(rows, "pair", "side", "file", "id", "f0", "label")
-        other = pc.fill_null(rows.column("other"), 0).to_numpy()
+        other, words = pc.fill_null(rows.column("other"), 0).to_numpy(), wide_words(rows)
         codes, starts = codes.view(np.uint64), np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(pair)]):
             cut, end = a + int(np.searchsorted(side[a:b], 1)), a + int(np.searchsorted(side[a:b], 2))
@@ -370,7 +407,8 @@ def between_segments(batches: Iterator[pa.RecordBatch], limit: int, forests: int
                 apart = [(place[x], place[y]) for x, y in zip(ids[end:b].tolist(), other[end:b].tolist()) if x in place and y in place]
                 one = GrayIndex(codes[a:end])
                 own = None if labels is None else labels[a:end]
-                yield from links_out(files[a:end], ids[a:end], ids[a:end], disjoint(lambda known: one.links(limit, own, known), apart, forests))
+                may = None if words is None else told_here(words[a:end], words[a:end], files[a:end], most)
+                yield from links_out(files[a:end], ids[a:end], ids[a:end], disjoint(lambda known: one.links(limit, own, known, may), apart, forests))
             elif a < cut < end:
                 one, two = GrayIndex(codes[a:cut]), GrayIndex(codes[cut:end])
                 height = max(one.height, two.height)
@@ -379,7 +417,8 @@ def between_segments(batches: Iterator[pa.RecordBatch], limit: int, forests: int
                 told = [(x, y) if x in here else (y, x) for x, y in zip(ids[end:b].tolist(), other[end:b].tolist())]
                 apart = [(here[x], there[y]) for x, y in told if x in here and y in there]
                 both = None if labels is None else (labels[a:cut], labels[cut:end])
-                yield from links_out(files[a:cut], ids[a:cut], ids[cut:end], disjoint(lambda known: one.links_to(two, limit, both, known), apart, forests))
+                may = None if words is None else told_here(words[a:cut], words[cut:end], files[a:cut], most)
+                yield from links_out(files[a:cut], ids[a:cut], ids[cut:end], disjoint(lambda known: one.links_to(two, limit, both, known, may), apart, forests))
     give_back()
 
 
@@ -460,7 +499,7 @@ def simhash_groups(docs: DataFrame, words: int = 3, limit: int = 3, id_col: str
 #: Signature of the similarity search: words of 64 bits, bands, bits of a band.
 WIDE, BANDS, BAND_BITS = 8, 44, 16
 #: The bands of a first round; most groups are connected by then. How much the links passed on grow with each further round.
-FIRST_BANDS, FORESTS = 8, 8
+FIRST_BANDS, FORESTS = 8, 4
 
 
 def set_of(text: str | None, words: int) -> np.ndarray:
@@ -468,12 +507,26 @@ def set_of(text: str | None, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text or "", words))
 
 
+def band_bits() -> np.ndarray:
+    """The bits of the signature that each band holds, band after band."""
+    rng = np.random.default_rng(SEED)
+    rounds = -(-BANDS * BAND_BITS // (64 * WIDE))
+    return np.concatenate([rng.permutation(64 * WIDE) for _ in range(rounds)])[: BANDS * BAND_BITS]
+
+
+def band_masks() -> np.ndarray:
+    """The same as a mask of words for each band."""
+    out = np.zeros((BANDS, WIDE), np.uint64)
+    for band, bits in enumerate(band_bits().reshape(BANDS, BAND_BITS)):
+        for k in bits.tolist():
+            out[band, k // 64] |= np.uint64(1 << (63 - k % 64))
+    return out
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """``doc_id, d0, d1, f0 .. f7, bands``: a digest of the set of shingles, its wide SimHash, and ``BANDS`` selections of its bits; rows without any word are left out."""
     importable(docs.sparkSession)
-    rng = np.random.default_rng(SEED)
-    rounds = -(-BANDS * BAND_BITS // (64 * WIDE))
-    bits = np.concatenate([rng.permutation(64 * WIDE) for _ in range(rounds)])[: BANDS * BAND_BITS]
+    bits = band_bits()
     names = ["d0", "d1", *[f"f{k}" for k in range(WIDE)]]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -542,12 +595,14 @@ def near_duplicate_links(docs: DataFrame, words: int = 5, similarity: float = 0.
     labelled = kinds.withColumn("label", F.col("id"))
     for number in count():
         filed = labelled.select("id", "label", *names, F.posexplode("bands").alias("band", "bits"))
-        filed = filed.select("band", (F.col("band") * 65536 + F.col("bits")).cast("long").alias("file"), "id", word.alias("f0"), "label")
+        # searched again, files have whole signatures: failed candidates are not looked at once for every file
+        wide = [F.array(*names).alias("words")] if number > 1 else []
+        filed = filed.select("band", (F.col("band") * 65536 + F.col("bits")).cast("long").alias("file"), "id", word.alias("f0"), "label", *wide)
         fresh = filed.filter(F.col("band") < FIRST_BANDS if number == 0 else F.col("band") >= FIRST_BANDS)
         if number:
             old = filed.filter(F.col("band") < FIRST_BANDS) if number == 1 else filed
             fresh = fresh.unionByName(old.join(again, "file", "left_semi")) if number == 1 else old.join(again, "file", "left_semi")
-        found = links_in_files(fresh.drop("band"), limit, apart=failed, forests=FORESTS ** max(0, number - 1))
+        found = links_in_files(fresh.drop("band"), limit, apart=failed, forests=FORESTS ** max(0, number - 1), most=most)
         found = save(found.select("file", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "candidates")
         close = save(found.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter(apart_bits <= most).select("a", "b"), "close-candidates")
         named = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()

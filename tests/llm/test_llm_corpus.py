@@ -377,6 +377,24 @@ def test_links_that_failed_are_replaced(spark, segment_rows):
     assert len(seen) == 2 * 90 * 89 // 2
 
 
+def test_pairs_are_told_in_their_first_band():
+    rng = np.random.default_rng(6)
+    words = rng.integers(0, 1 << 64, (40, simhash.WIDE), dtype=np.uint64)
+    words[20:] = words[:20]
+    for k in range(20):  # near copies: a few bits of each word differ
+        for w in range(simhash.WIDE):
+            for b in rng.choice(64, 5, replace=False):
+                words[20 + k, w] ^= np.uint64(1 << int(b))
+    each = np.unpackbits(words.astype(">u8").view(np.uint8).reshape(40, -1), axis=1)[:, simhash.band_bits()].reshape(40, simhash.BANDS, simhash.BAND_BITS)
+    for a, b in [(k, 20 + k) for k in range(20)]:
+        shared = np.flatnonzero((each[a] == each[b]).all(axis=1)).tolist()
+        for band in range(simhash.BANDS):
+            may = simhash.told_here(words, words, np.full(40, band * 65536 + 3), 60)
+            if band in shared:
+                assert may(np.array([a]), np.array([b]))[0] == (band == shared[0])
+        assert not simhash.told_here(words, words, np.zeros(40, np.int64), 20)(np.array([a]), np.array([b]))[0]
+
+
 def test_near_duplicates_with_repeated_lines(spark):
     """The same shingle set, a line once or fifty times."""
     head, line = " ".join(f"h{k}" for k in range(104)), " ".join(f"r{k}" for k in range(10))
