@@ -615,14 +615,16 @@ def near_duplicate_links(docs: DataFrame, words: int = 5, similarity: float = 0.
         any_good = not good.isEmpty()
         links = good if links is None else save(links.unionByName(good), "near-links") if any_good else links
         bad = save(found.join(good, ["a", "b"], "left_anti").select("file", "a", "b"), "failed-candidates")
-        again = save(bad.select("file").distinct(), "files-again")
-        if number and again.isEmpty():
-            break
         failed = bad if failed is None else save(failed.unionByName(bad), "failed-candidates")
         # from now on links are looked for between what is not connected yet
         if any_good:
             known = components(links).select(F.col("node").alias("id"), F.col("component").alias("label"))
             labelled = save(kinds.join(known, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled-kinds")
+        # a failed candidate whose ends are connected all the same has hidden no link of its file
+        label = lambda x: labelled.select(F.col("id").alias(x), F.col("label").alias(f"{x}_label"))
+        again = save(bad.join(label("a"), "a").join(label("b"), "b").filter("a_label != b_label").select("file").distinct(), "files-again")
+        if number and again.isEmpty():
+            break
     same = attach_totals(marks.select("doc_id", "d0", "d1"), ["d0", "d1"], F.col("doc_id"), {"_id": F.min("doc_id")}, {"id": F.min("_id")})
     return links.unionByName(same.filter("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b")))
 
