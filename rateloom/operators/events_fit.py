@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: Bounds of intercepts and slopes, where the search begins, and the least chance that is told (fixed values).
 BOUNDS = np.array([(-0.5, 0.5), (0.0, 3.0), (0.0, 3.0)] * 2)
 BEGIN = np.array([0.0, 0.4, 0.4] * 2)
+#: The positive parts make several minima: each group is fitted from all of these, and the best is told (fixed values).
+STARTS = (BEGIN, np.array([0.2, 0.05, 0.05] * 2), np.array([-0.4, 3.0, 0.0, -0.5, 0.8, 0.0]), np.array([-0.5, 0.8, 0.0, -0.4, 3.0, 0.0]))
 LEAST_CHANCE = 1e-4
 
 
@@ -34,9 +36,9 @@ def log_loss(p: Column) -> Column:
 
 
 def sums_at(rows: DataFrame, group: str, thetas: dict) -> dict:
-    """group to (loss, gradient, curvature) per unit of weight, at each group's own coefficients."""
-    table = rows.sparkSession.createDataFrame([(g, *map(float, t)) for g, t in thetas.items()], f"{group} string, " + ", ".join(f"t{i} double" for i in range(6)))
-    met = rows.join(F.broadcast(table), group)  # a row for each group
+    """(group, start) to (loss, gradient, curvature) per unit of weight, at the coefficients of each."""
+    table = rows.sparkSession.createDataFrame([(g, k, *map(float, t)) for (g, k), t in thetas.items()], f"{group} string, _start int, " + ", ".join(f"t{i} double" for i in range(6)))
+    met = rows.join(F.broadcast(table), group)  # a row for each group and start
     theta = [F.col(f"t{i}") for i in range(6)]
     one, two = parts_of(theta)
     rate = F.col("a") * one + F.col("b") * two
@@ -46,13 +48,13 @@ def sums_at(rows: DataFrame, group: str, thetas: dict) -> dict:
     sides = [(F.when(one > 0, F.col("a")).otherwise(0.0), (F.lit(1.0), F.col("x1"), F.col("x2"))), (F.when(two > 0, F.col("b")).otherwise(0.0), (F.lit(1.0), F.col("x3"), F.col("x4")))]
     d = [c * x for c, xs in sides for x in xs]
     w = F.col("w")
-    found = met.groupBy(group).agg(
+    found = met.groupBy(group, "_start").agg(
         F.sum(w).alias("w"), F.sum(w * log_loss(F.col("_p"))).alias("loss"), *[F.sum(w * F.col("_slope") * x).alias(f"g{i}") for i, x in enumerate(d)],
         *[F.sum(w * F.col("_curve") * d[i] * d[j]).alias(f"h{i}_{j}") for i in range(6) for j in range(i, 6)]).collect()
     out = {}
     for r in found:
         curve = np.array([[r[f"h{min(i, j)}_{max(i, j)}"] for j in range(6)] for i in range(6)]) / r["w"]
-        out[r[group]] = (r["loss"] / r["w"], np.array([r[f"g{i}"] for i in range(6)]) / r["w"], curve)
+        out[r[group], r["_start"]] = (r["loss"] / r["w"], np.array([r[f"g{i}"] for i in range(6)]) / r["w"], curve)
     return out
 
 
@@ -67,27 +69,40 @@ def step_of(theta: np.ndarray, slope: np.ndarray, curve: np.ndarray) -> np.ndarr
     return step
 
 
-def fit_events(rows: DataFrame, group: str, rounds: int = 60, tolerance: float = 1e-9) -> dict[str, tuple[np.ndarray, float]]:
-    """group to (coefficients, loss). ``rows``: (group: string, y, w, a, b, x1 .. x4), saved, without nulls; ``group`` has few values. A step that does not lower the loss is halved."""
+def slope_step(theta: np.ndarray, slope: np.ndarray, curve: np.ndarray) -> np.ndarray:
+    """Down the gradient, each coefficient by its own curvature: where Newton's step does not help, as at the edge of a positive part."""
+    return -slope / (np.diag(curve) + 1e-6)
+
+
+def fit_events(rows: DataFrame, group: str, rounds: int = 80, tolerance: float = 1e-10) -> dict[str, tuple[np.ndarray, float]]:
+    """group to (coefficients, loss), the best over ``STARTS``. ``rows``: (group: string, y, w, a, b, x1 .. x4), saved, without nulls;
+    ``group`` has few values. A step that does not lower the loss is cut to a quarter; where no part of Newton's step helps, the gradient is tried."""
     names = [r[0] for r in rows.select(group).distinct().collect()]
-    theta = {g: BEGIN.copy() for g in names}
-    held = sums_at(rows, group, theta)
-    step = {g: step_of(theta[g], *held[g][1:]) for g in names}
-    scale, open_ = dict.fromkeys(names, 1.0), set(names)
+    keys = [(g, k) for g in names for k in range(len(STARTS))]
+    theta = {key: STARTS[key[1]].copy() for key in keys}
+    held = sums_at(rows, group, theta) if keys else {}
+    step = {key: step_of(theta[key], *held[key][1:]) for key in keys}
+    scale, plain, small, open_ = dict.fromkeys(keys, 1.0), dict.fromkeys(keys, False), dict.fromkeys(keys, 0), set(keys)
     for _ in range(rounds):
         if not open_:
             break
-        tried = {g: np.clip(theta[g] + scale[g] * step[g], *BOUNDS.T) for g in open_}
+        tried = {key: np.clip(theta[key] + scale[key] * step[key], *BOUNDS.T) for key in open_}
         found = sums_at(rows, group, tried)
-        for g in list(open_):
-            gain = held[g][0] - found[g][0]
+        for key in list(open_):
+            gain = held[key][0] - found[key][0]
             if gain > 0:
-                theta[g], held[g], scale[g] = tried[g], found[g], min(1.0, 2 * scale[g])
-                step[g] = step_of(theta[g], *held[g][1:])
-                if gain < tolerance * max(1e-3, found[g][0]):
-                    open_.discard(g)
+                theta[key], held[key], scale[key] = tried[key], found[key], 1.0
+                small[key] = small[key] + 1 if gain < tolerance else 0
+                plain[key] = plain[key] and gain < tolerance
+                if small[key] > 2:
+                    open_.discard(key)
             else:
-                scale[g] /= 4
-                if scale[g] * np.abs(step[g]).max() < 1e-10:
-                    open_.discard(g)
-    return {g: (theta[g], held[g][0]) for g in names}
+                scale[key] /= 4
+                if scale[key] * np.abs(step[key]).max() >= 1e-7:
+                    continue
+                if plain[key]:
+                    open_.discard(key)
+                plain[key], scale[key] = True, 1.0
+            step[key] = (slope_step if plain[key] else step_of)(theta[key], *held[key][1:])
+    best = {g: min((k for k in keys if k[0] == g), key=lambda k: held[k][0]) for g in names}
+    return {g: (theta[k], held[k][0]) for g, k in best.items()}

@@ -247,15 +247,17 @@ _DIRECTIONS = ("1", "x1", "x2", "1", "x3", "x4")
 EVENT_FIT_SQL = f"""WITH RECURSIVE {TWO_PART},
     scales AS (SELECT segment, count(*)::BIGINT AS n, sum(w * y) / sum(w) AS rate, {", ".join(f"0.2 / (sum(w * power({'a' if i < 3 else 'b'} * {x}, 2) * (1 - p) / p) / sum(w)) AS s{i}" for i, x in enumerate(_DIRECTIONS))}
                FROM (SELECT *, {_CHANCE.replace("{0}0", "0.0").replace("{0}1", "0.4").replace("{0}2", "0.4").replace("{0}3", "0.0").replace("{0}4", "0.4").replace("{0}5", "0.4")} AS p FROM training) GROUP BY 1),
-    it AS (SELECT 0 AS k, segment, {", ".join(f"{v}::DOUBLE AS t{i}, {v}::DOUBLE AS z{i}" for i, v in enumerate((0.0, 0.4, 0.4) * 2))} FROM scales
+    starts AS (SELECT * FROM (VALUES {", ".join(f"({k}, {', '.join(f'{v}::DOUBLE' for v in start.tolist())})" for k, start in enumerate(events_fit.STARTS))}) AS v(s, {", ".join(f"t{i}" for i in range(6))})),
+    it AS (SELECT 0 AS k, segment, s, {", ".join(f"t{i}, t{i} AS z{i}" for i in range(6))} FROM scales, starts
         UNION ALL
-        SELECT k + 1, segment, {", ".join(f"n{i}, n{i} + k / (k + 3.0) * (n{i} - t{i})" for i in range(6))} FROM (
-            SELECT k, segment, {", ".join(f"t{i}" for i in range(6))}, {", ".join(f"least({'0.5' if i % 3 == 0 else '3.0'}, greatest({'-0.5' if i % 3 == 0 else '0.0'}, z{i} - any_value(s{i}) * sum(w * slope * {'one' if i < 3 else 'two'} * {x}) / sum(w))) AS n{i}" for i, x in enumerate(_DIRECTIONS))}
+        SELECT k + 1, segment, s, {", ".join(f"n{i}, n{i} + k / (k + 3.0) * (n{i} - t{i})" for i in range(6))} FROM (
+            SELECT k, segment, s, {", ".join(f"t{i}" for i in range(6))}, {", ".join(f"least({'0.5' if i % 3 == 0 else '3.0'}, greatest({'-0.5' if i % 3 == 0 else '0.0'}, z{i} - any_value(s{i}) * sum(w * slope * {'one' if i < 3 else 'two'} * {x}) / sum(w))) AS n{i}" for i, x in enumerate(_DIRECTIONS))}
             FROM (SELECT *, CASE WHEN p > 1e-4 AND p < 1 - 1e-4 THEN (1 - y) - y * (1 - p) / p ELSE 0 END AS slope, CASE WHEN z0 + z1 * x1 + z2 * x2 > 0 THEN a ELSE 0 END AS one, CASE WHEN z3 + z4 * x3 + z5 * x4 > 0 THEN b ELSE 0 END AS two
                   FROM (SELECT it.*, training.* EXCLUDE segment, scales.* EXCLUDE segment, {_CHANCE.format("z")} AS p FROM it JOIN training USING (segment) JOIN scales USING (segment)))
-            GROUP BY k, segment, {", ".join(f"t{i}, z{i}" for i in range(6))}) WHERE k < 600)
-    SELECT segment, any_value(n) AS n, round(sum(w * loss) / sum(w), 5) AS loss, round(any_value(-(rate * ln(rate) + (1 - rate) * ln(1 - rate))), 5) AS base_loss, round(sum(w * p) / sum(w), 3) AS mean_chance
-    FROM (SELECT *, -(y * ln(p) + (1 - y) * ln(1 - p)) AS loss FROM (SELECT training.*, n, rate, {_CHANCE.format("t")} AS p FROM it JOIN training USING (segment) JOIN scales USING (segment) WHERE k = 600)) GROUP BY 1"""
+            GROUP BY k, segment, s, {", ".join(f"t{i}, z{i}" for i in range(6))}) WHERE k < 600),
+    ends AS (SELECT segment, s, any_value(n) AS n, sum(w * loss) / sum(w) AS loss, any_value(-(rate * ln(rate) + (1 - rate) * ln(1 - rate))) AS base_loss, sum(w * p) / sum(w) AS mean_chance
+             FROM (SELECT *, -(y * ln(p) + (1 - y) * ln(1 - p)) AS loss FROM (SELECT training.*, s, n, rate, {_CHANCE.format("t")} AS p FROM it JOIN training USING (segment) JOIN scales USING (segment) WHERE k = 600)) GROUP BY 1, 2)
+    SELECT segment, any_value(n) AS n, round(min(loss), 5) AS loss, round(any_value(base_loss), 5) AS base_loss, round(arg_min(mean_chance, loss), 3) AS mean_chance FROM ends GROUP BY 1"""
 
 
 @query(EVENT_FIT_SQL)
