@@ -1,11 +1,13 @@
 """Main text of HTML pages by minimum-cut labelling.
 
 A page becomes a graph of its text blocks and of those elements around them that tell something (``nav``, ``article``, a
-class named ``sidebar``). A linear classifier over a block's own length, links and punctuation gives its cost of being
+class named ``sidebar``). What a word of a class or id tells is learned, around a prior, from where its blocks stand in
+pages that mark their main part; of a name with several words the last counts as much as all others, and the less the fewer
+are known, so that ``share-price-table`` tells little. A linear classifier over a block's own length, links and punctuation gives its cost of being
 content or boilerplate; it is fitted, around a prior, on blocks of a bounded sample of pages that such elements label. The
 costs, and the elements' evidence for each block below them, are the capacities to the two terminals. Smoothness edges
 join a block to the nearest telling element, such an element to the next one above it, and blocks that follow each other
-or are siblings, the weaker the farther apart they are in the document tree. What stands in boilerplate can hardly be content, while content may hold
+or are siblings, all the weaker the farther apart they are in the document tree. What stands in boilerplate can hardly be content, while content may hold
 boilerplate, so edges up the tree weigh more one way. The minimum cut separates content from boilerplate; the content
 blocks are returned in page order.
 """
@@ -40,12 +42,21 @@ TAG_COST = {"article": 500, "main": 400, "nav": -900, "footer": -900, "aside": -
 BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup promo promos promotion recommended related replies respond rail search share sharing sidebar sidebars signup skip skyscraper social sponsor sponsored subscribe subscription tags teaser toolbar tracking warning widget".split())
 GOOD_WORDS = frozenset("article body content entry main post story text".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
+#: Words of names that say nothing of the text.
+GENERIC = frozenset("area bar block bottom box btn component container element global group holder inner item js left list module outer page panel right row section site slot top unit wrap wrapper zone".split())
+#: What a listed word tells before its places are counted, in hundredths of a log odds.
+BAD_WORD, GOOD_WORD = -900, 250
+PRIOR_WORDS = dict.fromkeys(GOOD_WORDS, GOOD_WORD) | dict.fromkeys(BAD_WORDS, BAD_WORD)
 WORD = re.compile(r"[a-z]+")
 #: Features of a block, and the classifier's weights before it is fitted (log odds).
 FEATURES = ("one", "links", "length", "stop")
 PRIOR = np.array([0.2, -3.5, 0.4, 0.6])
 #: Bounds of the sample that the weights are fitted on, and the blocks that it counts as beside the prior.
 SAMPLE_PAGES, SAMPLE_BLOCKS, SAMPLE_WEIGHT = 2000, 20_000, 200.0
+#: Words of classes and ids that are learned at most, the blocks that the prior counts as, and the least evidence that is kept.
+SAMPLE_WORDS, WORD_WEIGHT, LEAST_WORD = 2000, 4.0, 100
+#: Elements that mark a page's main part, and steps up the tree in which they are looked for.
+MAIN_TAGS, MAIN_STEPS = frozenset(["article", "main"]), 64
 #: Largest cost of a block, in hundredths of a log odds.
 MOST = 300
 #: Capacities: a content block in a boilerplate element, the reverse; an element (for each block in it) likewise, and the reverse; neighbours.
@@ -57,37 +68,50 @@ NEAR_STEPS = 4
 class Element:
     """``teller``: the nearest element, itself included, whose tag or attributes tell something."""
 
-    __slots__ = ("blocks", "cost", "depth", "inside", "number", "parent", "tag", "teller")
+    __slots__ = ("attributes", "blocks", "cost", "depth", "inside", "number", "parent", "tag", "teller")
 
-    def __init__(self, tag: str, parent: "Element | None", attributes: str):
-        self.tag, self.parent, self.blocks, self.number = tag, parent, 0, -1
+    def __init__(self, tag: str, parent: "Element | None", attributes: str, words: dict[str, int] = PRIOR_WORDS):
+        self.tag, self.parent, self.blocks, self.number, self.attributes = tag, parent, 0, -1, attributes
         self.depth = parent.depth + 1 if parent else 0
-        self.inside = parent is not None and (parent.inside or parent.tag in ("article", "main"))
-        self.cost = element_cost(tag, attributes, self.inside)
+        self.inside = parent is not None and (parent.inside or parent.tag in MAIN_TAGS)
+        self.cost = element_cost(tag, attributes, self.inside, words)
         self.teller = self if self.cost else parent.teller if parent else None
 
 
-def element_cost(tag: str, attributes: str, inside: bool) -> int:
+def names_of(attributes: str) -> list[list[str]]:
+    """The words of each name in an element's classes and id."""
+    return [WORD.findall(n) for name, a, b, c in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for n in (a or b or c).lower().split()]
+
+
+def name_cost(name: list[str], words: dict[str, int]) -> int:
+    """What a name tells: its last word as much as the mean of the others, less the share of words that are not known."""
+    own = [words.get(w) for w in name if w not in GENERIC]
+    if not own:
+        return 0
+    *before, last = [x or 0 for x in own]
+    told = (last + sum(before) / len(before)) / 2 if before else last
+    return int(told * sum(x is not None for x in own) / len(own))
+
+
+def element_cost(tag: str, attributes: str, inside: bool, words: dict[str, int] = PRIOR_WORDS) -> int:
+    """What the tag and attributes tell; of an element's names the worst counts, else the best."""
     cost = TAG_COST.get(tag, 0)
     if tag == "header" and inside:
         cost = -300
     if attributes:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), (a or b or c).lower()
-            if name in ("class", "id"):
-                words = set(WORD.findall(value))
-                if words & BAD_WORDS:
-                    cost -= 900
-                elif words & GOOD_WORDS and tag not in ("body", "html"):
-                    cost += 250
-            elif name == "role":
+            if name == "role":
                 cost += -900 if value in BAD_ROLES else 400 if value in ("main", "article") else 0
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
                 cost -= 900
+        told = [name_cost(name, words) for name in names_of(attributes)]
+        if told:
+            cost += min(told) if min(told) < 0 else max(told)
     return cost
 
 
-def blocks_of(page: str) -> list[tuple[str, int, int, Element]]:
+def blocks_of(page: str, words: dict[str, int] = PRIOR_WORDS) -> list[tuple[str, int, int, Element]]:
     """(text, its characters, those of them in links, innermost block element) of each block with text, in page order."""
     out: list[tuple[str, int, int, Element]] = []
     top = node = Element("", None, "")
@@ -164,7 +188,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, Element]]:
         while node is not top and node.tag in CLOSED_BY and tag in CLOSED_BY[node.tag]:
             opened[node.tag] -= 1
             node = node.parent
-        node = Element(tag, node, m[3])
+        node = Element(tag, node, m[3], words)
         opened[tag] += 1
     flush()
     return out
@@ -284,7 +308,8 @@ def graph_of(blocks: list[tuple[str, int, int, Element]], weights: np.ndarray) -
                 x.number = len(blocks) + len(tellers)
                 tellers.append(x)
             x.blocks += 1
-            edges.append((i, x.number, INTO_BAD, OUT_OF_GOOD))
+            steps = min(element.depth - x.depth, 2 * NEAR_STEPS)
+            edges.append((i, x.number, 2 * INTO_BAD // (2 + steps), 2 * OUT_OF_GOOD // (2 + steps)))
         if i and blocks[i - 1][3].teller is x:
             near = NEAR // (1 + steps_apart(blocks[i - 1][3], element))
             edges.append((i - 1, i, near, near))
@@ -305,9 +330,9 @@ def graph_of(blocks: list[tuple[str, int, int, Element]], weights: np.ndarray) -
     return costs + [x.cost * x.blocks for x in tellers], edges
 
 
-def main_text(page: str | None, weights: np.ndarray = PRIOR) -> str:
+def main_text(page: str | None, weights: np.ndarray = PRIOR, words: dict[str, int] = PRIOR_WORDS) -> str:
     """The content blocks of a page, joined by one space; empty if there are none."""
-    blocks = blocks_of(page or "")
+    blocks = blocks_of(page or "", words)
     if not blocks:
         return ""
     return " ".join(b[0] for b, content in zip(blocks, minimum_cut(*graph_of(blocks, weights))) if content)
@@ -347,16 +372,79 @@ def fit_classifier(pages: DataFrame, html_col: str = "html", most: int = SAMPLE_
     return fit_weights(some[:, 1:], some[:, 0])
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: np.ndarray | None = None) -> DataFrame:
+def places(page: str) -> list[tuple[str, bool]]:
+    """Each word of a class or id with whether a block below it stands in the page's main part; ``("", ...)`` for the block.
+
+    Pages without a main part tell nothing, nor do blocks of it that a listed word or another telling tag keeps out.
+    """
+    blocks, out = blocks_of(page), []
+    paths = []
+    for _, _, _, x in blocks:
+        path = []
+        while x is not None and len(path) < MAIN_STEPS:
+            path.append(x)
+            x = x.parent
+        paths.append(path)
+    if any(x.tag in MAIN_TAGS for path in paths for x in path):
+        for path in paths:
+            inside = any(x.tag in MAIN_TAGS for x in path)
+            if not inside or all(x.cost >= 0 for x in path):
+                out.append(("", inside))
+                out += [(w, inside) for w in {w for x in path if x.attributes for name in names_of(x.attributes) for w in name}]
+    return out
+
+
+def word_weights(counts: dict[str, tuple[int, int]]) -> dict[str, int]:
+    """What words tell, from (blocks in the main part, blocks outside) of each and of all blocks (``""``); the prior counts as
+    ``WORD_WEIGHT`` blocks, so that an unlisted word tells nothing until it is seen."""
+    told = dict(PRIOR_WORDS)
+    within, out = counts.get("", (0, 0))
+    share = (within + 1) / (within + out + 2)
+    base = np.log(share / (1 - share))
+    for word, (n, m) in counts.items():
+        if word:
+            before = 1 / (1 + np.exp(-(base + PRIOR_WORDS.get(word, 0) / 100)))
+            p = (n + WORD_WEIGHT * before) / (n + m + WORD_WEIGHT)
+            weight = int(np.clip(round(100 * (np.log(p / (1 - p)) - base)), BAD_WORD, -BAD_WORD))
+            if abs(weight) >= LEAST_WORD:
+                told[word] = weight
+            else:
+                told.pop(word, None)
+    return told
+
+
+def fit_words(pages: DataFrame, html_col: str = "html", most: int = SAMPLE_PAGES, words: int = SAMPLE_WORDS) -> dict[str, int]:
+    """What words of classes and ids tell, from about ``most`` pages, chosen by a hash; counts of the ``words`` most frequent
+    words come to the driver."""
+    importable(pages.sparkSession)
+    share = max(1, pages.count() // most)
+    rows = pages.select(F.col(html_col).cast("string").alias("html")).filter(F.pmod(F.xxhash64(F.lit(5), "html"), F.lit(share)) == 0)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "html"):
+            within, out = Counter(), Counter()
+            for page in batch.column("html").to_pylist():
+                for word, inside in places(page or ""):
+                    (within if inside else out)[word] += 1
+            found = sorted(within.keys() | out.keys())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([within[w] for w in found], pa.int64()), pa.array([out[w] for w in found], pa.int64())], names=["word", "within", "out"])
+
+    counted = rows.mapInArrow(look, "word string, within long, out long").groupBy("word").agg(F.sum("within").alias("n"), F.sum("out").alias("m"))
+    some = counted.orderBy(F.col("word") != "", -(F.col("n") + F.col("m")), "word").limit(words + 1).collect()
+    return word_weights({r.word: (r.n, r.m) for r in some})
+
+
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: np.ndarray | None = None, words: dict[str, int] | None = None) -> DataFrame:
     """One row per page: ``page_id, url, text, n_chars``. Null and empty html give an empty text; broken markup is read on
     to its end; repeated rows are all returned; other columns are not read; an empty table gives no rows. The classifier is
-    fitted on these pages unless its ``weights`` are given."""
+    fitted on these pages unless its ``weights`` are given, likewise what ``words`` of classes and ids tell."""
     importable(pages.sparkSession)
     weights = fit_classifier(pages, html_col) if weights is None else weights
+    words = fit_words(pages, html_col) if words is None else words
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "html"):
-            texts = [main_text(x, weights) for x in batch.column("html").to_pylist()]
+            texts = [main_text(x, weights, words) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -95,6 +96,52 @@ def test_neighbours_decide_without_telling_elements():
     assert [c for c, b in zip(costs, blocks) if b[0] == "See it too"][0] < 0
 
 
+@pytest.mark.parametrize("page", ["<div id='app-header-story'>{}</div>", "<article><p>A first paragraph of it stands here.</p><div class='share-price-table'>{}</div></article>", "<article><p>A first paragraph of it stands here.</p><div class='tags-explained'>{}</div></article>"])
+def test_one_word_of_a_name_does_not_decide(page):
+    """The listed word is one of several: the text and what stands around it decide. Every ancestor rule loses it."""
+    text = "<p>This is one long paragraph of the story, with many words that a reader wants.</p><p>And one more of them, which ends it.</p>"
+    told = pages.main_text(f"<body>{page.format(text)}</body>")
+    assert told.endswith("This is one long paragraph of the story, with many words that a reader wants. And one more of them, which ends it.")
+    assert any(pages.seed(b[3]) == 0 for b in pages.blocks_of(page.format(text)))
+    for name in ("ad-slot", "cookie-notice", "site-header", "newsletter-signup-box"):
+        assert "Buy this" not in pages.main_text(f"<article><p>A first paragraph of it stands here.</p><div class='{name}'>Buy this thing now, it is cheap and very good.</div></article>"), name
+
+
+def renamed(k, page):
+    """The page with a word for its advert that no list holds; every second page also without elements that tell."""
+    page = page.replace('class="ad"', 'class="zq"').replace("<nav>", '<nav class="kopf">').replace("<footer>", '<footer class="fuss">')
+    return re.sub(r"<(/?)(?:article|nav|footer)\b", r"<\1div", page) if k % 2 else page
+
+
+def test_learned_words_and_edges_decide(spark):
+    """The tables' pages under other names: words are learned on pages with an article and serve the others. With the words
+    frozen, without edges, or by the rule that any boilerplate ancestor decides, pages come out wrong."""
+    htmls = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").orderBy("page_id").collect()]
+    table = spark.createDataFrame([(k, renamed(k, h)) for k, h in enumerate(htmls)], "page_id long, html string")
+    weights, words = pages.fit_classifier(table), pages.fit_words(table)
+    assert {w for w in words if w not in pages.PRIOR_WORDS} == {"zq", "kopf", "fuss"} and all(words[w] < 0 for w in ("zq", "kopf", "fuss"))
+    right = Counter()
+    for k, h in enumerate(htmls):
+        want = template_text(h)
+        for how, own in (("cut", words), ("frozen", pages.PRIOR_WORDS), ("no edges", words), ("rule", pages.PRIOR_WORDS)):
+            blocks = pages.blocks_of(renamed(k, h), own)
+            costs, edges = pages.graph_of(blocks, weights)
+            keep = {"no edges": [c >= 0 for c in costs], "rule": [pages.seed(b[3]) != 0 for b in blocks]}.get(how) or pages.minimum_cut(costs, edges)
+            right[how] += " ".join(b[0] for b, content in zip(blocks, keep) if content) == want
+    assert right["cut"] == len(htmls) and max(right[how] for how in ("frozen", "no edges", "rule")) < 0.5 * len(htmls)
+    out = {r.page_id: r.text for r in pages.extract_text(table.selectExpr("page_id", "'u' url", "html")).collect()}
+    assert all(out[k] == template_text(h) for k, h in enumerate(htmls))
+
+
+def test_words_of_classes_are_counted_by_place():
+    page = "<nav class='kopf x'><a href='/'>A</a></nav><main><div class='lead'>One.</div><div class='ad lead'>Two.</div></main>"
+    assert sorted(pages.places(page)) == [("", False), ("", True), ("kopf", False), ("lead", True), ("x", False)]  # the advert's block tells nothing
+    assert pages.places("<div class='lead'>One.</div>") == [] == pages.places("")
+    told = pages.word_weights({"": (500, 500), "zq": (0, 300), "lead": (300, 0), "mixed": (50, 50), "nav": (0, 3)})
+    assert told["zq"] < -400 and told["lead"] > 400 and "mixed" not in told and told["nav"] == pages.BAD_WORD and told["footer"] == pages.BAD_WORD
+    assert pages.word_weights({}) == pages.PRIOR_WORDS
+
+
 def test_no_text_is_lost():
     assert pages.main_text("<article><p>" + "\u0130" * 40 + " text</p><script>x</scripts>y</SCRIPT ><p>Second paragraph.</p></article>") == "\u0130" * 40 + " text Second paragraph."
     assert pages.main_text("<div class='x>The text of this page, which is long enough to be read.") == "The text of this page, which is long enough to be read."
