@@ -393,6 +393,26 @@ def test_formats_decide_in_the_tables(spark):
     rng = random.Random(6)
     fresh = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(100)]
     assert sum(model.spans(f"uhe of {x}. Then") == [("format", 7, 47)] for x in fresh) >= 99
+    # in capitals, and as a part of a path or a name
+    fresh = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(200)]
+    assert sum(model.spans(f"uhe of {x.upper()}. Then") == [("format", 7, 47)] for x in fresh) >= 190
+    assert sum(model.spans(f"https://h.example.com/files/{x}/download") == [("format", 28, 68)] for x in fresh) >= 190
+    assert sum(model.spans(f"id-{x}-prod") == [("format", 3, 43)] for x in fresh) >= 190
+    words = {w for t in texts.values() for w in t.split() if w.isalpha() and w.isascii()}
+    assert not any(model.spans(w) or model.spans(w.upper()) for w in sorted(words)[:20_000])
+
+
+def test_very_long_credentials(spark):
+    """They are no examples of the fit, whose tables stay small, but are scanned whole."""
+    rng = random.Random(12)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(60)]
+    huge = "".join(rng.choice("0123456789abcdef") for _ in range(1_000_000))
+    docs = spark.createDataFrame([(k, f"the password: {x} of some other words, ordinary ones") for k, x in enumerate([*keys, huge])] + [(99, huge + " " + keys[0])], "doc_id long, text string")
+    model = secrets.fit_secrets(docs)
+    assert model.automata["assign"].states < 200
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs, model).collect()}
+    assert got[60].n_assign == got[99].n_hex - 1 == 1 and "assign:4:1000014" in got[60].spans.split(",")
+    assert {"hex:0:1000000", "hex:1000001:1000041", "format:1000001:1000041"} <= set(got[99].spans.split(","))
 
 
 def test_secret_edges(spark, odd_docs):
