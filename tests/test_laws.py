@@ -1,15 +1,17 @@
 """Laws as column expressions, against plain sums, closed forms and sorted samples."""
 
+import itertools
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rateloom.functions import dist, laws
-from rateloom.plans import calibrated
+from rateloom.plans import calibrated, models
 
 
 def plain_masses(mean: float, variance: float | None, n: int) -> np.ndarray:
@@ -111,6 +113,16 @@ def test_event_score_varies(spark, sf_dir):
     assert len({r.brier for r in rows}) > 10 and all(0 <= r.p_event <= 1 and r.brier != 0.25 for r in rows)
 
 
+def test_variance_of_counts_does_not_depend_on_their_order(spark, tmp_path):
+    """Customers with the same six yearly counts in all orders of the years have one variance, 52 / 15, and one law."""
+    orders = sorted(set(itertools.permutations((1, 1, 2, 2, 5, 5))))
+    rows = [(c, year) for c, counts in enumerate(orders) for year, k in enumerate(counts) for _ in range(k)]
+    table = pd.DataFrame({"o_custkey": [c for c, _ in rows], "o_orderdate": [pd.Timestamp(1995 + y, 3, 1) for _, y in rows]})
+    spark.createDataFrame(table).repartition(7).write.parquet(f"{tmp_path}/orders.parquet")
+    assert {(r.m, r.v) for r in models.moments(spark, str(tmp_path)).collect()} == {(16 / 6, 52 / 15)}
+    assert {(r.r, r.p, r.family) for r in models.nb_params(spark, str(tmp_path)).collect()} == {(8.88889, 0.769231, "poisson")}
+
+
 def test_weighted_sum_takes_its_line_as_it_stands(spark):
     """A sum of 4 is over a line that is a bit under 4."""
     a, b = 2.2, 0.6
