@@ -113,6 +113,13 @@ def test_event_score_varies(spark, sf_dir):
     assert len({r.brier for r in rows}) > 10 and all(0 <= r.p_event <= 1 and r.brier != 0.25 for r in rows)
 
 
+def test_ratio_of_exactly_the_limit_is_not_over_it(spark):
+    """Variances of 1.3 means, as sums in several orders leave them: a unit of the last digit more or less."""
+    rows = [(m, v) for m in (8 / 3, 10 / 3, 0.7) for v in (1.3 * m, np.nextafter(1.3 * m, 9), np.nextafter(np.nextafter(1.3 * m, 9), 9), np.nextafter(1.3 * m, 0))]
+    df = spark.createDataFrame([(float(m), float(v)) for m, v in rows], "m double, v double")
+    assert {r[0] for r in df.select(dist.count_family(F.col("m"), F.col("v"))).collect()} == {"poisson"}
+
+
 def test_variance_of_counts_does_not_depend_on_their_order(spark, tmp_path):
     """Customers with the same six yearly counts in all orders of the years have one variance, 52 / 15, and one law."""
     orders = sorted(set(itertools.permutations((1, 1, 2, 2, 5, 5))))
