@@ -51,20 +51,20 @@ def trailing_mean(column: str, frame, least: int) -> Column:
 def last_facts_before(spine: DataFrame, facts: DataFrame, entity: str, at: str, value: str, n: int, tiebreak: str) -> DataFrame:
     """For each spine row the mean and count of the entity's last ``n`` facts strictly before it.
 
-    Spine and facts are stacked and sorted once. Running counts and sums are taken there; the running sum ``n`` facts
-    earlier is looked up by its number, so the cost is a sort and an equi-join and not the square of an entity's history.
+    Each fact carries the values of itself and of the ``n - 1`` before it. Spine and facts are stacked and sorted, and the last
+    such list before a spine row is carried forward, so the cost is two sorts and not the square of an entity's history. The
+    values themselves are added, latest first: a difference of running sums would be a bit off where a limit is met exactly.
     Facts at the same time as the spine row do not count.
     """
-    both = spine.select(entity, at, F.col(tiebreak).alias("_tie"), F.lit(0.0).alias("_value"), F.lit(0).alias("_fact")).unionByName(
-        facts.select(entity, at, F.col(tiebreak).alias("_tie"), F.col(value).cast("double").alias("_value"), F.lit(1).alias("_fact"))
-    )
+    own = Window.partitionBy(entity).orderBy(at, "_tie").rowsBetween(1 - n, 0)
+    known = facts.select(entity, at, F.col(tiebreak).alias("_tie"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("_value"))
+    known = known.select(entity, at, "_tie", F.collect_list("_value").over(own).alias("_values"), F.lit(1).alias("_fact"))
+    both = spine.select(entity, at, F.col(tiebreak).alias("_tie"), F.lit(None).cast("array<double>").alias("_values"), F.lit(0).alias("_fact")).unionByName(known)
     # spine rows come before the facts of their own time
     earlier = Window.partitionBy(entity).orderBy(at, "_fact", "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    both = both.withColumn("_n", F.coalesce(F.sum("_fact").over(earlier), F.lit(0))).withColumn("_sum", F.coalesce(F.sum("_value").over(earlier), F.lit(0.0)))
-    marks = both.filter("_fact = 1").select(F.col(entity).alias("_e"), (F.col("_n") + 1 + n).alias("_at"), (F.col("_sum") + F.col("_value")).alias("_before"))
-    rows = both.filter("_fact = 0").join(marks, (F.col(entity) == F.col("_e")) & (F.col("_n") == F.col("_at")), "left")
-    count = F.least(F.col("_n"), F.lit(n))
-    return rows.select(entity, at, F.col("_tie").alias(tiebreak), count.cast("long").alias("n_prior"), ((F.col("_sum") - F.coalesce("_before", F.lit(0.0))) / F.nullif(count, F.lit(0))).alias("prior_mean"))
+    rows = both.withColumn("_values", F.last("_values", ignorenulls=True).over(earlier)).filter("_fact = 0")
+    total = F.aggregate(F.reverse("_values"), F.lit(0.0), lambda a, x: a + x)
+    return rows.select(entity, at, F.col("_tie").alias(tiebreak), F.when(F.col("_values").isNull(), 0).otherwise(F.size("_values")).cast("long").alias("n_prior"), (total / F.size("_values")).alias("prior_mean"))
 
 
 def own_last_before(df: DataFrame, entity: str, order: Sequence[str], value: str, n: int) -> DataFrame:

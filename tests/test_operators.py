@@ -286,3 +286,11 @@ def test_bounded_event_fit_is_a_minimum(spark):
             for d in np.vstack([np.eye(6), -np.eye(6), rng.normal(size=(40, 6))]):
                 assert told <= loss(np.clip(theta + step * d, low, high)) + 1e-7
     assert found["0"][0][1] > 0.5 and found["1"][0][5] > 0.7 and min(found["1"][0][1], found["0"][0][2]) < 0.25
+
+
+def test_last_facts_are_added_themselves(spark):
+    """Four values of 0.55 after large ones: their mean is 0.55, and meets a limit of 0.55."""
+    facts = spark.createDataFrame([(1, k, k, v) for k, v in enumerate([1e9, 0.1, 3e7, 0.55, 0.55, 0.55, 0.55])], "u long, at long, id long, v double")
+    spine = spark.createDataFrame([(1, 7, 100), (1, 0, 101), (2, 7, 102)], "u long, at long, id long")
+    got = {r.id: (r.n_prior, r.prior_mean) for r in asof.last_facts_before(spine, facts, "u", "at", "v", 4, "id").collect()}
+    assert got == {100: (4, 0.55), 101: (0, None), 102: (0, None)}
