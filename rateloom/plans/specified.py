@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import laws
 from ..operators import rank, spec
 from ..operators.spec import Position, Stat, Step
-from ..shared import save
+from ..shared import importable, save
 from . import calibrated, projection, ratings
 from .registry import big, query, rounded
 
@@ -102,10 +102,10 @@ def projection_trace(spark, sf_dir):
     SELECT entity, segment, stat, family, round(mean, 5) AS mean, round(play * mean, 5) AS unconditional_mean, p25, median, p75 FROM means LEFT JOIN laws USING (entity, stat)""")
 def position_projections(spark, sf_dir):
     """Each statistic's mean, quartiles under its family's law, and mean whether or not the entity plays; an event has its chance alone."""
-    rows = projections(spark, sf_dir)
-    m = F.round("mean", 9)
+    importable(spark)
+    rows = projections(spark, sf_dir).drop("trace")
+    m = F.when(F.col("family") != "event", F.round("mean", 9))
     spread = F.when(F.col("family") == "amount", F.greatest(1.05 * m, m + 0.4 * m * m))
-    q = laws.quantiles([0.25, 0.5, 0.75], laws.spread_law(m, spread), m, F.coalesce(spread, m))
-    rows = rows.withColumn("q", F.when((F.col("family") != "event") & (m > 0), q))
+    rows = rows.withColumn("q", laws.spread_quantiles([0.25, 0.5, 0.75], m, spread))
     out = rows.select("entity", "segment", "stat", "family", "mean", (F.col("play") * F.col("mean")).alias("unconditional_mean"), F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"))
     return rounded(out, "mean", "unconditional_mean", digits=5)
