@@ -294,3 +294,42 @@ def test_last_facts_are_added_themselves(spark):
     spine = spark.createDataFrame([(1, 7, 100), (1, 0, 101), (2, 7, 102)], "u long, at long, id long")
     got = {r.id: (r.n_prior, r.prior_mean) for r in asof.last_facts_before(spine, facts, "u", "at", "v", 4, "id").collect()}
     assert got == {100: (4, 0.55), 101: (0, None), 102: (0, None)}
+
+
+def test_event_sums_of_tasks_are_whole(spark, monkeypatch):
+    """Sums over many small tasks, for several starts in one pass, are loss, gradient and curvature over all rows."""
+    from rateloom.operators import events_fit
+
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"g": rng.choice(["u", "v", "w"], 900), "y": rng.integers(0, 2, 900), "w": rng.uniform(0.02, 1, 900), "a": 1.5, "b": 0.8, **{f"x{i}": rng.random(900) for i in range(1, 5)}})
+    monkeypatch.setattr(events_fit, "BLOCK_ROWS", 7)
+    blocks = events_fit.blocks_of(spark.createDataFrame(pdf).repartition(40), "g").cache()
+    assert {r.g: r.n for r in blocks.groupBy("g").agg(F.sum(F.length("block") / 64).alias("n")).collect()} == dict(pdf.g.value_counts()) and blocks.filter("length(block) > 7 * 64").count() == 0
+    thetas = {(g, k): t for g in "uv" for k, t in enumerate(events_fit.STARTS)}
+    found = events_fit.sums_at(blocks, "g", thetas)
+    assert set(found) == set(thetas)
+    for (g, k), t in thetas.items():
+        own = pdf[pdf.g == g]
+
+        def loss(t):
+            rate = own.a * np.maximum(0, t[0] + t[1] * own.x1 + t[2] * own.x2) + own.b * np.maximum(0, t[3] + t[4] * own.x3 + t[5] * own.x4)
+            p = np.clip(-np.expm1(-rate), 1e-4, 1 - 1e-4)
+            return -(own.w * (own.y * np.log(p) + (1 - own.y) * np.log1p(-p))).sum() / own.w.sum()
+
+        assert found[g, k][0] == pytest.approx(loss(t), rel=1e-9) and found[g, k][2] == pytest.approx(found[g, k][2].T)
+        slope = np.array([(loss(t + 1e-6 * d) - loss(t - 1e-6 * d)) / 2e-6 for d in np.eye(6)])
+        assert found[g, k][1] == pytest.approx(slope, abs=1e-4)
+    whole = events_fit.partial_sums(pdf[pdf.g == "u"][["y", "w", "a", "b", "x1", "x2", "x3", "x4"]].to_numpy(float).T, events_fit.STARTS[1])
+    assert whole[1] / whole[0] == pytest.approx(found["u", 1][0])
+
+
+def test_event_steps_do_not_depend_on_units():
+    """A table of ten thousand times as many entities: shares so much smaller, events of a team so many more. The rates move alike."""
+    from rateloom.operators import events_fit
+
+    rng = np.random.default_rng(2)
+    d = rng.random((50, 6))
+    curve, slope, theta = d.T @ d / 50, rng.normal(size=6), np.array([0.1, 1.0, 1.0, 0.1, 1.0, 1.0])
+    unit = np.array([1e3, 1e-4, 1.0] * 2)  # of intercepts, shares and ratios
+    for step in (events_fit.step_of, events_fit.slope_step):
+        assert step(theta, slope * unit, curve * np.outer(unit, unit)) * unit == pytest.approx(step(theta, slope, curve), rel=1e-6)
