@@ -33,7 +33,7 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity"), big(F.col("c_nationkey")).alias("team"), F.col("c_mktsegment").alias("segment"))
     return orders.join(people, "entity").select(
         "o_orderkey", "entity", "team", "segment", big(F.year("o_orderdate")).alias("season"), big(F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("period"),
-        (F.col("o_totalprice") / 1000).alias("value"), (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("urgent"))
+        (F.col("o_totalprice") / 1000).alias("value"), (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("urgent"), (F.col("o_orderpriority") == "2-HIGH").cast("int").alias("high"))
 
 
 def months(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,8 +230,7 @@ TWO_PART = GAMES + """,
 
 def two_part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every month of an entity with three or more of its last ten months: two kinds of events, the shares and the ratios before, weighted by usage."""
-    rows = games(spark, sf_dir).join(table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderpriority") == "2-HIGH").cast("int").alias("high")), "o_orderkey")
-    two = save(rows.groupBy("entity", "team", "segment", "period").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("value").alias("value"), F.sum("urgent").cast("double").alias("urgent"), F.sum("high").cast("double").alias("high")), "two-kinds")
+    two = save(games(spark, sf_dir).groupBy("entity", "team", "segment", "period").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("value").alias("value"), F.sum("urgent").cast("double").alias("urgent"), F.sum("high").cast("double").alias("high")), "two-kinds")
     sides = save(two.groupBy("team", "period").agg(*[F.sum(c).alias(f"team_{c}") for c in ("n", "value", "urgent", "high")]), "team-kinds")
     league = sides.agg(F.avg("team_urgent").alias("a"), F.avg("team_high").alias("b"))
     w = Window.partitionBy("entity").orderBy("period").rowsBetween(-10, -1)
