@@ -40,6 +40,22 @@ class WordCache:
         self.index: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.lists = np.zeros(1 << 14, np.int32), None
+        self.met = np.zeros(1 << 14, np.int32)  # batches that held each word
+
+    def _forget(self, more: int) -> None:
+        """Make room for ``more`` words: those that one batch alone held go, unless that is not enough, when all do."""
+        n = len(self.index)
+        keep = np.flatnonzero(self.met[:n] > 1)
+        if len(keep) > self.limit // 2 or len(keep) + more > self.limit:
+            return self._reset()
+        words, kept = list(self.index), pa.ListArray.from_arrays(pa.array(self.at[: n + 1]), pa.array(self.flat[: self.used])).take(pa.array(keep))
+        self.index = {words[k]: i for i, k in enumerate(keep.tolist())}
+        self.at[: len(keep) + 1] = np.asarray(kept.offsets)
+        self.used = int(self.at[len(keep)])
+        self.flat[: self.used] = kept.values.to_numpy()
+        self.met[:] = 0
+        self.met[: len(keep)] = 1
+        self.lists = None
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -88,7 +104,7 @@ class WordCache:
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while first + len(new) >= len(self.at):
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+            self.at, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.met))
         self.flat[self.used : self.used + total] = found
         self.at[first + 1 : first + len(new) + 1] = self.used + np.cumsum(sizes, dtype=np.int32)
         self.used += total
@@ -108,12 +124,14 @@ class WordCache:
         parts = cut.flatten().dictionary_encode()
         words = parts.dictionary.to_pylist()
         if len(self.index) + len(words) > self.limit:
-            self._reset()
+            self._forget(len(words))
         if new := [w for w in words if w not in self.index]:
             self._learn(new)
         if self.lists is None:  # the ids of every known part stand in order
             self.lists = pa.ListArray.from_arrays(pa.array(self.at[: len(self.index) + 1]), pa.array(self.flat[: self.used]))
-        which = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))[parts.indices.to_numpy()]
+        own = np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
+        self.met[own] += 1
+        which = own[parts.indices.to_numpy()]
         ends_at = np.asarray(cut.offsets)
         found = self.lists.take(pa.array(which))
         ids, ends = found.values.to_numpy(), np.asarray(found.offsets)

@@ -565,3 +565,20 @@ def test_pipeline_decides_each_row(spark, sf_dir):
     after = corpus_pipeline.drop_near_copies(spark, add(rows), sf_dir).filter("doc_id IS NULL OR doc_id < 0").collect()
     assert len(after) == 4 and sum(r.doc_id is None for r in after) == 2 and (-7, fresh[1] + " z") in {(r.doc_id, r.text) for r in after}
     assert {(r.text or "null").removesuffix(" z") for r in after} == {*fresh, "null"}
+
+
+@pytest.mark.parametrize("path,spaces", [(queries.BYTE_TOKENIZER, True), (queries.WORD_TOKENIZER, False)])
+def test_words_of_several_batches_stay_in_the_cache(path, spaces):
+    """A full cache lets go of words that one batch alone held: common ones are not encoded again, and all ids stay right."""
+    cache = WordCache(path, spaces, limit=60)
+    learned, learn = [], cache._learn
+    cache._learn = lambda new: (learned.extend(new), learn(new))[1]
+    common = ["the", "quick", "häuser", "jumps", "over"]
+    for k in range(12):
+        texts = [" ".join([*common, *(f"w{k}x{i}y{j}" for j in range(4)), *common]) for i in range(5)]
+        for text, ids in zip(texts, cache.encode(pa.array(texts))):
+            assert ids.tolist() == cache.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(cache.index) <= 60
+    assert learned.count("quick") == 1 and learned.count("over") == 1
+    wide = [" ".join(f"z{j}" for j in range(100))]  # more words than the cache should hold
+    assert cache.encode(pa.array(wide))[0].tolist() == cache.tokenizer.encode(wide[0], add_special_tokens=False).ids
