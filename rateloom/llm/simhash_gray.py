@@ -39,6 +39,8 @@ FAN = 8
 STEP = 2048
 #: Pairs of fingerprints joined before connections are brought up to date.
 JOIN_STEP = 4096
+#: Rows under one index, where they hold their shingles, and shingles that are compared at a time.
+SET_ROWS, SET_STEP = 16_384, 1 << 21
 LINKS = "file long, a long, b long"
 #: Whether pairs of places may be links.
 May = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -255,13 +257,14 @@ def tiers(limit: int) -> tuple[int, ...]:
     return (limit // 3, limit) if limit > 6 else (limit,)
 
 
-def links_in_files(filed: DataFrame, limit: int, segment_rows: int = SEGMENT_ROWS, apart: DataFrame | None = None, forests: int = 1, most: int = 0) -> DataFrame:
+def links_in_files(filed: DataFrame, limit: int, segment_rows: int = SEGMENT_ROWS, apart: DataFrame | None = None, forests: int = 1, most: int = 0, similarity: float = 0.0) -> DataFrame:
     """``filed``: (file: long, id: long, f0: long, maybe label: long) to links (file, a, b) within ``limit`` bits, file by file.
     Rows of one label are known to be connected, and need no link between them. Pairs in ``apart`` (file, a, b) are no links.
     With more than one of ``forests`` that many sets of links are passed on, none of which has a link of another, as long
     as there are any: each connects what links that are in no set before connect.
     A column ``words: array<long>`` holds wide signatures, filed by band: links then also lie within ``most`` bits of these, and
-    are told in the first file alone that both rows have.
+    are told in the first file alone that both rows have. A column ``shingles: array<int>`` holds sets of different numbers: links
+    then also have the Jaccard ``similarity`` over these, so that no other pair leaves a task.
 
     Small files lie whole in a task, many under one index. A file of more than ``segment_rows`` rows is cut into segments of
     its Gray order; each segment is an index of its own, and gets the rows of those other segments whose shared bits allow a
@@ -269,17 +272,18 @@ def links_in_files(filed: DataFrame, limit: int, segment_rows: int = SEGMENT_ROW
     """
     spark = filed.sparkSession
     importable(spark)
-    carried = ["id", "f0"] + [c for c in ("label", "words") if c in filed.columns]
+    carried = ["id", "f0"] + [c for c in ("label", "words", "shingles") if c in filed.columns]
     large = filed.groupBy("file").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > segment_rows)
     large = save(large, "large-files")
     total = large.agg(F.sum("n")).first()[0]
     few = filed.join(large, "file", "left_anti") if total else filed
     # a pair that is no link travels as a row with both identifiers
-    blank = [F.lit(None).cast("array<long>").alias(c) if c == "words" else F.lit(0).cast("long").alias(c) for c in carried[1:]]
+    lists = {"words": "array<long>", "shingles": "array<int>"}
+    blank = [F.lit(None).cast(lists[c]).alias(c) if c in lists else F.lit(0).cast("long").alias(c) for c in carried[1:]]
     few = few.select("file", *carried, F.lit(None).cast("long").alias("other"))
     if apart is not None:
         few = few.unionByName((apart.join(large, "file", "left_anti") if total else apart).select("file", F.col("a").alias("id"), *blank, F.col("b").alias("other")))
-    found = few.repartition("file").sortWithinPartitions("file").mapInArrow(lambda batches: within_files(batches, limit, forests, most), LINKS)
+    found = few.repartition("file").sortWithinPartitions("file").mapInArrow(lambda batches: within_files(batches, limit, forests, most, similarity), LINKS)
     if not total:
         return found
     parts = min(MAX_SEGMENTS, -(-total // segment_rows))
@@ -302,7 +306,7 @@ def links_in_files(filed: DataFrame, limit: int, segment_rows: int = SEGMENT_ROW
         met = met.unionByName(inside.select(*chosen)).unionByName(across.select(*chosen))
     parts = max(1, min(pairs.num_rows, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     met = met.repartitionById(parts, F.pmod(F.col("pair"), F.lit(parts)).cast("int")).sortWithinPartitions("pair", "side")
-    return found.unionByName(met.mapInArrow(lambda batches: between_segments(batches, limit, forests, most), LINKS))
+    return found.unionByName(met.mapInArrow(lambda batches: between_segments(batches, limit, forests, most, similarity), LINKS))
 
 
 def segment_pairs(files: np.ndarray, parts: np.ndarray, all_of: np.ndarray, any_of: np.ndarray, limit: int) -> pa.Table:
@@ -361,6 +365,59 @@ def told_here(here: np.ndarray, there: np.ndarray, files: np.ndarray, most: int)
     return may
 
 
+class ShingleSets:
+    """The sets of some rows, as numbers counted from 0."""
+
+    def __init__(self, lists: pa.ListArray, similarity: float):
+        self.ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64))
+        self.values, self.similarity, self.mark = pc.list_flatten(lists).to_numpy(), similarity, None
+
+    def alike(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether rows ``a`` and ``b`` have the similarity, pair by pair."""
+        if self.mark is None:  # many groups have no pair to compare
+            known, self.values = np.unique(self.values, return_inverse=True)
+            self.values, self.mark = self.values.astype(np.int32), np.zeros(len(known), bool)
+        sizes = np.diff(self.ends)
+        out = np.minimum(sizes[a], sizes[b]) >= self.similarity * np.maximum(sizes[a], sizes[b]) - 1e-9
+        at = np.flatnonzero(out)
+        if len(np.unique(a[at])) > len(np.unique(b[at])):
+            a, b = b, a
+        at = at[np.argsort(a[at], kind="stable")]
+        one, n = a[at], sizes[b[at]]
+        before = np.append(0, np.cumsum(n))
+        cuts = np.flatnonzero((np.diff(one, prepend=-1) != 0) | (np.diff(before[:-1] // SET_STEP, prepend=0) != 0))
+        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)]):
+            own = self.values[self.ends[one[i]] : self.ends[one[i] + 1]]
+            self.mark[own] = True
+            where = np.arange(before[j] - before[i]) + np.repeat(self.ends[b[at[i:j]]] - before[i:j] + before[i], n[i:j])
+            shared = np.add.reduceat(self.mark[self.values[where]], before[i:j] - before[i], dtype=np.int64)
+            self.mark[own] = False
+            out[at[i:j]] = shared >= self.similarity * (len(own) + n[i:j] - shared) - 1e-9
+        return out
+
+
+def shingle_column(rows: pa.RecordBatch, similarity: float) -> ShingleSets | None:
+    return ShingleSets(rows.column("shingles"), similarity) if "shingles" in rows.schema.names else None
+
+
+def may_link(words: np.ndarray | None, sets: ShingleSets | None, files: np.ndarray, most: int, one: slice, two: slice) -> May | None:
+    """What whole signatures and sets, as far as the rows hold them, say of pairs (place in ``one``, place in ``two``)."""
+    if words is None:
+        return None
+    told = told_here(words[one], words[two], files[one], most)
+    if sets is None:
+        return told
+
+    def may(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = told(a, b)
+        at = np.flatnonzero(out)
+        if len(at):
+            out[at] = sets.alike(one.start + a[at], two.start + b[at])
+        return out
+
+    return may
+
+
 def disjoint(links: Callable[[list], Iterator[tuple[int, int]]], apart: list[tuple[int, int]], forests: int) -> list[tuple[int, int]]:
     """The links of so many forests, none of which has a link of another."""
     out: list[tuple[int, int]] = []
@@ -372,7 +429,7 @@ def disjoint(links: Callable[[list], Iterator[tuple[int, int]]], apart: list[tup
     return out
 
 
-def within_files(batches: Iterator[pa.RecordBatch], limit: int, forests: int = 1, most: int = 0) -> Iterator[pa.RecordBatch]:
+def within_files(batches: Iterator[pa.RecordBatch], limit: int, forests: int = 1, most: int = 0, similarity: float = 0.0) -> Iterator[pa.RecordBatch]:
     """Rows sorted by file: one index over many whole files at a time."""
     for rows in groups_of(batches, "file"):
         told = rows.filter(pc.is_valid(rows.column("other")))
@@ -388,17 +445,17 @@ def within_files(batches: Iterator[pa.RecordBatch], limit: int, forests: int = 1
             own = set(told.column("file").to_pylist())
             place = {(f, i): p for p, (f, i) in enumerate(zip(files.tolist(), ids.tolist())) if f in own}
             apart = [(place[f, a], place[f, b]) for f, a, b in zip(*(told.column(c).to_pylist() for c in ("file", "id", "other"))) if (f, a) in place and (f, b) in place]
-        index, words = GrayIndex(codes.view(np.uint64), several), wide_words(rows)
-        may = None if words is None else told_here(words, words, files, most)
+        index, every = GrayIndex(codes.view(np.uint64), several), slice(0, len(files))
+        may = may_link(wide_words(rows), shingle_column(rows, similarity), files, most, every, every)
         yield from links_out(files, ids, ids, disjoint(lambda known: index.links(limit, labels, known, may), apart, forests))
     give_back()
 
 
-def between_segments(batches: Iterator[pa.RecordBatch], limit: int, forests: int = 1, most: int = 0) -> Iterator[pa.RecordBatch]:
+def between_segments(batches: Iterator[pa.RecordBatch], limit: int, forests: int = 1, most: int = 0, similarity: float = 0.0) -> Iterator[pa.RecordBatch]:
     """Rows sorted by pair and side: an index over each side. Side 2: pairs that are no links."""
     for rows in groups_of(batches, "pair"):
         pair, side, files, ids, codes, labels = numbers(rows, "pair", "side", "file", "id", "f0", "label")
-        other, words = pc.fill_null(rows.column("other"), 0).to_numpy(), wide_words(rows)
+        other, words, sets = pc.fill_null(rows.column("other"), 0).to_numpy(), wide_words(rows), shingle_column(rows, similarity)
         codes, starts = codes.view(np.uint64), np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(pair)]):
             cut, end = a + int(np.searchsorted(side[a:b], 1)), a + int(np.searchsorted(side[a:b], 2))
@@ -407,7 +464,7 @@ def between_segments(batches: Iterator[pa.RecordBatch], limit: int, forests: int
                 apart = [(place[x], place[y]) for x, y in zip(ids[end:b].tolist(), other[end:b].tolist()) if x in place and y in place]
                 one = GrayIndex(codes[a:end])
                 own = None if labels is None else labels[a:end]
-                may = None if words is None else told_here(words[a:end], words[a:end], files[a:end], most)
+                may = may_link(words, sets, files, most, slice(a, end), slice(a, end))
                 yield from links_out(files[a:end], ids[a:end], ids[a:end], disjoint(lambda known: one.links(limit, own, known, may), apart, forests))
             elif a < cut < end:
                 one, two = GrayIndex(codes[a:cut]), GrayIndex(codes[cut:end])
@@ -417,7 +474,7 @@ def between_segments(batches: Iterator[pa.RecordBatch], limit: int, forests: int
                 told = [(x, y) if x in here else (y, x) for x, y in zip(ids[end:b].tolist(), other[end:b].tolist())]
                 apart = [(here[x], there[y]) for x, y in told if x in here and y in there]
                 both = None if labels is None else (labels[a:cut], labels[cut:end])
-                may = None if words is None else told_here(words[a:cut], words[cut:end], files[a:cut], most)
+                may = may_link(words, sets, files, most, slice(a, cut), slice(cut, end))
                 yield from links_out(files[a:cut], ids[a:cut], ids[cut:end], disjoint(lambda known: one.links_to(two, limit, both, known, may), apart, forests))
     give_back()
 
@@ -426,6 +483,8 @@ def groups_of(batches: Iterator[pa.RecordBatch], key: str, least: int = 50_000)
     """Rows sorted by ``key``, in runs of whole groups with ``least`` rows or more (but for the last)."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
+        if "shingles" in batch.schema.names:
+            least = SET_ROWS
         if batch.num_rows:
             held.append(batch)
         if sum(b.num_rows for b in held) < least:
@@ -548,15 +607,17 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", bands array<int>")
 
 
-def shingle_sets(named: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, shingles`` of the texts that ``named`` (doc_id) names: sorted hashes of their different shingles, saved."""
+def shingle_sets(named: DataFrame, docs: DataFrame, words: int, short: bool = False) -> DataFrame:
+    """``doc_id, shingles`` of the texts that ``named`` (doc_id) names: sorted hashes of their different shingles, saved. ``short``: 32 bits of each."""
+    kind = pa.int32() if short else pa.int64()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 2_000_000):
-            sets = [set_of(text, words).view(np.int64) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            sets = [set_of(text, words) for text in batch.column("text").to_pylist()]
+            sets = [np.unique(x.astype(np.uint32)).view(np.int32) if short else x.view(np.int64) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(kind))], names=["doc_id", "shingles"])
 
-    return save(docs.select("doc_id", "text").join(named, "doc_id", "left_semi").mapInArrow(make, "doc_id long, shingles array<long>"), "candidate-sets")
+    return save(docs.select("doc_id", "text").join(named, "doc_id", "left_semi").mapInArrow(make, f"doc_id long, shingles array<{'int' if short else 'long'}>"), "short-sets" if short else "candidate-sets")
 
 
 def jaccard_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -575,8 +636,11 @@ def near_duplicate_links(docs: DataFrame, words: int = 5, similarity: float = 0.
     the Gray index finds them; the whole signature and then the sets decide.
 
     An index passes on candidates that would connect what is not connected yet, so a large group brings a few for each
-    member. A candidate that fails connects nothing: files with such candidates are searched again, with these left out and
-    only verified links counted as connections, and each time ``FORESTS`` times as many candidates are passed on, until no file has a
+    member. A candidate that fails connects nothing: files with such candidates are searched again, with only verified links
+    counted as connections and whole signatures compared. Files that still have failed candidates are searched once more with the
+    sets of their rows, as 32-bit numbers, and the index itself compares them: candidates that fail, of which a large group may
+    have the square of its size, leave no task. (Two shingles of a pair share a number by chance less than once in a million pairs
+    of short texts. A candidate that then fails is left out, and ``FORESTS`` times as many links are told.) Rounds end when no file has a
     candidate between rows that verified links do not connect. A pair just at the limit shares a band with probability
     0.96, closer pairs almost surely.
     """
@@ -595,14 +659,17 @@ def near_duplicate_links(docs: DataFrame, words: int = 5, similarity: float = 0.
     labelled = kinds.withColumn("label", F.col("id"))
     for number in count():
         filed = labelled.select("id", "label", *names, F.posexplode("bands").alias("band", "bits"))
-        # searched again, files have whole signatures: failed candidates are not looked at once for every file
+        # searched again, files have whole signatures, by which a pair is looked at once, and then the sets, by which it is decided there
         wide = [F.array(*names).alias("words")] if number > 1 else []
         filed = filed.select("band", (F.col("band") * 65536 + F.col("bits")).cast("long").alias("file"), "id", word.alias("f0"), "label", *wide)
         fresh = filed.filter(F.col("band") < FIRST_BANDS if number == 0 else F.col("band") >= FIRST_BANDS)
         if number:
             old = filed.filter(F.col("band") < FIRST_BANDS) if number == 1 else filed
             fresh = fresh.unionByName(old.join(again, "file", "left_semi")) if number == 1 else old.join(again, "file", "left_semi")
-        found = links_in_files(fresh.drop("band"), limit, apart=failed, forests=FORESTS ** max(0, number - 1), most=most)
+        if number > 2:
+            short = shingle_sets(fresh.select(F.col("id").alias("doc_id")).distinct(), docs, words, short=True)
+            fresh = fresh.join(short.withColumnRenamed("doc_id", "id"), "id")
+        found = links_in_files(fresh.drop("band"), limit, SET_ROWS if number > 2 else SEGMENT_ROWS, failed, FORESTS ** max(0, number - 3), most, similarity)
         found = save(found.select("file", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "candidates")
         close = save(found.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").filter(apart_bits <= most).select("a", "b"), "close-candidates")
         named = close.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()

@@ -20,6 +20,7 @@ from rateloom.llm import components as graph
 from rateloom.llm import content_sort, decontam_cgk, ffd_packing, queries, token_files, url_reputation
 from rateloom.llm import simhash_gray as simhash
 from rateloom.llm.word_cache import WordCache
+from rateloom.shared import save
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 DOCS = [(1, "a b"), (2, None), (3, ""), (4, "word " * 60_000), (4, "word " * 60_000), (None, "x y z"), (None, "x y z"), (5, "a b")]
@@ -395,6 +396,43 @@ def test_pairs_are_told_in_their_first_band():
         assert not simhash.told_here(words, words, np.zeros(40, np.int64), 20)(np.array([a]), np.array([b]))[0]
 
 
+@pytest.mark.parametrize("segment_rows", [20, 100_000])
+def test_sets_decide_in_the_index(spark, segment_rows):
+    """Fingerprints and signatures that are all alike: only pairs whose sets are alike leave a task, and connect all that such pairs connect."""
+    rng = random.Random(5)
+    sets = [sorted(rng.sample(range(family * 1000, family * 1000 + 24), 20)) for family in range(2) for _ in range(60)]
+    edges = [(a, b) for a in range(120) for b in range(a + 1, 120) if (n := len({*sets[a]} & {*sets[b]})) >= 0.8 * (40 - n)]
+    filed = spark.createDataFrame([(7, k, (k % 3) << 5, k, [1] * simhash.WIDE, x) for k, x in enumerate(sets)], "file long, id long, f0 long, label long, words array<long>, shingles array<int>")
+    found = [(min(r.a, r.b), max(r.a, r.b)) for r in simhash.links_in_files(filed, 3, segment_rows, most=10, similarity=0.8).collect()]
+    assert 100 < len(edges) < 120 * 119 // 4 and {*found} <= {*edges}
+    assert linked(120, found) == linked(120, edges)
+
+
+def test_failed_candidates_of_a_large_group_stay_in_their_tasks(spark, monkeypatch):
+    """250 texts are just under 0.8 alike to 150 near copies: the fourth round tells links alone and is the last."""
+    rng, rows, made = random.Random(4), [], {}
+    words = [f"w{k}" for k in range(300)]
+    for k in range(400):
+        copy = list(words)
+        for at in rng.sample(range(300), 1 if k % 8 < 3 else 8):
+            copy[at] = f"c{rng.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+
+    def counted(df, label):
+        out = save(df, label)
+        made.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "save", counted)
+    links = [tuple(r) for r in simhash.near_duplicate_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    sets = [set(simhash.set_of(t, 5).tolist()) for _, t in rows]
+    edges = [(a, b) for a in range(400) for b in range(a + 1, 400) if (n := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    assert {*links} <= {*edges} and linked(400, links) == linked(400, edges)
+    assert made["failed-candidates"][0] > 100  # of the first round: one for a row and file at most
+    rounds = len(made["candidates"])
+    assert rounds <= 4 and (rounds < 4 or made["failed-candidates"][5] == 0)
+
+
 def test_near_duplicates_with_repeated_lines(spark):
     """The same shingle set, a line once or fifty times."""
     head, line = " ".join(f"h{k}" for k in range(104)), " ".join(f"r{k}" for k in range(10))
